@@ -84,3 +84,8 @@ def ngram_hashes(h: np.ndarray, n: int) -> np.ndarray:
 
 def crc_mod4(c: Column | str) -> Column:
     return F.crc32(F.col(c) if isinstance(c, str) else c) % 4
+
+
+def small(df: DataFrame, limit: int = 100_000) -> DataFrame:
+    """df, marked for broadcast if it has at most limit rows. Meant for one row a source or slot, cut beforehand."""
+    return F.broadcast(df) if df.count() <= limit else df

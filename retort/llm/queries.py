@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retort.llm import byte_cnn, minhash_dedup, quality_rules
+from retort.llm import byte_cnn, minhash_dedup, mixing, quality_rules, sharding
 from retort.llm.common import table
 
 
@@ -20,6 +20,15 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     net = byte_cnn.train(docs, labels.where(~byte_cnn.held_out()))
@@ -30,7 +39,9 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_minhash_dedup": op3_minhash_dedup,
+    "op6_sharding": op6_sharding,
+    "op8_mixing": op8_mixing,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op8_mixing": mixing.SQL}
