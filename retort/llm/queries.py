@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retort.llm import byte_cnn, minhash_dedup, mixing, quality_rules, sharding
+from retort.llm import byte_cnn, minhash_dedup, mixing, quality_rules, secret_scan, sharding, url_reputation
 from retort.llm.common import table
 
 
@@ -20,6 +20,15 @@ def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_reputation.filtered(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -39,9 +48,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_minhash_dedup": op3_minhash_dedup,
+    "op4_url_filters": op4_url_filters,
+    "op5_secret_scans": op5_secret_scans,
     "op6_sharding": op6_sharding,
     "op8_mixing": op8_mixing,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-SQL: dict[str, str] = {"op8_mixing": mixing.SQL}
+SQL: dict[str, str] = {"op4_url_filters": url_reputation.SQL, "op8_mixing": mixing.SQL}
