@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retort.llm import byte_cnn, minhash_dedup, mixing, quality_rules, secret_scan, sharding, url_reputation
+from retort.llm import byte_cnn, decontamination, minhash_dedup, mixing, quality_rules, secret_scan, sharding, token_counts, url_reputation
 from retort.llm.common import table
 
 
@@ -33,11 +33,19 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     net = byte_cnn.train(docs, labels.where(~byte_cnn.held_out()))
@@ -51,7 +59,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filters": op4_url_filters,
     "op5_secret_scans": op5_secret_scans,
     "op6_sharding": op6_sharding,
+    "op7_token_counts": op7_token_counts,
     "op8_mixing": op8_mixing,
+    "op9_decontamination": op9_decontamination,
     "op10_quality_classifier": op10_quality_classifier,
 }
 
