@@ -1,13 +1,19 @@
-"""The corpus pipeline: each stage reads what its predecessor kept, as Parquet, and works on all of it."""
+"""The corpus pipeline: each stage reads what its predecessor kept, as Parquet, and works on all of it.
+
+A mixed document stands as often as the mix takes it; one that is taken no time is gone. The last stage adds the shard.
+"""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from retort.llm import byte_cnn
-from retort.llm.common import table
+from retort.llm import byte_cnn, decontamination, minhash_dedup, mixing, sharding
+from retort.llm.common import cut, semi_by_size, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -18,12 +24,53 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return byte_cnn.apply(docs.select(*COLUMNS), net).where("predicted = 1").select(*COLUMNS)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the smallest doc_id, once. Rows without doc_id stay."""
+    docs = docs.select(*COLUMNS)
+    found = minhash_dedup.near_duplicates(docs).where("kept and doc_id is not null")
+    kept = cut(found.groupBy("doc_id").agg(F.count("*").alias("n")))
+    out = semi_by_size(docs, kept.where("n = 1").select("doc_id"), "doc_id").unionByName(docs.where("doc_id is null"))
+    again = kept.where("n > 1").select("doc_id")
+    if again.take(1):  # repeated rows
+        out = out.unionByName(semi_by_size(docs, again, "doc_id").dropDuplicates(["doc_id"]))
+    return out
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item or edited copy of one."""
+    return decontamination.clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    mixed = mixing.mix(docs.select(*COLUMNS)).where("copies > 0")
+    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with size, virtual_slot and shard."""
+    placed, _ = sharding.sharded_documents(docs.select(*COLUMNS))
+    return placed.select(*COLUMNS, "size", "virtual_slot", "shard")
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality classifier", quality_classifier),
+    ("near duplicates", near_duplicates),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("source mixing", source_mixing),
+    ("sharding", shards),
 ]
 
+#: The classifier is trained, so SQL can't express the rows.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over documents, each written to a folder that all executors share, and read again."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="retort-")
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        path = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}/{k}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

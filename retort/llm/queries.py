@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retort.llm import byte_cnn, decontamination, minhash_dedup, mixing, quality_rules, secret_scan, sharding, token_counts, url_reputation
+from retort.llm import byte_cnn, decontamination, html_text, minhash_dedup, mixing, quality_rules, secret_scan, sharding, token_counts, url_reputation
 from retort.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_html_extraction": op2_html_extraction,
     "op3_minhash_dedup": op3_minhash_dedup,
     "op4_url_filters": op4_url_filters,
     "op5_secret_scans": op5_secret_scans,
