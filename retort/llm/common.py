@@ -17,9 +17,6 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows to which a broadcast side is held; beyond it, the join shuffles.
 BROADCAST_ROWS = 2_000_000
 
-#: Rows of one Arrow batch for operators that read whole texts, which may be long.
-TEXT_BATCH = 256
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

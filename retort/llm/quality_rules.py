@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retort.llm.common import TEXT_BATCH, WordHashes
+from retort.llm.common import WordHashes
 from retort.llm.logistic import class_weights, labelled_sample, platt, sigmoid
 
 BITS = 18
@@ -120,34 +120,49 @@ def _featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = [np.unique(f, return_counts=True) for f in families]
             ids.append(doc_id)
             ys.append(y)
-            idx.append(np.concatenate([u for u, _ in found]).astype(np.int32))
-            val.append(np.concatenate([c / max(c.sum(), 1) for _, c in found]).astype(np.float32))
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), pa.array(idx, pa.list_(pa.int32())), pa.array(val, pa.list_(pa.float32()))], ["doc_id", "y", "idx", "val"])
+            idx.append(np.concatenate([u for u, _ in found]).astype(np.int32).tobytes())
+            val.append(np.concatenate([c / max(c.sum(), 1) for _, c in found]).astype(np.float32).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), pa.array(idx, pa.binary()), pa.array(val, pa.binary())], ["doc_id", "y", "idx", "val"])
 
 
-def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = 1500, steps: int = 60) -> Model:
+class Sparse:
+    """Rows of (index, value), multiplied a slice at a time so that the driver holds little besides them."""
+
+    def __init__(self, idx: list[bytes], val: list[bytes]):
+        self.n = len(idx)
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(x) // 4 for x in idx])
+        self.idx, self.val = np.frombuffer(b"".join(idx), np.int32), np.frombuffer(b"".join(val), np.float32)
+        self.slices = [slice(k, k + (1 << 19)) for k in range(0, len(self.idx), 1 << 19)]
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        return sum((np.bincount(self.row[s], w[self.idx[s]] * self.val[s], self.n) for s in self.slices), np.zeros(self.n))
+
+    def transposed_times(self, d: np.ndarray) -> np.ndarray:
+        return sum((np.bincount(self.idx[s], d[self.row[s]] * self.val[s], 1 << BITS) for s in self.slices), np.zeros(1 << BITS))
+
+
+def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = 1000, steps: int = 60) -> Model:
     """Fit on at most rows_per_class labelled rows a class (documented bound: 2 * rows_per_class rows reach the driver, as
     sparse counts, at most 4 * 2**18 each)."""
     sample, counts = labelled_sample(docs, labels, rows_per_class)
-    got = sample.mapInArrow(_featurize, "doc_id long, y int, idx array<int>, val array<float>").toPandas().sort_values("doc_id")
+    got = sample.mapInArrow(_featurize, "doc_id long, y int, idx binary, val binary").toPandas().sort_values("doc_id")
     y = got.y.to_numpy(np.int64)
     if len(set(y)) < 2:
         return Model(None)
-    row = np.repeat(np.arange(len(y)), [len(v) for v in got.idx])
-    idx, val = np.concatenate(got.idx.to_list()), np.concatenate(got.val.to_list()).astype(np.float64)
+    x = Sparse(got.idx.to_list(), got.val.to_list())
+    del got
     fit = np.arange(len(y)) % 5 != 4
     if len(set(y[fit])) < 2 or len(set(y[~fit])) < 2:
         fit[:] = True
     balance = np.where(y > 0, 0.5 / max((y[fit] > 0).mean(), 1e-9), 0.5 / max((y[fit] == 0).mean(), 1e-9)) * fit / fit.sum()
     w, bias, size = np.zeros(1 << BITS), 0.0, np.zeros(1 << BITS)
     for _ in range(steps):  # AdaGrad over all rows
-        z = bias + np.bincount(row, w[idx] * val, len(y))
-        d = (sigmoid(z) - y) * balance
-        g = np.bincount(idx, d[row] * val, 1 << BITS) + 1e-7 * w
+        d = (sigmoid(bias + x.times(w)) - y) * balance
+        g = x.transposed_times(d) + 1e-7 * w
         size += g * g
         w -= 2.0 * g / (np.sqrt(size) + 1e-6)
         bias -= 0.5 * d.sum()
-    z = bias + np.bincount(row, w[idx] * val, len(y))
+    z = bias + x.times(w)
     held = ~fit if not fit.all() else fit
     a, b = platt(z[held], y[held], class_weights(y[held], counts))
     return Model(w.astype(np.float32), bias, a, b)
