@@ -5,9 +5,9 @@ source's words and what is over goes to the others by weight. That is a water le
 weight), found with running sums over one row a source.
 
 A source first takes all its documents as often as whole times fit its target (0, 1 or 2). For the rest, each document has
-a fixed 36-bit hash, and those under a threshold are taken once more. The threshold comes from histograms: words by source
-and upper 12 bits of the hash, running sums over at most 4096 buckets a source, then the next 12 bits of the boundary
-bucket alone, then the last 12. No document is sorted. As the document at the boundary may be long, the search is nested:
+a fixed 36-bit hash, and those under a threshold are taken once more. The threshold comes from a histogram: words by source
+and upper 16 bits of the hash, with running sums over at most 65,536 buckets a source; only the hashes of the boundary
+bucket are then run through one by one. Documents are not sorted. As the document at the boundary may be long, the search is nested:
 it is repeated with the budget that is left over documents that still fit, so each source ends close to its target.
 What a document gets follows from its own hash, size and source and from the small table of thresholds alone, so the
 texts themselves are never shuffled, and a source with a third of all rows is one row a bucket and task in each shuffle.
@@ -21,11 +21,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from retort.llm.common import cut, n_words, small
+from retort.llm.common import cut, n_words
 
 WEIGHTS = (5, 2, 1)
-LEVELS = (24, 12, 0)
-PASSES = 4
+#: Lower bits of the 36-bit hash; the upper 16 make at most 65,536 buckets a source.
+FINE = 20
+PASSES = 3
+#: Sources up to which their table is broadcast; beyond, joins with it shuffle.
+MAX_SOURCES = 100_000
 
 
 def hash36(c: str = "doc_id") -> Column:
@@ -52,42 +55,34 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return ranked.select("rank", "source", "source_size", target.alias("target"))
 
 
-def _boundary(words: DataFrame, budgets: DataFrame, bits: int) -> DataFrame:
-    """budgets with prefix and budget moved past all buckets that fit whole: words has rank, h and size of rows that count."""
-    b = F.shiftright("h", bits)
-    sums = words.groupBy("rank", b.alias("b")).agg(F.sum("size").alias("words"))
-    run = sums.withColumn("upto", F.sum("words").over(Window.partitionBy("rank").orderBy("b")))
-    over = run.join(budgets, "rank").where(F.col("upto") > F.col("budget"))
-    first = over.groupBy("rank").agg(F.min(F.struct("b", (F.col("upto") - F.col("words")).alias("below"))).alias("first"))
-    return budgets.join(first, "rank", "left").select("rank", "limit", F.col("first.b").alias("prefix"), (F.col("budget") - F.coalesce("first.below", F.lit(0))).alias("budget"))
-
-
 def thresholds(ranked: DataFrame, sources: DataFrame, passes: int = PASSES) -> DataFrame:
     """sources with times (whole times a source is taken) and cuts, an array of (limit, below): a document of at most limit
     words with a hash under below is taken once more. ranked: rank, h, size of all documents, cut beforehand."""
+    few = sources.count() <= MAX_SOURCES
+    by_rank = F.broadcast if few else (lambda df: df)
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int")
     out = sources.withColumn("times", times).withColumn("cuts", F.array().cast("array<struct<limit:bigint,below:bigint>>"))
     out = out.withColumn("left", F.floor(F.col("target") - F.col("times") * F.col("source_size")).cast("long"))
     for _ in range(passes):
-        out = cut(out)
-        state = out.select("rank", F.col("left").alias("limit"), "cuts")
-        rest = ranked.where("size > 0").join(small(state), "rank").where((F.col("size") <= F.col("limit")) & ~extra(F.col("cuts"), F.col("size"), F.col("h"))).select("rank", "h", "size")
-        budgets = out.select("rank", F.col("left").alias("limit"), F.col("left").alias("budget"))
-        for bits in LEVELS:
-            if bits < LEVELS[0]:
-                budgets = cut(budgets)
-                inside = budgets.where("prefix is not null").select("rank", "prefix")
-                found = _boundary(rest.join(small(inside), "rank").where(F.shiftright("h", bits + 12) == F.col("prefix")).select("rank", "h", "size"), budgets.select("rank", "limit", "budget"), bits)
-                # a source whose documents all fit has no boundary, now or before
-                budgets = budgets.select("rank", F.col("prefix").alias("before")).join(found, "rank").select("rank", "limit", F.when(F.col("before").isNotNull(), F.coalesce("prefix", F.shiftleft(F.col("before") + 1, 12))).alias("prefix"), "budget")
-            else:
-                budgets = _boundary(rest, budgets, bits)
-        # without a boundary all that fit are taken; their words are counted as those under the threshold are
-        done = cut(budgets.select("rank", F.struct(F.col("limit").alias("limit"), F.coalesce("prefix", F.lit(1 << 36)).cast("bigint").alias("below")).alias("cut")))
-        taken = rest.join(small(done), "rank").where(F.col("h") < F.col("cut.below")).groupBy("rank").agg(F.sum("size").alias("taken"))
-        out = out.join(done, "rank", "left").join(taken, "rank", "left")
-        out = out.withColumn("cuts", F.concat("cuts", F.array("cut"))).withColumn("left", F.col("left") - F.coalesce("taken", F.lit(0))).drop("cut", "taken")
-    return cut(out.drop("left"))
+        # words by source and upper bits: the first bucket whose running sum is over the budget is the boundary
+        rest = ranked.join(by_rank(out.select("rank", "left", "cuts")), "rank").where((F.col("size") > 0) & (F.col("size") <= F.col("left")) & ~extra(F.col("cuts"), F.col("size"), F.col("h")))
+        sums = rest.groupBy("rank", F.shiftright("h", FINE).alias("b")).agg(F.sum("size").alias("words"), F.first("left").alias("left"))
+        upto = F.sum("words").over(Window.partitionBy("rank").orderBy("b"))
+        run = sums.withColumn("upto", upto)
+        over = F.col("upto") > F.col("left")
+        edge = F.min(F.when(over, F.struct("b", (F.col("upto") - F.col("words")).alias("before"))))
+        edges = run.groupBy("rank").agg(edge.alias("edge"), F.sum("words").alias("all"))
+        edges = cut(edges.select("rank", F.col("edge.b").alias("b"), F.coalesce("edge.before", "all").alias("words")))
+        # only the boundary bucket is looked at again, hash by hash
+        inside = rest.join(by_rank(edges.where("b is not null")), "rank").where(F.shiftright("h", FINE) == F.col("b"))
+        hashes = inside.groupBy("rank", "h").agg(F.sum("size").alias("n"), F.first("left").alias("left"), F.first("words").alias("words"))
+        run = hashes.withColumn("upto", F.col("words") + F.sum("n").over(Window.partitionBy("rank").orderBy("h")))
+        last = run.where(F.col("upto") > F.col("left")).groupBy("rank").agg(F.min(F.struct("h", (F.col("upto") - F.col("n")).alias("before"))).alias("last"))
+        done = edges.join(last, "rank", "left").select("rank", F.coalesce("last.h", F.lit(1 << 36)).alias("below"), F.coalesce("last.before", "words").alias("words"))
+        next_cut = F.struct(F.col("left").alias("limit"), F.coalesce("below", F.lit(0)).cast("bigint").alias("below"))
+        out = out.join(done, "rank", "left").withColumn("cuts", F.concat("cuts", F.array(next_cut))).withColumn("left", F.col("left") - F.coalesce("words", F.lit(0)))
+        out = cut(out.drop("below", "words"))
+    return out.drop("left")
 
 
 def extra(cuts: Column, size: Column, h: Column) -> Column:
@@ -102,9 +97,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5,
     narrow = cut(sized.select("source", "size", hash36().alias("h")))
     sources = cut(targets(narrow, weights, share))
     ranks = sources.select("rank", F.col("source").alias("its_source"))
-    ranked = cut(narrow.join(small(ranks), F.col("source").eqNullSafe(F.col("its_source"))).select("rank", "h", "size"))
+    few = sources.count() <= MAX_SOURCES
+    ranked = cut(narrow.join(F.broadcast(ranks) if few else ranks, F.col("source").eqNullSafe(F.col("its_source"))).select("rank", "h", "size"))
     found = thresholds(ranked, sources, passes).select(F.col("source").alias("its_source"), "source_size", "target", "times", "cuts")
-    out = sized.join(small(found), F.col("source").eqNullSafe(F.col("its_source")))
+    out = sized.join(F.broadcast(found) if few else found, F.col("source").eqNullSafe(F.col("its_source")))
     copies = F.col("times") + (extra(F.col("cuts"), F.col("size"), hash36()) & (F.col("size") > 0)).cast("int")
     out = out.withColumn("copies", copies)
     return out.select(*plain.columns, "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
