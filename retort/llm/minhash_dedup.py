@@ -12,9 +12,9 @@ Steps, all keyed by hashes or ids:
    is the likely original of a group of edited copies. Only (pivot, member) pairs are made: linear in the bucket.
 3. Pairs whose signatures agree on under half of the values are dropped (at 0.75, chance 1e-8); the rest is confirmed on
    the full sets, and links are merged into components.
-4. What the pivots leave is done exactly: in buckets that still hold several components, all pairs of members of different
-   components, each at one of its common buckets only, are confirmed on full sets, and components are merged again.
-   Pairs inside one component can't change the result and are never made.
+4. What the pivots leave is done exactly: buckets that still hold several components are put together by pivot, and in
+   these families all members of different components are compared on their full sets, in blocks of bounded size whose
+   task gives links only; components are merged again. Pairs inside one component can't change the result and are left out.
 
 Defined cases: null text, empty text or text without words has an empty set, n_shingles 0, is linked with nothing and
 kept; under 5 words the whole sequence is the one shingle; rows of one doc_id and several texts are judged by their own
@@ -102,18 +102,58 @@ def _likely(a: str, b: str) -> Column:
     return (F.col(f"{a}.n") * 4 >= F.col(f"{b}.n") * 3) & (F.col(f"{b}.n") * 4 >= F.col(f"{a}.n") * 3) & (agree * 2 >= 2 * FUNCTIONS)
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The (u, v) of pairs, with u < v, whose full sets are linked. Sets are made again from the texts of documents in
-    pairs only. The sets of one document that is in very many pairs are joined in a join that can be split when skewed."""
-    nodes = cut(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct())
-    sets = semi_by_size(docs, nodes, "doc_id").mapInArrow(_sets, "node long, print binary, shingles array<long>")
-    sets = cut(sets.groupBy("node", "print").agg(F.first("shingles").alias("shingles")))  # repeated rows count once
+def full_sets(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, print, shingles) of the nodes, made again from their texts alone."""
+    ids = cut(nodes.select(F.col("node").alias("doc_id")).distinct())
+    sets = semi_by_size(docs, ids, "doc_id").mapInArrow(_sets, "node long, print binary, shingles array<long>")
+    return cut(sets.groupBy("node", "print").agg(F.first("shingles").alias("shingles")))  # repeated rows count once
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The (u, v) of pairs, with u < v, whose full sets are linked."""
     both = pairs.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
     both = both.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
     common = F.size(F.array_intersect("a", "b"))
     return both.where(100 * common >= 75 * (F.size("a") + F.size("b") - common)).select("u", "v").distinct()
 
 
+def cross_links(sets: DataFrame, left: DataFrame, block: int = 512) -> DataFrame:
+    """Links (u, v) between components, one at least for each two components of a family that are linked. left: family,
+    node, component. All pairs of a family's members in different components are compared on full sets, in blocks of members
+    that hash together: a task holds two blocks, and no pair leaves it but a link."""
+    blocks = left.groupBy("family").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    rows = left.join(blocks, "family").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("family", "node", "component", "i", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"))
+    met = rows.join(sets.select("node", "shingles"), "node")
+    return met.groupBy("family", "low", "high").applyInArrow(_linked_blocks, "u long, v long").distinct()
+
+
+def _linked_blocks(rows: pa.Table) -> pa.Table:
+    node, component, i = (rows.column(c).to_numpy() for c in ("node", "component", "i"))
+    found: dict[tuple[int, int], tuple[int, int]] = {}
+    if len(np.unique(component)) > 1:
+        lists = rows.column("shingles").combine_chunks()
+        size = lists.value_lengths().to_numpy().astype(np.int64)
+        _, column, df = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        row, met = np.repeat(np.arange(len(node)), size), df[column] > 1
+        row, column = row[met], np.unique(column[met], return_inverse=True)[1]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        a, b = (np.flatnonzero(i == rows.column(c)[0].as_py()) for c in ("low", "high"))
+        common = np.zeros((len(a), len(b)), np.float32)
+        for at in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+            k = slice(*np.searchsorted(column, (at, at + 4096)))
+            has = np.zeros((len(node), 4096), np.float32)
+            has[row[k], column[k] - at] = 1
+            common += has[a] @ has[b].T
+        linked = (100 * common >= 75 * (size[a][:, None] + size[b][None, :] - common)) & (component[a][:, None] != component[b][None, :])
+        for x, y in np.argwhere(linked):
+            u, v = sorted((a[x], b[y]), key=lambda r: node[r])
+            found.setdefault(tuple(sorted((int(component[u]), int(component[v])))), (int(node[u]), int(node[v])))
+    return pa.table({"u": pa.array([u for u, _ in found.values()], pa.int64()), "v": pa.array([v for _, v in found.values()], pa.int64())})
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for nodes in links (u, v). Alternates two linear steps that hang each
     node's larger and then smaller neighbours under the smallest one, until nothing changes."""
@@ -152,20 +192,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     near = met.join(pivots, "key").where("node <> pivot").select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct()
     some = classes.select("node", "n", "sig")
     likely = cut(_both(near, some).where(_likely("a", "b")).select("u", "v"))
-    links = cut(confirmed(likely, docs))
+    pair_nodes = likely.select(F.explode(F.array("u", "v")).alias("node"))
+    links = cut(confirmed(likely, full_sets(pair_nodes, docs)))
     found = cut(components(links))
 
-    # buckets of three and more that the pivots have not joined into one component
-    placed = met.where("company > 2").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    # families, buckets with one pivot, that the pivots have not joined into one component
+    placed = met.where("company > 2").join(found, "node", "left").join(pivots, "key").select("key", F.col("pivot").alias("family"), "node", F.coalesce("component", "node").alias("component"))
     split = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    left = cut(placed.join(split, "key").join(classes, "node").select("key", "node", "component", "n", "sig", "bands"))
-    if left.take(1):
-        a, b = left.alias("a"), left.alias("b")
-        once = F.array_min(F.array_intersect("a.bands", "b.bands")) == F.col("a.key")
-        other = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component")) & _likely("a", "b") & once)
-        rest = cut(other.select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct().join(likely, ["u", "v"], "left_anti"))
-        if rest.take(1):
-            found = cut(components(links.unionByName(confirmed(rest, docs))))
+    left = cut(placed.join(split, "key").select("family", "node", "component").distinct())
+    more = cut(cross_links(full_sets(left, docs), left))
+    if more.take(1):
+        found = cut(components(links.unionByName(more)))
 
     named = classes.join(found, "node", "left").select("print", F.coalesce("component", "node").alias("component"))
     out = sketches.select("doc_id", "n_shingles", "print").join(named, "print", "left")
