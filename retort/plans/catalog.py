@@ -1,11 +1,522 @@
-"""Every query of the library with its DuckDB SQL: name -> callable, name -> SQL."""
+"""Every query of the library with its DuckDB SQL: name -> callable, name -> SQL. Queries run over whole tables."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from retort.functions import bits, graphs, metrics
+from retort.functions import molecule as M
+from retort.functions.elements import MASSES
+from retort.operators import columns, conformers, datasets, filters, molecules, similarity
+from retort.plans import library
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 FLAGSHIP = "property_rules"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+# columns
+
+PART = "p_partkey, p_name, p_brand, p_type, p_size, p_retailprice"
+
+
+@query("props_add", f"SELECT {PART}, 'set_a' AS tag FROM part")
+def _(spark, d):
+    return columns.add(table(spark, d, "part"), "tag", "set_a")
+
+
+@query("props_rename", "SELECT p_partkey AS id, p_name, p_brand, p_type, p_size, p_retailprice FROM part")
+def _(spark, d):
+    return columns.rename(table(spark, d, "part"), "p_partkey", "id")
+
+
+@query("props_drop", "SELECT p_partkey, p_brand, p_type, p_size FROM part")
+def _(spark, d):
+    return columns.drop(table(spark, d, "part"), "p_name", "p_retailprice")
+
+
+@query("props_keep", "SELECT p_retailprice, p_partkey FROM part")
+def _(spark, d):
+    return columns.keep(table(spark, d, "part"), "p_retailprice", "p_partkey")
+
+
+@query("props_list", "SELECT * FROM (VALUES (0, 'p_partkey'), (1, 'p_name'), (2, 'p_brand'), (3, 'p_type'), (4, 'p_size'), (5, 'p_retailprice')) AS t(position, \"column\")")
+def _(spark, d):
+    return columns.listed(table(spark, d, "part"))
+
+
+# filters
+
+@query("property_rules", f"SELECT {PART} FROM part WHERE p_size >= 10 AND p_size <= 40 AND p_retailprice > 905 AND p_retailprice <= 1800")
+def _(spark, d):
+    return filters.by_rules(table(spark, d, "part"), "p_size >= 10", "p_size <= 40", "p_retailprice > 905", "p_retailprice <= 1800")
+
+
+#: Part columns that stand in for properties where the numbers only have to be compared.
+STAND_IN = {"MolWt": "p_retailprice / 2", "MolLogP": "p_size / 8.0", "NumHDonors": "p_size % 9", "NumHAcceptors": "p_size % 15", "TPSA": "p_retailprice / 8", "NumRotatableBonds": "p_size % 13", "NumAtoms": "p_size + 10", "MolMR": "p_retailprice / 10", "RingCount": "p_size % 10"}
+
+
+def _violations_sql(rules: str) -> str:
+    one = []
+    for name, (low, high) in filters.RULE_SETS[rules].items():
+        v = f"({STAND_IN[name]})"
+        out = [f"{v} < {low}"] * (low is not None) + [f"{v} > {high}"] * (high is not None)
+        one.append(f"CASE WHEN {' OR '.join(out)} THEN 1 ELSE 0 END")
+    return " + ".join(one)
+
+
+def _failed_sql(rules: str) -> str:
+    one = []
+    for name, (low, high) in filters.RULE_SETS[rules].items():
+        v = f"({STAND_IN[name]})"
+        out = [f"{v} < {low}"] * (low is not None) + [f"{v} > {high}"] * (high is not None)
+        one.append(f"CASE WHEN {' OR '.join(out)} THEN '{name}' END")
+    return f"'Failed: ' || nullif(concat_ws(', ', {', '.join(one)}), '')"
+
+
+def _druglike(rules: str, spark, d):
+    place = {k: F.expr(v) for k, v in STAND_IN.items()}
+    out = table(spark, d, "part").select("p_partkey", filters.violations(rules, place).alias("n_violations"), filters.failed_rules(rules, place).alias("reason"), "p_size", "p_retailprice")
+    return out.select("p_partkey", "n_violations", "reason")
+
+
+for _rules in filters.RULE_SETS:
+    query(f"druglike_{_rules}", f"SELECT p_partkey, CAST({_violations_sql(_rules)} AS INTEGER) AS n_violations, {_failed_sql(_rules)} AS reason FROM part")(partial(_druglike, _rules))
+
+TOKENS = r"\[[^\]]*\]|Br|Cl|[BCNOPSFIbcnops]"
+DIGITS = r"regexp_replace(smiles, '\[[^\]]*\]', 'X', 'g')"
+LIB = f"WITH {library.values()}"
+
+
+@query("element_filter", f"{LIB} SELECT row_idx, name FROM mols WHERE n_s = 0 AND n_na = 0 AND n_br = 0 AND n_n > 0 AND n_cl = 0")
+def _(spark, d):
+    mols = M.with_molecules(library.bridged(spark, d))
+    return mols.where(filters.by_elements(M.elements(), ["C", "H", "N", "O"], ["N"], ["Cl"])).select("row_idx", "name")
+
+
+@query("heavy_atoms", f"{LIB} SELECT row_idx, CAST(len(regexp_extract_all(smiles, '{TOKENS}')) AS INTEGER) AS heavy_atoms FROM mols")
+def _(spark, d):
+    return M.with_molecules(library.bridged(spark, d)).select("row_idx", M.DESCRIPTORS["HeavyAtomCount"][1]().alias("heavy_atoms"))
+
+
+@query("ring_count", f"{LIB} SELECT row_idx, CAST(len(regexp_extract_all({DIGITS}, '[0-9]')) // 2 AS INTEGER) AS ring_count FROM mols")
+def _(spark, d):
+    return M.with_molecules(library.bridged(spark, d)).select("row_idx", M.DESCRIPTORS["RingCount"][1]().alias("ring_count"))
+
+
+@query("formula", f"{LIB} SELECT row_idx, formula FROM mols")
+def _(spark, d):
+    return M.with_molecules(library.bridged(spark, d)).select("row_idx", M.formula().alias("formula"))
+
+
+_MASS = " + ".join(f"n_{e.lower()} * CAST({MASSES[e][1]} AS DOUBLE)" for e in library.ELEMENTS)
+_EXACT = " + ".join(f"n_{e.lower()} * CAST({MASSES[e][2]} AS DOUBLE)" for e in library.ELEMENTS)
+
+
+@query("mol_weight", f"{LIB} SELECT row_idx, round({_MASS}, 3) AS mol_wt, round({_EXACT}, 4) AS exact_mol_wt FROM mols")
+def _(spark, d):
+    out = M.descriptors(M.with_molecules(library.bridged(spark, d)), ("MolWt", "ExactMolWt"), None)
+    return out.select("row_idx", F.round("MolWt", 3).alias("mol_wt"), F.round("ExactMolWt", 4).alias("exact_mol_wt"))
+
+
+@query("element_counts", f"{LIB} SELECT row_idx, {', '.join(f'n_{e.lower()}' for e in library.ELEMENTS)} FROM mols")
+def _(spark, d):
+    counted = M.with_molecules(library.bridged(spark, d)).select("row_idx", M.element_counts().alias("n"))
+    return counted.select("row_idx", *(F.coalesce(F.try_element_at("n", F.lit(e)), F.lit(0)).alias(f"n_{e.lower()}") for e in library.ELEMENTS))
+
+
+@query("fragments_and_charge", f"{LIB} SELECT row_idx, CAST(len(smiles) - len(replace(smiles, '.', '')) + 1 AS INTEGER) AS n_fragments, 0 AS charge, CAST(len(regexp_extract_all(smiles, '[+]')) + len(regexp_extract_all(smiles, '-\\]')) AS INTEGER) AS n_charged FROM mols")
+def _(spark, d):
+    mols = M.with_molecules(library.bridged(spark, d))
+    return mols.select("row_idx", M.DESCRIPTORS["NumFragments"][1]().alias("n_fragments"), M.total(M.m("charge")).alias("charge"), M.count(M.m("charge"), lambda q: q != 0).alias("n_charged"))
+
+
+@query("complexity_filter", f"{LIB} SELECT row_idx, name FROM mols WHERE len(regexp_extract_all(smiles, '{TOKENS}')) BETWEEN 5 AND 20 AND len(regexp_extract_all({DIGITS}, '[0-9]')) // 2 BETWEEN 1 AND 3")
+def _(spark, d):
+    out = M.descriptors(M.with_molecules(library.bridged(spark, d)), ("HeavyAtomCount", "RingCount", "NumRotatableBonds"))
+    return filters.by_complexity(out, (5, 20), (1, 3), (0, 20)).select("row_idx", "name")
+
+
+def _mixed(spark, d):
+    """Every part with one of the valid or invalid strings."""
+    texts = [(k, s) for k, s in enumerate([m[0] for m in library.MOLECULES] + library.INVALID)]
+    strings = spark.createDataFrame(texts, "k int, smiles string")
+    part = table(spark, d, "part").select(F.col("p_partkey").alias("row_idx"), F.pmod("p_partkey", F.lit(len(texts))).cast("int").alias("k"))
+    return part.join(F.broadcast(strings), "k")
+
+
+_N, _V = len(library.MOLECULES) + len(library.INVALID), len(library.MOLECULES)
+
+
+@query("validate", f"SELECT p_partkey AS row_idx, p_partkey % {_N} < {_V} AS is_valid, CASE WHEN p_partkey % {_N} < {_V} THEN '' ELSE 'Failed to parse SMILES' END AS errors FROM part")
+def _(spark, d):
+    return molecules.validate(_mixed(spark, d)).select("row_idx", "is_valid", F.array_join("errors", ";").alias("errors"))
+
+
+@query("validate_summary", f"SELECT p_partkey % {_N} < {_V} AS is_valid, count(*) AS \"count\", round(count(*) / sum(count(*)) OVER () * 100, 2) AS percentage FROM part GROUP BY 1")
+def _(spark, d):
+    return datasets.validity(molecules.validate(_mixed(spark, d)))
+
+
+@query("canonical_key_partition", f"SELECT CAST(count(*) AS BIGINT) AS n_keys, CAST(0 AS BIGINT) AS mixed, CAST(0 AS BIGINT) AS apart FROM (VALUES {', '.join(f'({k})' for k in range(_V))}) AS t(k)")
+def _(spark, d):
+    """Keys of all spellings: as many as molecules, none for two molecules, and no molecule with two."""
+    rows = [(k, m[0]) for k, m in enumerate(library.MOLECULES)] + library.SPELLINGS
+    keys = graphs.key(M.with_molecules(spark.createDataFrame(rows, "mol_id int, smiles string"), canonical="canonical")).select("mol_id", "mol_key", "canonical").distinct()
+    by_key, by_id = keys.groupBy("mol_key").agg(F.countDistinct("mol_id").alias("n")), keys.groupBy("mol_id").agg(F.countDistinct("mol_key", "canonical").alias("n"))
+    a = by_key.agg(F.count("*").alias("n_keys"), F.count(F.when(F.col("n") > 1, 1)).alias("mixed"))
+    return a.join(by_id.agg(F.count(F.when(F.col("n") > 1, 1)).alias("apart")))
+
+
+@query("descriptors_common")
+def _(spark, d):
+    return M.descriptors(M.with_molecules(library.bridged(spark, d))).drop("mol")
+
+
+@query("molecule_info")
+def _(spark, d):
+    return molecules.info(M.with_molecules(library.bridged(spark, d))).drop("mol")
+
+
+@query("rings_info")
+def _(spark, d):
+    return molecules.ring_info(M.with_molecules(library.bridged(spark, d))).drop("mol")
+
+
+@query("functional_groups")
+def _(spark, d):
+    mols = M.with_molecules(library.bridged(spark, d))
+    return mols.select("row_idx", *(c.alias(k) for k, c in molecules.functional_groups().items()))
+
+
+@query("substructure_phenyl", f"{LIB} SELECT row_idx, name FROM mols WHERE name IN ('aspirin', 'benzene', 'ibuprofen', 'cocaine', 'estradiol', 'paracetamol', 'toluene', 'phenol', 'naphthalene', 'indole', 'diazepam', 'sulfamethoxazole', 'lidocaine', 'warfarin', 'nitrobenzene', 'bromobenzene', 'dopamine', 'serotonin', 'morphine')")
+def _(spark, d):
+    return molecules.substructure(M.with_molecules(library.bridged(spark, d)), "c1ccccc1").select("row_idx", "name")
+
+
+@query("substructure_acid_excluded", f"{LIB} SELECT row_idx, name FROM mols WHERE name NOT IN ('aspirin', 'ibuprofen', 'cocaine', 'acetic acid', 'glycine', 'alanine', 'sodium acetate')")
+def _(spark, d):
+    return molecules.substructure(M.with_molecules(library.bridged(spark, d)), "C(=O)O", exclude=True).select("row_idx", "name")
+
+
+@query("stereo_perceive")
+def _(spark, d):
+    return molecules.stereo_counts(M.with_molecules(library.bridged(spark, d))).drop("mol")
+
+
+@query("scaffold_analyze")
+def _(spark, d):
+    return datasets.frequencies(graphs.scaffold_keys(M.with_molecules(library.bridged(spark, d))), "scaffold_key", top=None)
+
+
+@query("fingerprint_circular")
+def _(spark, d):
+    fp = graphs.circular(M.with_molecules(library.bridged(spark, d)))
+    return fp.select("row_idx", bits.to_hex(F.col("words")).alias("hex"))
+
+
+@query("fingerprint_paths")
+def _(spark, d):
+    fp = graphs.paths(M.with_molecules(library.bridged(spark, d)), 4)
+    return fp.select("row_idx", bits.to_hex(F.col("words")).alias("hex"))
+
+
+@query("mmp_fragment")
+def _(spark, d):
+    return molecules.cuts(library.bridged(spark, d))
+
+
+@query("mmp_analyze")
+def _(spark, d):
+    pairs = molecules.matched_pairs(molecules.cuts(library.frame(spark).withColumnRenamed("mol_id", "row_idx")), 3)
+    return datasets.frequencies(pairs, "transformation", "id_1", None, True)
+
+
+@query("neutralize", f"{LIB} SELECT row_idx, CASE WHEN name = 'sodium acetate' THEN 1 ELSE 0 END AS charge_left FROM mols")
+def _(spark, d):
+    return M.with_molecules(library.bridged(spark, d)).select("row_idx", molecules.neutralized_charge().alias("charge_left"))
+
+
+@query("largest_fragment", f"{LIB} SELECT row_idx, CAST(len(regexp_extract_all(split_part(smiles, '.', 1), '{TOKENS}')) AS INTEGER) AS atoms FROM mols")
+def _(spark, d):
+    return graphs.largest_fragment(M.with_molecules(library.bridged(spark, d))).select("row_idx", F.size(F.filter("fragment", lambda k: k)).alias("atoms"))
+
+
+# whole datasets
+
+
+def _docs(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("row_idx"), "text", "lang", "source")
+
+
+@query("dedupe_first", "SELECT min(doc_id) AS row_idx FROM documents WHERE text IS NOT NULL GROUP BY text UNION ALL SELECT doc_id FROM documents WHERE text IS NULL")
+def _(spark, d):
+    return datasets.deduplicate(_docs(spark, d), "text").select("row_idx")
+
+
+@query("dedupe_last", "SELECT max(doc_id) AS row_idx FROM documents WHERE text IS NOT NULL GROUP BY text UNION ALL SELECT doc_id FROM documents WHERE text IS NULL")
+def _(spark, d):
+    return datasets.deduplicate(_docs(spark, d), "text", keep="last").select("row_idx")
+
+
+@query("dedupe_null_key", "SELECT row_idx, user_id FROM (SELECT event_id AS row_idx, user_id, nullif(user_id % 7, 0) AS k, row_number() OVER (PARTITION BY nullif(user_id % 7, 0) ORDER BY event_id) AS r FROM events) WHERE k IS NULL OR r = 1")
+def _(spark, d):
+    rows = table(spark, d, "events").select(F.col("event_id").alias("row_idx"), "user_id")
+    return datasets.deduplicate(rows, F.nullif(F.col("user_id") % 7, F.lit(0)))
+
+
+@query("merge_source", "SELECT c_custkey AS key, c_nationkey AS nation, c_acctbal AS balance, c_mktsegment AS segment, 'customer' AS source_file FROM customer UNION ALL SELECT s_suppkey, s_nationkey, s_acctbal, NULL, 'supplier' FROM supplier")
+def _(spark, d):
+    return datasets.merge(_sides(spark, d), source_column="source_file").drop("row_idx")
+
+
+def _sides(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"), F.col("c_custkey").alias("row_idx"))
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("balance"), F.col("s_suppkey").alias("row_idx"))
+    return {"customer": c, "supplier": s}
+
+
+@query("merge_dedupe", "SELECT key, balance, source_file FROM (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY part, key) AS r FROM (SELECT c_custkey AS key, c_nationkey AS nation, c_acctbal AS balance, 'customer' AS source_file, 0 AS part FROM customer UNION ALL SELECT s_suppkey, s_nationkey, s_acctbal, 'supplier', 1 FROM supplier)) WHERE r = 1")
+def _(spark, d):
+    return datasets.merge(_sides(spark, d), "nation", "source_file").select("key", "balance", "source_file")
+
+
+def _orders(spark, d):
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("row_idx"), "o_totalprice", "o_orderstatus")
+
+
+_DRAW = "md5(CAST(o_orderkey AS VARCHAR) || ':42')"
+
+
+@query("sample_n", f"SELECT o_orderkey AS row_idx, o_totalprice, o_orderstatus FROM orders ORDER BY {_DRAW}, o_orderkey LIMIT 100")
+def _(spark, d):
+    return datasets.sample(_orders(spark, d), n=100)
+
+
+@query("sample_fraction", f"SELECT o_orderkey AS row_idx, o_totalprice, o_orderstatus FROM (SELECT *, row_number() OVER (ORDER BY {_DRAW}, o_orderkey) AS r, count(*) OVER () AS n FROM orders) WHERE r <= greatest(1, CAST(floor(n * 0.05) AS BIGINT))")
+def _(spark, d):
+    return datasets.sample(_orders(spark, d), fraction=0.05)
+
+
+@query("sample_stratified", """
+WITH s AS (SELECT quality, count(*) AS v FROM labels GROUP BY quality), t AS (SELECT quality, v, sum(v) OVER () AS n FROM s),
+q AS (SELECT quality, v, CAST(floor(least(60, n) * v / n::DOUBLE) AS BIGINT) AS k, least(60, n) AS want FROM t),
+x AS (SELECT quality, k + CASE WHEN quality = (SELECT min(quality) FROM q) THEN want - (SELECT sum(k) FROM q) ELSE 0 END AS k FROM q),
+r AS (SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY md5(CAST(doc_id AS VARCHAR) || ':42'), doc_id) AS place FROM labels)
+SELECT doc_id AS row_idx, r.quality FROM r JOIN x ON r.quality = x.quality WHERE place <= k""")
+def _(spark, d):
+    return datasets.sample_stratified(table(spark, d, "labels").select(F.col("doc_id").alias("row_idx"), "quality"), 60, "quality")
+
+
+@query("split_chunks", "SELECT o_orderkey AS row_idx, CAST(ntile(7) OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS chunk FROM orders")
+def _(spark, d):
+    return datasets.split(_orders(spark, d), chunks=7).select("row_idx", "chunk")
+
+
+@query("split_size", "SELECT o_orderkey AS row_idx, CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS BIGINT) AS chunk FROM orders")
+def _(spark, d):
+    return datasets.split(_orders(spark, d), size=1000).select("row_idx", "chunk")
+
+
+def _stats_sql(name: str, columns_: dict[str, str], valid: str) -> str:
+    aggs = []
+    for c, e in columns_.items():
+        v = f"CASE WHEN {valid} THEN CAST({e} AS DOUBLE) END"
+        aggs += [f"round(min({v}), 2) AS {c}_min", f"round(max({v}), 2) AS {c}_max", f"round(avg({v}), 2) AS {c}_mean", f"round(median({v}), 2) AS {c}_median", f"round(CASE WHEN count({v}) = 1 THEN 0 ELSE stddev_samp({v}) END, 2) AS {c}_stdev"]
+    return f"SELECT count(*) AS total_molecules, count(CASE WHEN {valid} THEN 1 END) AS valid_molecules, count(CASE WHEN NOT ({valid}) THEN 1 END) AS invalid_molecules, round(count(CASE WHEN {valid} THEN 1 END) / CAST(count(*) AS DOUBLE), 4) AS validity_rate, {', '.join(aggs)} FROM {name}"
+
+
+@query("stats_global", _stats_sql("part", {"p_retailprice": "p_retailprice", "p_size": "p_size"}, "p_size > 5"))
+def _(spark, d):
+    return datasets.statistics(table(spark, d, "part"), ["p_retailprice", "p_size"], F.col("p_size") > 5)
+
+
+@query("stats_one_row", _stats_sql("region", {"r_regionkey": "r_regionkey"}, "r_regionkey = 2"))
+def _(spark, d):
+    return datasets.statistics(table(spark, d, "region"), ["r_regionkey"], F.col("r_regionkey") == 2)
+
+
+@query("freq_top_n", "SELECT p_brand, count(*) AS \"count\", round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) * 100, 2) AS percentage FROM part GROUP BY p_brand ORDER BY count(*) DESC, min(p_partkey) LIMIT 20")
+def _(spark, d):
+    return datasets.frequencies(table(spark, d, "part"), "p_brand", "p_partkey", 20)
+
+
+@query("freq_all_sources", "SELECT source, count(*) AS \"count\", round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) * 100, 2) AS percentage FROM documents WHERE source IS NOT NULL GROUP BY source")
+def _(spark, d):
+    return datasets.frequencies(table(spark, d, "documents"), "source", "doc_id", None)
+
+
+@query("freq_skip_empty", "SELECT k, count(*) AS \"count\", round(count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) * 100, 2) AS percentage FROM (SELECT replace(event_type, 'view', '') AS k FROM events) WHERE k <> '' GROUP BY k")
+def _(spark, d):
+    rows = table(spark, d, "events").select(F.expr("replace(event_type, 'view', '')").alias("k"), "event_id")
+    return datasets.frequencies(rows, "k", "event_id", None, True)
+
+
+@query("mmp_pairs", "SELECT a.l_orderkey AS core, a.l_partkey AS id_1, b.l_partkey AS id_2, CAST(a.l_suppkey AS VARCHAR) || '>>' || CAST(b.l_suppkey AS VARCHAR) AS transformation FROM (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey FROM lineitem WHERE l_quantity >= 10) a JOIN (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey FROM lineitem WHERE l_quantity >= 10) b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey AND a.l_suppkey <> b.l_suppkey")
+def _(spark, d):
+    """Orders stand in for cores, parts for molecules and suppliers for what differs."""
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("core"), F.col("l_partkey").alias("id"), F.col("l_suppkey").cast("string").alias("rgroup"), F.col("l_quantity").alias("core_heavy"))
+    rows = rows.where("core_heavy >= 10").select("core", "id", "rgroup", F.lit(10).alias("core_heavy")).distinct()
+    return molecules.matched_pairs(rows, 10).select("core", "id_1", "id_2", "transformation")
+
+
+@query("enumerate_product", "SELECT r_name || '.' || n_name AS product FROM region CROSS JOIN nation ORDER BY 1 LIMIT 100")
+def _(spark, d):
+    a, b = table(spark, d, "region").select("r_name"), table(spark, d, "nation").select("n_name")
+    return molecules.enumerate_products([a, b], F.concat("r_name", F.lit("."), "n_name"), 100)
+
+
+# similarity: signs of embeddings are fingerprints of 64 bits
+
+N_BITS = 64
+
+
+def _fps(spark, d):
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x > 0).alias("flags"))
+    return rows.select("id", bits.words_from_flags(F.col("flags"), N_BITS).alias("words"))
+
+
+def _on(spark, d):
+    return _fps(spark, d).select("id", bits.on_bits(F.col("words")).alias("on"))
+
+
+_FP = "fp AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS f FROM embeddings)"
+_POP = "pop AS (SELECT id, f, CAST(list_sum(f) AS DOUBLE) AS pop FROM fp)"
+_COMMON = "CAST(list_sum(list_transform(list_zip(x.f, y.f), lambda z: z[1] * z[2])) AS DOUBLE)"
+_PAIRS = f"pairs AS (SELECT x.id AS i, y.id AS j, x.pop AS a, y.pop AS b, {_COMMON} AS c, CAST({N_BITS} AS DOUBLE) AS n FROM pop x JOIN pop y ON x.id < y.id)"
+_FIRST = f"one AS (SELECT y.id, x.pop AS b, y.pop AS a, {_COMMON} AS c, CAST({N_BITS} AS DOUBLE) AS n FROM pop x, pop y WHERE x.id = (SELECT min(id) FROM pop))"
+
+
+def _search(metric: str, spark, d):
+    fps = _fps(spark, d)
+    first = fps.orderBy("id").first()
+    return similarity.search(fps, list(first["words"]), metric, N_BITS, 0.3).select("id", "similarity")
+
+
+for _m in metrics.FORMULAS:
+    query(f"sim_search_{_m}", f"WITH {_FP}, {_POP}, {_FIRST} SELECT id, round(s, 4) AS similarity FROM (SELECT id, {metrics.sql(_m)} AS s FROM one) WHERE s >= 0.3")(partial(_search, _m))
+
+
+@query("sim_search_top", f"WITH {_FP}, {_POP}, {_FIRST} SELECT id, round(s, 4) AS similarity FROM (SELECT id, {metrics.sql('tanimoto')} AS s FROM one) ORDER BY s DESC, id LIMIT 10")
+def _(spark, d):
+    fps = _fps(spark, d)
+    return similarity.search(fps, list(fps.orderBy("id").first()["words"]), "tanimoto", N_BITS, 0.0, top=10).select("id", "similarity")
+
+
+@query("sim_matrix", f"WITH {_FP}, {_POP}, {_PAIRS}, h AS (SELECT i, j, {metrics.sql('tanimoto')} AS similarity FROM pairs) SELECT * FROM h UNION ALL SELECT j, i, similarity FROM h UNION ALL SELECT id, id, CAST(1 AS DOUBLE) FROM pop")
+def _(spark, d):
+    return similarity.matrix(_fps(spark, d), "tanimoto", N_BITS)
+
+
+@query("diversity_analyze", f"WITH {_FP}, {_POP}, {_PAIRS}, h AS (SELECT {metrics.sql('tanimoto')} AS s FROM pairs) SELECT count(*) AS n_pairs, round(avg(s), 4) AS mean_similarity, round(median(s), 4) AS median_similarity, round(min(s), 4) AS min_similarity, round(max(s), 4) AS max_similarity, round(stddev_samp(s), 4) AS stdev_similarity, round(1 - avg(s), 4) AS diversity FROM h")
+def _(spark, d):
+    return similarity.diversity(_fps(spark, d), "tanimoto", N_BITS)
+
+
+@query("neighbors_threshold", f"WITH {_FP}, {_POP}, {_PAIRS} SELECT i, j, s AS similarity FROM (SELECT i, j, {metrics.sql('tanimoto')} AS s FROM pairs) WHERE s >= 0.6")
+def _(spark, d):
+    return similarity.neighbours(_on(spark, d), 0.6)
+
+
+@query("cluster_butina")
+def _(spark, d):
+    fps = _fps(spark, d)
+    return similarity.butina(fps, similarity.upper_pairs(fps, "tanimoto", N_BITS).where("similarity >= 0.6"))
+
+
+@query("diversity_maxmin")
+def _(spark, d):
+    fps = _fps(spark, d)
+    return similarity.maxmin(fps, 12, fps.agg(F.min("id")).first()[0], N_BITS)
+
+
+@query("diversity_leader")
+def _(spark, d):
+    return similarity.leader(_fps(spark, d), 0.5, N_BITS)
+
+
+@query("fp_encode", "WITH fp AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN '1' ELSE '0' END) AS f FROM embeddings) SELECT id, array_to_string(f, '') AS bitstring, CAST(len(list_filter(f, lambda x: x = '1')) AS INTEGER) AS n_on FROM fp")
+def _(spark, d):
+    return _fps(spark, d).select("id", bits.to_bitstring(F.col("words")).alias("bitstring"), metrics.popcount(F.col("words")).alias("n_on"))
+
+
+@query("fp_bits", "SELECT vec_id AS id, " + ", ".join(f"CASE WHEN embedding[{k + 1}] > 0 THEN 1 ELSE 0 END AS bit_{k}" for k in range(N_BITS)) + " FROM embeddings")
+def _(spark, d):
+    return _fps(spark, d).select("id", *bits.to_columns(F.col("words"), N_BITS))
+
+
+@query("fp_hex")
+def _(spark, d):
+    return _fps(spark, d).select("id", bits.to_hex(F.col("words")).alias("hex"), bits.to_base64(F.col("words")).alias("base64"))
+
+
+# conformers: embeddings are read as points
+
+def _points(spark, d):
+    xyz = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda k: F.transform(F.slice("embedding", 3 * k + 1, 3), lambda x: x.cast("double")))
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label"), xyz.alias("xyz"))
+
+
+@query("rmsd_raw", "WITH e AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), r AS (SELECT v AS w FROM e WHERE id = (SELECT min(id) FROM e)) SELECT id, round(sqrt(list_sum(list_transform(list_zip(v[1:63], w[1:63]), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) / 21), 9) AS rmsd FROM e, r")
+def _(spark, d):
+    rows = _points(spark, d)
+    ref = rows.orderBy("id").first()["xyz"]
+    return conformers.compare(rows, ref, aligned=False).select("id", F.round("rmsd", 9).alias("rmsd"))
+
+
+@query("rmsd_aligned")
+def _(spark, d):
+    rows = _points(spark, d)
+    return conformers.compare(rows, rows.orderBy("id").first()["xyz"]).select("id", "rmsd")
+
+
+@query("shape_descriptors")
+def _(spark, d):
+    return conformers.shapes(_points(spark, d)).drop("xyz")
+
+
+@query("torsion_profile", "SELECT user_id AS id, min(value) AS min_energy, max(value) - min(value) AS barrier FROM events GROUP BY user_id")
+def _(spark, d):
+    rows = table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("angle"), F.col("value").alias("energy"))
+    return conformers.torsion_profile(rows).select("id", "min_energy", "barrier")
+
+
+@query("best_conformer", "SELECT id, conf, energy FROM (SELECT user_id AS id, event_id AS conf, value AS energy, row_number() OVER (PARTITION BY user_id ORDER BY value, event_id) AS r FROM events) WHERE r = 1")
+def _(spark, d):
+    return conformers.best(table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("conf"), F.col("value").alias("energy")))
+
+
+# streams
+
+@query("stream_dedupe", "SELECT count(*) AS n_keys FROM (SELECT DISTINCT user_id FROM events)")
+def _(spark, d):
+    """A stream over the events file, deduplicated by user, run over what is there."""
+    import uuid
+
+    from retort.functions.checkpoints import shared_folder
+    from retort.streaming import operators as streaming
+
+    batch = table(spark, d, "events")
+    where = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(batch.schema).parquet(f"{d}/events.parque[t]")
+    out = streaming.run_available(spark, streaming.deduplicate(stream, "user_id"), f"{where}/out", f"{where}/state")
+    return out.agg(F.count("*").alias("n_keys"))
