@@ -160,7 +160,7 @@ def _mixed(spark, d):
     """Every part with one of the valid or invalid strings."""
     texts = [(k, s) for k, s in enumerate([m[0] for m in library.MOLECULES] + library.INVALID)]
     strings = spark.createDataFrame(texts, "k int, smiles string")
-    part = table(spark, d, "part").select(F.col("p_partkey").alias("row_idx"), F.pmod("p_partkey", F.lit(len(texts))).cast("int").alias("k"))
+    part = table(spark, d, "part").repartition(spark.sparkContext.defaultParallelism).select(F.col("p_partkey").alias("row_idx"), F.pmod("p_partkey", F.lit(len(texts))).cast("int").alias("k"))
     return part.join(F.broadcast(strings), "k")
 
 
@@ -434,7 +434,7 @@ def _(spark, d):
 
 @query("neighbors_threshold", f"WITH {_FP}, {_POP}, {_PAIRS} SELECT i, j, s AS similarity FROM (SELECT i, j, {metrics.sql('tanimoto')} AS s FROM pairs) WHERE s >= 0.6")
 def _(spark, d):
-    return similarity.neighbours(_on(spark, d), 0.6)
+    return similarity.neighbours(_on(spark, d), 0.6, N_BITS)
 
 
 @query("cluster_butina")

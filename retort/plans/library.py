@@ -71,8 +71,10 @@ def frame(spark: SparkSession) -> DataFrame:
 
 
 def bridged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A molecule for each part: (row_idx, mol_id, smiles, name). The library is fixed, so its broadcast is bounded."""
+    """A molecule for each part: (row_idx, mol_id, smiles, name). The library is fixed, so its broadcast is bounded. Parts
+    come from one small file, so their keys are dealt to all cores before molecules are parsed."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("row_idx"))
+    part = part.repartition(spark.sparkContext.defaultParallelism)
     one = F.pmod("row_idx", F.lit(len(MOLECULES))).cast("int")
     return part.withColumn("mol_id", one).join(F.broadcast(frame(spark).drop("formula_lit")), "mol_id").select("row_idx", "mol_id", "smiles", "name")
 
