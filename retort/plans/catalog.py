@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from retort.functions import bits, graphs, metrics
 from retort.functions import molecule as M
 from retort.functions.elements import MASSES
-from retort.operators import columns, conformers, datasets, filters, molecules, similarity
+from retort.operators import columns, conformers, datasets, filters, molecules, rewrite, similarity
 from retort.plans import library
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -261,6 +261,99 @@ def _(spark, d):
     return graphs.largest_fragment(M.with_molecules(library.bridged(spark, d))).select("row_idx", F.size(F.filter("fragment", lambda k: k)).alias("atoms"))
 
 
+@query("convert", f"{LIB} SELECT row_idx, name FROM mols")
+def _(spark, d):
+    return rewrite.convert(_mixed_names(spark, d)).select("row_idx", "name")
+
+
+def _mixed_names(spark, d):
+    """The bridge and as many rows again that are no molecules."""
+    rows = library.bridged(spark, d)
+    return rows.unionByName(rows.withColumn("smiles", F.lit(library.INVALID[0])))
+
+
+@query("scaffold_murcko")
+def _(spark, d):
+    return rewrite.scaffolds(M.with_molecules(library.bridged(spark, d))).drop("mol")
+
+
+@query("rings_extract")
+def _(spark, d):
+    return rewrite.ring_systems(M.with_molecules(library.bridged(spark, d)))
+
+
+@query("rings_analyze")
+def _(spark, d):
+    return datasets.frequencies(rewrite.ring_systems(M.with_molecules(library.bridged(spark, d))), "ring_system", "id", None)
+
+
+@query("fragment_recap")
+def _(spark, d):
+    return rewrite.fragments(M.with_molecules(library.bridged(spark, d)))
+
+
+@query("fragment_analyze")
+def _(spark, d):
+    return datasets.frequencies(rewrite.fragments(M.with_molecules(library.bridged(spark, d))), "fragment_smiles", "id", None)
+
+
+@query("fragment_build")
+def _(spark, d):
+    mols = M.with_molecules(library.frame(spark).withColumnRenamed("mol_id", "row_idx"))
+    return rewrite.recombined(rewrite.fragments(mols), 1000)
+
+
+@query("standardize")
+def _(spark, d):
+    return rewrite.standardize(M.with_molecules(library.bridged(spark, d))).drop("mol")
+
+
+@query("mmp_transform")
+def _(spark, d):
+    return rewrite.transformed(molecules.cuts(library.bridged(spark, d)), "C(*)>>O(*)")
+
+
+@query("props_crippen")
+def _(spark, d):
+    return rewrite.crippen_atoms(M.with_molecules(library.bridged(spark, d))).drop("mol")
+
+
+@query("props_charges")
+def _(spark, d):
+    return rewrite.partial_charges(M.with_molecules(library.bridged(spark, d))).drop("mol")
+
+
+REACTIONS = [(0, "[C:1]=[O:2]>>[C:1][O:2]"), (1, "[CH3:1]Br>>[CH3:1]O"), (2, "[N:1][C:2]>>[N:1]=[C:2]")]
+
+
+@query("reactions_map", "SELECT * FROM (VALUES (0, 1, 0, 0, 'C'), (0, 2, 1, 1, 'O'), (1, 1, 0, 0, 'C'), (2, 1, 0, 0, 'N'), (2, 2, 1, 1, 'C')) AS t(id, map_num, reactant_idx, product_idx, symbol)")
+def _(spark, d):
+    return rewrite.atom_map(spark.createDataFrame(REACTIONS, "row_idx int, reaction string"))
+
+
+@query("reactions_fingerprint")
+def _(spark, d):
+    return rewrite.reaction_fingerprints(spark.createDataFrame(REACTIONS, "row_idx int, reaction string")).withColumn("difference", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("difference")))))
+
+
+@query("fingerprint_torsions")
+def _(spark, d):
+    return graphs.torsions(M.with_molecules(library.bridged(spark, d))).select("row_idx", bits.to_hex(F.col("words")).alias("hex"))
+
+
+@query("fingerprint_atom_pairs")
+def _(spark, d):
+    return graphs.atom_pairs(M.with_molecules(library.bridged(spark, d))).select("row_idx", bits.to_hex(F.col("words")).alias("hex"))
+
+
+@query("similarity_molecules")
+def _(spark, d):
+    """All molecules of the bridge against aspirin."""
+    fps = graphs.circular(M.with_molecules(library.bridged(spark, d)))
+    query_ = graphs.circular(M.with_molecules(spark.createDataFrame([(library.MOLECULES[0][0],)], "smiles string"))).first()["words"]
+    return similarity.search(fps, list(query_), "tanimoto", 2048, 0.2).select("row_idx", "name", "similarity")
+
+
 # whole datasets
 
 
