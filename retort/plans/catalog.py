@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from retort.functions import bits, graphs, metrics
 from retort.functions import molecule as M
 from retort.functions.elements import MASSES
-from retort.operators import columns, conformers, datasets, filters, molecules, rewrite, similarity
+from retort.operators import analysis, columns, conformers, datasets, filters, molecules, rewrite, similarity
 from retort.plans import library
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -336,6 +336,58 @@ def _(spark, d):
     return rewrite.reaction_fingerprints(spark.createDataFrame(REACTIONS, "row_idx int, reaction string")).withColumn("difference", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("difference")))))
 
 
+@query("protonate")
+def _(spark, d):
+    return analysis.charge_at(M.with_molecules(library.bridged(spark, d)), 7.4).drop("mol")
+
+
+@query("protonation_sites")
+def _(spark, d):
+    return analysis.protonation_sites(M.with_molecules(library.bridged(spark, d)))
+
+
+@query("descriptors_mqn")
+def _(spark, d):
+    mols = M.with_molecules(library.bridged(spark, d))
+    return mols.select("row_idx", *(c.alias(k) for k, c in analysis.quantum_numbers().items()))
+
+
+@query("pharmacophore_perceive")
+def _(spark, d):
+    return analysis.pharmacophore(M.with_molecules(library.bridged(spark, d))).drop("mol")
+
+
+@query("filter_alerts", f"{LIB} SELECT row_idx, name FROM mols WHERE name NOT IN ('acetonitrile', 'nitrobenzene')")
+def _(spark, d):
+    found = analysis.alerts(M.with_molecules(library.bridged(spark, d)), {"nitrile": "C#N", "nitro": "[N+](=O)[O-]"})
+    return found.select("row_idx", "name")
+
+
+@query("enumerate_stereoisomers")
+def _(spark, d):
+    return analysis.stereoisomers(M.with_molecules(library.bridged(spark, d)))
+
+
+@query("rgroup")
+def _(spark, d):
+    return analysis.rgroups(M.with_molecules(library.bridged(spark, d)), "c1ccc([*:1])cc1")
+
+
+@query("scaffold_network")
+def _(spark, d):
+    return analysis.scaffold_network(M.with_molecules(library.bridged(spark, d)))[0]
+
+
+@query("fingerprints_list", "SELECT * FROM (VALUES ('circular', 2048, true), ('path', 2048, true), ('atompair', 2048, true), ('torsion', 2048, true), ('maccs', 0, false), ('avalon', 0, false), ('pharmacophore', 0, false)) AS t(name, default_bits, available)")
+def _(spark, d):
+    return analysis.fingerprint_registry(spark).drop("description")
+
+
+@query("descriptors_list")
+def _(spark, d):
+    return M.registry(spark)
+
+
 @query("fingerprint_torsions")
 def _(spark, d):
     return graphs.torsions(M.with_molecules(library.bridged(spark, d))).select("row_idx", bits.to_hex(F.col("words")).alias("hex"))
@@ -472,10 +524,10 @@ def _(spark, d):
     return molecules.matched_pairs(rows, 10).select("core", "id_1", "id_2", "transformation")
 
 
-@query("enumerate_product", "SELECT r_name || '.' || n_name AS product FROM region CROSS JOIN nation ORDER BY 1 LIMIT 100")
+@query("enumerate_product", "SELECT r_name || '.' || n_name AS product FROM region CROSS JOIN nation ORDER BY 1 LIMIT 1000")
 def _(spark, d):
     a, b = table(spark, d, "region").select("r_name"), table(spark, d, "nation").select("n_name")
-    return molecules.enumerate_products([a, b], F.concat("r_name", F.lit("."), "n_name"), 100)
+    return molecules.enumerate_products([a, b], F.concat("r_name", F.lit("."), "n_name"))
 
 
 # similarity: signs of embeddings are fingerprints of 64 bits
