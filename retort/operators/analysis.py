@@ -132,13 +132,12 @@ def quantum_numbers() -> dict[str, Column]:
     return {f"MQN{k + 1}_{name}": c for k, (name, c) in enumerate(made)}
 
 
-def alerts(df: DataFrame, patterns: dict[str, str], id_: str = "row_idx", keep_hits: bool = False) -> DataFrame:
+def alerts(df: DataFrame, patterns: dict[str, str], keep_hits: bool = False) -> DataFrame:
     """df with alerts, the names of the given patterns that a molecule holds: only rows without any, or only those with. The
     catalogue is the caller's."""
-    hits = [molecules.matches(df, p, id_).select("id", F.lit(name).alias("name")) for name, p in patterns.items()]
-    named = reduce(DataFrame.unionByName, hits).groupBy("id").agg(F.array_sort(F.collect_set("name")).alias("alerts"))
-    out = df.where("mol is not null").join(named.withColumnRenamed("id", id_), id_, "left")
-    return out.where(F.col("alerts").isNotNull()) if keep_hits else out.where(F.col("alerts").isNull())
+    names = F.array_compact(F.array(*(F.when(molecules.has_substructure(p), F.lit(name)) for name, p in sorted(patterns.items()))))
+    out = df.where("mol is not null").withColumn("alerts", names)
+    return out.where(F.size("alerts") > 0 if keep_hits else F.size("alerts") == 0)
 
 
 def stereoisomers(df: DataFrame, id_: str = "row_idx", most: int = 32, only_unassigned: bool = True) -> DataFrame:
@@ -166,8 +165,7 @@ def rgroups(df: DataFrame, core: str, id_: str = "row_idx", smiles: str = "smile
     for a, b, o, mark in p.bonds:
         if a in place and b in place:
             q.bond(place[a], place[b], o, mark)
-    found = _ordered(df, q, id_).groupBy("id").agg(F.min("places").alias("places"))
-    rows = df.where("mol is not null").join(found.withColumnRenamed("id", id_), id_, "left")
+    rows = df.where("mol is not null").withColumn("places", F.array_min(molecules.places(q)))
     steps = F.sequence(F.lit(1), F.greatest(F.size(m("z")), F.lit(1)))
 
     def side(k: int) -> tuple[Column, Column]:
@@ -183,22 +181,6 @@ def rgroups(df: DataFrame, core: str, id_: str = "row_idx", smiles: str = "smile
     return rows.select(F.col(id_).alias("id"), F.col("places").isNotNull().alias("matched"), *texts)
 
 
-def _ordered(df: DataFrame, p, id_: str) -> DataFrame:
-    """(id, places): the atom that each pattern atom falls on, for all ways in which the pattern fits."""
-    edges, table = molecules.bonds(df, id_), molecules.atoms(df, id_)
-    out, placed = molecules._fits(table, p, 0).select("id", F.col("i").alias("p0")), {0}
-    for a, b, order, _ in molecules._walk(p):
-        e = edges.where(F.col("o") == order).select("id", F.col("a").alias(f"p{a}"), F.col("b").alias(f"p{b}"))
-        if b in placed:
-            out = out.join(e, ["id", f"p{a}", f"p{b}"], "left_semi")
-        else:
-            fits = molecules._fits(table, p, b).select("id", F.col("i").alias(f"p{b}"))
-            out = out.join(e, ["id", f"p{a}"]).join(fits, ["id", f"p{b}"], "left_semi")
-            out = out.where(reduce(Column.__and__, (F.col(f"p{b}") != F.col(f"p{k}") for k in placed)))
-            placed.add(b)
-    return out.select("id", F.array(*(f"p{k}" for k in sorted(placed))).alias("places"))
-
-
 def scaffold_network(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """nodes (id, level, count, fraction) and edges (src, dst, count): molecule keys under their scaffolds, and scaffolds under
     their generic frameworks. Counts are molecules; acyclic ones have no nodes above them."""

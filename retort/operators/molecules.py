@@ -1,8 +1,8 @@
 """Operators on molecule tables: validation, substructures, functional groups, rings, pairs and reductions.
 
-Substructure search is joins: atoms and directed bonds of all molecules are tables keyed by molecule, and a pattern is
-matched one bond at a time, each an equi-join on (molecule, atom), so that Spark distributes matching by molecule. Fragments
-and matched pairs are exploded rows that meet on their core.
+Substructure search grows partial fits inside each row, one pattern bond a step, so that it is a plain filter without a
+shuffle. Fragments and matched pairs are exploded rows that meet on their core; atoms() and bonds() give molecules as tables
+for what has to be joined.
 """
 
 from __future__ import annotations
@@ -104,25 +104,38 @@ def bonds(df: DataFrame, id_: str) -> DataFrame:
     return rows.unionByName(rows.select("id", F.col("b").alias("a"), F.col("a").alias("b"), "o", "inring"))
 
 
+def places(pattern: S.Mol) -> Column:
+    """All ways in which a pattern fits, each an array with the atom on which each pattern atom falls. Partial fits grow by one
+    pattern bond a step, inside the row: to a neighbour that fits and is free, or, for a ring bond, by a test."""
+    fits = lambda k, i: _fits(pattern, k, i)
+    state = F.transform(M.atoms_where(lambda i: fits(0, i)), lambda i: F.array(i))
+    at = {0: 0}
+    for a, b, order, _ in _walk(pattern):
+        state = _grown(state, at[a], at.get(b), order, lambda i, b=b: fits(b, i))
+        at.setdefault(b, len(at))
+    back = [at[k] for k in range(len(pattern.z))]
+    if back == sorted(back):
+        return state
+    return F.transform(state, lambda p: F.array(*(F.get(p, F.lit(k)) for k in back)))
+
+
+def _grown(state: Column, a: int, b: int | None, order: int, fits) -> Column:
+    def bound(p: Column) -> Column:
+        i = F.get(p, F.lit(a))
+        near = F.arrays_zip(F.get(m("near"), i).alias("v"), F.get(m("order"), i).alias("o"))
+        return F.filter(near, lambda x: x["o"] == order)
+
+    if b is not None:
+        return F.filter(state, lambda p: F.exists(bound(p), lambda x: x["v"] == F.get(p, F.lit(b))))
+    free = lambda p: F.filter(bound(p), lambda x: ~F.array_contains(p, x["v"]) & fits(x["v"]))
+    return F.flatten(F.transform(state, lambda p: F.transform(free(p), lambda x: F.concat(p, F.array(x["v"])))))
+
+
 def matches(df: DataFrame, pattern: str, id_: str = "row_idx") -> DataFrame:
-    """(id, atoms): one row for each set of atoms that matches the pattern, written as SMILES; * is any atom, a bracket's
-    charge and hydrogens must be met, others are free. Grows by one pattern bond a join; ring bonds are checked by a join on
-    both ends."""
-    p = pattern_of(pattern)
-    edges = bonds(df, id_)
-    table = atoms(df, id_)
-    out = _fits(table, p, 0).select("id", F.col("i").alias("p0"))
-    placed = {0}
-    for a, b, order, _ in _walk(p):
-        e = edges.where(F.col("o") == order) if order else edges
-        e = e.select("id", F.col("a").alias(f"p{a}"), F.col("b").alias(f"p{b}"))
-        if b in placed:
-            out = out.join(e, ["id", f"p{a}", f"p{b}"], "left_semi")
-        else:
-            out = out.join(e, ["id", f"p{a}"]).join(_fits(table, p, b).select("id", F.col("i").alias(f"p{b}")), ["id", f"p{b}"], "left_semi")
-            out = out.where(reduce(Column.__and__, (F.col(f"p{b}") != F.col(f"p{k}") for k in placed), F.lit(True)))
-            placed.add(b)
-    return out.select("id", F.array_sort(F.array(*(f"p{k}" for k in sorted(placed)))).alias("atoms")).distinct()
+    """(id, atoms): one row for each set of atoms that matches the pattern, written as SMILES; * is any atom, a bracket's charge
+    must be met, and the hydrogens of an atom with a map number at least."""
+    found = F.array_distinct(F.transform(places(pattern_of(pattern)), lambda p: F.array_sort(p)))
+    return df.where("mol is not null").select(F.col(id_).alias("id"), F.explode(found).alias("atoms"))
 
 
 def pattern_of(text: str) -> S.Mol:
@@ -132,13 +145,13 @@ def pattern_of(text: str) -> S.Mol:
         raise ValueError(f"not a pattern: {text!r} ({e})") from None
 
 
-def _fits(table: DataFrame, p: S.Mol, k: int) -> DataFrame:
-    ok = F.lit(True) if p.z[k] == 0 else (F.col("z") == p.z[k]) & (F.col("arom") == p.arom[k])
+def _fits(p: S.Mol, k: int, i: Column) -> Column:
+    ok = F.lit(True) if p.z[k] == 0 else (M.z_at(i) == p.z[k]) & (F.get(m("arom"), i) == p.arom[k])
     if p.charge[k]:
-        ok = ok & (F.col("charge") == p.charge[k])
-    if p.label[k]:  # an atom map number asks for hydrogens, as in [OH:1]
-        ok = ok & (F.col("h") >= p.h[k])
-    return table.where(ok)
+        ok = ok & (F.get(m("charge"), i) == p.charge[k])
+    if p.label[k] and p.z[k]:
+        ok = ok & (F.get(m("h"), i) >= p.h[k])
+    return ok
 
 
 def _walk(p: S.Mol) -> list[tuple[int, int, int, int]]:
@@ -154,17 +167,23 @@ def _walk(p: S.Mol) -> list[tuple[int, int, int, int]]:
             a, b = b, a
         out.append((a, b, order, k))
         placed.add(b)
+    if len(placed) < len(p.z):
+        raise ValueError("a pattern is one connected piece")
     return out
 
 
-def substructure(df: DataFrame, pattern: str, id_: str = "row_idx", exclude: bool = False) -> DataFrame:
-    """Rows of df that hold the pattern, or that don't; rows that are no molecules hold nothing and are dropped. What a
-    pattern needs in atoms is tested first, without a join."""
+def has_substructure(pattern: str) -> Column:
+    """A condition on molecules. What a pattern needs in atoms is tested first."""
     p = pattern_of(pattern)
-    need = [z for z in set(p.z) if z]
-    could = reduce(Column.__and__, (F.size(F.filter(m("z"), _equals(z))) >= p.z.count(z) for z in need), F.lit(True))
-    found = matches(df.where(could), pattern, id_).select(F.col("id").alias(id_)).distinct()
-    return df.where("mol is not null").join(found, id_, "left_anti" if exclude else "left_semi")
+    could = reduce(Column.__and__, (F.size(F.filter(m("z"), _equals(z))) >= p.z.count(z) for z in sorted({z for z in p.z if z})), F.lit(True))
+    return F.when(could, F.size(places(p)) > 0).otherwise(False)
+
+
+def substructure(df: DataFrame, pattern: str, exclude: bool = False) -> DataFrame:
+    """Rows of df that hold the pattern, or that don't; rows that are no molecules hold nothing and are dropped. A filter
+    within each row: nothing is shuffled."""
+    held = has_substructure(pattern)
+    return df.where("mol is not null").where(~held if exclude else held)
 
 
 def _equals(z: int):

@@ -97,6 +97,8 @@ def test_substructures(mols):
     assert "ethanol" in names("c1ccccc1", exclude=True) and "toluene" not in names("c1ccccc1", exclude=True)
     counts = {r.id: r["count"] for r in molecules.matches(mols, "c1ccccc1").groupBy("id").count().collect()}
     assert counts[13] == 2 and counts[0] == 1  # naphthalene has two
+    with pytest.raises(ValueError, match="connected"):
+        molecules.substructure(mols, "C.C")
     with pytest.raises(ValueError, match="not a pattern"):
         molecules.substructure(mols, "C(")
 
