@@ -60,6 +60,22 @@ def scaffolds(df: DataFrame, smiles: str = "smiles") -> DataFrame:
     return written(flags, "_parts", "_text", smiles).withColumn("scaffold", F.get("_text", F.lit(0))).drop("_fw", "_parts", "_text")
 
 
+def side_chains(df: DataFrame, smiles: str = "smiles") -> DataFrame:
+    """df (with mol) with side_chains: the text of each piece that the framework leaves, with its cut end."""
+    n = F.sequence(F.lit(0), F.size(m("z")) - 1)
+    steps = F.sequence(F.lit(1), F.greatest(F.size(m("z")), F.lit(1)))
+    rows = graphs.framework(df, "_fw")
+
+    def pieces(fw: Column) -> Column:
+        out = lambda i: ~F.get(fw, i)
+        spread = F.aggregate(steps, n, lambda c, _: F.transform(c, lambda own, i: F.when(out(i), F.least(own, F.coalesce(F.array_min(F.transform(F.filter(F.get(m("near"), i), out), lambda j: F.get(c, j))), own))).otherwise(own)))
+        return let(spread, lambda c: F.transform(F.array_sort(F.array_distinct(F.filter(c, lambda x, i: out(i)))), lambda k: F.filter(n, lambda i: out(i) & (F.get(c, i) == k))))
+
+    rows = rows.withColumn("_parts", F.when(F.exists("_fw", lambda k: k), let(F.col("_fw"), pieces)).otherwise(F.array().cast("array<array<int>>")))
+    ends = F.transform("_parts", lambda p: F.filter(p, lambda i: F.exists(F.get(m("near"), i), lambda j: F.get(F.col("_fw"), j))))
+    return written(rows.withColumn("_ends", ends), "_parts", "side_chains", smiles, "_ends").drop("_fw", "_parts", "_ends")
+
+
 def standardize(df: DataFrame, smiles: str = "smiles", neutralize: bool = True) -> DataFrame:
     """df with standardized: the largest fragment, without the charges that taking or giving a hydrogen removes, canonical and
     without stereo marks. Null where smiles is no molecule."""

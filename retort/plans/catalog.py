@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retort.functions import bits, graphs, metrics
+from retort.functions import bits, graphs, metrics, scores
 from retort.functions import molecule as M
 from retort.functions.elements import MASSES
 from retort.operators import analysis, columns, conformers, datasets, filters, molecules, rewrite, similarity
@@ -388,6 +388,28 @@ def _(spark, d):
     return M.registry(spark)
 
 
+@query("filter_druglike_molecules")
+def _(spark, d):
+    made = M.descriptors(M.with_molecules(library.bridged(spark, d)), M.LIPINSKI)
+    return filters.druglike(made, "lipinski").drop("mol")
+
+
+@query("scores")
+def _(spark, d):
+    return scores.accessibility(M.with_molecules(library.bridged(spark, d))).withColumn("qed", scores.qed()).drop("mol")
+
+
+@query("scaffold_side_chains")
+def _(spark, d):
+    return rewrite.side_chains(M.with_molecules(library.bridged(spark, d))).drop("mol")
+
+
+@query("fingerprint_minhash")
+def _(spark, d):
+    fp = scores.minhash_circular(M.with_molecules(library.bridged(spark, d)))
+    return fp.select("row_idx", bits.to_hex(F.col("words")).alias("hex"))
+
+
 @query("fingerprint_torsions")
 def _(spark, d):
     return graphs.torsions(M.with_molecules(library.bridged(spark, d))).select("row_idx", bits.to_hex(F.col("words")).alias("hex"))

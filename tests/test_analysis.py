@@ -1,8 +1,8 @@
 import pytest
 
 from retort.functions import molecule as M
-from retort.functions import smiles
-from retort.operators import analysis
+from retort.functions import scores, smiles
+from retort.operators import analysis, rewrite
 from retort.plans import library
 
 
@@ -69,3 +69,18 @@ def test_network_and_registry(spark, mols):
     assert edges.where("src = dst").count() == 0
     assert analysis.fingerprint_registry(spark).where("available").count() == 4
     assert smiles.parse("CC").z == [6, 6]
+
+
+def test_scores(mols):
+    got = {r.name: r for r in scores.accessibility(mols).withColumn("qed", scores.qed()).collect()}
+    assert all(1 <= r.sa_score <= 10 and 0 < r.qed < 1 for r in got.values())
+    assert 0.75 < got["ibuprofen"].qed < 0.88 and got["ibuprofen"].qed > got["glucose"].qed
+    # all fragments unknown: 11 - (-4 + size term + 5) / 1.5
+    want = 11 - (-4 + 3**1.005 - 3 + 5) / 1.5
+    assert got["ethanol"].sa_score == round(min(want, 10), 2)
+
+
+def test_side_chains(mols):
+    got = {r.name: sorted(r.side_chains) for r in rewrite.side_chains(mols).collect()}
+    assert got["toluene"] == ["C(*)"] and got["benzene"] == [] and got["ethanol"] == []
+    assert len(got["aspirin"]) == 2 and len(got["caffeine"]) == 3
