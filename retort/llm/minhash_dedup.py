@@ -215,3 +215,16 @@ def _both(pairs: DataFrame, some: DataFrame) -> DataFrame:
     a = some.select(F.col("node").alias("u"), F.struct("n", "sig").alias("a"))
     b = some.select(F.col("node").alias("v"), F.struct("n", "sig").alias("b"))
     return pairs.join(b, "v").join(a, "u")
+
+
+#: Every pair of documents that share a shingle is counted out: for small tables.
+SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT u, v FROM c JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 75 * (x.n + y.n - c)),
+b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+r(doc_id, root) AS (SELECT doc_id, doc_id FROM w UNION SELECT b.v, r.root FROM r JOIN b ON b.u = r.doc_id)
+SELECT doc_id, coalesce(max(n), 0) AS n_shingles, min(root) AS component_id, doc_id = min(root) AS kept FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""

@@ -70,4 +70,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_classifier": op10_quality_classifier,
 }
 
-SQL: dict[str, str] = {"op4_url_filters": url_reputation.SQL, "op8_mixing": mixing.SQL}
+SQL: dict[str, str] = {"op3_minhash_dedup": minhash_dedup.SQL, "op5_secret_scans": secret_scan.SQL, "op4_url_filters": url_reputation.SQL, "op8_mixing": mixing.SQL}

@@ -129,3 +129,27 @@ def scan(docs: DataFrame) -> DataFrame:
         _listed(F.concat(base, more)).alias("spans"),
         F.size(more).cast("long").alias("n_linked"),
     )
+
+
+def _sql() -> str:
+    q = lambda p: "'" + p.replace("'", "''") + "'"
+    patterns = (ASSIGN, ACCESS, HEX, ACCOUNT, TOKEN, ENDPOINT)
+    found = " UNION ALL ".join(f"SELECT r, {k} AS kind, string_split_regex(t, {q(p)}) AS gaps, regexp_extract_all(t, {q(p)}) AS hits FROM d" for k, p in enumerate(patterns))
+    near = lambda *kinds: f"EXISTS (SELECT 1 FROM f g WHERE g.r = f.r AND g.kind IN ({', '.join(map(str, kinds))}) AND abs(g.s - f.s) <= {SCOPE})"
+    name = "CASE kind " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(KINDS)) + " END || ':' || s || ':' || e"
+    return f"""
+    WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents),
+    m AS ({found}),
+    x AS (SELECT r, kind, gaps, hits, unnest(range(1, len(hits) + 1)) AS i FROM m WHERE len(hits) > 0),
+    y AS (SELECT r, kind, hits[i] AS hit, CAST(list_sum(list_transform(gaps[1:i], lambda v: length(v))) + CASE WHEN i > 1 THEN list_sum(list_transform(hits[1:i - 1], lambda v: length(v))) ELSE 0 END AS BIGINT) AS s FROM x),
+    f AS (SELECT r, kind, s, s + length(hit) AS e FROM y WHERE (kind <> 0 OR length(regexp_extract(hit, {q(ASSIGN)}, 2)) >= 12)
+          AND (kind <> 4 OR (regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Z]') AND regexp_matches(hit, '[a-z]')))),
+    k AS (SELECT * FROM f WHERE kind < 3 OR (kind = 4 AND {near(1, 3)}) OR (kind = 3 AND {near(0, 2, 4)}) OR (kind = 5 AND {near(1, 3)} AND {near(0, 2, 4)})),
+    g AS (SELECT r, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+            string_agg({name}, ',' ORDER BY s, kind) FILTER (WHERE kind < 3) AS base, string_agg({name}, ',' ORDER BY s, kind) AS spans FROM k GROUP BY r)
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM d LEFT JOIN g ON d.r = g.r
+    """
+
+
+SQL = _sql()
