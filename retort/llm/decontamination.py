@@ -1,17 +1,18 @@
-r"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+r"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Texts and items become lower-cased runs of word characters (\w+). Each 3-gram of an item that occurs in a document opens a
-window around the place where the whole item would lie; windows of one item that touch are merged. Over all documents, the
-grams of an item are ranked by how many windows have them, and those up to the lower median, the rare half, are its seeds.
-Windows with a seed are aligned with the item, word by word (match 2, mismatch and gap -1), which finds copies with words
-changed, dropped or added; the best local score over twice the item's words is the score, a leak from 0.5 up.
+Texts and items become lower-cased runs of word characters (\w+). Each 3-gram of an item that occurs in a document (of an
+item of one or two words, the whole item) opens a window around the place where the whole item would lie; windows of one item
+that touch are merged. A window in which enough of the item's words occur for the score to be reachable at all, an exact
+bound, is aligned with the item, word by word (match 2, mismatch and gap -1), which finds copies with words changed, dropped
+or added; the best local score over twice the item's words is the score, a leak from 0.5 up. How often a gram occurs decides
+nothing, so popular passages are found like rare ones.
 
-The items are the query set. They go to the executors in blocks of bounded bytes (one pass over the texts a block), and a
-window leaves its task only if enough of the item's words occur in it for the score to be reachable at all, an exact bound.
-Texts are never shuffled; a passage that a third of all documents share costs one short row each.
+The items are the query set. They go to the executors in blocks of bounded bytes (one pass over the texts a block), and the
+alignment is done where the text is read: texts and windows are never shuffled or stored, and only leaks leave a task.
 
-Defined cases: null or empty texts have no words and no leaks; an item of under three words has no seed and is never found;
-repeated rows of a doc_id give one row with the best score; null ids are kept as a null; an empty benchmark finds nothing.
+Defined cases: null or empty texts have no words and no leaks; an item without words is never found; an item of one or two
+words is found where it stands verbatim; a copy that keeps no three words in a row opens no window and is not found; repeated
+rows of a doc_id give one row with the best score; null ids are kept as a null; an empty benchmark finds nothing.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from retort.llm.common import BROADCAST_ROWS, WordHashes, cut, ngram_hashes, small
+from retort.llm.common import BROADCAST_ROWS, WordHashes, cut, ngram_hashes
 
 GRAM, THRESHOLD = 3, 0.5
 #: Bytes of items in a block; one block is what a task holds of the benchmark.
@@ -38,26 +39,24 @@ def word_hashes(text: str | None, hashes: WordHashes) -> np.ndarray:
     return hashes.of(WORD.findall((text or "").lower()))
 
 
-class Items:
-    """Items of a block with an index from gram hash to (item, place)."""
+class Grams:
+    """Items of one gram length with an index from gram hash to (item, place)."""
 
-    def __init__(self, rows: list[tuple[int, str]]):
-        hashes = WordHashes()
-        self.words = [word_hashes(t, hashes) for _, t in rows]
-        self.ids = [i for i, _ in rows]
-        grams = [ngram_hashes(w, GRAM) for w in self.words]
+    def __init__(self, words: dict[int, np.ndarray], n: int):
+        self.n, self.words = n, words
+        grams = [ngram_hashes(w, n) for w in words.values()]
         size = [len(g) for g in grams]
-        flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
+        flat = np.concatenate(grams)
         order = np.argsort(flat, kind="stable")
         self.gram = flat[order]
-        self.item = np.repeat(np.arange(len(rows)), size)[order]
-        self.place = np.concatenate([np.arange(n) for n in size])[order] if grams else np.zeros(0, np.int64)
+        self.item = np.repeat(np.array(list(words)), size)[order]
+        self.place = np.concatenate([np.arange(k) for k in size])[order]
         self.sieve = np.zeros(1 << 20, bool)
         self.sieve[(self.gram >> np.uint64(44)).astype(np.int64)] = True
 
-    def windows(self, words: np.ndarray) -> list[tuple[int, int, int, np.ndarray]]:
-        """(item, from, to, hashes of grams hit) of a text's words."""
-        grams = ngram_hashes(words, GRAM)
+    def windows(self, words: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item, from, to) of a text's words."""
+        grams = ngram_hashes(words, self.n)
         at = np.flatnonzero(self.sieve[(grams >> np.uint64(44)).astype(np.int64)])
         if not len(at):
             return []
@@ -72,16 +71,44 @@ class Items:
         start = np.maximum(pos - self.place[hit] - pad, 0)
         end = np.minimum(pos - self.place[hit] + length + pad, len(words))
         order = np.lexsort((start, item))
-        out: list[tuple[int, int, int, list[int]]] = []
-        for k in order:
-            i, s, e, g = int(item[k]), int(start[k]), int(end[k]), self.gram[hit[k]]
+        out: list[tuple[int, int, int]] = []
+        for i, s, e in zip(item[order].tolist(), start[order].tolist(), end[order].tolist(), strict=True):
             # each hit's own window holds the whole item, so a long run may start a new one anywhere
             if out and out[-1][0] == i and s <= out[-1][2] and e - out[-1][1] <= MAX_WINDOW:
-                out[-1] = (i, out[-1][1], max(e, out[-1][2]), out[-1][3])
-                out[-1][3].append(g)
+                out[-1] = (i, out[-1][1], max(e, out[-1][2]))
             else:
-                out.append((i, s, e, [g]))
-        return [(i, s, e, np.unique(np.array(g, np.uint64))) for i, s, e, g in out]
+                out.append((i, s, e))
+        return out
+
+
+class Items:
+    """Items of a block, indexed by their 3-grams, or by the whole item if it is shorter."""
+
+    def __init__(self, rows: list[tuple[int, str]]):
+        hashes = WordHashes()
+        self.words = [word_hashes(t, hashes) for _, t in rows]
+        self.ids = [i for i, _ in rows]
+        of = lambda n: {i: w for i, w in enumerate(self.words) if len(w) and min(len(w), GRAM) == n}
+        self.grams = [Grams(of(n), n) for n in range(1, GRAM + 1) if of(n)]
+
+    def windows(self, words: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item, from, to) of a text's words."""
+        return [w for g in self.grams for w in g.windows(words)]
+
+    def scores(self, words: np.ndarray, threshold: float) -> dict[int, float]:
+        """Best score of each item that reaches the threshold. Windows come by what they can score at best, and an item is
+        done when no other window can score more."""
+        reach = []
+        for i, s, e in self.windows(words):
+            most = int(np.isin(self.words[i], words[s:e]).sum())
+            if most >= threshold * len(self.words[i]):
+                reach.append((-most, i, s, e))
+        best: dict[int, int] = {}
+        for most, i, s, e in sorted(reach):
+            if -2 * most > best.get(i, -1):
+                best[i] = max(best.get(i, -1), align(self.words[i], words[s:e]))
+        scores = {i: b / (2 * len(self.words[i])) for i, b in best.items()}
+        return {i: x for i, x in scores.items() if x >= threshold}
 
 
 def align(item: np.ndarray, window: np.ndarray, gap: int = 1) -> int:
@@ -96,38 +123,21 @@ def align(item: np.ndarray, window: np.ndarray, gap: int = 1) -> int:
     return best
 
 
-def _hits(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
-    """doc_id, item, grams hit and, if its score can reach the threshold, the window's word hashes."""
+def _leaks_of(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
+    """doc_id, item_id, score of each row and item whose alignment reaches the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            docs_, items_, grams, windows = [], [], [], []
+            docs_, ids, scores = [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                words = word_hashes(text.as_py(), hashes)
-                for i, s, e, g in items.windows(words):
-                    w = words[s:e]
-                    reach = np.isin(items.words[i], w).sum() >= threshold * len(items.words[i])
+                for i, score in items.scores(word_hashes(text.as_py(), hashes), threshold).items():
                     docs_.append(doc_id)
-                    items_.append(i)
-                    grams.append(g.view(np.int64))
-                    windows.append(w.view(np.int64) if reach else None)
-            yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(items_, pa.int32()), pa.array(grams, pa.list_(pa.int64())), pa.array(windows, pa.list_(pa.int64()))], ["doc_id", "item", "grams", "window"])
+                    ids.append(items.ids[i])
+                    scores.append(score)
+            yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(ids, pa.int64()), pa.array(scores, pa.float64())], ["doc_id", "item_id", "score"])
 
-    return docs.mapInArrow(run, "doc_id long, item int, grams array<long>, window array<long>")
-
-
-def _scores(found: DataFrame, items: Items) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = []
-            for i, w in zip(batch.column("item").to_pylist(), batch.column("window"), strict=True):
-                own = items.words[i]
-                scores.append(align(own, w.values.to_numpy(zero_copy_only=False).view(np.uint64)) / (2 * len(own)))
-            ids = pa.array([items.ids[i] for i in batch.column("item").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pa.array(scores, pa.float64())], ["doc_id", "item_id", "score"])
-
-    return found.mapInArrow(run, "doc_id long, item_id long, score double")
+    return docs.mapInArrow(run, "doc_id long, item_id long, score double")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -144,16 +154,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, b
     return out.groupBy("doc_id", "item_id").agg(F.max("score").alias("score"))
 
 
-def _leaks_of(docs: DataFrame, items: Items, threshold: float) -> DataFrame:
-    hits = cut(_hits(docs, items, threshold))
-    windows = hits.select("item", F.explode("grams").alias("gram")).groupBy("item", "gram").agg(F.count("*").alias("n"))
-    # the rare half of each item's grams; a gram is one row, and an item has as many as words
-    usual = windows.groupBy("item").agg(F.sort_array(F.collect_list("n")).alias("all")).select("item", F.element_at("all", F.expr("cast((size(all) + 1) div 2 as int)")).alias("usual"))
-    seeds = windows.join(usual, "item").where("n <= usual").groupBy("item").agg(F.collect_set("gram").alias("seeds"))
-    near = hits.where("window is not null").join(small(cut(seeds)), "item").where(F.arrays_overlap("grams", "seeds"))
-    return _scores(near.select("doc_id", "item", "window"), items).where(F.col("score") >= threshold)
-
-
 def clean(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without documents that hold an item, or an edited copy of one."""
     bad = cut(leaks(docs, benchmark, threshold).select("doc_id").distinct())

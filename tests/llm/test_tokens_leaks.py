@@ -82,3 +82,26 @@ def test_planted_passages(spark, edge_docs, no_docs):
     assert decontamination.leaks(edge_docs, bench).count() == 0 == decontamination.leaks(no_docs, bench).count()
     assert decontamination.leaks(frame, bench.limit(0)).count() == 0
     assert decontamination.clean(edge_docs, bench).count() == edge_docs.count()
+
+
+def test_popular_edited_copies(spark):
+    r = random.Random(7)
+    word = lambda: "".join(r.choices("abcdefghij", k=6))
+    item = [word() for _ in range(40)]
+    edited = [word() if k % 5 == 4 else x for k, x in enumerate(item)]
+    texts = [item] + [edited] * 300 + [[word() for _ in range(40)] for _ in range(20)] + [item[:19] + [word() for _ in range(21)]] * 5
+    docs = [(i, " ".join([word() for _ in range(r.randint(0, 30))] + t + [word() for _ in range(10)])) for i, t in enumerate(texts)]
+    number = {w: k for k, w in enumerate({w for _, t in docs for w in t.split()})}
+    as_numbers = lambda ws: np.array([number[w] for w in ws], np.uint64)
+    score = {i: decontamination.align(as_numbers(item), as_numbers(t.split())) / 80 for i, t in docs}
+    want = {(i, s) for i, s in score.items() if s >= 0.5}
+    assert len(want) == 301
+    found = decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+    assert {(x.doc_id, x.score) for x in found.collect()} == want
+
+
+def test_items_of_one_and_two_words(spark):
+    items = [(1, "Supercalifragilistic"), (2, "two words"), (3, "!!")]
+    docs = [(1, "a supercalifragilistic thing"), (2, "in two, words."), (3, "words two"), (4, "two other words"), (5, "two words")]
+    found = decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {tuple(x) for x in found.collect()} == {(1, 1, 1.0), (2, 2, 1.0), (5, 2, 1.0)}
