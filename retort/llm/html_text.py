@@ -8,7 +8,10 @@ maximum flow gives the cut with least cost, and blocks on the source side are th
 article stays with it, and a long notice in a sidebar does not become content.
 
 Text inside a block has character references decoded and white space turned into single spaces; blocks join in page order
-by two \n. Nothing is dropped but what is labelled boilerplate, scripts, styles, markup and comments. Pages are parsed in
+by two \n. Furniture is inherited from tags (nav, footer and the like); from class and id words it is a cost that weakens with
+distance, and words of a layout (has-sidebar, share-enabled) name nothing. An article or main element starts anew unless it
+stands in a nav, aside, footer, dialog or in comments, and a form that holds the page's header, main text or headline is a
+wrapper, not a form. Nothing is dropped but what is labelled boilerplate, scripts, styles, markup and comments. Pages are parsed in
 Arrow batches, one at a time, without a shuffle; memory is that of one page.
 
 Defined cases: null or empty html gives an empty text; broken markup is read as far as it goes (elements that are never
@@ -22,6 +25,7 @@ import re
 from collections import deque
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from math import inf
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,11 +34,20 @@ from pyspark.sql import functions as F
 BLOCK_TAGS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe label legend li main menu nav ol optgroup option p pre search section select summary table tbody td template textarea tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Never text of a page.
-HIDDEN = frozenset("script style noscript template head title svg math iframe object canvas audio video".split())
+HIDDEN = frozenset("script style noscript template head title svg annotation annotation-xml iframe object canvas audio video".split())
 #: Elements whose text is boilerplate wherever they stand; select, button and the like are parts of forms.
 CHROME_TAGS = frozenset("nav footer aside form menu dialog search select button textarea option fieldset".split())
 #: Words of class and id names, and roles, that mark page furniture or the article.
 CHROME_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline-share comment comments commentlist consent cookie cookies copyright disqus disclaimer dropdown follow footer form gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popular popup promo promos promoted recommend recommended recommendations related replies reply respond rss search share sharing sidebar sidebars signup social sponsor sponsored subscribe subscription tags toolbar topbar trending widget widgets banner complementary contentinfo".split())
+#: Of these, what marks comments; and roles and tags in which an article is not the page's own.
+COMMENT_WORDS = frozenset("comment comments commentlist disqus replies reply respond".split())
+APART_ROLES = frozenset("navigation complementary contentinfo search dialog".split())
+APART_TAGS = frozenset("nav footer aside menu dialog search".split())
+#: Parts of a name that say what a layout has, not what an element is; and parts that name the whole together with a listed word.
+LAYOUT_WORDS = frozenset("has with no without layout enabled disabled".split())
+KIND_WORDS = frozenset("area articles block article box container entry items list posts page post section site stories user wrap wrapper".split())
+#: What a form holds only if it is wrapped around a page.
+PAGE_TAGS = frozenset("header nav main article aside footer h1".split())
 ARTICLE_WORDS = frozenset("article articlebody body content entry main maintext post story text".split())
 #: An open element that the key ends.
 ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
@@ -45,25 +58,52 @@ NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 #: Log-odds of content.
 BIAS, CHROME, ARTICLE, LINKS, LENGTH, SENTENCE, TERSE = 0.3, -6.0, 4.0, -3.0, 1.2, 0.8, -0.6
+#: Elements after which the weight of a class word is halved.
+FADE = 4
 #: Capacities of edges: to the next block (over one plus the steps between the two in the DOM), and within a parent.
 NEXT, SIBLING = 1.5, 0.6
 
 
 class Element:
-    __slots__ = ("tag", "up", "depth", "chrome", "article", "hidden")
+    __slots__ = ("tag", "up", "depth", "words", "named", "apart", "hard", "wraps", "top", "article", "hidden", "name_off", "word_off", "chrome")
 
-    def __init__(self, tag: str, up: Element | None, words: set[str], hidden: bool = False):
+    def __init__(self, tag: str, up: Element | None, names: list[str], roles: set[str], hidden: bool = False):
         self.tag, self.up = tag, up
         self.depth = up.depth + 1 if up else 0
+        plain = tag not in ("html", "body")  # these carry words that describe the page, not what is in them
+        parts = [{w.lower() for w in NAME.findall(n)} for n in names] if plain else []
         inner = bool(up and up.article)
-        if inner:
-            words = words - {"header"}  # an article's own heading
-        own = tag in CHROME_TAGS or (tag == "header" and not inner) or bool(words & CHROME_WORDS)
-        # body and html carry words that describe the page, not what is in them
-        own = own and tag not in ("html", "body", "main")
-        self.chrome = own or bool(up and up.chrome)
-        self.article = not self.chrome and (inner or tag in ("article", "main") or bool(words & ARTICLE_WORDS and tag not in ("html", "body")))
+        chrome = CHROME_WORDS - {"header"} if inner else CHROME_WORDS  # an article's own heading
+        self.words = chrome & roles.union(*(p for p in parts if not p & LAYOUT_WORDS))
+        # names that are nothing but listed words, such as related-posts
+        self.named = [p & chrome for p in parts if p & chrome and p <= CHROME_WORDS | KIND_WORDS]
+        comments = tag != "main" and any(n & COMMENT_WORDS for n in self.named)
+        self.apart = bool(up and up.apart) or tag in APART_TAGS or bool(roles & APART_ROLES) or comments
+        self.top = "main" if tag == "main" or "main" in roles else "article" if tag == "article" else ""
+        self.hard = tag in CHROME_TAGS or (tag == "header" and not inner)
+        self.article = not self.apart and (inner or bool(self.top) or bool(ARTICLE_WORDS & roles.union(*parts)))
         self.hidden = hidden or tag in HIDDEN or bool(up and up.hidden)
+        self.wraps, self.chrome = False, 0.0
+        self.name_off = self.word_off = inf
+        if self.top or tag in PAGE_TAGS:
+            while up and not up.wraps:
+                up.wraps, up = True, up.up
+
+    def settle(self) -> None:
+        """How far the element is furniture, from 0 to 1; once the page is read, parents first. Offsets count the elements
+        from the one that bears a name or word."""
+        up = self.up
+        if self.apart:
+            self.hard = True
+        elif self.top:
+            # a name around an article still weighs on it, since teasers are articles too; a page has one main
+            self.hard = False
+            self.name_off = inf if self.top == "main" else 0 if self.named else up.name_off + 1
+        else:
+            self.hard = (self.hard and not (self.tag == "form" and self.wraps)) or bool(up and up.hard)
+            self.name_off = 0 if self.named else up.name_off + 1 if up else inf
+            self.word_off = 0 if self.words else up.word_off + 1 if up else inf
+        self.chrome = 1.0 if self.hard else FADE / (FADE + min(self.name_off, self.word_off))
 
 
 class Block:
@@ -79,7 +119,8 @@ class Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
-        self.open = [Element("", None, set())]
+        self.open = [Element("", None, [], set())]
+        self.elements = self.open[:]
         self.parts: list[str] = []
         self.linked = self.links = 0
 
@@ -105,14 +146,17 @@ class Blocks(HTMLParser):
             self.parts.append(" ")
         if tag in VOID:
             return
-        words, hidden = set(), False
+        names, roles, hidden = [], set(), False
         for name, value in attrs:
-            if name in ("class", "id", "role") and value:
-                words |= {w.lower() for w in NAME.findall(value)}
+            if name in ("class", "id") and value:
+                names += value.split()
+            elif name == "role" and value:
+                roles |= {w.lower() for w in NAME.findall(value)}
             elif name == "hidden" or (name == "style" and value and "display:none" in value.replace(" ", "").lower()):
                 hidden = True
         self.links += tag == "a"
-        self.open.append(Element(tag, self.open[-1], words, hidden))
+        self.open.append(Element(tag, self.open[-1], names, roles, hidden))
+        self.elements.append(self.open[-1])
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -141,7 +185,7 @@ def cost(b: Block) -> float:
     words = b.text.count(" ") + 1
     s = BIAS + LINKS * b.linked / len(b.text) + LENGTH * min(words / 20, 1.5)
     s += SENTENCE if b.text[-1] in ".!?…:;\"”»" else TERSE if words < 4 else 0
-    return s + (CHROME if b.at.chrome else ARTICLE if b.at.article else 0)
+    return s + CHROME * b.at.chrome + (ARTICLE * (1 - b.at.chrome) if b.at.article else 0)
 
 
 def steps(a: Element, b: Element) -> int:
@@ -215,6 +259,8 @@ def blocks_of(html: str | None) -> list[Block]:
     parser.feed(html or "")
     parser.close()
     parser.flush()
+    for e in parser.elements:
+        e.settle()
     return parser.blocks
 
 

@@ -27,6 +27,29 @@ def test_odd_pages():
     assert deep == "\n\n".join(["word word word."] * 3000)
 
 
+def test_wrappers_are_not_furniture():
+    text = "A paragraph of the article with a good number of words in it, so that it is long enough."
+    for tag in ("main", "article", "div role=main"):
+        body = f"<{tag}><h2>Heading</h2><p>{text}</p><p>Short.</p></{tag.split()[0]}>"
+        want = f"Heading\n\n{text}\n\nShort."
+        for name in ("wrapper has-sidebar", "layout-sidebar-right", "page with-banner", "post-share-enabled"):
+            assert main_text(f"<div class='{name}'><div>{body}</div></div>") == want
+            assert main_text(f"<div id='{name.split()[-1]}'>{body}</div>") == want
+        assert main_text(f"<form id=aspnetForm><div class=nav><a href=/>Home</a></div><div>{body}</div></form>") == want
+        for outer in ("aside", "nav", "footer", "div class=comments", "div role=navigation"):
+            assert main_text(f"<p>{text}</p><{outer}>{body}</{outer.split()[0]}>") == text
+    assert main_text(f"<form><header>Site</header><div class=content><p>{text}</p></div><label>Mail</label></form>") == text
+    assert main_text(f"<div class='wrapper has-sidebar'><div class=content><p>{text}</p></div></div>") == text
+    teaser = "<div class=related-posts><article><h3><a href=/x>Other page</a></h3><p>Some words on it.</p></article></div>"
+    assert main_text(f"<main><p>{text}</p>{teaser}</main>") == text
+    assert main_text(f"<article><p>{text}</p></article><form><p>{text}</p></form><div class=sidebar><p>{text}</p></div>") == text
+
+
+def test_formulas_are_text():
+    formula = "<math><mi>E</mi><mo>=</mo><mi>m</mi><annotation encoding=x>E=m</annotation></math>"
+    assert main_text(f"<article><p>So {formula} holds.</p></article>") == "So E=m holds."
+
+
 def test_cut_is_least():
     r = random.Random(5)
     for _ in range(60):
