@@ -13,9 +13,6 @@ from retort.functions import bits
 from retort.functions.expr import let
 from retort.functions.molecule import m, z_at
 
-#: A molecule's atoms are refined so many times for its key; atoms farther apart than that do not see each other.
-KEY_ROUNDS = 12
-
 
 def _start(kept: Column | None = None, generic: bool = False) -> Column:
     """First hash of each atom; of kept atoms, if given, as if they were the whole molecule."""
@@ -45,9 +42,11 @@ def _next(hashes: Column, kept: Column | None = None, generic: bool = False) ->
 LONGS = "array<bigint>"
 
 
-def _hashes(rounds: int, kept: Column | None = None, generic: bool = False) -> Column:
-    """Hashes of all atoms after so many rounds."""
-    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), _start(kept, generic).cast(LONGS), lambda h, _: _next(h, kept, generic).cast(LONGS))
+def refined(rounds: int | None = None, kept: Column | None = None, generic: bool = False) -> Column:
+    """Hashes of all atoms after so many rounds; by default as many as there are (kept) atoms, so that all see each other."""
+    n = F.size(m("z") if kept is None else F.filter(kept, lambda k: k))
+    last = F.greatest(n, F.lit(1)) if rounds is None else F.lit(rounds)
+    return F.aggregate(F.sequence(F.lit(1), last), _start(kept, generic).cast(LONGS), lambda h, _: _next(h, kept, generic).cast(LONGS))
 
 
 def _all_hashes(rounds: int) -> Column:
@@ -122,7 +121,7 @@ def atom_pairs(df: DataFrame, n_bits: int = 2048, out: str = "words", farthest:
     return df.withColumn(out, F.when(F.col("mol").isNotNull(), bits.words_from_bits(let(_types(), folded), n_bits)))
 
 
-def key(df: DataFrame, out: str = "mol_key", rounds: int = KEY_ROUNDS, kept: str | None = None, generic: bool = False) -> DataFrame:
+def key(df: DataFrame, out: str = "mol_key", rounds: int | None = None, kept: str | None = None, generic: bool = False) -> DataFrame:
     """df with out: a hex key that does not depend on how a molecule was written, by which equal molecules meet in joins and
     groups. kept: a column of flags by atom; the key is then of these atoms alone, empty if there are none."""
 
@@ -130,7 +129,7 @@ def key(df: DataFrame, out: str = "mol_key", rounds: int = KEY_ROUNDS, kept: str
         chosen = last if flags is None else F.transform(F.filter(F.arrays_zip(last.alias("h"), flags.alias("k")), lambda x: x["k"]), lambda x: x["h"])
         return let(chosen, lambda c: F.when(F.size(c) == 0, F.lit("")).otherwise(F.sha2(F.to_json(F.array_sort(c)), 256)))
 
-    made = text(_hashes(rounds)) if kept is None else let(F.col(kept), lambda k: text(_hashes(rounds, k, generic), k))
+    made = text(refined(rounds)) if kept is None else let(F.col(kept), lambda k: text(refined(rounds, k, generic), k))
     return df.withColumn(out, F.when(F.col("mol").isNotNull(), made))
 
 

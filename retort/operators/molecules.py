@@ -14,9 +14,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from retort.functions import graphs
 from retort.functions import molecule as M
 from retort.functions import smiles as S
 from retort.functions.elements import NUMBER
+from retort.functions.expr import let
 from retort.functions.molecule import m
 
 
@@ -69,15 +71,14 @@ def validate(df: DataFrame, smiles: str = "smiles", max_atoms: int | None = None
 
 
 def possible_centers() -> Column:
-    """sp3 carbons with four neighbours, one hydrogen at most, whose heavy neighbours differ by kind, degree or what they
-    bear; neighbours that differ farther out only are not told apart."""
+    """sp3 carbons with four neighbours, one hydrogen at most, whose heavy neighbours differ anywhere in the molecule."""
 
-    def center(i: Column) -> Column:
+    def center(hashes: Column, i: Column) -> Column:
         near = F.get(m("near"), i)
-        kind = F.transform(near, lambda j: F.struct(M.z_at(j), F.get(m("h"), j), M.degree(j), F.get(m("arom"), j), F.array_sort(F.transform(F.get(m("near"), j), lambda k: F.struct(M.z_at(k), F.get(m("h"), k), M.degree(k))))))
+        kind = F.transform(near, lambda j: F.get(hashes, j))
         return (M.z_at(i) == 6) & ~F.get(m("arom"), i) & (F.size(near) + F.get(m("h"), i) == 4) & (F.get(m("h"), i) <= 1) & (F.size(F.array_distinct(kind)) == F.size(near))
 
-    return M.atoms_where(center)
+    return let(graphs.refined(), lambda h: M.atoms_where(lambda i: center(h, i)))
 
 
 def undefined_centers() -> Column:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from retort.functions import bits, graphs, smiles
 from retort.functions import molecule as M
-from retort.operators import molecules
+from retort.operators import analysis, molecules
 from retort.plans import library
 
 #: Values of a widely used toolkit, from the literature: MolLogP, TPSA, acceptors, donors, rotatable bonds.
@@ -145,6 +145,20 @@ def test_validation(spark):
     assert got[5].warnings == ["1 undefined stereocenters"]
 
 
+def test_what_differs_far_away(spark):
+    chains = [(1, "CC(CCC=C(C)C)CCO", 1), (2, "CCCC(C)CCCCC", 1), (3, "CCCCC(C)CCCCC", 1), (4, "CCCCCC(C)CCCCC", 0), (5, "CC1CCCCC1", 0), (6, "CC1CCCC(C)(C)C1", 1), (7, "C" * 20 + "C(C)" + "C" * 21, 1), (8, "C" * 20 + "C(C)" + "C" * 20, 0)]
+    df = M.with_molecules(spark.createDataFrame([c[:2] for c in chains], "row_idx int, smiles string"))
+    assert {r.row_idx: r.n_potential for r in molecules.stereo_counts(df).collect()} == {i: n for i, _, n in chains}
+    isomers = analysis.stereoisomers(df).groupBy("id").count().collect()
+    assert {r.id: r["count"] for r in isomers} == {i: 2**n for i, _, n in chains}
+    warned = molecules.validate(df, stereo=True).where("size(warnings) > 0").collect()
+    assert {r.row_idx for r in warned} == {i for i, _, n in chains if n}
+    long = lambda a, b, c: "N" + "C" * a + "O" + "C" * b + "S" + "C" * c + "F"
+    rows = [(1, long(30, 40, 50)), (2, long(40, 30, 50)), (3, long(30, 40, 50).replace("N", "", 1)[::-1] + "N")]
+    keys = {r.row_idx: r.mol_key for r in graphs.key(M.with_molecules(spark.createDataFrame(rows, "row_idx int, smiles string"))).collect()}
+    assert keys[1] == keys[3] != keys[2]
+
+
 def test_rings_and_fragments(mols):
     got = {r.name: r for r in molecules.ring_info(mols).collect()}
     assert (got["morphine"].num_rings, got["indole"].ring_sizes, got["ethanol"].largest_ring) == (5, "5,6", 0)
