@@ -1,11 +1,14 @@
 r"""HTML extraction by minimum-cut labelling.
 
 A page becomes blocks: runs of text between block-level boundaries, each with the path of elements it stands in. A
-classifier turns each block's marks into a cost, the log-odds of content: tags and class or id words of the elements around
-it, link density, length and punctuation. Costs are terminal capacities, and smoothness edges tie blocks together: to the
-next block in page order, stronger the closer the two stand in the DOM, and to the block before in the same parent. A
-maximum flow gives the cut with least cost, and blocks on the source side are the main text. So a short line amid an
-article stays with it, and a long notice in a sidebar does not become content.
+logistic regression turns each block's marks into a cost, the log-odds of content: tags and class or id words of the elements
+around it, link density, length and punctuation. It is trained on blocks of pages whose address numbers a document: a block
+is content if it stands in that document's text. Each such page counts twice, as it is and as if its elements bore no names,
+so that the marks of the text itself are learned too. The weights are drawn to PRIOR, which is what a table without such
+documents gets. Costs are terminal capacities, and smoothness edges tie blocks together: to the next block in page order,
+stronger the closer the two stand in the DOM, and to the block before in the same parent. A maximum flow gives the cut with
+least cost, and blocks on the source side are the main text. So a short or linked line amid an article stays with it, and a
+lone sentence between menus does not become content.
 
 Text inside a block has character references decoded and white space turned into single spaces; blocks join in page order
 by two \n. Furniture is inherited from tags (nav, footer and the like); from class and id words it is a cost that weakens with
@@ -15,8 +18,9 @@ wrapper, not a form. Nothing is dropped but what is labelled boilerplate, script
 Arrow batches, one at a time, without a shuffle; memory is that of one page.
 
 Defined cases: null or empty html gives an empty text; broken markup is read as far as it goes (elements that are never
-closed end with the page, closing tags that match nothing are passed over); a page without article marks is labelled by its
-blocks alone; repeated rows and page_ids give a row each; other columns are ignored.
+closed end with the page, closing tags that match nothing are passed over, marked sections and processing instructions are
+no text); a page without article marks is labelled by its blocks alone; repeated rows and page_ids give a row each; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,10 +31,14 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 from math import inf
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from retort.llm.common import cut
+from retort.llm.logistic import sigmoid
+
 BLOCK_TAGS = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe label legend li main menu nav ol optgroup option p pre search section select summary table tbody td template textarea tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Never text of a page.
@@ -53,15 +61,19 @@ ARTICLE_WORDS = frozenset("article articlebody body content entry main maintext
 ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}, "option": {"option"}}
 #: Containers through which such an end does not reach.
 WALLS = {"p": BLOCK_TAGS - {"p"}, "li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SPACE = re.compile(r"\s+")
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
-#: Log-odds of content.
-BIAS, CHROME, ARTICLE, LINKS, LENGTH, SENTENCE, TERSE = 0.3, -6.0, 4.0, -3.0, 1.2, 0.8, -0.6
+#: Marks of a block, and the log-odds of content that a page without labels goes by.
+PRIOR = {"one": 0.3, "chrome": -6.0, "article": 2.5, "outside": -1.0, "links": -3.0, "length": 1.2, "sentence": 0.8, "terse": -0.6, "heading": 0.0}
+PRIOR_WEIGHTS = np.array(list(PRIOR.values()))
+#: How much the weights are drawn to PRIOR, per labelled block.
+RIDGE = 0.02
 #: Elements after which the weight of a class word is halved.
 FADE = 4
-#: Capacities of edges: to the next block (over one plus the steps between the two in the DOM), and within a parent.
-NEXT, SIBLING = 1.5, 0.6
+#: Capacities of edges: to the next block (over the steps between the two in the DOM), and within a parent.
+NEXT, SIBLING = 3.0, 1.0
 
 
 class Element:
@@ -116,6 +128,8 @@ class Block:
 class Blocks(HTMLParser):
     """The blocks of a page, in page order."""
 
+    PI_END = re.compile(r"\?>|<\?")
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[Block] = []
@@ -174,18 +188,45 @@ class Blocks(HTMLParser):
             if tag not in BLOCK_TAGS and self.open[k].tag in BLOCK_TAGS:
                 break  # an inline end does not close blocks
 
+    # a page is fed as a whole, so what is not closed ends with it
+
+    def parse_comment(self, i: int, report: int = 1) -> int:
+        for empty in ("<!-->", "<!--->"):
+            if self.rawdata.startswith(empty, i):
+                return i + len(empty)
+        return self._after("-->", i + 4)
+
+    def parse_html_declaration(self, i: int) -> int:
+        """Declarations, marked sections and what only looks like one end at the next >."""
+        if self.rawdata.startswith("<!--", i):
+            return self.parse_comment(i)
+        return self._after("]]>" if self.rawdata.startswith("<![CDATA[", i) else ">", i)
+
+    def parse_pi(self, i: int) -> int:
+        """A processing instruction ends at ?> if that comes before another one starts, else at the next >."""
+        ends = self.PI_END.search(self.rawdata, i + 2)
+        return ends.end() if ends and ends[0] == "?>" else self._after(">", i + 1)
+
+    def _after(self, mark: str, i: int) -> int:
+        end = self.rawdata.find(mark, i)
+        return len(self.rawdata) if end < 0 else end + len(mark)
+
     def handle_data(self, data: str) -> None:
         if not self.open[-1].hidden:
             self.parts.append(data)
             self.linked += len(data) if self.links > 0 else 0
 
 
-def cost(b: Block) -> float:
-    """Log-odds that a block is content."""
-    words = b.text.count(" ") + 1
-    s = BIAS + LINKS * b.linked / len(b.text) + LENGTH * min(words / 20, 1.5)
-    s += SENTENCE if b.text[-1] in ".!?…:;\"”»" else TERSE if words < 4 else 0
-    return s + CHROME * b.at.chrome + (ARTICLE * (1 - b.at.chrome) if b.at.article else 0)
+def marks(blocks: list[Block], bare: bool = False) -> np.ndarray:
+    """A row a block, a column for each entry of PRIOR. bare: as if tags and names told nothing."""
+    some = not bare and any(b.at.article for b in blocks)
+    rows = []
+    for b in blocks:
+        words, chrome = b.text.count(" ") + 1, 0.0 if bare else b.at.chrome
+        sentence = b.text[-1] in ".!?…:;\"”»"
+        inside = some and b.at.article
+        rows.append((1, chrome, inside * (1 - chrome), (some and not inside) * (1 - chrome), b.linked / len(b.text), min(words / 20, 1.5), sentence, not sentence and words < 4, not bare and b.at.tag in HEADINGS))
+    return np.array(rows, np.float64).reshape(len(rows), len(PRIOR))
 
 
 def steps(a: Element, b: Element) -> int:
@@ -264,26 +305,80 @@ def blocks_of(html: str | None) -> list[Block]:
     return parser.blocks
 
 
-def main_text(html: str | None) -> str:
-    blocks = blocks_of(html)
+def kept_blocks(blocks: list[Block], costs: list[float]) -> list[bool]:
+    """Which blocks are content: those on the source side of the minimum cut."""
     edges, last = [], {}
     for i, b in enumerate(blocks):
         if i:
-            edges.append((i - 1, i, NEXT / (1 + steps(blocks[i - 1].at, b.at))))
+            edges.append((i - 1, i, NEXT / max(steps(blocks[i - 1].at, b.at), 1)))
         parent = id(b.at.up or b.at)
         if parent in last and last[parent] < i - 1:
             edges.append((last[parent], i, SIBLING))
         last[parent] = i
-    keep = source_side([cost(b) for b in blocks], edges)
+    return source_side(costs, edges)
+
+
+def main_text(html: str | None, weights: np.ndarray = PRIOR_WEIGHTS) -> str:
+    blocks = blocks_of(html)
+    keep = kept_blocks(blocks, (marks(blocks) @ weights).tolist())
     return "\n\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
 
 
-def extracted(pages: DataFrame) -> DataFrame:
+def labelled(blocks: list[Block], text: str) -> np.ndarray:
+    """1 for each block whose text stands in the document: a line of it, or four words or more of one."""
+    lines = {" ".join(x.split()) for x in text.split("\n")}
+    plain = " ".join(text.split())
+    return np.array([b.text in lines or (b.text.count(" ") > 2 and b.text in plain) for b in blocks], np.float64)
+
+
+def train(pages: DataFrame, documents: DataFrame, most_pages: int = 400) -> np.ndarray:
+    """Weights from the blocks of at most most_pages pages (a documented bound; the first by a hash of page_id) whose address
+    numbers a document with text. Their marks and labels reach the driver, not their texts."""
+    from retort.llm.url_reputation import page_number
+
+    numbered = pages.select("page_id", F.col("html").cast("string").alias("html"), page_number(F.regexp_replace("url", r"[?#].*$", "")).alias("doc_id")).where("html is not null and doc_id is not null")
+    chosen = cut(numbered.orderBy(F.xxhash64("page_id", F.lit(13)), "page_id").limit(most_pages))
+    texts = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
+    both = chosen.join(texts.where("text <> ''").groupBy("doc_id").agg(F.min("text").alias("text")), "doc_id").select("html", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for html, text in zip(batch.column("html"), batch.column("text"), strict=True):
+                blocks = blocks_of(html.as_py())
+                y = labelled(blocks, text.as_py())
+                found += [np.column_stack([marks(blocks, bare), y]) for bare in (False, True)]
+            rows = np.concatenate(found) if found else np.zeros((0, len(PRIOR) + 1))
+            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.list_(pa.float64()))], ["row"])
+
+    got = both.mapInArrow(run, "row array<double>").toPandas()
+    if not len(got):
+        return PRIOR_WEIGHTS
+    rows = np.stack(got.row.to_list())
+    return fitted(rows[:, :-1], rows[:, -1])
+
+
+def fitted(x: np.ndarray, y: np.ndarray, steps_: int = 30) -> np.ndarray:
+    """Logistic regression by Newton steps, drawn to PRIOR. Equal rows are counted once with their number first, in one order,
+    so that the result doesn't depend on how rows came."""
+    both, n = np.unique(np.round(np.column_stack([x, y]), 6), axis=0, return_counts=True)
+    x, y, w = both[:, :-1], both[:, -1], PRIOR_WEIGHTS.copy()
+    pull = RIDGE * n.sum()
+    for _ in range(steps_):
+        p = sigmoid(x @ w)
+        step = np.linalg.solve((x.T * (n * p * (1 - p))) @ x + pull * np.eye(len(w)), x.T @ (n * (p - y)) + pull * (w - PRIOR_WEIGHTS))
+        w = w - step / max(1.0, np.abs(step).max())
+        if np.abs(step).max() < 1e-9:
+            break
+    return w
+
+
+def extracted(pages: DataFrame, weights: np.ndarray = PRIOR_WEIGHTS) -> DataFrame:
     """page_id, url, text, n_chars of each row of pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h.as_py()) for h in batch.column("html")]
+            texts = [main_text(h.as_py(), weights) for h in batch.column("html")]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     plain = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))

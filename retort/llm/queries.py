@@ -17,7 +17,8 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.extracted(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extracted(pages, html_text.train(pages, table(spark, sf_dir, "documents")))
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,6 +50,46 @@ def test_formulas_are_text():
     assert main_text(f"<article><p>So {formula} holds.</p></article>") == "So E=m holds."
 
 
+def test_junk_is_no_text_and_never_raises():
+    text = "A paragraph with enough words in it to be read as the text of a page."
+    for junk in ("<![ foo>", "<![foo[x]]>", '<?php echo "a>b" ?>', "<?import x>", "<![CDATA[ a>b ]]>", "<!x>", "<!>", "<!-->", "<!--->", "<!-- a > b -->", "</>", "<?>"):
+        assert main_text(f"{junk}<p>{text}</p>{junk}<p>{text}</p>") == f"{text}\n\n{text}", junk
+    assert main_text(f"<p>{text}</p><!-- open") == main_text(f"<p>{text}</p><![ open") == main_text(f"<p>{text}</p><?open") == text
+    r = random.Random(1)
+    bits = ["<", "!", "[", "?", ">", "--", "p", "div", "/", '"', "'", "=", " ", "&", "#", "x", "article", "script", "CDATA[", "]]", "nav", "\n", "é", "<!", "<?", "</", "\x00", "&#xD800;"]
+    for _ in range(2000):
+        main_text("".join(r.choices(bits, k=r.randint(1, 25))))
+
+
+def test_only_the_cut_is_right():
+    text = "A paragraph of the text with a good number of words in it, so that it is long enough."
+    linked = "<p><a href=/x>the paper that is meant</a></p>"
+    page = f"<div><p>{text}</p>{linked}<p>{text}</p></div>" + "<div><div><a href=/a>Some other page</a></div><div><a href=/b>One more of them</a></div></div>"
+    blocks = html_text.blocks_of(page)
+    costs = (html_text.marks(blocks) @ html_text.PRIOR_WEIGHTS).tolist()
+    assert [c > 0 for c in costs] == [True, False, True, False, False]
+    assert html_text.kept_blocks(blocks, costs) == [True, True, True, False, False]
+
+
+def test_weights_are_learned_from_documents(spark):
+    r = random.Random(2)
+    say = lambda n: " ".join("".join(r.choices("abcdefgh", k=r.randint(2, 7))) for _ in range(n))
+    pages, docs = [], []
+    for k in range(60):
+        lines = [say(r.randint(1, 40)) + "." for _ in range(5)]
+        docs.append((k, "\n".join(lines)))
+        body = "".join(f"<div class=x>{t}</div>" for t in lines)
+        pages.append((k, f"http://h/en/{k}?q=1", f"<div class=sidebar>{say(12)}.</div><section>{body}</section><p><a href=/>{say(4)}</a></p>"))
+    pages += [(90, None, None), (91, "http://h/5", None), (92, "http://h/en/7000", "<p>x</p>")]
+    frame, texts = spark.createDataFrame(pages, "page_id long, url string, html string"), spark.createDataFrame([*docs, (None, "x"), (3, None)], "doc_id long, text string")
+    w = html_text.train(frame, texts)
+    assert (w == html_text.train(frame.repartition(5), texts)).all() and not (w == html_text.PRIOR_WEIGHTS).all()
+    got = {g.page_id: g.text for g in html_text.extracted(frame, w).collect()}
+    assert sum(got[k] == t.replace("\n", "\n\n") for k, t in docs) >= 58
+    for empty in (html_text.train(frame.limit(0), texts), html_text.train(frame, texts.limit(0))):
+        assert (empty == html_text.PRIOR_WEIGHTS).all()
+
+
 def test_cut_is_least():
     r = random.Random(5)
     for _ in range(60):
