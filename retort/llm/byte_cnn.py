@@ -4,8 +4,9 @@ Bytes are embedded, learned filters slide over them, and each filter is max-pool
 cover the whole document. The mean, maximum and minimum of the pooled values over all chunks go through one small hidden
 layer to a calibrated probability. Only bytes of the text are read: no label, language, source or id.
 
-Training takes a bounded sample of labelled rows (rows_per_class, and crop bytes of each, at a place given by its id);
-scoring reads every byte of every text in one pass without a shuffle, in blocks of a fixed number of bytes.
+Training takes a bounded sample of labelled rows (rows_per_class, with bytes_per_class bytes in all), whole texts, and a fixed
+number of steps; scoring reads every byte of every text in one pass without a shuffle. Both go through a text in blocks of a
+fixed number of bytes.
 
 Defined cases: a null text is scored as an empty one; texts shorter than a filter are padded with zero bytes; repeated
 rows and doc_ids are scored row by row; without labels of both classes every text gets score 1.
@@ -51,26 +52,41 @@ class Net:
         rows = np.lib.stride_tricks.as_strided(x, (n, WIDTH * EMBED), (EMBED * 4, 4), writeable=False)
         return np.ascontiguousarray(rows) @ self.p["W"]
 
-    def chunks(self, data: np.ndarray) -> np.ndarray:
-        """Max-pooled filters of each chunk: (chunks, FILTERS)."""
-        if len(data) < WIDTH:
-            data = np.concatenate([data, np.zeros(WIDTH - len(data), np.uint8)])
+    def blocks(self, data: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Filter values of BLOCK chunks at a time: where in the text they start, the values, and by chunk where in them it
+        starts and ends, alternating."""
         places = len(data) - WIDTH + 1
         n = chunk_count(places)
-        out = []
         for j in range(0, n, BLOCK):
             k = min(j + BLOCK, n)
             low, high = j * STEP, min((k - 1) * STEP + CHUNK, places)
-            values = self.convolved(data[low : high + WIDTH - 1])
             edges = np.empty(2 * (k - j), np.int64)
             edges[::2] = np.arange(k - j) * STEP
             edges[1::2] = np.minimum(edges[::2] + CHUNK, high - low)
+            yield low, self.convolved(data[low : high + WIDTH - 1]), edges
+
+    def chunks(self, data: np.ndarray) -> np.ndarray:
+        """Max-pooled filters of each chunk: (chunks, FILTERS)."""
+        out = []
+        for _, values, edges in self.blocks(padded(data)):
             # reduceat takes from each edge up to the next, or to the end after the last
             last = values[edges[-2] :].max(axis=0, keepdims=True)
             head = edges[:-2]
             out.append(np.concatenate([np.maximum.reduceat(values, head, axis=0)[::2], last]) if len(head) else last)
         return np.maximum(np.concatenate(out) + self.p["c"], 0)
 
+    def places(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in the text each chunk's greatest filter values are, and the values: two (chunks, FILTERS)."""
+        place, top = [], []
+        for low, values, edges in self.blocks(data):
+            v = np.ascontiguousarray(values.T)
+            whole = len(edges) // 2 - 1  # all chunks but the last are of full length
+            windows = np.lib.stride_tricks.sliding_window_view(v, CHUNK, axis=1)[:, ::STEP][:, :whole] if whole else v[:, :0, None]
+            at = np.concatenate([windows.argmax(axis=2) + edges[:-2:2], v[:, edges[-2] : edges[-1]].argmax(axis=1)[:, None] + edges[-2]], axis=1)
+            top.append(np.take_along_axis(v, at, axis=1).T)
+            place.append(at.T + low)
+        return np.concatenate(place), np.maximum(np.concatenate(top) + self.p["c"], 0)
+
     def logit(self, pooled: np.ndarray) -> np.ndarray:
         h = np.maximum(pooled @ self.p["U"] + self.p["d"], 0)
         return h @ self.p["v"] + self.p["e"][0]
@@ -83,6 +99,10 @@ class Net:
         return float(sigmoid(self.a * z.astype(np.float64) + self.b)[0])
 
 
+def padded(data: np.ndarray) -> np.ndarray:
+    return data if len(data) >= WIDTH else np.concatenate([data, np.zeros(WIDTH - len(data), np.uint8)])
+
+
 def chunk_count(places: int) -> int:
     return 1 if places <= CHUNK else -(-(places - CHUNK) // STEP) + 1
 
@@ -105,10 +125,7 @@ def _gradients(net: Net, batch: list[np.ndarray], y: np.ndarray, w: np.ndarray)
     p, n_docs = net.p, len(batch)
     pooled, keep = np.zeros((n_docs, 3 * FILTERS), np.float32), []
     for i, data in enumerate(batch):
-        values = net.convolved(data)
-        n = chunk_count(len(values))
-        place = np.stack([values[j * STEP : j * STEP + CHUNK].argmax(axis=0) + j * STEP for j in range(n)])
-        m = np.maximum(np.take_along_axis(values, place, axis=0) + p["c"], 0)
+        place, m = net.places(data)
         high, low = m.argmax(axis=0), m.argmin(axis=0)
         cols = np.arange(FILTERS)
         pooled[i] = np.concatenate([m.mean(axis=0), m[high, cols], m[low, cols]])
@@ -119,7 +136,7 @@ def _gradients(net: Net, batch: list[np.ndarray], y: np.ndarray, w: np.ndarray)
     dh = dz[:, None] * p["v"][None, :] * (pre > 0)
     g = {"v": h.T @ dz, "e": dz.sum(keepdims=True), "U": pooled.T @ dh, "d": dh.sum(axis=0), "W": np.zeros_like(p["W"]), "E": np.zeros_like(p["E"]), "c": np.zeros_like(p["c"])}
     dpooled = dh @ p["U"].T
-    cols = np.arange(FILTERS)
+    cols, bytes_, slopes = np.arange(FILTERS), [], []
     for i, (place, m, high, low) in enumerate(keep):
         dm = np.repeat(dpooled[i, None, :FILTERS] / len(m), len(m), axis=0)
         dm[high, cols] += dpooled[i, FILTERS : 2 * FILTERS]
@@ -129,35 +146,32 @@ def _gradients(net: Net, batch: list[np.ndarray], y: np.ndarray, w: np.ndarray)
         at = batch[i][place[:, :, None] + np.arange(WIDTH)]  # chunks, filters, width
         x = p["E"][at].reshape(*place.shape, -1)
         g["W"] += np.einsum("cf,cfk->kf", dm, x)
-        dx = dm[:, :, None] * p["W"].T[None]
-        np.add.at(g["E"], at.reshape(-1), dx.reshape(-1, EMBED))
+        bytes_.append(at.reshape(-1))
+        slopes.append((dm[:, :, None] * p["W"].T[None]).reshape(-1, EMBED))
+    at, dx = np.concatenate(bytes_), np.concatenate(slopes)
+    g["E"] = np.stack([np.bincount(at, dx[:, k], 256) for k in range(EMBED)], axis=1)
     return g
 
 
-def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = 1500, crop: int = 2048, epochs: int = 5, rate: float = 0.01) -> Net:
-    """Fit on labels as given: the caller leaves out rows that must not be learned from. Documented bound: 2 *
-    rows_per_class rows of crop bytes reach the driver."""
-    sample, counts = labelled_sample(docs, labels, rows_per_class)
-    data = F.encode("text", "UTF-8")
-    room = F.greatest(F.octet_length("text") - crop, F.lit(0))
-    start = F.pmod(F.xxhash64("doc_id", F.lit(3)), room + 1).cast("int") + 1
-    got = sample.select("doc_id", "y", F.substring(data, start, F.lit(crop)).alias("data")).toPandas().sort_values("doc_id")
+def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = 1500, bytes_per_class: int = 32_000_000, steps: int = 500, rate: float = 0.01, batch: int = 24) -> Net:
+    """Fit on labels as given: the caller leaves out rows that must not be learned from. Documented bound: whole texts of at
+    most rows_per_class rows and bytes_per_class bytes a class reach the driver."""
+    sample, counts = labelled_sample(docs, labels, rows_per_class, bytes_per_class)
+    got = sample.select("doc_id", "y", F.encode("text", "UTF-8").alias("data")).toPandas().sort_values("doc_id")
     y = got.y.to_numpy(np.int64)
     if len(set(y)) < 2:
         return Net()
-    texts = [np.frombuffer(x.ljust(WIDTH, b"\0"), np.uint8) for x in got.data]
+    texts = [padded(np.frombuffer(x, np.uint8)) for x in got.data]
     fit = np.arange(len(y)) % 5 != 4
     if len(set(y[fit])) < 2 or len(set(y[~fit])) < 2:
         fit[:] = True
     net, rng = Net.random(), np.random.default_rng(7)
     adam, rows = Adam(net.p, rate), np.flatnonzero(fit)
     w = np.where(y > 0, 0.5 / max((y[fit] > 0).mean(), 1e-9), 0.5 / max((y[fit] == 0).mean(), 1e-9))
-    epochs = max(epochs, min(40, 5 * 1200 // max(len(rows), 1)))  # few rows: more passes
-    for epoch in range(epochs):
-        order = rng.permutation(rows)
-        for k in range(0, len(order), 24):
-            part = order[k : k + 24]
-            adam.step(_gradients(net, [texts[i] for i in part], y[part], w[part]), 1 - 0.9 * epoch / max(epochs - 1, 1))
+    order = np.concatenate([rng.permutation(rows) for _ in range(-(-steps * batch // len(rows)))])
+    for k in range(steps):
+        part = order[k * batch : (k + 1) * batch]
+        adam.step(_gradients(net, [texts[i] for i in part], y[part], w[part]), 1 - 0.9 * k / steps)
     held = np.flatnonzero(~fit) if not fit.all() else rows
     z = np.array([_raw(net, texts[i]) for i in held], np.float64)
     net.a, net.b = platt(z, y[held], class_weights(y[held], counts))

@@ -22,15 +22,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which all executors share. Where it is unset, a folder of our own, but only
+    in local mode: on a cluster no other machine could read it."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="retort-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut, kept where all executors can read them."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="retort-"))
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+#: Parts over which spread_join deals the rows of one key.
+SALTS = 64
+
+
+def spread_join(rows: DataFrame, values: DataFrame, key: str, by: str) -> DataFrame:
+    """rows and values (one row a key) joined on key, with no task that gets all rows of a key. rows are dealt to parts of
+    their key by a hash of column by; values go to each part that has rows, so a key costs values no more rows than it has
+    parts, and rows without value are left out."""
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+    parts = salted.groupBy(key, "_salt").agg(F.lit(1).alias("_one")).drop("_one")
+    return salted.join(parts.join(values, key), [key, "_salt"]).drop("_salt")
+
+
 def semi_by_size(df: DataFrame, ids: DataFrame, key: str, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Rows of df whose key is in ids (cut beforehand, so that counting is cheap): a broadcast if ids is small, else a shuffle."""
     return df.join(F.broadcast(ids) if ids.count() <= limit else ids, key, "left_semi")

@@ -141,10 +141,10 @@ class Sparse:
         return sum((np.bincount(self.idx[s], d[self.row[s]] * self.val[s], 1 << BITS) for s in self.slices), np.zeros(1 << BITS))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = 1000, steps: int = 60) -> Model:
-    """Fit on at most rows_per_class labelled rows a class (documented bound: 2 * rows_per_class rows reach the driver, as
-    sparse counts, at most 4 * 2**18 each)."""
-    sample, counts = labelled_sample(docs, labels, rows_per_class)
+def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = 1000, bytes_per_class: int = 8_000_000, steps: int = 60) -> Model:
+    """Fit on whole texts of at most rows_per_class labelled rows and bytes_per_class bytes a class. That is the documented
+    bound: the sparse counts that reach the driver are less than three a byte."""
+    sample, counts = labelled_sample(docs, labels, rows_per_class, bytes_per_class)
     got = sample.mapInArrow(_featurize, "doc_id long, y int, idx binary, val binary").toPandas().sort_values("doc_id")
     y = got.y.to_numpy(np.int64)
     if len(set(y)) < 2:

@@ -2,15 +2,23 @@
 
 Labelled page outcomes (bad or not) are counted by host, and hosts roll up to registered domains and these to suffixes.
 Each level is a beta-binomial: a group's bad rate is shrunk towards the posterior mean of the level above, with a strength
-that the data give (moments of the groups' rates). A host is blocked if the lower bound of its posterior bad rate, mean
-less 1.645 standard deviations, is over the limit: few bad pages don't block, and a host without labels has its domain's
-rate. All levels are sums over one row a host, so a host with a third of all pages costs one row a task in each shuffle.
+that the data give (moments of the groups' rates), at most MOST pages, so that a host with more labelled pages than that
+always tells more than its neighbours. A host is blocked if its bad rate is over the limit with the given credibility: the
+lower quantile of its posterior is the bound. The limit is the bad rate of all labelled pages unless one is given. Few bad
+pages of many don't block, and a host without labels has its domain's rate. All levels are sums over one row a host, so a
+host with a third of all pages costs one row a task in each shuffle. Verdicts are joined by broadcast up to a checked number
+of hosts; beyond it, pages of one host are dealt to parts.
+
+The quantile is that of a normal for the log-odds, with the beta's exact mean and variance of log-odds (digamma and trigamma
+by their series), which built-in functions can express.
 
 A rule is a host and a path; it fits that host and all its subdomains if the page's path starts with the rule's, and the
 longest fitting rule decides. Suffixes are the last label unless given in suffixes (such as co.uk).
 
 Defined cases: a null url, or one without ://, has empty host and path, and no rule fits it; its reputation is that of the
-empty host. Pages without a label count for nothing but are judged. Repeated rows count as often as they come.
+empty host. Pages without a label count for nothing but are judged. Without any labelled page no host is blocked. Repeated
+rows count as often as they come and are each judged; null page_ids are kept; an url of any length is read whole; other
+columns, also such as are named like results, are ignored.
 """
 
 from __future__ import annotations
@@ -18,11 +26,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retort.llm.common import ascii_lower, cut, small
+from retort.llm.common import ascii_lower, cut, small, spread_join
 
 #: (verdict, host, path)
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
-LIMIT, Z = 0.5, 1.645
+#: Most pages that the level above is worth; how sure it must be that a host is over the limit.
+MOST, CREDIBLE = 50.0, 0.8
+#: Fixed value: the standard normal's quantile at CREDIBLE.
+Z = 0.8416212335729143
+#: Hosts up to which their verdicts are broadcast.
+MAX_HOSTS = 100_000
 
 
 def host_and_path(url: str = "url") -> tuple[Column, Column]:
@@ -54,7 +67,14 @@ def _strength(groups: DataFrame, mean: str) -> Column:
     pages = F.sum(F.when(some, n)) - F.sum(F.when(some, n * n)) / F.sum(F.when(some, n))
     between = (spread - (F.count(F.when(some, n)) - 1) * chance) / pages
     worth = F.when((pages > 0) & (between > 0), chance / between - 1)
-    return F.least(F.greatest(F.coalesce(worth, F.lit(1000.0)), F.lit(2.0)), F.lit(1000.0))
+    return F.least(F.greatest(F.coalesce(worth, F.lit(MOST)), F.lit(2.0)), F.lit(MOST))
+
+
+def _moments(x: Column) -> tuple[Column, Column]:
+    """Digamma and trigamma: two steps of their recurrence, then the series."""
+    y = x + 2
+    psi = F.log(y) - 1 / (2 * y) - 1 / (12 * y * y) - 1 / x - 1 / (x + 1)
+    return psi, 1 / y + 1 / (2 * y * y) + 1 / (6 * y * y * y) + 1 / (x * x) + 1 / ((x + 1) * (x + 1))
 
 
 def _shrunk(groups: DataFrame, mean: str) -> DataFrame:
@@ -65,8 +85,8 @@ def _shrunk(groups: DataFrame, mean: str) -> DataFrame:
     return out.withColumn("rate", F.col("a") / (F.col("a") + F.col("b"))).drop("strength")
 
 
-def reputation(outcomes: DataFrame, suffixes: tuple[str, ...] = ()) -> DataFrame:
-    """outcomes: host, n and bad (0 or 1, or sums). Returns host, n, bad, a, b, rate, bound."""
+def reputation(outcomes: DataFrame, suffixes: tuple[str, ...] = (), z: float = Z) -> DataFrame:
+    """outcomes: host, n and bad (0 or 1, or sums). Returns host, n, bad, a, b, rate, bound, all_rate."""
     hosts = outcomes.groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffix = F.substring_index("host", ".", -1)
     for s in sorted(suffixes, key=len):
@@ -76,16 +96,16 @@ def reputation(outcomes: DataFrame, suffixes: tuple[str, ...] = ()) -> DataFrame
     hosts = cut(hosts)
     domains = cut(hosts.groupBy("domain").agg(F.first("suffix").alias("suffix"), F.sum("n").alias("n"), F.sum("bad").alias("bad")))
     ends = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
-    whole = ends.agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("all_rate"))
+    whole = cut(ends.agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("all_rate")))
     ends = cut(_shrunk(cut(ends.crossJoin(F.broadcast(whole))), "all_rate")).select("suffix", F.col("rate").alias("suffix_rate"))
     domains = cut(_shrunk(cut(domains.join(small(ends), "suffix")), "suffix_rate")).select("domain", F.col("rate").alias("domain_rate"))
     hosts = _shrunk(cut(hosts.join(small(domains), "domain")), "domain_rate")
-    total = F.col("a") + F.col("b")
-    bound = F.col("rate") - Z * F.sqrt(F.col("a") * F.col("b") / (total * total * (total + 1)))
-    return hosts.select("host", "n", "bad", "a", "b", "rate", bound.alias("bound"))
+    (ma, va), (mb, vb) = _moments(F.col("a")), _moments(F.col("b"))
+    bound = 1 / (1 + F.exp(-(ma - mb - z * F.sqrt(va + vb))))
+    return hosts.select("host", "n", "bad", "a", "b", "rate", bound.alias("bound")).crossJoin(F.broadcast(whole))  # one row
 
 
-def filtered(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, limit: float = LIMIT) -> DataFrame:
+def filtered(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, limit: float | None = None, max_hosts: int = MAX_HOSTS) -> DataFrame:
     """page_id, host, path, rule, verdict of each page. labels: doc_id, quality, toxic; a page is bad if the document that
     its address numbers has quality 0 or is toxic."""
     host, path = host_and_path()
@@ -94,10 +114,14 @@ def filtered(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str, s
     # one row a host and document before the join with labels
     counted = seen.withColumn("doc_id", page_number()).groupBy("host", "doc_id").agg(F.count("*").alias("pages"))
     outcomes = counted.join(bad, "doc_id", "left").select("host", F.when(F.col("bad").isNotNull(), F.col("pages")).otherwise(0).alias("n"), (F.coalesce("bad", F.lit(0)) * F.col("pages")).alias("bad"))
-    hosts = cut(reputation(outcomes).select("host", (F.col("bound") > limit).alias("blocked")))
+    over = F.col("all_rate") if limit is None else F.lit(limit)
+    hosts = cut(reputation(outcomes).select("host", (F.col("bound") > over).alias("blocked")))
+    if hosts.count() <= max_hosts:
+        out = seen.join(F.broadcast(hosts), "host")
+    else:  # each page's host has a row in hosts
+        out = spread_join(seen.withColumn("_by", F.xxhash64("page_id", "path")), hosts, "host", "_by")
     rule, verdict = rule_columns(rules)
-    out = seen.join(small(hosts), "host", "left")
-    named = F.when(F.coalesce("blocked", F.lit(False)), "block").otherwise("allow")
+    named = F.when(F.col("blocked"), "block").otherwise("allow")
     return out.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, named).alias("verdict"))
 
 
@@ -108,15 +132,17 @@ def _shrink_sql(name: str, source: str, keep: str, mean: str) -> str:
     {name}0 AS (SELECT CASE WHEN sum({some.format("1.0::DOUBLE * n")}) - sum({some.format("1.0::DOUBLE * n * n")}) / sum({some.format("1.0::DOUBLE * n")}) > 0 THEN
         (sum({some.format(f"n * (bad / n::DOUBLE - {m}) * (bad / n::DOUBLE - {m})")}) - (count({some.format("1")}) - 1) * avg({some.format(f"{m} * (1 - {m})")}))
         / (sum({some.format("1.0::DOUBLE * n")}) - sum({some.format("1.0::DOUBLE * n * n")}) / sum({some.format("1.0::DOUBLE * n")})) END AS between_, avg({some.format(f"{m} * (1 - {m})")}) AS chance FROM {source}),
-    {name}1 AS (SELECT least(greatest(coalesce(CASE WHEN between_ > 0 THEN chance / between_ - 1 END, 1000.0::DOUBLE), 2.0::DOUBLE), 1000.0::DOUBLE) AS worth FROM {name}0),
+    {name}1 AS (SELECT least(greatest(coalesce(CASE WHEN between_ > 0 THEN chance / between_ - 1 END, {MOST}::DOUBLE), 2.0::DOUBLE), {MOST}::DOUBLE) AS worth FROM {name}0),
     {name}2 AS (SELECT {keep}, bad + worth * {m} AS a, n - bad + worth * (1 - {m}) AS b FROM {source}, {name}1)"""
 
 
 def _sql() -> str:
+    psi = "ln({0} + 2) - 1 / (2 * ({0} + 2)) - 1 / (12 * ({0} + 2) * ({0} + 2)) - 1 / {0} - 1 / ({0} + 1)".format
+    psi1 = "1 / ({0} + 2) + 1 / (2 * ({0} + 2) * ({0} + 2)) + 1 / (6 * ({0} + 2) * ({0} + 2) * ({0} + 2)) + 1 / ({0} * {0}) + 1 / (({0} + 1) * ({0} + 1))".format
     fit = "WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}') THEN '{v}'"
     ordered = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
     rule = "CASE " + " ".join(fit.format(h=h, p=p, v=h + p) for _, h, p in ordered) + " END"
-    word = "CASE " + " ".join(fit.format(h=h, p=p, v=v) for v, h, p in ordered) + f" ELSE CASE WHEN bound > {LIMIT} THEN 'block' ELSE 'allow' END END"
+    word = "CASE " + " ".join(fit.format(h=h, p=p, v=v) for v, h, p in ordered) + f" ELSE CASE WHEN bound > (SELECT (sum(bad) + 1) / (sum(n) + 2) FROM es) THEN 'block' ELSE 'allow' END END"
     return f"""
     WITH seen AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
         regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages),
@@ -132,7 +158,7 @@ def _sql() -> str:
     {_shrink_sql("d", "ds1", "domain", "suffix_rate")},
     hs1 AS (SELECT h1.*, a / (a + b) AS domain_rate FROM h1 JOIN d2 USING (domain)),
     {_shrink_sql("k", "hs1", "host", "domain_rate")},
-    bounds AS (SELECT host, a / (a + b) - {Z} * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bound FROM k2)
+    bounds AS (SELECT host, 1 / (1 + exp(-({psi("a")} - ({psi("b")}) - {Z} * sqrt({psi1("a")} + {psi1("b")})))) AS bound FROM k2)
     SELECT page_id, host, path, {rule} AS rule, {word} AS verdict FROM seen JOIN bounds USING (host)
     """
 

@@ -63,7 +63,7 @@ def test_rules_learn_and_keep_clean_rows(spark):
 
 def test_network_learns_what_it_has_not_seen(spark):
     docs, labels = corpus(spark)
-    net = byte_cnn.train(docs, labels.where(~byte_cnn.held_out()), rows_per_class=100)
+    net = byte_cnn.train(docs, labels.where(~byte_cnn.held_out()), rows_per_class=100, steps=250)
     got = byte_cnn.apply(docs, net).join(labels, "doc_id").where(byte_cnn.held_out())
     assert got.where("(predicted = 1) = (quality = 1)").count() >= 0.9 * got.count() > 20
 
@@ -110,13 +110,34 @@ def test_edges_of_the_network(spark, edge_docs, no_docs):
     assert got.count() == edge_docs.count() and set(edge_docs.columns) <= set(got.columns)
     assert got.where("score <> 1 or predicted <> 1").count() == 0
     few = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (1, 1, 0), (None, 1, 0), (3, None, None), (100, 0, 0)], LABELS)
-    trained = byte_cnn.train(edge_docs, few)
+    trained = byte_cnn.train(edge_docs, few, steps=40)
     assert byte_cnn.apply(edge_docs, trained).where("score is null or score < 0 or score > 1").count() == 0
     assert byte_cnn.apply(no_docs, byte_cnn.train(no_docs, few)).count() == 0
     assert quality_rules.apply(no_docs, quality_rules.train(no_docs, few)).count() == 0
     assert quality_rules.apply(edge_docs, quality_rules.train(edge_docs, few, 10)).count() == edge_docs.count()
 
 
+def test_a_bad_end_of_a_long_text_shows(spark):
+    docs, labels = corpus(spark)
+    junk = " ".join("x&&&" for _ in range(40))
+    net = byte_cnn.train(docs, labels, rows_per_class=100, steps=200)
+    clean = max((r.text for r in docs.join(labels, "doc_id").where("quality = 1").collect()), key=len)
+    whole = net.score(clean * 30)
+    assert net.score(clean * 30 + junk * 30) < whole
+    assert np.allclose(net.places(np.frombuffer((clean * 90).encode(), np.uint8))[1], net.chunks(np.frombuffer((clean * 90).encode(), np.uint8)))
+
+
+def test_sample_is_bounded_by_rows_and_bytes(spark):
+    from retort.llm.logistic import labelled_sample
+
+    docs = spark.createDataFrame([(i, "é" * (50 + i)) for i in range(60)] + [(99, "y" * 5000), (98, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in [*range(60), 98, 99]], LABELS)
+    for rows, size in ((5, 10**6), (60, 1600)):
+        got = labelled_sample(docs, labels, rows, size)[0].collect()
+        assert all(0 < sum(r.y == y for r in got) <= rows and sum(len(r.text.encode()) for r in got if r.y == y) <= size for y in (0, 1))
+        assert got and all(r.text == "é" * (50 + r.doc_id) for r in got if r.doc_id < 60)
+
+
 def test_held_out_rows(spark):
     import zlib
 

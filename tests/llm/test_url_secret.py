@@ -2,6 +2,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from retort.llm import secret_scan, url_reputation
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -28,7 +30,7 @@ def test_rules_and_parts(spark):
 def test_reputation_shrinks(spark):
     hosts = [("bad.one.org", 200, 190), ("few.two.org", 2, 2), ("good.two.org", 300, 3), ("new.one.org", 0, 0), ("x.three.net", 50, 1)]
     got = {r.host: r for r in url_reputation.reputation(spark.createDataFrame(hosts, "host string, n long, bad long")).collect()}
-    assert got["bad.one.org"].bound > 0.5 > got["few.two.org"].bound
+    assert got["bad.one.org"].bound > 0.5 > got["few.two.org"].bound > 0
     assert got["good.two.org"].rate < got["few.two.org"].rate < 1
     assert got["new.one.org"].rate > got["x.three.net"].rate
     two = url_reputation.reputation(spark.createDataFrame([("a.co.uk", 1, 0)], "host string, n long, bad long"), suffixes=("co.uk",))
@@ -43,6 +45,29 @@ def test_labelled_pages_decide(spark):
     assert {r.verdict for r in got.collect() if not r.page_id % 2} == {"allow"}
 
 
+def test_many_hosts_and_a_hot_one(spark):
+    hot = spark.range(60_000).selectExpr("id as page_id", "concat('http://hot.bad.org/en/', id % 40) as url")
+    rest = spark.range(105_000).selectExpr("id + 100000 as page_id", "concat('http://h', id, '.example.net/en/', 1000 + id % 9) as url")
+    odd = spark.createDataFrame([(None, None), (None, "x"), (1, "http://hot.bad.org/en/1"), (1, "http://hot.bad.org/en/1")], "page_id long, url string")
+    pages = hot.union(rest).union(odd).withColumns({c: F.lit("x") for c in ("host", "path", "rule", "verdict", "n", "bad", "domain")})
+    labels = spark.createDataFrame([(k, 0, 0) for k in range(40)] + [(1000 + k, 1, 0) for k in range(9)], "doc_id long, quality int, toxic int")
+    got = url_reputation.filtered(pages, labels)
+    assert url_reputation.MAX_HOSTS < 105_000
+    by = {(r.verdict, r.hot): r.n for r in got.groupBy("verdict", (F.col("host") == "hot.bad.org").alias("hot")).agg(F.count("*").alias("n")).collect()}
+    assert by == {("block", True): 60_002, ("allow", False): 105_002}
+
+
+def test_bound_is_near_the_quantile(spark):
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    for a, b in ((12.5, 37.5), (3.0, 60.0), (0.8, 5.0), (200.0, 700.0)):
+        (ma, va), (mb, vb) = url_reputation._moments(F.lit(a)), url_reputation._moments(F.lit(b))
+        got = spark.range(1).select((1 / (1 + F.exp(-(ma - mb - url_reputation.Z * F.sqrt(va + vb))))).alias("q")).first().q
+        share = (r.beta(a, b, 200_000) < got).mean()
+        assert abs(share - (1 - url_reputation.CREDIBLE)) < (0.02 if a > 1 else 0.05)
+
+
 def base(text):
     text = text or ""
     found = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
