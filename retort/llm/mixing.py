@@ -5,15 +5,20 @@ source's words and what is over goes to the others by weight. That is a water le
 weight), found with running sums over one row a source.
 
 A source first takes all its documents as often as whole times fit its target (0, 1 or 2). For the rest, each document has
-a fixed 36-bit hash, and those under a threshold are taken once more. The threshold comes from a histogram: words by source
-and upper 16 bits of the hash, with running sums over at most 65,536 buckets a source; only the hashes of the boundary
-bucket are then run through one by one. Documents are not sorted. As the document at the boundary may be long, the search is nested:
-it is repeated with the budget that is left over documents that still fit, so each source ends close to its target.
-What a document gets follows from its own hash, size and source and from the small table of thresholds alone, so the
+a fixed 36-bit hash of its id and text, and those under a threshold are taken once more. The threshold comes from a
+histogram: words by source and upper 16 bits of the hash, whose running sums go over 256 coarse buckets and then over the 256
+fine ones of the boundary; only the hashes of the boundary bucket are then run through one by one. Documents are not sorted.
+As the document at the boundary may be long, the search is nested: it is repeated with the budget that is left over documents
+that still fit. Rows that are equal in id and text share one hash; of those at the boundary as many are taken as still fit, the
+first by their place in the input, found in the same way (by partition, then within one). So each source ends less than one
+document from what its target leaves room for.
+What a document gets follows from its own hash, size, source and place and from the small table of thresholds alone, so the
 texts themselves are never shuffled, and a source with a third of all rows is one row a bucket and task in each shuffle.
 
-Defined cases: null or empty text has size 0 and takes 0 words; a null source is a source, the last; rows with one doc_id
-or hash are taken or left together, as are repeated rows; an empty table gives an empty result.
+Defined cases: null or empty text has size 0 and takes 0 words; a null source is a source, the last; null and repeated
+doc_ids are told apart by their texts, and rows equal in both by their place, which is fixed while the input's files and
+their splits are; texts of any length are one size; columns named like results are replaced; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -31,8 +36,9 @@ PASSES = 3
 MAX_SOURCES = 100_000
 
 
-def hash36(c: str = "doc_id") -> Column:
-    return F.conv(F.substring(F.md5(F.coalesce(F.col(c).cast("string"), F.lit(""))), 1, 9), 16, 10).cast("long")
+def hash36(id_: str = "doc_id", text: str = "text") -> Column:
+    both = F.concat(F.coalesce(F.col(id_).cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(text).cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(both), 1, 9), 16, 10).cast("long")
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5) -> DataFrame:
@@ -55,53 +61,82 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return ranked.select("rank", "source", "source_size", target.alias("target"))
 
 
+def _first_over(sums: DataFrame, key: str, by_rank) -> DataFrame:
+    """rank, key, words: the first key by which a rank's running words exceed what is left, and the words before it; a null key
+    and all words if none does. sums: rank, key, words, before (words ahead of all), left; few rows a rank."""
+    run = sums.withColumn("upto", F.col("before") + F.sum("words").over(Window.partitionBy("rank").orderBy(key)))
+    edge = F.min(F.when(F.col("upto") > F.col("left"), F.struct(key, (F.col("upto") - F.col("words")).alias("before"))))
+    found = run.groupBy("rank").agg(edge.alias("edge"), F.max("upto").alias("all"))
+    return found.select("rank", F.col(f"edge.{key}").alias(key), F.coalesce("edge.before", "all").alias("words"))
+
+
 def thresholds(ranked: DataFrame, sources: DataFrame, passes: int = PASSES) -> DataFrame:
-    """sources with times (whole times a source is taken) and cuts, an array of (limit, below): a document of at most limit
-    words with a hash under below is taken once more. ranked: rank, h, size of all documents, cut beforehand."""
+    """sources with times (whole times a source is taken) and cuts, an array of (limit, below, upto): a document of at most
+    limit words is taken once more with a hash under below, or with that hash and a place under upto. ranked: rank, h, place,
+    size of all documents, cut beforehand."""
     few = sources.count() <= MAX_SOURCES
     by_rank = F.broadcast if few else (lambda df: df)
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int")
-    out = sources.withColumn("times", times).withColumn("cuts", F.array().cast("array<struct<limit:bigint,below:bigint>>"))
+    out = sources.withColumn("times", times).withColumn("cuts", F.array().cast("array<struct<limit:bigint,below:bigint,upto:bigint>>"))
     out = out.withColumn("left", F.floor(F.col("target") - F.col("times") * F.col("source_size")).cast("long"))
     for _ in range(passes):
-        # words by source and upper bits: the first bucket whose running sum is over the budget is the boundary
-        rest = ranked.join(by_rank(out.select("rank", "left", "cuts")), "rank").where((F.col("size") > 0) & (F.col("size") <= F.col("left")) & ~extra(F.col("cuts"), F.col("size"), F.col("h")))
-        sums = rest.groupBy("rank", F.shiftright("h", FINE).alias("b")).agg(F.sum("size").alias("words"), F.first("left").alias("left"))
-        upto = F.sum("words").over(Window.partitionBy("rank").orderBy("b"))
-        run = sums.withColumn("upto", upto)
-        over = F.col("upto") > F.col("left")
-        edge = F.min(F.when(over, F.struct("b", (F.col("upto") - F.col("words")).alias("before"))))
-        edges = run.groupBy("rank").agg(edge.alias("edge"), F.sum("words").alias("all"))
-        edges = cut(edges.select("rank", F.col("edge.b").alias("b"), F.coalesce("edge.before", "all").alias("words")))
+        rest = ranked.join(by_rank(out.select("rank", "left", "cuts")), "rank").where((F.col("size") > 0) & (F.col("size") <= F.col("left")) & ~extra(F.col("cuts")))
+        fine = cut(rest.groupBy("rank", F.shiftright("h", FINE).alias("b")).agg(F.sum("size").alias("words"), F.first("left").alias("left")))
+        coarse = fine.groupBy("rank", F.shiftright("b", 8).alias("c")).agg(F.sum("words").alias("words"), F.first("left").alias("left"))
+        edge = _first_over(coarse.withColumn("before", F.lit(0)), "c", by_rank)
+        within = fine.join(by_rank(edge.where("c is not null").withColumnRenamed("words", "before")), "rank").where(F.shiftright("b", 8) == F.col("c"))
+        whole = edge.where("c is null").select("rank", F.lit(None).cast("long").alias("b"), "words")
+        edges = cut(_first_over(within, "b", by_rank).unionByName(whole))
         # only the boundary bucket is looked at again, hash by hash
-        inside = rest.join(by_rank(edges.where("b is not null")), "rank").where(F.shiftright("h", FINE) == F.col("b"))
-        hashes = inside.groupBy("rank", "h").agg(F.sum("size").alias("n"), F.first("left").alias("left"), F.first("words").alias("words"))
-        run = hashes.withColumn("upto", F.col("words") + F.sum("n").over(Window.partitionBy("rank").orderBy("h")))
-        last = run.where(F.col("upto") > F.col("left")).groupBy("rank").agg(F.min(F.struct("h", (F.col("upto") - F.col("n")).alias("before"))).alias("last"))
-        done = edges.join(last, "rank", "left").select("rank", F.coalesce("last.h", F.lit(1 << 36)).alias("below"), F.coalesce("last.before", "words").alias("words"))
-        next_cut = F.struct(F.col("left").alias("limit"), F.coalesce("below", F.lit(0)).cast("bigint").alias("below"))
-        out = out.join(done, "rank", "left").withColumn("cuts", F.concat("cuts", F.array(next_cut))).withColumn("left", F.col("left") - F.coalesce("words", F.lit(0)))
-        out = cut(out.drop("below", "words"))
-    return out.drop("left")
+        inside = rest.join(by_rank(edges.where("b is not null").withColumnRenamed("words", "before")), "rank").where(F.shiftright("h", FINE) == F.col("b"))
+        hashes = inside.groupBy("rank", "h").agg(F.sum("size").alias("words"), F.first("left").alias("left"), F.first("before").alias("before"))
+        last = _first_over(hashes, "h", by_rank).where("h is not null").withColumnRenamed("words", "at_last")
+        done = edges.join(last, "rank", "left").select("rank", F.coalesce("h", F.lit(1 << 36)).alias("below"), F.coalesce("at_last", "words").alias("words"))
+        out = cut(_with_cut(out, done, F.coalesce("below", F.lit(0)), F.lit(0)))
+    return _with_ties(ranked, out, by_rank).drop("left")
+
+
+def _with_cut(out: DataFrame, done: DataFrame, below: Column, upto: Column) -> DataFrame:
+    """out with one more cut, and what is left after the words in done."""
+    made = F.struct(F.col("left").alias("limit"), below.cast("bigint").alias("below"), upto.cast("bigint").alias("upto"))
+    joined = out.join(done, "rank", "left").withColumn("cuts", F.concat("cuts", F.array(made)))
+    return joined.withColumn("left", F.col("left") - F.coalesce("words", F.lit(0))).drop("below", "upto", "words")
+
+
+def _with_ties(ranked: DataFrame, out: DataFrame, by_rank) -> DataFrame:
+    """out with a cut for the rows that share the last boundary's hash: by partition of the input (the upper bits of place),
+    then by place within one."""
+    last = out.select("rank", "left", F.element_at("cuts", -1)["below"].alias("below"))
+    ties = ranked.join(by_rank(last), "rank").where("h = below and size > 0 and size <= left")
+    parts = ties.groupBy("rank", F.shiftright("place", 33).alias("part")).agg(F.sum("size").alias("words"), F.first("left").alias("left"))
+    edge = cut(_first_over(parts.withColumn("before", F.lit(0)), "part", by_rank))
+    inside = ties.join(by_rank(edge.where("part is not null").withColumnRenamed("words", "before")), "rank").where(F.shiftright("place", 33) == F.col("part"))
+    at = _first_over(inside.select("rank", "place", F.col("size").alias("words"), "before", "left"), "place", by_rank).withColumnRenamed("words", "taken")
+    done = edge.join(at, "rank", "left").join(by_rank(last.select("rank", "below")), "rank")
+    done = done.select("rank", F.col("below").alias("tied"), F.coalesce("place", F.lit((1 << 63) - 1)).alias("upto"), F.coalesce("taken", "words").alias("words"))
+    return cut(_with_cut(out, done, F.coalesce("tied", F.lit(0)), F.coalesce("upto", F.lit(0))).drop("tied"))
 
 
-def extra(cuts: Column, size: Column, h: Column) -> Column:
-    return F.exists(cuts, lambda c: (size <= c["limit"]) & (h < c["below"]))
+def extra(cuts: Column) -> Column:
+    """Whether a row (size, h, place) is taken once more."""
+    size, h, place = F.col("size"), F.col("h"), F.col("place")
+    return F.exists(cuts, lambda c: (size <= c["limit"]) & ((h < c["below"]) | (h == c["below"]) & (place < c["upto"])))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, passes: int = PASSES) -> DataFrame:
     """All columns of docs with size, source_size, target, copies (times the mix takes the document) and taken (words)."""
-    added = ("size", "source_size", "target", "copies", "taken")
+    added = ("size", "source_size", "target", "copies", "taken", "h", "place")
     plain = docs.drop(*added)
-    sized = plain.withColumn("size", n_words("text"))
-    narrow = cut(sized.select("source", "size", hash36().alias("h")))
+    sized = plain.withColumns({"size": n_words("text"), "h": hash36(), "place": F.monotonically_increasing_id()})
+    narrow = cut(sized.select("source", "size", "h", "place"))
     sources = cut(targets(narrow, weights, share))
     ranks = sources.select("rank", F.col("source").alias("its_source"))
     few = sources.count() <= MAX_SOURCES
-    ranked = cut(narrow.join(F.broadcast(ranks) if few else ranks, F.col("source").eqNullSafe(F.col("its_source"))).select("rank", "h", "size"))
+    ranked = narrow.join(F.broadcast(ranks) if few else ranks, F.col("source").eqNullSafe(F.col("its_source"))).select("rank", "h", "place", "size")
+    ranked = ranked if few else cut(ranked)
     found = thresholds(ranked, sources, passes).select(F.col("source").alias("its_source"), "source_size", "target", "times", "cuts")
     out = sized.join(F.broadcast(found) if few else found, F.col("source").eqNullSafe(F.col("its_source")))
-    copies = F.col("times") + (extra(F.col("cuts"), F.col("size"), hash36()) & (F.col("size") > 0)).cast("int")
+    copies = F.col("times") + (extra(F.col("cuts")) & (F.col("size") > 0)).cast("int")
     out = out.withColumn("copies", copies)
     return out.select(*plain.columns, "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
@@ -116,7 +151,7 @@ def _sql() -> str:
 
     return f"""
     WITH d AS (SELECT doc_id, source, CAST(CASE WHEN text IS NULL THEN 0 ELSE len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) END AS BIGINT) AS size,
-                 CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 9) AS BIGINT) AS h FROM documents),
+                 CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 9) AS BIGINT) AS h FROM documents),
     s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
     r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM s),
     w AS (SELECT *, CAST(CASE (rank - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS DOUBLE) AS w, 2.0::DOUBLE * source_size AS cap FROM r),
@@ -128,7 +163,11 @@ def _sql() -> str:
     g2 AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS times FROM g),
     p0 AS (SELECT doc_id, size, h, rank, source_size, target, times, CAST(floor(target - times * source_size) AS BIGINT) AS left_words, 0 AS extra
            FROM d JOIN g2 ON d.source IS NOT DISTINCT FROM g2.source),{",".join(passed(k) for k in range(1, PASSES + 1))}
-    SELECT doc_id, size, source_size, target, CAST(size * (times + next_extra) AS BIGINT) AS taken FROM p{PASSES}
+,
+    b AS (SELECT rank, min(h) AS tied FROM p{PASSES} WHERE fits AND next_extra = 0 GROUP BY rank),
+    e AS (SELECT p.*, next_extra = 0 AND size > 0 AND size <= next_words AND h = tied AS may, row_number() OVER () AS r FROM p{PASSES} p LEFT JOIN b USING (rank)),
+    l AS (SELECT *, may AND sum(CASE WHEN may THEN size ELSE 0 END) OVER (PARTITION BY rank ORDER BY r) <= next_words AS tie FROM e)
+    SELECT doc_id, size, source_size, target, CAST(size * (times + next_extra + CASE WHEN tie THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM l
     """
 
 

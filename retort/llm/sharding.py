@@ -16,12 +16,14 @@ doc_id hashes like a value; with fewer documents than shards some shards stay em
 from __future__ import annotations
 
 import heapq
+import uuid
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from retort.llm.common import cut
+from retort.llm.common import cut, shared_folder
 
 SLOTS = 8192
 OVERHEAD = 16
@@ -40,7 +42,9 @@ class SlotMap:
         return spark.createDataFrame(rows, "version int, virtual_slot int, part int, n_parts int, shard int, bytes long, n_rows long")
 
     def write(self, spark: SparkSession, path: str) -> None:
-        """Adds this version to the table at path."""
+        """Adds this version to the table at path, which must not have it yet."""
+        if exists(spark, path) and spark.read.parquet(path).where(F.col("version") == self.version).take(1):
+            raise ValueError(f"version {self.version} of the map is there already")
         self.frame(spark).withColumn("n_shards", F.lit(self.n_shards)).write.mode("append").partitionBy("version").parquet(path)
 
     @classmethod
@@ -83,6 +87,14 @@ def _placed(rows: list[tuple[int, ...]], load: list[int]) -> list[tuple[int, ...
     return out
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a table is at path."""
+    try:
+        return bool(spark.read.parquet(path).columns)
+    except AnalysisException:
+        return False
+
+
 def sizes(docs: DataFrame) -> DataFrame:
     return docs.withColumn("size", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + OVERHEAD)
 
@@ -114,18 +126,37 @@ def assigned(docs: DataFrame, slots: SlotMap, n_slots: int = SLOTS) -> DataFrame
         placed = docs.drop(*added[1:])
     table = slots.frame(spark).select(*added)
     counts = F.broadcast(table.select("virtual_slot", "n_parts").distinct())
-    placed = placed.join(counts, "virtual_slot")
+    placed = placed.join(counts, "virtual_slot", "left").fillna(1, "n_parts")
     turn = F.when(F.col("n_parts") > 1, F.pmod(F.monotonically_increasing_id(), F.col("n_parts"))).otherwise(0)
     placed = placed.withColumn("part", turn.cast("int")).drop("n_parts")
-    return placed.join(F.broadcast(table.drop("n_parts")), ["virtual_slot", "part"])
+    placed = placed.join(F.broadcast(table.drop("n_parts")), ["virtual_slot", "part"], "left")
+    return placed.withColumn("shard", F.coalesce("shard", F.pmod("virtual_slot", F.lit(slots.n_shards))))
+
+
+def stored_map(narrow: DataFrame, n_shards: int, n_slots: int, path: str | None) -> SlotMap:
+    """The latest version of the map stored at path, moved on to the next version if it has other shards; where none is there,
+    version 1 made from narrow and stored. Without a path, one in the folder that all executors share. A slot that the stored
+    map doesn't know goes to a shard by its number."""
+    spark = narrow.sparkSession
+    path = path or f"{shared_folder(spark)}/slot-map-{uuid.uuid4().hex}"
+    if exists(spark, path):
+        slots = SlotMap.read(spark, path)
+        if slots.n_shards == n_shards:
+            return slots
+        slots = slots.rebalanced(n_shards)
+    else:
+        slots = build_map(narrow, n_shards, n_slots)
+    if slots.rows:
+        slots.write(spark, path)
+    return slots
 
 
-def shard(docs: DataFrame, n_shards: int = 40, n_slots: int = SLOTS) -> DataFrame:
+def shard(docs: DataFrame, n_shards: int = 40, n_slots: int = SLOTS, path: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot (place in the shard), grown_shard, virtual_slot of all rows of docs."""
     text = F.coalesce("text", F.lit(""))
     narrow = sizes(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select("doc_id", "size", F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), virtual_slot(n_slots).alias("virtual_slot"))
     narrow = cut(narrow)
-    slots = build_map(narrow, n_shards, n_slots)
+    slots = stored_map(narrow, n_shards, n_slots, path)
     placed = cut(assigned(narrow, slots, n_slots))
     place = Window.partitionBy("virtual_slot", "part").orderBy("doc_id", "text_crc32", "size")
     numbered = placed.withColumn("place", F.row_number().over(place))
@@ -136,8 +167,8 @@ def shard(docs: DataFrame, n_shards: int = 40, n_slots: int = SLOTS) -> DataFram
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("offset") + F.col("place") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
 
 
-def sharded_documents(docs: DataFrame, n_shards: int = 40, n_slots: int = SLOTS) -> tuple[DataFrame, SlotMap]:
-    """docs with size, virtual_slot, part and shard, and the map by which they got them."""
+def sharded_documents(docs: DataFrame, n_shards: int = 40, n_slots: int = SLOTS, path: str | None = None) -> tuple[DataFrame, SlotMap]:
+    """docs with size, virtual_slot, part and shard, and the map by which they got them, stored at path (see stored_map)."""
     narrow = sizes(docs.select("doc_id", "text")).select("size", virtual_slot(n_slots).alias("virtual_slot"))
-    slots = build_map(narrow, n_shards, n_slots)
+    slots = stored_map(narrow, n_shards, n_slots, path)
     return assigned(sizes(docs.drop("size")), slots, n_slots), slots

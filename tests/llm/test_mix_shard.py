@@ -38,6 +38,23 @@ def test_mix_comes_near_targets_and_repeats_itself(spark, edge_docs, no_docs):
     assert mixing.mix(no_docs).count() == 0
 
 
+def test_null_and_repeated_ids_come_near_the_target(spark):
+    import duckdb
+
+    same = [(None, "ten words " * 5, "a")] * 1000
+    rows = same + [(None, f"other {k} words", "a") for k in range(20)] + [(7, "x " * (k % 9), "b") for k in range(900)] + [(8, "y y", "c")] * 300 + [(k, "z " * 5, "d") for k in range(50)] + [(9, None, None), (9, "", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    got = mixing.mix(docs).collect()
+    for source in "abcd":
+        mine = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= max(0.01 * mine[0].target, 10)
+        assert all(r.taken <= 2 * r.size for r in mine)
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas().astype({"doc_id": "Int64"}))
+    want = Counter(con.sql(mixing.SQL).fetchall())
+    assert Counter((r["doc_id"], r["size"], r["source_size"], r["target"], r["taken"]) for r in got) == want
+
+
 def test_shards_are_even_and_numbered(spark, edge_docs, no_docs):
     got = sharding.shard(edge_docs, n_shards=6).collect()
     assert len(got) == edge_docs.count()
@@ -57,6 +74,41 @@ def test_one_row_repeated_many_times_is_spread(spark):
     assert len(loads) == 10 and max(loads) < 1.1 * min(loads)
 
 
+def test_shards_against_a_plain_greedy_order(spark):
+    docs = spark.range(500).select((F.col("id") % 480).alias("doc_id"), F.repeat(F.lit("é"), (F.col("id") * 7 % 93).cast("int")).alias("text"))
+    got = sharding.shard(docs, n_shards=7, n_slots=64).collect()
+    size, slot_of = Counter(), {}
+    for r in docs.withColumn("s", F.pmod(F.xxhash64("doc_id", "text"), F.lit(64))).collect():
+        size[r.s] += len(r.text.encode()) + 16
+        slot_of[r.doc_id, len(r.text.encode()) + 16] = r.s
+    load, shard_of = [0] * 7, {}
+    for s in sorted(size, key=lambda s: (-size[s], s)):  # the largest slot first, to the shard with least bytes
+        k = load.index(min(load))
+        load[k] += size[s]
+        shard_of[s] = k
+    assert {(r.doc_id, r["size"], r.shard) for r in got} == {(*k, shard_of[s]) for k, s in slot_of.items()}
+    assert all(sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got))) for k in range(7))
+
+
+def test_stored_map_is_used_again(spark, tmp_path):
+    docs = spark.range(900).select(F.col("id").alias("doc_id"), F.repeat(F.lit("z"), (F.col("id") % 50).cast("int")).alias("text"))
+    path = str(tmp_path / "map")
+    first = {r.doc_id: r.shard for r in sharding.shard(docs, 8, 64, path).collect()}
+    more = docs.union(spark.range(900, 1100).select(F.col("id").alias("doc_id"), F.lit("new").alias("text")))
+    again = {r.doc_id: r.shard for r in sharding.shard(more, 8, 64, path).collect()}
+    assert len(again) == 1100 and all(again[k] == v for k, v in first.items())
+    few = spark.range(3).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"))
+    other = str(tmp_path / "few")
+    sharding.shard(few, 8, 512, other)
+    assert sharding.shard(more, 8, 512, other).where("shard between 0 and 7").count() == 1100
+    assert sharding.shard(docs, 9, 64, path).select("shard").distinct().count() == 9
+    assert sharding.SlotMap.read(spark, path).version == 2
+    import pytest
+
+    with pytest.raises(ValueError):
+        sharding.SlotMap.read(spark, path).write(spark, path)
+
+
 def test_map_versions(spark, tmp_path):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("z"), (F.col("id") % 50).cast("int")).alias("text"))
     placed, first = sharding.sharded_documents(docs, n_shards=8, n_slots=256)

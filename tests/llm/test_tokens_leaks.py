@@ -100,6 +100,71 @@ def test_popular_edited_copies(spark):
     assert {(x.doc_id, x.score) for x in found.collect()} == want
 
 
+def word_maker(r, n=6):
+    return lambda: "".join(r.choices("abcdefghij", k=n))
+
+
+def test_all_pairs_against_brute_force(spark):
+    """Every document against every item by the plain table: recall of what keeps three words in a row, and no false leak."""
+    r = random.Random(11)
+    word = word_maker(r, 3)
+    pool = [word() for _ in range(120)]
+    items = [[r.choice(pool) if r.random() < 0.7 else word() for _ in range(r.randint(6, 22))] for _ in range(25)]
+    docs = []
+    for k in range(120):
+        body = [r.choice(pool) for _ in range(r.randint(10, 50))]
+        if k % 2:
+            copy = [word() if r.random() < r.choice((0.05, 0.2, 0.35)) else w for w in items[k % 25]]
+            body[5:5] = [w for w in copy if r.random() > 0.08]
+        docs.append(body)
+    number = {w: n for n, w in enumerate({w for t in docs + items for w in t})}
+    coded = lambda t: np.array([number[w] for w in t], np.uint64)
+    want = {(d, i) for d, t in enumerate(docs) for i, x in enumerate(items) if plain_align(coded(x), coded(t)) >= len(x)}
+    found = decontamination.leaks(spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(docs)], "doc_id long, text string"), spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string"))
+    got = {(x.doc_id, x.item_id) for x in found.collect()}
+    grams = lambda t: {tuple(t[k : k + 3]) for k in range(len(t) - 2)}
+    assert got <= want and len(want) > 40
+    assert got == {(d, i) for d, i in want if grams(docs[d]) & grams(items[i])}
+    assert len(got) >= 0.9 * len(want)
+
+
+def test_a_phrase_that_many_items_share_opens_few_windows():
+    r = random.Random(12)
+    word = word_maker(r)
+    phrase = [word() for _ in range(8)]
+    items = [(i, " ".join(phrase + [word() for _ in range(30)])) for i in range(500)]
+    index = decontamination.Items(items)
+    hashes = decontamination.WordHashes()
+    for k in range(20):
+        text = " ".join([word() for _ in range(50)] + phrase + [word() for _ in range(50)])
+        assert index.windows(decontamination.word_hashes(text, hashes), 0.5) == []
+        leak = items[k][1].split()
+        text = " ".join([word() for _ in range(50)] + leak[:5] + leak[6:20] + [word()] + leak[21:] + [word() for _ in range(50)])
+        assert list(index.scores(decontamination.word_hashes(text, hashes), 0.5)) == [k]
+
+
+def test_items_longer_than_a_merged_window():
+    r = random.Random(13)
+    word = word_maker(r)
+    long = [word() for _ in range(6000)]
+    index = decontamination.Items([(1, " ".join(long)), (2, "some other item of few words")])
+    edited = [word() if k % 7 == 3 else w for k, w in enumerate(long)]
+    hashes = decontamination.WordHashes()
+    text = " ".join([word() for _ in range(300)] + edited + [word() for _ in range(300)])
+    windows = index.windows(decontamination.word_hashes(text, hashes), 0.5)
+    assert len(windows) <= 4
+    want = decontamination.align(decontamination.word_hashes(" ".join(long), hashes), decontamination.word_hashes(text, hashes))
+    assert index.scores(decontamination.word_hashes(text, hashes), 0.5) == {0: want / 12000}
+
+
+def test_clean_judges_rows_not_ids(spark):
+    item = "an item of the benchmark with enough words in it"
+    rows = [(None, f"x {item} y", 1), (None, "clean words of a row without an id", 2), (5, f"{item}", 3), (5, "another text under the same id", 4), (6, None, 5), (7, "", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score int")
+    got = decontamination.clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(x.score for x in got.collect()) == [2, 4, 5, 6] and got.columns == docs.columns
+
+
 def test_items_of_one_and_two_words(spark):
     items = [(1, "Supercalifragilistic"), (2, "two words"), (3, "!!")]
     docs = [(1, "a supercalifragilistic thing"), (2, "in two, words."), (3, "words two"), (4, "two other words"), (5, "two words")]
