@@ -15,12 +15,14 @@ Steps, all keyed by hashes or ids:
 4. What the pivots leave is done exactly: buckets that still hold several components are put together by pivot, and in
    these families all members of different components are compared on their full sets, in blocks of bounded size whose
    task gives links only; components are merged again. Pairs inside one component can't change the result and are left out.
+Joins on a bucket or family deal its rows to parts (spread_join), so that no task gets a large one whole.
 
 Defined cases: null text, empty text or text without words has an empty set, n_shingles 0, is linked with nothing and
 kept; under 5 words the whole sequence is the one shingle; rows of one doc_id and several texts are judged by their own
 text, and a link of any of these texts counts for the doc_id when it is the smallest of its class; other columns are
-ignored. A null doc_id is a row without identity: it is never kept as representative of others unless its class has only
-null ids, when its component is null and it is kept.
+ignored. A null doc_id is a row without identity: a node made from its text stands for it, which comes after all ids. So it
+is linked like others, and its component is the smallest doc_id reachable, or null if that has only rows without id, when it
+is kept.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retort.llm.common import WordHashes, cut, mixed, ngram_hashes, semi_by_size
+from retort.llm.common import BROADCAST_ROWS, WordHashes, cut, mixed, n_words, ngram_hashes, semi_by_size, spread_join
 
 FUNCTIONS = 48
 BANDS, ROWS = 24, 4
@@ -83,7 +85,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 else:
                     bands.append(np.zeros(0, np.int64))
                     signs.append(np.zeros(0, np.int32))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(signs, pa.list_(pa.int32()))], ["doc_id", "n_shingles", "print", "bands", "sig"])
+            same = ["own", "doc_id", "text_hash"]
+            yield pa.RecordBatch.from_arrays([*map(part.column, same), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(signs, pa.list_(pa.int32()))], [*same, "n_shingles", "print", "bands", "sig"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +125,7 @@ def cross_links(sets: DataFrame, left: DataFrame, block: int = 512) -> DataFrame
     node, component. All pairs of a family's members in different components are compared on full sets, in blocks of members
     that hash together: a task holds two blocks, and no pair leaves it but a link."""
     blocks = left.groupBy("family").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    rows = left.join(blocks, "family").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    rows = spread_join(left, blocks, "family", "node").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("family", "node", "component", "i", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"))
     met = rows.join(sets.select("node", "shingles"), "node")
@@ -141,12 +144,12 @@ def _linked_blocks(rows: pa.Table) -> pa.Table:
         order = np.argsort(column, kind="stable")
         row, column = row[order], column[order]
         a, b = (np.flatnonzero(i == rows.column(c)[0].as_py()) for c in ("low", "high"))
-        common = np.zeros((len(a), len(b)), np.float32)
+        common = np.zeros((len(a), len(b)), np.int64)
         for at in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
             k = slice(*np.searchsorted(column, (at, at + 4096)))
             has = np.zeros((len(node), 4096), np.float32)
             has[row[k], column[k] - at] = 1
-            common += has[a] @ has[b].T
+            common += (has[a] @ has[b].T).astype(np.int64)  # at most 4096 a slice, so exact
         linked = (100 * common >= 75 * (size[a][:, None] + size[b][None, :] - common)) & (component[a][:, None] != component[b][None, :])
         for x, y in np.argwhere(linked):
             u, v = sorted((a[x], b[y]), key=lambda r: node[r])
@@ -175,21 +178,34 @@ def components(links: DataFrame) -> DataFrame:
     return found.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept, a row for each row of docs."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = cut(docs.mapInArrow(_sketch, "doc_id long, n_shingles long, print binary, bands array<long>, sig array<int>"))
+#: Nodes of rows without doc_id; ids are taken to be under it.
+NAMELESS = 1 << 62
+
+
+def _nameless(text_hash: str) -> Column:
+    return F.lit(NAMELESS) + F.shiftrightunsigned(text_hash, 2)
+
+
+def judged(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash (of the text as it stands), n_shingles, print (of the set) and component of each row of docs, where
+    component is a node: a doc_id, or one from NAMELESS up for rows that are linked to no id. It is null for empty sets."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("own"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("text_hash", F.xxhash64("text"))
+    docs = docs.select("own", F.coalesce("own", _nameless("text_hash")).alias("doc_id"), "text_hash", "text")
+    sketches = cut(docs.mapInArrow(_sketch, "own long, doc_id long, text_hash long, n_shingles long, print binary, bands array<long>, sig array<int>"))
     full = sketches.where("n_shingles > 0")
     # equal sets have equal bands and signatures, so any row's will do
-    classes = cut(full.groupBy("print").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")).where("node is not null"))
+    classes = cut(full.groupBy("print").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    docs = docs.select("doc_id", "text")
 
     rows = classes.select("node", F.explode("bands").alias("key"))
     company = rows.groupBy("key").agg(F.count("*").alias("company")).where("company > 1")
-    met = cut(rows.join(company, "key"))
+    met = cut(spread_join(rows, company, "key", "node"))
     rank = met.groupBy("node").agg(F.sum("company").alias("rank"))
     ranked = met.join(rank, "node")
     pivots = ranked.groupBy("key").agg(F.max(F.struct("rank", F.negative("node").alias("back"))).alias("top")).select("key", (-F.col("top.back")).alias("pivot"))
-    near = met.join(pivots, "key").where("node <> pivot").select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct()
+    met = cut(spread_join(met, pivots, "key", "node"))
+    near = met.where("node <> pivot").select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct()
     some = classes.select("node", "n", "sig")
     likely = cut(_both(near, some).where(_likely("a", "b")).select("u", "v"))
     pair_nodes = likely.select(F.explode(F.array("u", "v")).alias("node"))
@@ -197,17 +213,40 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = cut(components(links))
 
     # families, buckets with one pivot, that the pivots have not joined into one component
-    placed = met.where("company > 2").join(found, "node", "left").join(pivots, "key").select("key", F.col("pivot").alias("family"), "node", F.coalesce("component", "node").alias("component"))
+    placed = cut(met.where("company > 2").join(found, "node", "left").select("key", F.col("pivot").alias("family"), "node", F.coalesce("component", "node").alias("component")))
     split = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    left = cut(placed.join(split, "key").select("family", "node", "component").distinct())
+    left = cut(spread_join(placed, split, "key", "node").select("family", "node", "component").distinct())
     more = cut(cross_links(full_sets(left, docs), left))
     if more.take(1):
         found = cut(components(links.unionByName(more)))
 
     named = classes.join(found, "node", "left").select("print", F.coalesce("component", "node").alias("component"))
-    out = sketches.select("doc_id", "n_shingles", "print").join(named, "print", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    return sketches.select(F.col("own").alias("doc_id"), "text_hash", "n_shingles", "print").join(named, "print", "left")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, a row for each row of docs."""
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("component") < NAMELESS, F.col("component"))
+    out = judged(docs).select("doc_id", "n_shingles", component.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of docs with one document of each group of near copies, that with the smallest doc_id; once if its rows repeat,
+    and once for each set if it has several texts. Rows without words stay, repeated ones too."""
+    first = judged(docs).where("n_shingles > 0").where(F.coalesce("doc_id", _nameless("text_hash")) == F.col("component"))
+    best = cut(first.groupBy("doc_id", "print").agg(F.min("text_hash").alias("text_hash"), F.count("*").alias("rows")).drop("print"))
+    empty = n_words("text") == 0
+    marked = docs.withColumn("_hash", F.xxhash64(F.col("text").cast("string"))).where(~empty)
+    same = lambda a, b: a["_hash"].eqNullSafe(b["text_hash"]) & a["doc_id"].cast("long").eqNullSafe(b["doc_id"])
+    if best.count() <= BROADCAST_ROWS:
+        best = F.broadcast(best)
+    kept = marked.join(best, same(marked, best), "left_semi")
+    # only rows of groups of two and more can repeat
+    many = best.where("rows > 1")
+    once = kept.join(many, same(kept, many), "left_semi").dropDuplicates(["doc_id", "_hash"])
+    single = kept.join(many, same(kept, many), "left_anti")
+    return single.unionByName(once).drop("_hash").unionByName(docs.where(empty))
 
 
 def _both(pairs: DataFrame, some: DataFrame) -> DataFrame:

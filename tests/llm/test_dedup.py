@@ -91,3 +91,22 @@ def test_edges(spark, edge_docs, no_docs):
     assert {by[i].component_id for i in range(110, 115)} == {110}
     assert by[131].component_id == 130 and not by[131].kept
     assert minhash_dedup.near_duplicates(no_docs).count() == 0
+
+
+def test_rows_without_ids_are_linked(spark):
+    text = " ".join(f"w{k}" for k in range(100))
+    rows = [(None, text), (None, text), (7, text + " end"), (None, text + " other end"), (None, "no one else says this"), (None, "no one else says this"), (5, "a"), (5, "b"), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, minhash_dedup.near_duplicates(docs).select("doc_id", "component_id", "kept").collect()), key=str)
+    assert got == sorted([(None, 7, False)] * 3 + [(7, 7, True)] + [(None, None, True)] * 4 + [(5, 5, True)] * 2, key=str)
+    kept = sorted(((r.doc_id, r.text) for r in minhash_dedup.deduplicated(docs).collect()), key=str)
+    assert kept == sorted([(7, text + " end"), (None, "no one else says this"), (5, "a"), (5, "b"), (None, None), (None, "")], key=str)
+
+
+def test_one_row_of_each_group_stays(spark, edge_docs, no_docs):
+    kept = minhash_dedup.deduplicated(edge_docs)
+    assert kept.columns == edge_docs.columns
+    ids = sorted(r.doc_id for r in kept.where("doc_id is not null").collect())
+    near = sorted({r.doc_id for r in minhash_dedup.near_duplicates(edge_docs).where("kept and doc_id is not null").collect()})
+    assert ids == near
+    assert minhash_dedup.deduplicated(no_docs).count() == 0
