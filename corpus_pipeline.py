@@ -5,7 +5,6 @@ A mixed document stands as often as the mix takes it; one that is taken no time
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retort.llm import byte_cnn, decontamination, minhash_dedup, mixing, sharding
-from retort.llm.common import cut, semi_by_size, table
+from retort.llm.common import shared_folder, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -25,19 +24,12 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id, once. Rows without doc_id stay."""
-    docs = docs.select(*COLUMNS)
-    found = minhash_dedup.near_duplicates(docs).where("kept and doc_id is not null")
-    kept = cut(found.groupBy("doc_id").agg(F.count("*").alias("n")))
-    out = semi_by_size(docs, kept.where("n = 1").select("doc_id"), "doc_id").unionByName(docs.where("doc_id is null"))
-    again = kept.where("n > 1").select("doc_id")
-    if again.take(1):  # repeated rows
-        out = out.unionByName(semi_by_size(docs, again, "doc_id").dropDuplicates(["doc_id"]))
-    return out
+    """One document of each group of near copies: the one with the smallest doc_id, once. Rows without words stay."""
+    return minhash_dedup.deduplicated(docs.select(*COLUMNS))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item or edited copy of one."""
+    """Documents that hold no benchmark item or edited copy of one, row by row."""
     return decontamination.clean(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
 
 
@@ -48,7 +40,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with size, virtual_slot and shard."""
+    """Documents with size, virtual_slot and shard, by a map that is stored in the shared folder."""
     placed, _ = sharding.sharded_documents(docs.select(*COLUMNS))
     return placed.select(*COLUMNS, "size", "virtual_slot", "shard")
 
@@ -67,10 +59,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to a folder that all executors share, and read again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="retort-")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        path = f"{shared.rstrip('/')}/pipeline-{uuid.uuid4().hex}/{k}"
+        path = f"{folder}/{k}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
