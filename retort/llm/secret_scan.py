@@ -2,19 +2,20 @@ r"""Secret scans by multipart credential linking, in DataFrame functions alone.
 
 Base spans are found by pattern: assignments, access identifiers and hex runs. Weak candidates, each harmless alone, are an
 account name, a mixed token of 20 characters or more, and an endpoint; a weak one is reported only when its complements
-occur within scope (240 code points between starts) in the same text:
+occur within scope (at most 240 code points between the end of the one and the start of the other) in the same text:
     token      with an access identifier or account name
     account    with an assignment, hex run or token
     endpoint   with an identifier of either kind and a secret of any kind
-Parts meet in an interval join: starts fall into buckets of one scope, the complement is put into its own and both
-neighbouring buckets, and a left semi join on text and bucket with the distance as condition finds co-occurrence without
-making pairs. Only parts move in shuffles, never texts; a text of any length gives rows by bucket.
+Parts meet in an interval join: a part lies in all buckets of one scope that it covers, its complement also in the two beside
+these, and a left semi join on text and bucket with the distance as condition finds co-occurrence without making pairs. Only
+parts move in shuffles, never texts; a text of any length gives rows by bucket, in proportion to its length.
 
 Positions come from splitting a text by the pattern: lengths of pieces and matches in turn add up to starts and ends in
-code points. Texts without the marks that a pattern needs (AKIA, ://) skip its search.
+code points. These sums are made by doubling, so that a text with n matches costs n log n. Texts without the marks that a
+pattern needs (AKIA, ://) skip its search.
 
 Defined cases: a null text is an empty one; rows of one doc_id and text are each returned, with equal spans; a null doc_id
-is kept; other columns are ignored.
+is kept; spans of several kinds may overlap and then are near each other; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -44,16 +45,23 @@ def spans(text: Column, pattern: str, keep=None) -> Column:
     before = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
     kept = (lambda m: F.lit(True)) if keep is None else keep
     steps = F.zip_with(before, found, lambda p, m: F.struct(F.length(p).alias("gap"), F.length(m).alias("len"), kept(m).alias("kept")))
+    ends = running(F.transform(steps, lambda z: z["gap"] + z["len"]))
+    placed = F.zip_with(steps, ends, lambda z, e: F.struct((e - z["len"]).alias("start"), e.alias("end"), z["kept"].alias("kept")))
+    made = F.transform(F.filter(placed, lambda z: z["kept"]), lambda z: F.struct(z["start"].alias("start"), z["end"].alias("end")))
+    return F.when(F.size(found) > 0, made).otherwise(F.array().cast(SPANS))
 
-    def add(s: Column, z: Column) -> Column:
-        start = s["at"] + z["gap"]
-        end = start + z["len"]
-        span = F.array(F.struct(start.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(z["kept"], F.concat(s["spans"], span)).otherwise(s["spans"]).alias("spans"))
 
-    none = F.array().cast(SPANS)
-    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
-    return F.when(F.size(found) > 0, F.aggregate(steps, start, add, lambda s: s["spans"])).otherwise(none)
+def running(xs: Column) -> Column:
+    """Running sums of an array of ints that is not empty: each round adds to an entry the one 1, 2, 4, ... places before."""
+    n = F.size(xs)
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(n)).cast("int"))
+
+    def step(s: Column, k: Column) -> Column:
+        back = F.least(F.call_function("shiftleft", F.lit(1), k), F.size(s))
+        shifted = F.concat(F.array_repeat(F.lit(0), back), F.slice(s, F.lit(1), F.size(s) - back))
+        return F.zip_with(s, shifted, lambda x, y: x + y)
+
+    return F.aggregate(rounds, xs, step)
 
 
 def _mixed(m: Column) -> Column:
@@ -85,18 +93,19 @@ def parts(docs: DataFrame) -> DataFrame:
 
 
 def _near(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Rows of left with a row of right of the same text whose start is within scope."""
-    b = F.floor(F.col("start") / SCOPE)
-    r = right.select("key", "key2", F.col("start").alias("other"), F.explode(F.array(b - 1, b, b + 1)).alias("bucket"))
-    near = F.abs(left["start"] - r["other"]) <= SCOPE
-    return left.join(r, (left["key"] == r["key"]) & (left["key2"] == r["key2"]) & (left["bucket"] == r["bucket"]) & near, "left_semi")
+    """Rows of left with a row of right of the same text within scope."""
+    low, high = F.floor(F.col("start") / SCOPE), F.floor(F.col("end") / SCOPE)
+    rows = left.withColumn("bucket", F.explode(F.sequence(low, high)))
+    r = right.select("key", "key2", F.col("start").alias("s"), F.col("end").alias("e"), F.explode(F.sequence(low - 1, high + 1)).alias("bucket"))
+    near = (r["s"] - rows["end"] <= SCOPE) & (rows["start"] - r["e"] <= SCOPE)
+    met = rows.join(r, (rows["key"] == r["key"]) & (rows["key2"] == r["key2"]) & (rows["bucket"] == r["bucket"]) & near, "left_semi")
+    return met.drop("bucket").distinct()
 
 
 def linked(found: DataFrame) -> DataFrame:
     """key, key2 and spans (start, kind, end) of weak parts with their complements in scope, for parts as found."""
     weak = found.where((F.size("account") + F.size("token") + F.size("endpoint") > 0) & (F.size("account") + F.size("token") + F.size("assign") + F.size("access") + F.size("hex") > 0))
     rows = cut(weak.select("key", "key2", F.explode(F.concat(*map(_with_kind, KINDS))).alias("s")).select("key", "key2", "s.kind", "s.start", "s.end").distinct())
-    rows = rows.withColumn("bucket", F.floor(F.col("start") / SCOPE))
     of = lambda *kinds: rows.where(F.col("kind").isin(*(KINDS.index(k) for k in kinds)))
     token = _near(of("token"), of("access", "account"))
     account = _near(of("account"), of("assign", "hex", "token"))
@@ -135,7 +144,7 @@ def _sql() -> str:
     q = lambda p: "'" + p.replace("'", "''") + "'"
     patterns = (ASSIGN, ACCESS, HEX, ACCOUNT, TOKEN, ENDPOINT)
     found = " UNION ALL ".join(f"SELECT r, {k} AS kind, string_split_regex(t, {q(p)}) AS gaps, regexp_extract_all(t, {q(p)}) AS hits FROM d" for k, p in enumerate(patterns))
-    near = lambda *kinds: f"EXISTS (SELECT 1 FROM f g WHERE g.r = f.r AND g.kind IN ({', '.join(map(str, kinds))}) AND abs(g.s - f.s) <= {SCOPE})"
+    near = lambda *kinds: f"EXISTS (SELECT 1 FROM f g WHERE g.r = f.r AND g.kind IN ({', '.join(map(str, kinds))}) AND g.s - f.e <= {SCOPE} AND f.s - g.e <= {SCOPE})"
     name = "CASE kind " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate(KINDS)) + " END || ':' || s || ':' || e"
     return f"""
     WITH d AS (SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents),

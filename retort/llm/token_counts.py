@@ -4,13 +4,20 @@ A flat token file is nothing but token ids, document after document, each ended
 lengths. Files are read as blocks of a fixed size that know nothing of documents. Each block is searched for the identifier
 in one vectorised comparison, and gives its number of tokens and the places of separators. What a document has in earlier
 blocks follows from a prefix scan over the blocks of its file: tokens before the block, less the place after the last
-separator before it. Lengths are differences between neighbouring separators, so a document may span any number of blocks.
+separator before it. The scan goes over three numbers a block, not over separators; these meet the sums of their block again
+by a join on file and block, so a file of any size is as many tasks as it has blocks. Lengths are differences between
+neighbouring separators, so a document may span any number of blocks.
+
+Token files are read by byte ranges: a task opens a file by its path and reads from an offset, so a file of any size is many
+tasks. Paths may be of any file system that pyarrow knows (local, hdfs, s3, gs).
 
 Documents are encoded by a public tokenizer whose vocabulary is read from a given folder on each worker; a text that spells
 the separator is ordinary text. Each input partition gives a file of its own and a list of its documents in order.
 
-Defined cases: a null or empty text has 0 tokens and is still ended by a separator; repeated rows and doc_ids are counted
-row by row; tokens after a file's last separator are a last document; an empty table gives an empty result.
+Defined cases: a null or empty text has 0 tokens and is still ended by a separator; null and repeated doc_ids and repeated
+rows are counted row by row; a text of any length, also of one very long word, is encoded whole and may span blocks; tokens
+after a file's last separator are a last document; an odd last byte of a file is no token; columns other than doc_id and text
+are ignored; an empty table or file gives an empty result.
 """
 
 from __future__ import annotations
@@ -81,13 +88,26 @@ def encoded(docs: DataFrame, folder: str = TOKENIZERS, name: str = VOCABULARY, b
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "file long, no long, doc_id long, data binary")
 
 
-def read_token_files(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS, token: np.dtype = TOKEN) -> DataFrame:
-    """Blocks (file, no, data) of raw token files at path, each at most 2 GB, cut where the block size says."""
+def read_token_files(spark: SparkSession, path: str, block_tokens: int = BLOCK_TOKENS, token: np.dtype = TOKEN, blocks_a_range: int = 256) -> DataFrame:
+    """Blocks (file, no, data) of raw token files at path, of any size. Files are listed without reading them; each task reads
+    ranges of at most blocks_a_range blocks."""
     size = block_tokens * token.itemsize
-    files = spark.read.format("binaryFile").load(path).where("length > 0").select(F.col("path").alias("file"), "content")
-    starts = F.sequence(F.lit(0), F.floor((F.octet_length("content") - 1) / size).cast("int"))
-    cutout = files.select("file", "content", F.explode(starts).alias("no"))
-    return cutout.select("file", F.col("no").cast("long").alias("no"), F.substring("content", F.col("no") * size + 1, F.lit(size)).alias("data"))
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.floor(F.col("length") / token.itemsize).alias("n")).where("n > 0")
+    last = F.floor((F.col("n") - 1) / (block_tokens * blocks_a_range))
+    ranges = files.select("file", "n", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("range")).repartition("file", "range")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for batch in batches:
+            for name, n, k in zip(*(batch.column(c).to_pylist() for c in ("file", "n", "range")), strict=True):
+                system, place = fs.FileSystem.from_uri(name if "://" in name or not name.startswith("file:") else "file://" + name[5:])
+                with system.open_input_file(place) as f:
+                    for no in range(k * blocks_a_range, min((k + 1) * blocks_a_range, -(-n // block_tokens))):
+                        data = f.read_at(min(size, n * token.itemsize - no * size), no * size)
+                        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([no], pa.int64()), pa.array([data], pa.binary())], ["file", "no", "data"])
+
+    return ranges.mapInArrow(read, "file string, no long, data binary")
 
 
 def scanned(blocks: DataFrame, end: int = END, token: np.dtype = TOKEN) -> DataFrame:
@@ -103,17 +123,18 @@ def scanned(blocks: DataFrame, end: int = END, token: np.dtype = TOKEN) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("no"), pa.array(n, pa.int64()), pa.array(ends, pa.list_(pa.int32()))], ["file", "no", "n", "ends"])
 
     kind = dict(blocks.dtypes)["file"]
-    found = blocks.select("file", "no", "data").mapInArrow(search, f"file {kind}, no long, n long, ends array<int>")
+    found = cut(blocks.select("file", "no", "data").mapInArrow(search, f"file {kind}, no long, n long, ends array<int>"))
     before = Window.partitionBy("file").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
-    found = found.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    found = found.withColumn("docs", F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)))
     # null in a block without separator, so that the running maximum passes over it
-    after = F.when(F.size("ends") > 0, F.col("offset") + F.try_element_at("ends", F.lit(-1)) + 1)
-    found = found.withColumn("opened", F.coalesce(F.max(after).over(before), F.lit(0)))
-    rows = found.select("file", "docs", "offset", "opened", "ends", F.posexplode("ends").alias("i", "end"))
+    totals = found.select("file", "no", "n", F.size("ends").alias("k"), F.try_element_at("ends", F.lit(-1)).alias("last"))
+    totals = totals.withColumns({"offset": F.coalesce(F.sum("n").over(before), F.lit(0)), "docs": F.coalesce(F.sum("k").over(before), F.lit(0))})
+    after = F.col("offset") + F.col("last") + 1
+    totals = totals.withColumn("opened", F.coalesce(F.max(after).over(before), F.lit(0)))
+    placed = found.select("file", "no", "ends").join(totals.select("file", "no", "docs", "offset", "opened"), ["file", "no"])
+    rows = placed.select("file", "docs", "offset", "opened", "ends", F.posexplode("ends").alias("i", "end"))
     start = F.when(F.col("i") == 0, F.col("opened")).otherwise(F.col("offset") + F.expr("get(ends, i - 1)") + 1)
     rows = rows.select("file", (F.col("docs") + F.col("i")).alias("ordinal"), (F.col("offset") + F.col("end") - start).alias("n_tokens"))
-    whole = found.groupBy("file").agg(F.sum("n").alias("n"), F.sum(F.size("ends")).alias("ordinal"), F.coalesce(F.max(after), F.lit(0)).alias("opened"))
+    whole = totals.groupBy("file").agg(F.sum("n").alias("n"), F.sum("k").alias("ordinal"), F.coalesce(F.max(after), F.lit(0)).alias("opened"))
     tail = whole.where("n > opened").select("file", "ordinal", (F.col("n") - F.col("opened")).alias("n_tokens"))
     return rows.unionByName(tail)
 

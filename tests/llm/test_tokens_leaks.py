@@ -15,6 +15,14 @@ def test_counts_equal_direct_encoding(spark, edge_docs, no_docs):
     assert token_counts.counted(no_docs).count() == 0
 
 
+def test_one_very_long_word(spark):
+    docs = spark.createDataFrame([(1, "a" * 30_000), (None, None), (1, "a" * 30_000), (2, "")], "doc_id long, text string")
+    e = token_counts._encoding(token_counts.TOKENIZERS, token_counts.VOCABULARY)
+    n = len(e.encode_ordinary("a" * 30_000))
+    got = token_counts.counted(docs, block_tokens=50).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in got) == Counter([(1, n), (1, n), (None, 0), (2, 0)])
+
+
 def test_text_of_the_separator_is_text(spark):
     docs = spark.createDataFrame([(1, "a<|endoftext|>b"), (2, "c")], "doc_id long, text string")
     got = {r.doc_id: r.n_tokens for r in token_counts.counted(docs).collect()}
@@ -33,8 +41,10 @@ def test_raw_files(spark, tmp_path):
         np.concatenate(ids).astype("<u2").tofile(tmp_path / f"{f}.bin")
         want |= {(f"{f}.bin", k): n for k, n in enumerate(lengths)}
     (tmp_path / "empty.bin").write_bytes(b"")
-    for block in (1, 7, 64, 10_000):
-        blocks = token_counts.read_token_files(spark, str(tmp_path), block_tokens=block)
+    with open(tmp_path / "1.bin", "ab") as f:
+        f.write(b"x")  # half a token
+    for block, span in ((1, 256), (7, 1), (7, 3), (64, 2), (10_000, 1)):
+        blocks = token_counts.read_token_files(spark, str(tmp_path), block_tokens=block, blocks_a_range=span)
         got = {(x.file.rpartition("/")[2], x.ordinal): x.n_tokens for x in token_counts.scanned(blocks).collect()}
         assert got == want
 

@@ -93,7 +93,46 @@ def test_base_spans_against_brute_force(spark, edge_docs, no_docs):
 
 def test_weak_parts_need_their_complements(spark):
     token, far = "aB3dEfGhIjKlMnOpQrStUv", "word " * 100
+    long = token * 20
+    beside = [(7, f"{long} user=bob"), (8, f"user=bob {long}")]
+    got = {r.doc_id: r.spans for r in secret_scan.scan(spark.createDataFrame(beside, "doc_id long, text string")).collect()}
+    assert got == {7: "token:0:440,account:441:449", 8: "account:0:8,token:9:449"}  # the order of parts doesn't matter
     rows = [(1, f"user=bob has {token} at https://x.example/a"), (2, f"{token} alone"), (3, "user=bob alone"), (4, "https://x.example/a alone"), (5, f"user=bob {far} {token}"), (6, f"{token} at https://x.example/a")]
     got = {r.doc_id: r for r in secret_scan.scan(spark.createDataFrame(rows + rows[:1], "doc_id long, text string")).collect()}
     assert got[1].spans == "account:0:8,token:13:35,endpoint:39:58" and got[1].n_linked == 3
     assert all(got[i].spans == "" for i in (2, 3, 4, 5, 6))
+
+
+def test_links_against_brute_force(spark):
+    import duckdb
+
+    r = random.Random(8)
+    token = lambda: "aB3" + "".join(r.choices("xyzXYZ123", k=r.choice((18, 30, 300))))
+    bits = [lambda: "user=bob", token, lambda: "https://x.example/a", lambda: "AKIAABCDEFGHIJKLMN", lambda: "password: abcdefghijklmnop", lambda: "0123456789abcdef0123"]
+    texts = [" ".join(r.choice(bits)() if r.random() < 0.5 else "w" * r.choice((3, 90, 200, 239, 240)) for _ in range(r.randint(1, 12))) for _ in range(150)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.spans for x in secret_scan.scan(docs).collect()}
+    patterns = dict(zip(secret_scan.KINDS, (secret_scan.ASSIGN, secret_scan.ACCESS, secret_scan.HEX, secret_scan.ACCOUNT, secret_scan.TOKEN, secret_scan.ENDPOINT), strict=True))
+    linked = 0
+    for i, t in enumerate(texts):
+        found = [(m.start(), k, m.end()) for k, p in enumerate(patterns.values()) for m in re.finditer(p, t or "")]
+        found = [(s, k, e) for s, k, e in found if k != 4 or all(re.search(c, t[s:e]) for c in ("[0-9]", "[A-Z]", "[a-z]"))]
+        found = [(s, k, e) for s, k, e in found if k or len(re.fullmatch(patterns["assign"], t[s:e])[2]) >= 12]
+        by = lambda s, e, kinds: any(k in kinds and s2 - e <= 240 and s - e2 <= 240 for s2, k, e2 in found)  # noqa: B023, E731
+        kept = [(s, k, e) for s, k, e in found if k < 3 or (k == 4 and by(s, e, (1, 3))) or (k == 3 and by(s, e, (0, 2, 4))) or (k == 5 and by(s, e, (1, 3)) and by(s, e, (0, 2, 4)))]
+        assert got[i] == ",".join(f"{secret_scan.KINDS[k]}:{s}:{e}" for s, k, e in sorted(kept)), t
+        linked += sum(k > 2 for _, k, _ in kept)
+    assert linked > 100
+    con = duckdb.connect()
+    con.register("documents", docs.toPandas())
+    assert {x[0]: x[5] for x in con.sql(secret_scan.SQL).fetchall()} == got
+
+
+def test_many_matches_take_no_square_time(spark):
+    import time
+
+    docs = spark.createDataFrame([(1, "0123456789abcdef0 " * 60_000)], "doc_id long, text string")
+    start = time.time()
+    row = secret_scan.scan(docs).first()
+    assert row.n_hex == 60_000 and row.spans.endswith(f"hex:{18 * 59_999}:{18 * 60_000 - 1}")
+    assert time.time() - start < 60
