@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names, which all executors share; one of our own only where it is unset."""
+    """The folder that spark.checkpoint.dir names, which all executors share. Where it is unset, one of our own, but only in
+    local mode: on a cluster no other machine could read it."""
     sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="retort-"))
-    return sc.getCheckpointDir()
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="retort-"))
+    return named or sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:

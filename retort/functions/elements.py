@@ -9,9 +9,9 @@ MASSES = {
     "Cl": (17, 35.453, 34.96885268), "K": (19, 39.098, 38.96370668), "Ca": (20, 40.078, 39.96259098),
     "Fe": (26, 55.845, 55.9349375), "Cu": (29, 63.546, 62.9295975), "Zn": (30, 65.39, 63.9291422),
     "As": (33, 74.922, 74.9215965), "Se": (34, 78.96, 79.9165213), "Br": (35, 79.904, 78.9183371), "Sn": (50, 118.711, 119.9021947),
-    "I": (53, 126.904, 126.904473), "Pt": (78, 195.078, 194.9647911), "Hg": (80, 200.59, 201.970643),
+    "Te": (52, 127.6, 129.9062244), "I": (53, 126.904, 126.904473), "Pt": (78, 195.078, 194.9647911), "Hg": (80, 200.59, 201.970643),
 }
 NUMBER = {s: v[0] for s, v in MASSES.items()} | {"*": 0}
 SYMBOL = {n: s for s, n in NUMBER.items()}
-VALENCES = {5: (3,), 6: (4,), 7: (3,), 8: (2,), 9: (1,), 14: (4,), 15: (3, 5, 7), 16: (2, 4, 6), 17: (1,), 35: (1,), 53: (1,), 33: (3, 5), 34: (2, 4, 6)}
+VALENCES = {5: (3,), 6: (4,), 7: (3,), 8: (2,), 9: (1,), 14: (4,), 15: (3, 5, 7), 16: (2, 4, 6), 17: (1,), 35: (1,), 53: (1,), 33: (3, 5), 34: (2, 4, 6), 52: (2, 4, 6)}
 METALS = frozenset(NUMBER[s] for s in ("Li", "Na", "Mg", "Al", "K", "Ca", "Fe", "Cu", "Zn", "Sn", "Pt", "Hg"))

@@ -143,7 +143,7 @@ def framework(df: DataFrame, out: str = "framework") -> DataFrame:
         return F.transform(keep, lambda k, i: k & (F.get(m("ring"), i) | (held(i) > 1)))
 
     n = F.size(m("z"))
-    all_ = F.transform(start, lambda x: F.lit(True))
+    all_ = F.array_repeat(F.lit(True), n)
     steps = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
     core = F.when(F.exists(start, lambda x: x), F.aggregate(steps, all_, peel)).otherwise(start)
     bound = lambda c, i: F.exists(F.arrays_zip(F.get(m("near"), i).alias("v"), F.get(m("order"), i).alias("o")), lambda x: (x["o"] == 2) & F.get(c, x["v"]))

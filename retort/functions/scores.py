@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -42,21 +41,27 @@ def qed(alerts: Column | int = 0) -> Column:
 
 
 def accessibility(df: DataFrame, fragments: dict[int, float] | None = None, unknown: float = -4.0) -> DataFrame:
-    """df with sa_score (1 to 10, 2 decimals). fragments: a contribution for each circular fragment (bit of circular(), radius
-    2, 2048 bits); what is missing counts as unknown, and by default all are. The size, stereo, spiro, bridgehead and
-    macrocycle terms are added to the mean contribution, which goes into 11 - (sum + 5) / 1.5."""
-    counted = graphs.circular(df, 2, 2048, "_fc", counts=True)
+    """df with sa_score (1 to 10, 4 decimals). fragments: a contribution for each circular neighbourhood (its hash, radius up to
+    2). A known one counts as often as it occurs, an unknown kind once; by default all are unknown. The mean over all
+    occurrences is taken off, and size, stereo, spiro, bridgehead and macrocycle terms are added, to what goes into
+    11 - (sum + 5) / 1.5."""
+    from retort.operators.molecules import possible_centers
+
     table = F.create_map(*(F.lit(x) for k, v in (fragments or {}).items() for x in (k, float(v)))) if fragments else None
-    value = (lambda b: F.coalesce(F.try_element_at(table, b), F.lit(unknown))) if fragments else (lambda b: F.lit(unknown))
-    entries = F.map_entries("_fc")
-    total = F.aggregate(entries, F.lit(0.0), lambda s, e: s + value(e["key"]) * e["value"]) / F.aggregate(entries, F.lit(0), lambda s, e: s + e["value"])
+
+    def mean(hashes: Column) -> Column:
+        kinds = F.array_distinct(hashes)
+        times = lambda k: F.size(F.filter(hashes, lambda h: h == k))
+        value = (lambda k: F.coalesce(F.try_element_at(table, k) * times(k), F.lit(unknown))) if fragments else (lambda k: F.lit(unknown))
+        return F.aggregate(F.transform(kinds, value), F.lit(0.0), lambda s, x: s + x) / F.size(hashes)
+
     n = F.size(m("z")).cast("double")
     log1 = lambda c: F.log10(c.cast("double") + 1)
-    chiral = M.count(m("chiral"), lambda c: c > 0)
+    specified = M.atoms_where(lambda i: F.get(m("chiral"), i) > 0)
     macro = M.count(m("rings"), lambda r: F.size(r) > 8)
-    penalties = F.pow(n, F.lit(1.005)) - n + log1(chiral) + log1(F.size(M.spiro())) + log1(F.size(M.bridgeheads())) + F.when(macro > 0, math.log10(2)).otherwise(0.0)
-    score = 11 - (total + penalties + 5) / 1.5
-    return counted.withColumn("sa_score", F.when(F.col("mol").isNotNull(), F.round(F.least(F.greatest(score, F.lit(1.0)), F.lit(10.0)), 2))).drop("_fc")
+    penalties = F.pow(n, F.lit(1.005)) - n + log1(F.size(F.array_union(possible_centers(), specified))) + log1(F.size(M.spiro())) + log1(F.size(M.bridgeheads())) + log1(macro)
+    score = 11 - (penalties - let(graphs._all_hashes(2), mean) + 5) / 1.5
+    return df.withColumn("sa_score", F.when(F.col("mol").isNotNull(), F.round(F.least(F.greatest(score, F.lit(1.0)), F.lit(10.0)), 4)))
 
 
 def minhash_circular(df: DataFrame, radius: int = 3, functions: int = 128, n_bits: int = 2048, out: str = "words") -> DataFrame:

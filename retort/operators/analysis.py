@@ -85,6 +85,18 @@ def charge_at(df: DataFrame, ph: float = 7.4) -> DataFrame:
     return out.withColumn("n_sites", F.size("_sites")).withColumn("charge_at_ph", M.total(m("charge")) + moved).drop("_sites")
 
 
+def protonated(df: DataFrame, ph: float = 7.4, smiles: str = "smiles") -> DataFrame:
+    """df with protonated: the dominant state at a pH as canonical SMILES: each group of PKA that is not charged yet has lost or
+    taken its proton."""
+    change = F.create_map(*(F.lit(x) for k, (pka, c) in PKA.items() for x in (k, c if (c < 0) == (ph > pka) else 0)))
+    n = F.sequence(F.lit(0), F.size(m("z")) - 1)
+    ok = F.col("mol").isNotNull()
+    rows = df.withColumn("_d", F.when(ok, F.transform(n, lambda i: F.coalesce(F.try_element_at(change, site_kind(i)), F.lit(0)))))
+    add = lambda field: F.zip_with(m(field), F.col("_d"), lambda x, d: x + d)
+    rows = rows.withColumn("_state", F.when(ok, F.struct(add("charge").alias("charge"), add("h").alias("h")))).withColumn("_parts", F.when(ok, F.array(n)))
+    return rewrite.written(rows, "_parts", "_text", smiles, state="_state").withColumn("protonated", F.get("_text", F.lit(0))).drop("_d", "_state", "_parts", "_text")
+
+
 def _times(kind: str) -> Column:
     return F.size(F.filter("_sites", lambda x: x == kind))
 

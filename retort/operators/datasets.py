@@ -12,24 +12,25 @@ from pyspark.sql import functions as F
 
 
 def deduplicate(df: DataFrame, key: str | Column, order: str = "row_idx", keep: str = "first") -> DataFrame:
-    """One row for each key, the first or last by order; rows whose key is null all stay. A hash aggregation over (key,
-    order), with partial sums, finds the rows to keep, so a key with most rows of the table costs one row a task."""
+    """One row for each key, the first or last by order; rows whose key is null all stay, and so do rows that are equal in key
+    and order, which order should tell apart. A hash aggregation over (key, order), with partial sums, finds the rows to keep,
+    so a key with most rows of the table costs one row a task."""
     if keep not in ("first", "last"):
         raise ValueError("keep is first or last")
     k = F.col(key) if isinstance(key, str) else key
     rows = df.withColumn("_key", k)
     best = F.min(order) if keep == "first" else F.max(order)
-    kept = rows.where("_key is not null").groupBy("_key").agg(best.alias("_order")).select("_order")
-    once = rows.join(kept, rows[order] == kept["_order"], "left_semi")
-    return once.where("_key is not null").unionByName(rows.where("_key is null")).drop("_key")
+    kept = rows.where("_key is not null").groupBy("_key").agg(best.alias("_order")).withColumnRenamed("_key", "_kept")
+    once = rows.join(kept, (rows["_key"] == kept["_kept"]) & (rows[order] == kept["_order"]), "left_semi")
+    return once.unionByName(rows.where("_key is null")).drop("_key")
 
 
 def merge(frames: dict[str, DataFrame], key: str | None = None, source_column: str | None = None, order: str = "row_idx") -> DataFrame:
     """All rows of all frames, columns by name, missing ones null; with key, the first of each key in the order of frames.
-    order then numbers frame and row: (position of the frame) * 2**40 + row."""
+    order then is (frame, row), which sorts by the position of the frame and the row's place in it, whatever its numbers."""
     parts = []
     for n, (name, df) in enumerate(frames.items()):
-        part = df.withColumn(order, F.col(order) + F.lit(n * (1 << 40)))
+        part = df.withColumn(order, F.struct(F.lit(n).alias("frame"), F.col(order).cast("long").alias("row")))
         parts.append(part.withColumn(source_column, F.lit(name)) if source_column else part)
     out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return deduplicate(out.where(F.col(key).isNotNull()), key, order) if key else out
@@ -50,17 +51,34 @@ def sample(df: DataFrame, n: int | None = None, fraction: float | None = None, k
     return df.orderBy(draw(key, seed), key).limit(n)
 
 
+def reservoir(df: DataFrame, n: int, key: str = "row_idx", seed: int = 42) -> DataFrame:
+    """n rows drawn in one pass over a table of unknown size: each task keeps the n rows of its part with the smallest draws,
+    and the smallest of these are the sample. No count is made first, and the rows don't depend on their order."""
+    return sample(df, n=n, key=key, seed=seed)
+
+
 def sample_stratified(df: DataFrame, n: int, stratum: str, key: str = "row_idx", seed: int = 42) -> DataFrame:
-    """n rows, with strata in their proportion: int(n * share) each, and what is left to the smallest stratum value."""
-    sizes = {r[0]: r[1] for r in df.groupBy(stratum).count().collect()}
-    total = sum(sizes.values())
-    n = min(n, total)
-    take = {k: int(n * v / total) for k, v in sizes.items()}
-    for k in sorted(sizes, key=lambda k: (k is None, k)):
-        room = min(n - sum(take.values()), sizes[k] - take[k])
-        take[k] += max(room, 0)
-    parts = [df.where(F.col(stratum).eqNullSafe(F.lit(k))).orderBy(draw(key, seed), key).limit(t) for k, t in take.items()]
-    return reduce(DataFrame.unionByName, parts) if parts else df.limit(0)
+    """n rows, with strata in their proportion: int(n * share) each, and what is left to the smallest stratum value, then the
+    next. How many a stratum gets follows from running sums over one row a stratum; which rows, from their draws: those under a
+    16-bit threshold by a histogram, and within the boundary bucket the first ones."""
+    rows = df.withColumn("_draw", draw(key, seed)).withColumn("_b", F.conv(F.substring("_draw", 1, 4), 16, 10).cast("int"))
+    counts = rows.groupBy(stratum, "_b").agg(F.count("*").alias("_n"))
+    sizes = counts.groupBy(F.col(stratum).alias("_s")).agg(F.sum("_n").alias("_v"))
+    every = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    total = F.sum("_v").over(every)
+    share = F.floor(F.least(F.lit(n), total) * F.col("_v") / total)
+    sizes = sizes.withColumn("_k", share)
+    sizes = sizes.withColumn("_left", F.least(F.lit(n), F.sum("_v").over(every)) - F.sum("_k").over(every)).withColumn("_room", F.col("_v") - F.col("_k"))
+    before = Window.orderBy(F.col("_s").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    given = F.least(F.greatest(F.col("_left") - F.coalesce(F.sum("_room").over(before), F.lit(0)), F.lit(0)), F.col("_room"))
+    take = sizes.select("_s", (F.col("_k") + given).alias("_take"))
+    upto = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy(stratum).orderBy("_b")))
+    met = upto.join(F.broadcast(take), upto[stratum].eqNullSafe(take["_s"]))
+    edge = met.where("_upto >= _take").groupBy("_s").agg(F.min(F.struct("_b", (F.col("_take") - F.col("_upto") + F.col("_n")).alias("open"))).alias("_edge"))
+    edge = edge.select("_s", F.col("_edge._b").alias("_at"), F.col("_edge.open").alias("_open"))
+    met = rows.join(F.broadcast(edge), rows[stratum].eqNullSafe(edge["_s"]))
+    inside = met.where("_b = _at").withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy("_draw", key))).where("_r <= _open").drop("_r")
+    return met.where("_b < _at").unionByName(inside).select(*df.columns)
 
 
 def _numbered(df: DataFrame, order: str) -> tuple[DataFrame, int]:

@@ -191,33 +191,38 @@ def _equals(z: int):
     return lambda x: x == z
 
 
-#: Counts of functional groups as conditions on an atom or a bond.
 def functional_groups() -> dict[str, Column]:
+    """Counts of functional groups, as conditions on an atom and its bonds. A group counts wherever it stands, also within a
+    larger one: the OH of an acid is an alcohol, and an ester's oxygen is an ether."""
     z, h, arom, q = M.z_at, lambda i: F.get(m("h"), i), lambda i: F.get(m("arom"), i), lambda i: F.get(m("charge"), i)
     near = lambda i: F.arrays_zip(F.get(m("near"), i).alias("v"), F.get(m("order"), i).alias("o"))
     bound = lambda i, test: F.exists(near(i), lambda x: test(x["v"], x["o"]))
     times = lambda i, test: F.size(F.filter(near(i), lambda x: test(x["v"], x["o"])))
-    oxo = lambda v, o: (o == 2) & (z(v) == 8)
-    acyl = lambda i: (z(i) == 6) & ~arom(i) & bound(i, oxo)
-    carbon = lambda v, o: (o == 1) & (z(v) == 6)
+    around = lambda i: M.degree(i) + h(i)
+    carbon = lambda v, o: z(v) == 6
+    carbonyl = lambda i: (z(i) == 6) & ~arom(i) & (around(i) == 3) & bound(i, lambda v, o: (o == 2) & (z(v) == 8))
+    amine = lambda i, k: (z(i) == 7) & ~arom(i) & (around(i) == 3) & (h(i) == 2 - k) & (times(i, carbon) >= k + 1)
+    single = lambda v, o, k: (o == 1) & (z(v) == k)
     atom = lambda test: F.size(M.atoms_where(test))
+    pairs = lambda a, b: F.aggregate(M.atoms_where(a), F.lit(0), lambda s, i: s + times(i, lambda v, o: (o == 1) & b(v)))
+    hydroxyl = lambda k: lambda i: (z(i) == k) & ~arom(i) & (h(i) == 1) & (around(i) == 2)
     return {
-        "n_alcohol": atom(lambda i: (z(i) == 8) & (h(i) == 1) & bound(i, lambda v, o: (z(v) == 6) & ~arom(v) & ~acyl(v))),
-        "n_phenol": atom(lambda i: (z(i) == 8) & (h(i) == 1) & bound(i, lambda v, o: (z(v) == 6) & arom(v))),
-        "n_carboxylic_acid": atom(lambda i: acyl(i) & bound(i, lambda v, o: (o == 1) & (z(v) == 8) & (h(v) == 1))),
-        "n_ester": atom(lambda i: acyl(i) & bound(i, lambda v, o: (o == 1) & (z(v) == 8) & (M.degree(v) == 2))),
-        "n_amide": atom(lambda i: acyl(i) & bound(i, lambda v, o: (o == 1) & (z(v) == 7))),
-        "n_aldehyde": atom(lambda i: acyl(i) & (h(i) == 1) & bound(i, carbon)),
-        "n_ketone": atom(lambda i: acyl(i) & (times(i, lambda v, o: (o == 1) & (z(v) == 6)) == 2)),
-        "n_ether": atom(lambda i: (z(i) == 8) & ~arom(i) & (times(i, lambda v, o: (o == 1) & (z(v) == 6) & ~acyl(v)) == 2)),
-        "n_primary_amine": atom(lambda i: (z(i) == 7) & (h(i) == 2) & (q(i) == 0) & bound(i, lambda v, o: (z(v) == 6) & ~acyl(v))),
-        "n_secondary_amine": atom(lambda i: (z(i) == 7) & ~arom(i) & (h(i) == 1) & (q(i) == 0) & (times(i, lambda v, o: (o == 1) & (z(v) == 6) & ~acyl(v)) == 2)),
-        "n_tertiary_amine": atom(lambda i: (z(i) == 7) & ~arom(i) & (h(i) == 0) & (q(i) == 0) & (times(i, lambda v, o: (o == 1) & (z(v) == 6) & ~acyl(v)) == 3)),
-        "n_nitrile": atom(lambda i: (z(i) == 7) & bound(i, lambda v, o: (o == 3) & (z(v) == 6))),
-        "n_nitro": atom(lambda i: (z(i) == 7) & (q(i) == 1) & bound(i, oxo) & bound(i, lambda v, o: (z(v) == 8) & (q(v) == -1))),
+        "n_alcohol": atom(hydroxyl(8)),
+        "n_aldehyde": atom(lambda i: carbonyl(i) & (h(i) == 1) & bound(i, carbon)),
+        "n_ketone": atom(lambda i: carbonyl(i) & (times(i, carbon) == 2)),
+        "n_carboxylic_acid": pairs(carbonyl, hydroxyl(8)),
+        "n_ester": pairs(lambda i: carbonyl(i) & bound(i, carbon), lambda v: (z(v) == 8) & ~arom(v) & (M.degree(v) == 2) & (times(v, carbon) == 2)),
+        "n_ether": atom(lambda i: (z(i) == 8) & ~arom(i) & (times(i, carbon) == 2)),
+        "n_amine_primary": atom(lambda i: amine(i, 0)),
+        "n_amine_secondary": atom(lambda i: amine(i, 1)),
+        "n_amine_tertiary": atom(lambda i: amine(i, 2)),
+        "n_amide": pairs(lambda i: carbonyl(i) & bound(i, carbon), lambda v: (z(v) == 7) & ~arom(v) & (around(v) == 3)),
+        "n_nitro": atom(lambda i: (z(i) == 7) & (times(i, lambda v, o: (o == 2) & (z(v) == 8)) >= 1) & ((times(i, lambda v, o: (o == 2) & (z(v) == 8)) == 2) | (q(i) == 1) & bound(i, lambda v, o: single(v, o, 8) & (q(v) == -1)))),
+        "n_nitrile": atom(lambda i: (z(i) == 7) & (around(i) == 1) & bound(i, lambda v, o: (o == 3) & (z(v) == 6))),
         "n_halogen": atom(lambda i: z(i).isin(9, 17, 35, 53)),
-        "n_sulfonamide": atom(lambda i: (z(i) == 16) & (times(i, oxo) == 2) & bound(i, lambda v, o: (o == 1) & (z(v) == 7))),
-        "n_aromatic_ring": M.aromatic_rings(),
+        "n_thiol": atom(hydroxyl(16)),
+        "n_sulfide": atom(lambda i: (z(i) == 16) & (around(i) == 2) & (times(i, carbon) == 2)),
+        "n_aromatic_ring": M.count(m("rings"), lambda r: (F.size(r) == 6) & F.forall(r, arom)),
     }
 
 
@@ -299,6 +304,21 @@ def matched_pairs(fragments: DataFrame, min_core: int = 1) -> DataFrame:
     return met.select(F.col("a.core").alias("core"), F.col("a.id").alias("id_1"), F.col("b.id").alias("id_2"), F.col("a.rgroup").alias("rgroup_1"), F.col("b.rgroup").alias("rgroup_2"), F.concat("a.rgroup", F.lit(">>"), "b.rgroup").alias("transformation"))
 
 
+def transformation_counts(fragments: DataFrame, min_core: int = 1) -> DataFrame:
+    """(transformation, count, percentage) over all matched pairs, most frequent first, without making the pairs: rows of one
+    core and group are counted first, two groups of a core then meet once, and make as many pairs as the product of their
+    numbers. Which of two molecules comes first has no say here: a transformation is named from the smaller text to the larger."""
+    groups = fragments.where(F.col("core_heavy") >= min_core).groupBy("core", "rgroup").agg(F.count("*").alias("n"))
+    shared = groups.groupBy("core").agg(F.count("*").alias("k")).where("k > 1").select("core")
+    groups = groups.join(shared, "core", "left_semi")
+    a, b = groups.alias("a"), groups.alias("b")
+    met = a.join(b, (F.col("a.core") == F.col("b.core")) & (F.col("a.rgroup") < F.col("b.rgroup")))
+    counts = met.groupBy(F.concat("a.rgroup", F.lit(">>"), "b.rgroup").alias("transformation")).agg(F.sum(F.col("a.n") * F.col("b.n")).alias("count"))
+    total = counts.agg(F.sum("count").alias("_total"))
+    out = counts.crossJoin(F.broadcast(total)).withColumn("percentage", F.round(F.col("count") / F.col("_total") * 100, 2))
+    return out.orderBy(F.desc("count"), "transformation").drop("_total")
+
+
 def enumerate_products(reactants: list[DataFrame], product: Column, limit: int | None = 1000) -> DataFrame:
     """Distinct products over all combinations of reactant rows, the first `limit` in their order. The combinations are the
     feature; each table's rows are dealt to blocks and meet by equality, and the limit is a top-k by product."""
@@ -311,14 +331,23 @@ def enumerate_products(reactants: list[DataFrame], product: Column, limit: int |
     return out.orderBy("product").limit(limit) if limit else out
 
 
-def neutralized_charge() -> Column:
-    """Charge that is left when anions with a neighbour of no opposite charge take a hydrogen and cations with a hydrogen lose
-    one."""
-    paired = lambda i: F.exists(F.get(m("near"), i), lambda j: F.get(m("charge"), j) * F.get(m("charge"), i) < 0)
-    loses = lambda i: (F.get(m("charge"), i) > 0) & (F.get(m("h"), i) > 0)
-    gains = lambda i: (F.get(m("charge"), i) < 0) & M.z_at(i).isin(7, 8, 16)
-    left = F.transform(F.sequence(F.lit(0), F.size(m("z")) - 1), lambda i: F.when(~paired(i) & (loses(i) | gains(i)), 0).otherwise(F.get(m("charge"), i)))
-    return M.total(left)
+def neutral_state(kept: str | None = None) -> Column:
+    """(charge, h) of all atoms, two arrays, once cations with hydrogens have lost them and anions of N, O, S or C have taken
+    one for each charge. Charges beside an opposite one stay, as in a nitro group, and so do as many other anions, the first
+    written, as there are cations without a hydrogen to lose. kept: a column of flags; only these atoms count."""
+    q, h = lambda i: F.get(m("charge"), i), lambda i: F.get(m("h"), i)
+    n = F.sequence(F.lit(0), F.size(m("z")) - 1)
+    inside = F.filter(n, lambda i: F.get(kept, i)) if kept else n
+    paired = lambda i: F.exists(F.get(m("near"), i), lambda j: q(j) * q(i) < 0)
+    anions = F.filter(inside, lambda i: (q(i) < 0) & ~paired(i) & M.z_at(i).isin(6, 7, 8, 16))
+    fixed = F.aggregate(F.filter(inside, lambda i: (q(i) > 0) & ~paired(i)), F.lit(0), lambda s, i: s + F.greatest(q(i) - h(i), F.lit(0)))
+    free = let(F.struct(anions.alias("a"), fixed.alias("f")), lambda x: F.slice(x["a"], x["f"] + 1, F.size(x["a"])))
+
+    def moved(takes: Column) -> Column:
+        change = lambda i: F.when(F.array_contains(takes, i), -q(i)).when((q(i) > 0) & ~paired(i), -F.least(q(i), h(i))).otherwise(0)
+        return F.struct(F.transform(n, lambda i: q(i) + change(i)).alias("charge"), F.transform(n, lambda i: h(i) + change(i)).alias("h"))
+
+    return let(free, moved)
 
 
 ELEMENTS_DEFAULT = [s for s in ("C", "H", "N", "O", "S", "F", "Cl", "Br", "I", "P") if s in NUMBER]

@@ -19,26 +19,30 @@ from retort.functions import molecule as M
 from retort.functions import smiles as S
 from retort.functions.expr import let
 from retort.functions.molecule import m
+from retort.operators import molecules
 
 END = "(*)"
 JOINT = "%99"
 
 
-def written(df: DataFrame, parts: str, out: str, smiles: str = "smiles", ends: str | None = None) -> DataFrame:
+def written(df: DataFrame, parts: str, out: str, smiles: str = "smiles", ends: str | None = None, state: str | None = None) -> DataFrame:
     """df with out: the SMILES of each atom list in the column parts (array of arrays), read from smiles. ends: a column with,
-    for each list, the atoms that get a cut end."""
+    for each list, the atoms that get a cut end. state: a column (charge, h) of all atoms, where these are not as read. Arrays
+    of molecules are not sent to Python, so mol is dropped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            marks = batch.column(ends).to_pylist() if ends else [None] * batch.num_rows
-            for s, lists, marked in zip(batch.column(smiles).to_pylist(), batch.column(parts).to_pylist(), marks, strict=True):
+            given = [batch.column(c).to_pylist() if c else [None] * batch.num_rows for c in (ends, state)]
+            for s, lists, marked, changed in zip(batch.column(smiles).to_pylist(), batch.column(parts).to_pylist(), *given, strict=True):
                 mol = M.parsed(s) if lists else None
+                if mol and changed:
+                    mol.charge, mol.h = changed["charge"], changed["h"]
                 marked = marked or [[]] * len(lists or [])
                 texts.append([S.write(mol, x, dict.fromkeys(y, END)) if x else "" for x, y in zip(lists, marked, strict=True)] if mol else [] if lists is not None else None)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.list_(pa.string()))], names)
 
-    df = df.drop(out)
+    df = df.drop(out, "mol")
     names = [*df.columns, out]
     schema = ", ".join([*(f"`{n}` {t}" for n, t in df.dtypes), f"`{out}` array<string>"])
     return df.mapInArrow(run, schema)
@@ -76,20 +80,25 @@ def side_chains(df: DataFrame, smiles: str = "smiles") -> DataFrame:
     return written(rows.withColumn("_ends", ends), "_parts", "side_chains", smiles, "_ends").drop("_fw", "_parts", "_ends")
 
 
+def neutralize(df: DataFrame, smiles: str = "smiles") -> DataFrame:
+    """df (with mol, which is dropped) with neutralized: the molecule without the charges that taking or giving a hydrogen removes (see
+    molecules.neutral_state), canonical; null where smiles is no molecule."""
+    every = F.array(F.sequence(F.lit(0), F.size(m("z")) - 1))
+    rows = df.withColumn("_parts", F.when(F.col("mol").isNotNull(), every)).withColumn("_state", F.when(F.col("mol").isNotNull(), molecules.neutral_state()))
+    return written(rows, "_parts", "_text", smiles, state="_state").withColumn("neutralized", F.get("_text", F.lit(0))).drop("_parts", "_state", "_text")
+
+
 def standardize(df: DataFrame, smiles: str = "smiles", neutralize: bool = True) -> DataFrame:
     """df with standardized: the largest fragment, without the charges that taking or giving a hydrogen removes, canonical and
     without stereo marks. Null where smiles is no molecule."""
     df = M.with_molecules(df, smiles) if "mol" not in df.columns else df
-    largest = graphs.largest_fragment(df, "_big").withColumn("_parts", F.array(flagged(F.col("_big"))))
-    text = written(largest, "_parts", "_text", smiles).withColumn("standardized", F.get("_text", F.lit(0))).drop("_big", "_parts", "_text")
+    ok = F.col("mol").isNotNull()
+    rows = graphs.largest_fragment(df, "_big").withColumn("_parts", F.when(ok, F.array(flagged(F.col("_big")))))
     if not neutralize:
-        return text
-    # charged heavy atoms in brackets that no opposite charge stands beside
-    plain = F.col("standardized")
-    paired = F.exists(F.sequence(F.lit(0), F.size(m("z")) - 1), lambda i: (F.get(m("charge"), i) > 0) & F.exists(F.get(m("near"), i), lambda j: F.get(m("charge"), j) < 0))
-    for charged, neutral in (("[O-]", "O"), ("[S-]", "S"), ("[N-]", "N"), ("[NH-]", "N"), ("[NH4+]", "N"), ("[NH3+]", "N"), ("[NH2+]", "N"), ("[NH+]", "N"), ("[nH+]", "n")):
-        plain = F.replace(plain, F.lit(charged), F.lit(neutral))
-    return text.withColumn("standardized", F.when(paired, F.col("standardized")).otherwise(plain))
+        return written(rows, "_parts", "_text", smiles).withColumn("standardized", F.get("_text", F.lit(0))).drop("_big", "_parts", "_text")
+    # only the kept fragment's charges count
+    rows = rows.withColumn("_state", F.when(ok, molecules.neutral_state("_big")))
+    return written(rows, "_parts", "_text", smiles, state="_state").withColumn("standardized", F.get("_text", F.lit(0))).drop("_big", "_parts", "_text", "_state")
 
 
 def ring_systems(df: DataFrame, id_: str = "row_idx", smiles: str = "smiles") -> DataFrame:
@@ -102,13 +111,18 @@ def ring_systems(df: DataFrame, id_: str = "row_idx", smiles: str = "smiles") ->
         return F.concat(F.filter(groups, lambda g: ~touches(g)), F.array(joined))
 
     groups = F.aggregate(m("rings"), F.array().cast("array<array<int>>"), merge)
-    rows = df.where("mol is not null").withColumn("_parts", groups)
-    rows = written(rows, "_parts", "_text", smiles).select(F.col(id_).alias("id"), "mol", F.explode(F.arrays_zip(F.col("_parts").alias("atoms"), F.col("_text").alias("text"))).alias("g"))
-    inside = F.filter(m("rings"), lambda r: F.arrays_overlap(r, F.col("g.atoms")))
-    shared = F.flatten(F.transform(inside, lambda r, i: F.transform(F.slice(inside, i + 2, F.size(inside)), lambda q: F.size(F.array_intersect(r, q)))))
-    kind = F.when(F.size(inside) == 1, "simple").when(F.exists(shared, lambda n: n > 2), "bridged").when(F.exists(shared, lambda n: n == 2), "fused").otherwise("spiro")
-    aromatic = F.forall(F.col("g.atoms"), lambda i: F.get(m("arom"), i))
-    return rows.select("id", F.col("g.text").alias("ring_system"), kind.alias("ring_type"), F.size("g.atoms").alias("ring_size"), F.size(inside).alias("num_rings"), aromatic.alias("is_aromatic"))
+
+    def described(atoms: Column) -> Column:
+        inside = F.filter(m("rings"), lambda r: F.arrays_overlap(r, atoms))
+        shared = F.flatten(F.transform(inside, lambda r, i: F.transform(F.slice(inside, i + 2, F.size(inside)), lambda q: F.size(F.array_intersect(r, q)))))
+        kind = F.when(F.size(inside) == 1, "simple").when(F.exists(shared, lambda n: n > 2), "bridged").when(F.exists(shared, lambda n: n == 2), "fused").otherwise("spiro")
+        aromatic = F.forall(atoms, lambda i: F.get(m("arom"), i))
+        return F.struct(kind.alias("kind"), F.size(atoms).alias("size"), F.size(inside).alias("rings"), aromatic.alias("aromatic"))
+
+    rows = df.where("mol is not null").withColumn("_parts", groups).withColumn("_kinds", F.transform("_parts", described))
+    rows = written(rows.select(F.col(id_).alias("id"), smiles, "_parts", "_kinds"), "_parts", "_text", smiles)
+    rows = rows.select("id", F.explode(F.arrays_zip(F.col("_kinds").alias("k"), F.col("_text").alias("text"))).alias("g"))
+    return rows.select("id", F.col("g.text").alias("ring_system"), F.col("g.k.kind").alias("ring_type"), F.col("g.k.size").alias("ring_size"), F.col("g.k.rings").alias("num_rings"), F.col("g.k.aromatic").alias("is_aromatic"))
 
 
 def retrosynthetic_bonds() -> Column:

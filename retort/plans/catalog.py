@@ -13,6 +13,7 @@ from retort.functions import molecule as M
 from retort.functions.elements import MASSES
 from retort.operators import analysis, columns, conformers, datasets, filters, molecules, rewrite, similarity
 from retort.plans import library
+from retort.sources import formats
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -107,7 +108,7 @@ DIGITS = r"regexp_replace(smiles, '\[[^\]]*\]', 'X', 'g')"
 LIB = f"WITH {library.values()}"
 
 
-@query("element_filter", f"{LIB} SELECT row_idx, name FROM mols WHERE n_s = 0 AND n_na = 0 AND n_br = 0 AND n_n > 0 AND n_cl = 0")
+@query("element_filter", f"{LIB} SELECT row_idx, name FROM mols WHERE n_s = 0 AND n_na = 0 AND n_br = 0 AND n_f = 0 AND n_n > 0 AND n_cl = 0")
 def _(spark, d):
     mols = M.with_molecules(library.bridged(spark, d))
     return mols.where(filters.by_elements(M.elements(), ["C", "H", "N", "O"], ["N"], ["Cl"])).select("row_idx", "name")
@@ -192,35 +193,46 @@ def _(spark, d):
     return M.descriptors(M.with_molecules(library.bridged(spark, d))).drop("mol")
 
 
-@query("molecule_info")
+@query("descriptors_counted", f"{LIB} SELECT row_idx, donors, aromatic, polar FROM mols")
 def _(spark, d):
-    return molecules.info(M.with_molecules(library.bridged(spark, d))).drop("mol")
+    """Against values counted by hand: donors, aromatic rings, polar surface."""
+    made = M.descriptors(M.with_molecules(library.bridged(spark, d)), ("NumHDonors", "NumAromaticRings", "TPSA"), 2)
+    return made.select("row_idx", F.col("NumHDonors").cast("int").alias("donors"), F.col("NumAromaticRings").cast("int").alias("aromatic"), F.col("TPSA").alias("polar"))
 
 
-@query("rings_info")
+@query("molecule_info", f"{LIB} SELECT row_idx, formula, CAST(len(regexp_extract_all(smiles, '{TOKENS}')) AS INTEGER) AS heavy_atoms, CAST(len(regexp_extract_all({DIGITS}, '[0-9]')) // 2 AS INTEGER) AS rings, donors, aromatic AS aromatic_rings, polar, 0 AS lipinski_violations FROM mols")
 def _(spark, d):
-    return molecules.ring_info(M.with_molecules(library.bridged(spark, d))).drop("mol")
+    info = molecules.info(M.with_molecules(library.bridged(spark, d)))
+    return info.select("row_idx", "formula", F.col("HeavyAtomCount").alias("heavy_atoms"), F.col("RingCount").alias("rings"), F.col("NumHDonors").alias("donors"), F.col("NumAromaticRings").alias("aromatic_rings"), F.col("TPSA").alias("polar"), "lipinski_violations")
 
 
-@query("functional_groups")
+_RINGS = f"CAST(len(regexp_extract_all({DIGITS}, '[0-9]')) // 2 AS INTEGER)"
+
+
+@query("rings_info", f"{LIB} SELECT row_idx, {_RINGS} AS num_rings, aromatic AS num_aromatic_rings, {_RINGS} - aromatic AS num_aliphatic_rings FROM mols")
+def _(spark, d):
+    return molecules.ring_info(M.with_molecules(library.bridged(spark, d))).select("row_idx", "num_rings", "num_aromatic_rings", "num_aliphatic_rings")
+
+
+@query("functional_groups", f"{LIB} SELECT row_idx, {', '.join(f'{library.by_name(v)} AS n_{k}' for k, v in library.GROUPS.items())}, aromatic - {library.by_name(library.FIVE)} AS n_aromatic_ring FROM mols")
 def _(spark, d):
     mols = M.with_molecules(library.bridged(spark, d))
     return mols.select("row_idx", *(c.alias(k) for k, c in molecules.functional_groups().items()))
 
 
-@query("substructure_phenyl", f"{LIB} SELECT row_idx, name FROM mols WHERE name IN ('aspirin', 'benzene', 'ibuprofen', 'cocaine', 'estradiol', 'paracetamol', 'toluene', 'phenol', 'naphthalene', 'indole', 'diazepam', 'sulfamethoxazole', 'lidocaine', 'warfarin', 'nitrobenzene', 'bromobenzene', 'dopamine', 'serotonin', 'morphine')")
+@query("substructure_phenyl", f"{LIB} SELECT row_idx, name FROM mols WHERE name IN ({library.listed(library.PHENYL)})")
 def _(spark, d):
     return molecules.substructure(M.with_molecules(library.bridged(spark, d)), "c1ccccc1").select("row_idx", "name")
 
 
-@query("substructure_acid_excluded", f"{LIB} SELECT row_idx, name FROM mols WHERE name NOT IN ('aspirin', 'ibuprofen', 'cocaine', 'acetic acid', 'glycine', 'alanine', 'sodium acetate')")
+@query("substructure_acid_excluded", f"{LIB} SELECT row_idx, name FROM mols WHERE name NOT IN ({library.listed(library.CARBOXYL)})")
 def _(spark, d):
     return molecules.substructure(M.with_molecules(library.bridged(spark, d)), "C(=O)O", exclude=True).select("row_idx", "name")
 
 
-@query("stereo_perceive")
+@query("stereo_perceive", f"{LIB} SELECT row_idx, {library.by_name(library.CENTERS)} AS n_potential, 0 AS n_specified, {library.by_name(library.CENTERS)} AS n_unspecified FROM mols")
 def _(spark, d):
-    return molecules.stereo_counts(M.with_molecules(library.bridged(spark, d))).drop("mol")
+    return molecules.stereo_counts(M.with_molecules(library.bridged(spark, d))).select("row_idx", "n_potential", "n_specified", "n_unspecified")
 
 
 @query("scaffold_analyze")
@@ -247,13 +259,33 @@ def _(spark, d):
 
 @query("mmp_analyze")
 def _(spark, d):
-    pairs = molecules.matched_pairs(molecules.cuts(library.frame(spark).withColumnRenamed("mol_id", "row_idx")), 3)
-    return datasets.frequencies(pairs, "transformation", "id_1", None, True)
+    """Transformations between all molecules of the bridge. Rows with equal core and group are counted once with their number,
+    so a pair of groups is one row however many molecules have them."""
+    return molecules.transformation_counts(molecules.cuts(library.bridged(spark, d)), 3)
+
+
+_SALT = "CASE WHEN name = 'sodium benzoate' THEN 'C7H6O2' WHEN name = 'choline chloride' THEN 'C5H14NO+' ELSE formula END"
+
+
+def _formula_of(df: DataFrame, text: str) -> DataFrame:
+    """row_idx and the formula and charge of the molecule that a column spells, read again."""
+    rows = M.with_molecules(df.select("row_idx", F.col(text).alias("smiles")))
+    return rows.select("row_idx", M.formula().alias("formula"), M.total(M.m("charge")).alias("charge"))
+
+
+@query("neutralize", f"{LIB} SELECT row_idx, formula, 0 AS charge FROM mols")
+def _(spark, d):
+    """What is neutral as a whole stays as it is: salts and nitro groups keep their charges."""
+    return _formula_of(rewrite.neutralize(M.with_molecules(library.bridged(spark, d))), "neutralized")
 
 
-@query("neutralize", f"{LIB} SELECT row_idx, CASE WHEN name = 'sodium acetate' THEN 1 ELSE 0 END AS charge_left FROM mols")
+@query("neutralize_ions", f"{LIB} SELECT row_idx, formula, 0 AS charge FROM mols WHERE name IN ('acetamide', 'salicylic acid', 'piperazine', 'taurine', 'imidazole')")
 def _(spark, d):
-    return M.with_molecules(library.bridged(spark, d)).select("row_idx", molecules.neutralized_charge().alias("charge_left"))
+    """Ions of some molecules become these molecules again."""
+    ions = {"acetamide": "CC([NH3+])=O", "salicylic acid": "[O-]C(=O)c1ccccc1[O-]", "piperazine": "C1C[NH2+]CC[NH2+]1", "taurine": "[NH3+]CCS(=O)(=O)[O-]", "imidazole": "c1c[n-]cn1"}
+    texts = F.create_map(*(F.lit(x) for kv in ions.items() for x in kv))
+    rows = library.bridged(spark, d).withColumn("smiles", F.try_element_at(texts, F.col("name"))).where("smiles is not null")
+    return _formula_of(rewrite.neutralize(M.with_molecules(rows)), "neutralized")
 
 
 @query("largest_fragment", f"{LIB} SELECT row_idx, CAST(len(regexp_extract_all(split_part(smiles, '.', 1), '{TOKENS}')) AS INTEGER) AS atoms FROM mols")
@@ -261,9 +293,9 @@ def _(spark, d):
     return graphs.largest_fragment(M.with_molecules(library.bridged(spark, d))).select("row_idx", F.size(F.filter("fragment", lambda k: k)).alias("atoms"))
 
 
-@query("convert", f"{LIB} SELECT row_idx, name FROM mols")
+@query("convert", f"{LIB} SELECT row_idx, formula, 0 AS charge FROM mols")
 def _(spark, d):
-    return rewrite.convert(_mixed_names(spark, d)).select("row_idx", "name")
+    return _formula_of(rewrite.convert(_mixed_names(spark, d)), "smiles")
 
 
 def _mixed_names(spark, d):
@@ -272,9 +304,13 @@ def _mixed_names(spark, d):
     return rows.unionByName(rows.withColumn("smiles", F.lit(library.INVALID[0])))
 
 
-@query("scaffold_murcko")
+@query("scaffold_murcko", f"{LIB} SELECT row_idx, framework AS atoms, CAST(CASE WHEN framework > 0 THEN aromatic ELSE 0 END AS INTEGER) AS aromatic_rings FROM mols")
 def _(spark, d):
-    return rewrite.scaffolds(M.with_molecules(library.bridged(spark, d))).drop("mol")
+    """Atoms and aromatic rings of each scaffold's text, read again."""
+    rows = rewrite.scaffolds(M.with_molecules(library.bridged(spark, d))).select("row_idx", F.col("scaffold").alias("smiles"))
+    again = M.with_molecules(rows)
+    zero = lambda c: F.when(F.col("mol").isNotNull(), c).when(F.col("smiles") == "", 0)
+    return again.select("row_idx", zero(F.size(M.m("z"))).alias("atoms"), zero(M.aromatic_rings()).alias("aromatic_rings"))
 
 
 @query("rings_extract")
@@ -303,9 +339,10 @@ def _(spark, d):
     return rewrite.recombined(rewrite.fragments(mols), 1000)
 
 
-@query("standardize")
+@query("standardize", f"{LIB} SELECT row_idx, {_SALT} AS formula, CASE WHEN name = 'choline chloride' THEN 1 ELSE 0 END AS charge FROM mols")
 def _(spark, d):
-    return rewrite.standardize(M.with_molecules(library.bridged(spark, d))).drop("mol")
+    """The formula and charge of each standardized text, read again."""
+    return _formula_of(rewrite.standardize(M.with_molecules(library.bridged(spark, d))), "standardized")
 
 
 @query("mmp_transform")
@@ -336,9 +373,11 @@ def _(spark, d):
     return rewrite.reaction_fingerprints(spark.createDataFrame(REACTIONS, "row_idx int, reaction string")).withColumn("difference", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("difference")))))
 
 
-@query("protonate")
+@query("protonate", f"{LIB} SELECT row_idx, {library.by_name(library.CHARGED)} AS charge_at_ph, {library.by_name(library.CHARGED)} AS charge, CAST(n_h + {library.by_name(library.CHARGED)} AS INTEGER) AS hydrogens FROM mols")
 def _(spark, d):
-    return analysis.charge_at(M.with_molecules(library.bridged(spark, d)), 7.4).drop("mol")
+    """The charge at pH 7.4, and charge and hydrogens of the text of that state, read again."""
+    rows = analysis.protonated(analysis.charge_at(M.with_molecules(library.bridged(spark, d)), 7.4)).select("row_idx", "charge_at_ph", F.col("protonated").alias("smiles"))
+    return M.with_molecules(rows).select("row_idx", "charge_at_ph", M.total(M.m("charge")).alias("charge"), M.h_count().alias("hydrogens"))
 
 
 @query("protonation_sites")
@@ -357,15 +396,16 @@ def _(spark, d):
     return analysis.pharmacophore(M.with_molecules(library.bridged(spark, d))).drop("mol")
 
 
-@query("filter_alerts", f"{LIB} SELECT row_idx, name FROM mols WHERE name NOT IN ('acetonitrile', 'nitrobenzene')")
+@query("filter_alerts", f"{LIB} SELECT row_idx, name FROM mols WHERE name NOT IN ('benzonitrile', 'nitrophenol')")
 def _(spark, d):
     found = analysis.alerts(M.with_molecules(library.bridged(spark, d)), {"nitrile": "C#N", "nitro": "[N+](=O)[O-]"})
     return found.select("row_idx", "name")
 
 
-@query("enumerate_stereoisomers")
+@query("enumerate_stereoisomers", f"{LIB}, n AS (SELECT row_idx, {library.by_name(library.CENTERS)} AS k FROM mols) SELECT row_idx AS id, CAST(i AS INTEGER) AS isomer, CASE WHEN k = 0 THEN '' ELSE array_to_string(list_transform(range(0, k), lambda x: (i >> x) & 1), '') END AS assignment FROM (SELECT row_idx, k, unnest(range(0, CAST(2 ** k AS BIGINT))) AS i FROM n)")
 def _(spark, d):
-    return analysis.stereoisomers(M.with_molecules(library.bridged(spark, d)))
+    made = analysis.stereoisomers(M.with_molecules(library.bridged(spark, d)))
+    return made.select("id", "isomer", F.array_join(F.col("assignment").cast("array<string>"), "").alias("assignment"))
 
 
 @query("rgroup")
@@ -388,10 +428,38 @@ def _(spark, d):
     return M.registry(spark)
 
 
-@query("filter_druglike_molecules")
+@query("filter_druglike_molecules", f"{LIB} SELECT row_idx, name FROM mols")
 def _(spark, d):
+    """All molecules of the library keep to the rule."""
     made = M.descriptors(M.with_molecules(library.bridged(spark, d)), M.LIPINSKI)
-    return filters.druglike(made, "lipinski").drop("mol")
+    return filters.druglike(made, "lipinski").select("row_idx", "name")
+
+
+@query("filter_fragment_like", f"{LIB} SELECT row_idx, name FROM mols WHERE donors <= 1 AND polar <= 40 AND {_MASS} <= 150")
+def _(spark, d):
+    made = M.descriptors(M.with_molecules(library.bridged(spark, d)), ("MolWt", "NumHDonors", "TPSA"))
+    rules = {"MolWt": (None, 150), "NumHDonors": (None, 1), "TPSA": (None, 40)}
+    return filters.druglike(made, rules).select("row_idx", "name")
+
+
+#: Spelled once more, no molecule has another fingerprint or key.
+_KINDS = ("atompair", "circular", "key", "minhash", "path", "scaffold", "torsion")
+
+
+@query("fingerprint_spellings", f"SELECT * FROM (VALUES {', '.join(f'(%r, {len(library.SPELLINGS)}, 0)' % k for k in _KINDS)}) AS t(kind, spellings, apart)")
+def _(spark, d):
+    """By kind of fingerprint or key: spellings, and how many have another value than the library's own text."""
+    rows = spark.createDataFrame([(k, s, library.MOLECULES[k][0]) for k, s in library.SPELLINGS], "mol_id int, smiles string, own string")
+
+    def values(c: str) -> DataFrame:
+        mols = M.with_molecules(rows.select("mol_id", F.col(c).alias("smiles")))
+        for kind, make in (("circular", graphs.circular), ("path", lambda df, out: graphs.paths(df, 4, out=out)), ("torsion", graphs.torsions), ("atompair", graphs.atom_pairs), ("minhash", scores.minhash_circular)):
+            mols = make(mols, out=f"_{kind}").withColumn(kind, bits.to_hex(F.col(f"_{kind}")))
+        mols = graphs.scaffold_keys(graphs.key(mols, "key")).withColumn("scaffold", F.concat_ws("/", "scaffold_key", "generic_key"))
+        return mols.select("mol_id", F.explode(F.create_map(*(x for k in _KINDS for x in (F.lit(k), F.col(k))))).alias("kind", c))
+
+    met = values("smiles").join(values("own").distinct(), ["mol_id", "kind"])
+    return met.groupBy("kind").agg(F.count("*").cast("int").alias("spellings"), F.sum((F.col("smiles") != F.col("own")).cast("int")).cast("int").alias("apart"))
 
 
 @query("scores")
@@ -494,6 +562,11 @@ def _(spark, d):
     return datasets.sample_stratified(table(spark, d, "labels").select(F.col("doc_id").alias("row_idx"), "quality"), 60, "quality")
 
 
+@query("sample_reservoir", f"SELECT o_orderkey AS row_idx, o_totalprice, o_orderstatus FROM orders ORDER BY {_DRAW}, o_orderkey LIMIT 37")
+def _(spark, d):
+    return datasets.reservoir(_orders(spark, d), 37)
+
+
 @query("split_chunks", "SELECT o_orderkey AS row_idx, CAST(ntile(7) OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS chunk FROM orders")
 def _(spark, d):
     return datasets.split(_orders(spark, d), chunks=7).select("row_idx", "chunk")
@@ -573,6 +646,17 @@ _PAIRS = f"pairs AS (SELECT x.id AS i, y.id AS j, x.pop AS a, y.pop AS b, {_COMM
 _FIRST = f"one AS (SELECT y.id, x.pop AS b, y.pop AS a, {_COMMON} AS c, CAST({N_BITS} AS DOUBLE) AS n FROM pop x, pop y WHERE x.id = (SELECT min(id) FROM pop))"
 
 
+_MANY = f"SELECT y.id AS query_id, x.id AS id, x.pop AS a, y.pop AS b, {_COMMON} AS c, CAST({N_BITS} AS DOUBLE) AS n FROM pop x JOIN pop y ON y.id % 100 = 0"
+
+
+@query("sim_search_many", f"WITH {_FP}, {_POP}, m AS ({_MANY}) SELECT query_id, id, round(s, 4) AS similarity FROM (SELECT query_id, id, {metrics.sql('tanimoto')} AS s FROM m) WHERE s >= 0.5")
+def _(spark, d):
+    """Every row whose id is divisible by 100 as a query, against all rows."""
+    fps = _fps(spark, d)
+    queries = fps.where("id % 100 = 0").select(F.col("id").alias("query_id"), "words")
+    return similarity.search_many(fps, queries, "tanimoto", N_BITS, 0.5).withColumn("similarity", F.round("similarity", 4))
+
+
 def _search(metric: str, spark, d):
     fps = _fps(spark, d)
     first = fps.orderBy("id").first()
@@ -604,19 +688,39 @@ def _(spark, d):
     return similarity.neighbours(_on(spark, d), 0.6, N_BITS)
 
 
-@query("cluster_butina")
+#: Neighbours both ways, with the number of each row's.
+_NEAR = f"near AS (SELECT i, j FROM (SELECT i, j, {metrics.sql('tanimoto')} AS s FROM pairs) WHERE s >= {{0}}), both_ AS (SELECT i, j FROM near UNION ALL SELECT j, i FROM near), lists AS MATERIALIZED (SELECT pop.id, coalesce(list(j) FILTER (WHERE j IS NOT NULL), []) AS near FROM pop LEFT JOIN both_ ON i = pop.id GROUP BY pop.id)"
+#: Rows in an order, each taken unless a row taken before is its neighbour.
+_TAKEN = "ranked AS MATERIALIZED (SELECT id, near, row_number() OVER (ORDER BY {0}) AS r FROM lists), walk(r, taken) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT walk.r + 1, CASE WHEN list_has_any(near, taken) THEN taken ELSE list_append(taken, id) END FROM walk JOIN ranked ON ranked.r = walk.r + 1), taken AS (SELECT unnest(taken) AS id FROM (SELECT taken FROM walk ORDER BY r DESC LIMIT 1))"
+
+
+@query(
+    "cluster_butina",
+    f"WITH RECURSIVE {_FP}, {_POP}, {_PAIRS}, {_NEAR.format(0.6)}, {_TAKEN.format('len(near) DESC, id')}, of_ AS (SELECT l.id, coalesce(t.id, (SELECT arg_min(c.id, struct_pack(a := -len(c.near), b := c.id)) FROM lists c JOIN taken x ON x.id = c.id WHERE list_contains(l.near, c.id))) AS centroid FROM lists l LEFT JOIN taken t ON t.id = l.id), "
+    "sizes AS (SELECT centroid, count(*) AS cluster_size FROM of_ GROUP BY centroid) SELECT id, centroid, row_number_ AS cluster, cluster_size FROM of_ JOIN (SELECT *, row_number() OVER (ORDER BY cluster_size DESC, centroid) - 1 AS row_number_ FROM sizes) USING (centroid)",
+)
 def _(spark, d):
     fps = _fps(spark, d)
-    return similarity.butina(fps, similarity.upper_pairs(fps, "tanimoto", N_BITS).where("similarity >= 0.6"))
+    return similarity.butina(fps, similarity.neighbours(_on(spark, d), 0.6, N_BITS))
+
+
+def _maxmin_sql(k: int) -> str:
+    """Picks one after the other, each from the least distances to all before."""
+    dist = f"d AS (SELECT i, j, 1 - {metrics.sql('tanimoto')} AS far FROM pairs), dd AS (SELECT i, j, far FROM d UNION ALL SELECT j, i, far FROM d)"
+    steps, picked = ["p0 AS (SELECT min(id) AS id FROM pop)"], "SELECT id, 0 AS diversity_rank FROM p0"
+    for n in range(1, k):
+        steps.append(f"p{n} AS (SELECT i AS id FROM dd JOIN ({picked}) q ON q.id = dd.j WHERE i NOT IN (SELECT id FROM ({picked})) GROUP BY i ORDER BY min(far) DESC, i LIMIT 1)")
+        picked += f" UNION ALL SELECT id, {n} FROM p{n}"
+    return f"WITH {_FP}, {_POP}, {_PAIRS}, {dist}, {', '.join(s.replace(' AS (', ' AS MATERIALIZED (', 1) for s in steps)} {picked}"
 
 
-@query("diversity_maxmin")
+@query("diversity_maxmin", _maxmin_sql(12))
 def _(spark, d):
     fps = _fps(spark, d)
     return similarity.maxmin(fps, 12, fps.agg(F.min("id")).first()[0], N_BITS)
 
 
-@query("diversity_leader")
+@query("diversity_leader", f"WITH RECURSIVE {_FP}, {_POP}, {_PAIRS}, {_NEAR.format(0.5)}, {_TAKEN.format('id')} SELECT id, row_number() OVER (ORDER BY id) - 1 AS diversity_rank FROM taken")
 def _(spark, d):
     return similarity.leader(_fps(spark, d), 0.5, N_BITS)
 
@@ -631,7 +735,10 @@ def _(spark, d):
     return _fps(spark, d).select("id", *bits.to_columns(F.col("words"), N_BITS))
 
 
-@query("fp_hex")
+_NIBBLES = "array_to_string(list_transform(range(15, -1, -1), lambda k: format('{:x}', CAST(f[4 * k + 1] + 2 * f[4 * k + 2] + 4 * f[4 * k + 3] + 8 * f[4 * k + 4] AS INTEGER))), '')"
+
+
+@query("fp_hex", f"WITH {_FP}, h AS (SELECT id, {_NIBBLES} AS hex FROM fp) SELECT id, hex, to_base64(unhex(hex)) AS base64 FROM h")
 def _(spark, d):
     return _fps(spark, d).select("id", bits.to_hex(F.col("words")).alias("hex"), bits.to_base64(F.col("words")).alias("base64"))
 
@@ -674,7 +781,7 @@ def _(spark, d):
 
 # streams
 
-@query("stream_dedupe", "SELECT count(*) AS n_keys FROM (SELECT DISTINCT user_id FROM events)")
+@query("stream_dedupe", "SELECT user_id, CAST(1 AS BIGINT) AS n FROM (SELECT DISTINCT user_id FROM events)")
 def _(spark, d):
     """A stream over the events file, deduplicated by user, run over what is there."""
     import uuid
@@ -686,4 +793,71 @@ def _(spark, d):
     where = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(batch.schema).parquet(f"{d}/events.parque[t]")
     out = streaming.run_available(spark, streaming.deduplicate(stream, "user_id"), f"{where}/out", f"{where}/state")
-    return out.agg(F.count("*").alias("n_keys"))
+    return out.groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+# sources and sinks: written to the shared folder and read again
+
+_FILES = ("csv", "tsv", "smi", "sdf", "parquet")
+
+
+def _written(spark, d, kind: str) -> str:
+    """A path with the bridge's molecules, in the given format."""
+    import uuid
+
+    from retort.functions.checkpoints import shared_folder
+
+    path = f"{shared_folder(spark)}/molecules-{uuid.uuid4().hex}.{kind}"
+    mols = library.bridged(spark, d).withColumn("name", F.concat("name", F.lit(" #"), "row_idx")).drop("mol_id")
+    if kind == "sdf":
+        rows = M.with_molecules(mols)
+        bond = lambda x: F.array(x["a"], x["b"], x["o"])
+        charged = F.filter(F.transform(M.m("charge"), lambda q, i: F.array(i, q)), lambda x: x[1] != 0)
+        symbols = F.transform(M.m("z"), lambda z: F.element_at(F.create_map(*(F.lit(v) for n, x in M.SYMBOL.items() for v in (n, x))), z))
+        zero = F.transform(M.m("z"), lambda z: F.array(*(F.lit(0.0) for _ in range(3))))
+        rows = rows.where(~F.exists(M.m("arom"), lambda a: a))  # the format has no aromatic atoms
+        mols = rows.select("name", symbols.alias("symbols"), zero.alias("xyz"), F.transform(M.bonds(), bond).alias("bonds"), charged.alias("charges"), F.create_map(F.lit("row_idx"), F.col("row_idx").cast("string")).alias("properties"))
+    formats.write_molecules(mols, path, kind)
+    return path
+
+
+def _again(kind: str, spark, d):
+    rows = formats.read_molecules(spark, _written(spark, d, kind), kind)
+    return M.with_molecules(rows.select("name", "smiles")).select("name", M.formula().alias("formula"))
+
+
+for _kind in _FILES:
+    query(f"source_{_kind}", f"{LIB} SELECT name || ' #' || row_idx AS name, formula FROM mols" + (" WHERE aromatic = 0" if _kind == "sdf" else ""))(partial(_again, _kind))
+
+
+@query("sink_json", f"{LIB} SELECT row_idx, smiles, name || ' #' || row_idx AS name FROM mols")
+def _(spark, d):
+    return spark.read.schema("row_idx long, smiles string, name string").json(_written(spark, d, "json"))
+
+
+@query("source_row_count", f"{LIB} SELECT kind, count(*) FILTER (WHERE kind <> 'sdf' OR aromatic = 0) AS n FROM mols, (VALUES {', '.join(f'(%r)' % k for k in _FILES)}) AS t(kind) GROUP BY kind")
+def _(spark, d):
+    return spark.createDataFrame([(k, formats.row_count(spark, _written(spark, d, k), k)) for k in _FILES], "kind string, n long")
+
+
+@query("source_formats", "SELECT * FROM (VALUES ('a.csv', 'csv', true), ('b/c.TSV', 'tsv', true), ('d.smi', 'smi', false), ('d.smiles', 'smi', false), ('e.sdf', 'sdf', true), ('e.mol', 'sdf', true), ('f.parquet', 'parquet', true), ('f.pq/', 'parquet', true)) AS t(path, kind, header)")
+def _(spark, d):
+    paths = ("a.csv", "b/c.TSV", "d.smi", "d.smiles", "e.sdf", "e.mol", "f.parquet", "f.pq/")
+    return spark.createDataFrame([(p, formats.detect(p), formats.config(p).has_header) for p in paths], "path string, kind string, header boolean")
+
+
+@query("sink_chunks", "SELECT CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 700 AS BIGINT) AS chunk, o_orderkey AS row_idx FROM orders")
+def _(spark, d):
+    import uuid
+
+    from retort.functions.checkpoints import shared_folder
+
+    path = f"{shared_folder(spark)}/chunks-{uuid.uuid4().hex}"
+    datasets.write_chunks(datasets.split(_orders(spark, d), size=700), path)
+    return spark.read.parquet(path).select(F.col("chunk").cast("long").alias("chunk"), "row_idx")
+
+
+@query("sim_matrix_wide", f"WITH {_FP}, {_POP}, {_PAIRS}, h AS (SELECT i, j, {metrics.sql('tanimoto')} AS s FROM pairs), f AS (SELECT * FROM h UNION ALL SELECT j, i, s FROM h UNION ALL SELECT id, id, 1.0::DOUBLE FROM pop) SELECT i, {', '.join(f'round(max(s) FILTER (WHERE j = {k}), 4) AS \"{k}\"' for k in range(8))} FROM f WHERE i < 8 AND j < 8 GROUP BY i")
+def _(spark, d):
+    """The matrix of the eight rows with the smallest ids, one column a row."""
+    return similarity.wide_matrix(similarity.matrix(_fps(spark, d).where("id < 8"), "tanimoto", N_BITS))

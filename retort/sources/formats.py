@@ -1,6 +1,7 @@
-"""Reading and writing molecule tables: CSV, TSV, SMI, SDF and Parquet.
+"""Reading and writing molecule tables: CSV, TSV, SMI, SDF, Parquet, and JSON for writing.
 
 Every reader gives row_idx, smiles and name beside the file's own columns. Text cells are strings and empty ones stay "".
+Records of an SDF file that can't be read give a row with null columns, as texts that are no molecules do.
 """
 
 from __future__ import annotations
@@ -13,7 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-EXTENSIONS = {".csv": "csv", ".tsv": "tsv", ".smi": "smi", ".smiles": "smi", ".sdf": "sdf", ".mol": "sdf", ".parquet": "parquet", ".pq": "parquet"}
+from retort.functions import smiles as S
+from retort.functions.elements import NUMBER, VALENCES
+
+EXTENSIONS = {".csv": "csv", ".tsv": "tsv", ".smi": "smi", ".smiles": "smi", ".sdf": "sdf", ".mol": "sdf", ".parquet": "parquet", ".pq": "parquet", ".json": "json"}
 
 
 @dataclass
@@ -72,6 +76,22 @@ def _read_smi(spark: SparkSession, path: str) -> DataFrame:
     return with_row_idx(df.select(F.col("p")[0].alias("smiles"), F.coalesce(F.get("p", F.lit(1)), F.lit("")).alias("name")))
 
 
+def row_count(spark: SparkSession, path: str, kind: str | None = None) -> int:
+    """Records of a file, without parsing molecules: Parquet is counted from its footers."""
+    kind = kind or detect(path)
+    if kind == "sdf":
+        return spark.read.option("lineSep", "$$$$\n").text(path).where(F.rlike("value", F.lit(r"\S"))).count()
+    return read_molecules(spark, path, kind).count()
+
+
+def reference_structure(spark: SparkSession, path: str, kind: str | None = None) -> str:
+    """The SMILES of the first record of a file, as what others are compared with."""
+    row = read_molecules(spark, path, kind).where("smiles <> ''").orderBy("row_idx").select("smiles").first()
+    if row is None:
+        raise ValueError(f"no molecule in {path}")
+    return row["smiles"]
+
+
 SDF = "symbols array<string>, xyz array<array<double>>, bonds array<array<int>>, charges array<array<int>>"
 
 
@@ -80,23 +100,60 @@ def _read_sdf(spark: SparkSession, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [r for r in map(parse_record, batch.column("value").to_pylist()) if r]
+            rows = [{"smiles": smiles_of(r), **r} for r in map(parse_record, batch.column("value").to_pylist()) if r is not None]
             yield pa.RecordBatch.from_pylist(rows, schema)
 
     pairs = pa.map_(pa.string(), pa.string())
-    schema = pa.schema([("name", pa.string()), ("symbols", pa.list_(pa.string())), ("xyz", pa.list_(pa.list_(pa.float64()))), ("bonds", pa.list_(pa.list_(pa.int32()))), ("charges", pa.list_(pa.list_(pa.int32()))), ("properties", pairs)])
+    schema = pa.schema([("smiles", pa.string()), ("name", pa.string()), ("symbols", pa.list_(pa.string())), ("xyz", pa.list_(pa.list_(pa.float64()))), ("bonds", pa.list_(pa.list_(pa.int32()))), ("charges", pa.list_(pa.list_(pa.int32()))), ("properties", pairs)])
     text = spark.read.option("lineSep", "$$$$\n").text(path)
-    return with_row_idx(text.mapInArrow(run, f"name string, {SDF}, properties map<string,string>"))
+    return with_row_idx(text.mapInArrow(run, f"smiles string, name string, {SDF}, properties map<string,string>"))
+
+
+def smiles_of(record: dict) -> str | None:
+    """The record's graph as SMILES; hydrogens with one bond are counted, not written. Null where it is no molecule."""
+    symbols, bonds = record.get("symbols"), record.get("bonds", [])
+    if not symbols:
+        return None
+    try:
+        ends = [x for a, b, _ in bonds for x in (a, b)]
+        folded = {k for k, x in enumerate(symbols) if x == "H" and len(symbols) > 1 and ends.count(k) == 1}
+        charge = dict(map(tuple, record["charges"]))
+        m, place = S.Mol(), {}
+        for k, x in enumerate(symbols):
+            if k not in folded:
+                own = [o for a, b, o in bonds if k in (a, b) and not {a, b} & folded]
+                given = sum(k in (a, b) and bool({a, b} & folded) for a, b, _ in bonds)
+                z, q = NUMBER[x], charge.get(k, 0)
+                # a charge changes the usual valence: nitrogen and later gain a bond by a positive one
+                room = VALENCES.get(z, (0,))[0] + (q if z in (7, 8, 9, 15, 16) else -abs(q)) - sum(own)
+                place[k] = m.add(z, charge=q, h=given or (max(room, 0) if q else None if z in VALENCES else 0))
+        for a, b, o in bonds:
+            if not {a, b} & folded:
+                m.bond(place[a], place[b], o)
+        return S.write(S.finished(m))
+    except (S.Invalid, KeyError, IndexError, RecursionError):
+        return None
 
 
 def parse_record(text: str) -> dict | None:
-    lines = text.strip("\n").split("\n") if text.strip() else []
+    """None for blank text, and no fields for what is not a record."""
+    if not text.strip():
+        return None
+    try:
+        return _fields(text.strip("\n").split("\n"))
+    except (ValueError, IndexError):
+        return {}
+
+
+def _fields(lines: list[str]) -> dict:
     start = next((k for k, x in enumerate(lines) if x.rstrip().endswith("V2000")), None)
     if start is None:
-        return None
+        return {}
     # the name is three lines before the counts; leading blank names are lost with the strip above
     n_atoms, n_bonds = int(lines[start][:3]), int(lines[start][3:6])
     a, b = lines[start + 1 : start + 1 + n_atoms], lines[start + 1 + n_atoms : start + 1 + n_atoms + n_bonds]
+    if len(a) < n_atoms or len(b) < n_bonds:
+        return {}
     charges, properties, key = [], {}, None
     for line in lines[start + 1 + n_atoms + n_bonds :]:
         if line.startswith("M  CHG"):
@@ -124,8 +181,8 @@ def write_molecules(df: DataFrame, path: str, kind: str | None = None, columns:
     kind = kind or detect(path)
     if columns:
         df = df.select(*columns, *(c for c in df.columns if c not in columns))
-    if kind == "parquet":
-        df.write.mode("overwrite").parquet(path)
+    if kind in ("parquet", "json"):
+        df.write.mode("overwrite").format(kind).save(path)
     elif kind == "smi":
         rows = df.where(F.col("smiles") != "")
         text = F.concat_ws(" ", "smiles", F.expr("nullif(name, '')")) if "name" in df.columns else F.col("smiles")

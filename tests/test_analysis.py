@@ -1,9 +1,9 @@
+import known as library
 import pytest
 
 from retort.functions import molecule as M
 from retort.functions import scores, smiles
 from retort.operators import analysis, rewrite
-from retort.plans import library
 
 
 @pytest.fixture(scope="module")
@@ -75,9 +75,12 @@ def test_scores(mols):
     got = {r.name: r for r in scores.accessibility(mols).withColumn("qed", scores.qed()).collect()}
     assert all(1 <= r.sa_score <= 10 and 0 < r.qed < 1 for r in got.values())
     assert 0.75 < got["ibuprofen"].qed < 0.88 and got["ibuprofen"].qed > got["glucose"].qed
-    # all fragments unknown: 11 - (-4 + size term + 5) / 1.5
-    want = 11 - (-4 + 3**1.005 - 3 + 5) / 1.5
-    assert got["ethanol"].sa_score == round(min(want, 10), 2)
+    # all 6 neighbourhoods up to radius 1 of ethanol's 3 atoms are unknown and different, and 3 of radius 2
+    want = 11 - (4 + 3**1.005 - 3 + 5) / 1.5
+    assert got["ethanol"].sa_score == round(want, 4)
+    # benzene: 3 kinds of neighbourhood, each 6 times
+    assert got["benzene"].sa_score == round(11 - (12 / 18 + 6**1.005 - 6 + 5) / 1.5, 4)
+    assert len({r.sa_score for r in got.values()}) > 20
 
 
 def test_side_chains(mols):

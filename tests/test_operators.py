@@ -172,7 +172,52 @@ def test_sdf(spark, tmp_path):
     path = str(tmp_path / "t.sdf")
     formats.write_molecules(df, path)
     (got,) = formats.read_molecules(spark, path).drop("row_idx").collect()
-    assert tuple(got) == row[0]
+    assert tuple(got) == ("C=O.[Na+]", *row[0])
+    assert formats.reference_structure(spark, path) == "C=O.[Na+]"
+
+
+def test_bad_sdf_records(spark, tmp_path):
+    good = "ammonium\n\n\n  5  4  0  0  0  0  0  0  0  0999 V2000\n" + "".join(f"    0.0000    0.0000    0.0000 {x:<3} 0  0\n" for x in "NHHHH") + "".join(f"  1{k:3d}  1  0\n" for k in range(2, 6)) + "M  CHG  1   1   1\nM  END\n"
+    bad = ["x\n\n\nabc  4  0 V2000\nM  END\n", "no record at all\n", "x\n\n\n  9  0 V2000\n    0.0000    0.0000    0.0000 C   0\nM  END\n"]
+    (tmp_path / "t.sdf").write_text("$$$$\n".join([good, *bad, good]) + "$$$$\n\n")
+    got = formats.read_molecules(spark, str(tmp_path / "t.sdf")).orderBy("row_idx").collect()
+    assert [r.smiles for r in got] == ["[NH4+]", None, None, None, "[NH4+]"] and got[1].symbols is None
+    assert formats.row_count(spark, str(tmp_path / "t.sdf")) == 5
+
+
+def test_merge_orders_by_frame_and_row(spark):
+    a = spark.createDataFrame([(1 << 41, "x", 1), (5, "y", 2)], "row_idx long, key string, v int")
+    b = spark.createDataFrame([(0, "x", 3), (1 << 40, "z", 4), (7, "y", 5)], "row_idx long, key string, v int")
+    got = datasets.merge({"a": a, "b": b}, "key", "source")
+    assert sorted((r.key, r.v, r.source) for r in got.collect()) == [("x", 1, "a"), ("y", 2, "a"), ("z", 4, "b")]
+    assert [r.v for r in datasets.merge({"a": a, "b": b}).orderBy("row_idx").collect()] == [2, 1, 3, 5, 4]
+    many = spark.range(2000).selectExpr("id as row_idx", "cast(id % 3 as string) as key", "1 as v").repartition(150)
+    far = many.withColumn("row_idx", F.monotonically_increasing_id())
+    assert datasets.merge({"a": far, "b": far}, "key").count() == 3
+
+
+def test_reservoir_and_strata(spark):
+    df = spark.range(500).withColumnRenamed("id", "row_idx").withColumn("s", F.when(F.col("row_idx") % 10 == 0, None).otherwise(F.col("row_idx") % 3))
+    assert {r.row_idx for r in datasets.reservoir(df, 40).collect()} == {r.row_idx for r in datasets.reservoir(df.repartition(7), 40).collect()}
+    got = {r.s: r["count"] for r in datasets.sample_stratified(df, 100, "s").groupBy("s").count().collect()}
+    sizes = {r.s: r["count"] for r in df.groupBy("s").count().collect()}
+    assert sum(got.values()) == 100 and all(abs(got[k] - 100 * v / 500) < 2 for k, v in sizes.items())
+    assert datasets.sample_stratified(df, 900, "s").count() == 500 and datasets.sample_stratified(df.limit(0), 5, "s").count() == 0
+
+
+def test_transformation_counts_equal_pairs(spark):
+    from retort.operators import molecules
+
+    r = random.Random(4)
+    rows = [(k, f"c{r.randint(0, 5)}", f"r{r.randint(0, 4)}", 9) for k in range(80)]
+    df = spark.createDataFrame(rows, "id int, core string, rgroup string, core_heavy int")
+    want = {}
+    for i, (_, c, a, _) in enumerate(rows):
+        for _, d, b, _ in rows[i + 1 :]:
+            if c == d and a != b:
+                key = ">>".join(sorted((a, b)))
+                want[key] = want.get(key, 0) + 1
+    assert {x.transformation: x["count"] for x in molecules.transformation_counts(df, 3).collect()} == want
 
 
 def test_streams(spark, tmp_path):
