@@ -270,13 +270,21 @@ def bridgeheads() -> Column:
     return F.array_distinct(F.flatten(ends))
 
 
-def descriptors(df: DataFrame, names: tuple[str, ...] = COMMON, precision: int | None = 4) -> DataFrame:
-    """df (with mol) and one column a descriptor; null where mol is."""
-    unknown = [n for n in names if n not in DESCRIPTORS]
+def chosen(names: tuple[str, ...] | None = None, category: str | None = None, exclude: tuple[str, ...] = ()) -> tuple[str, ...]:
+    """Names of descriptors: those given, or all of a category, or all, less exclude. Unknown names are an error."""
+    unknown = [n for n in (*(names or ()), *exclude) if n not in DESCRIPTORS]
     if unknown:
         raise ValueError(f"unknown descriptors: {', '.join(unknown)}")
+    kinds = {c for c, _ in DESCRIPTORS.values()}
+    if category is not None and category not in kinds:
+        raise ValueError(f"unknown category: {category}; known: {', '.join(sorted(kinds))}")
+    return tuple(n for n in names or DESCRIPTORS if n not in exclude and category in (None, DESCRIPTORS[n][0]))
+
+
+def descriptors(df: DataFrame, names: tuple[str, ...] | None = COMMON, precision: int | None = 4, category: str | None = None, exclude: tuple[str, ...] = ()) -> DataFrame:
+    """df (with mol) and one column a descriptor; null where mol is. names None: all, or all of category."""
     made = {}
-    for n in names:
+    for n in chosen(names, category, exclude):
         c = F.when(F.col("mol").isNotNull(), DESCRIPTORS[n][1]()).cast("double")
         made[n] = c if precision is None else F.round(c, precision)
     return df.withColumns(made)

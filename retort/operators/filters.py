@@ -9,13 +9,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Published drug-likeness ranges, (low, high), inclusive; None is open.
+#: Published drug-likeness ranges, (low, high), inclusive; None is open. Sets by year, properties as their papers
+#: name them: Lipinski and others 1997, Ghose and others 1999, Egan and others 2000, Muegge and others 2001, Veber and others 2002.
 RULE_SETS: dict[str, dict[str, tuple[float | None, float | None]]] = {
-    "lipinski": {"MolWt": (None, 500), "MolLogP": (None, 5), "NumHDonors": (None, 5), "NumHAcceptors": (None, 10)},
-    "veber": {"TPSA": (None, 140), "NumRotatableBonds": (None, 10)},
-    "ghose": {"MolWt": (160, 480), "MolLogP": (-0.4, 5.6), "NumAtoms": (20, 70), "MolMR": (40, 130)},
+    "lipinski": {"NumHDonors": (None, 5), "NumHAcceptors": (None, 10), "MolWt": (None, 500), "MolLogP": (None, 5)},
+    "ghose": {"MolLogP": (-0.4, 5.6), "MolMR": (40, 130), "MolWt": (160, 480), "NumAtoms": (20, 70)},
     "egan": {"TPSA": (None, 131.6), "MolLogP": (None, 5.88)},
-    "muegge": {"MolWt": (200, 600), "MolLogP": (-2, 5), "TPSA": (None, 150), "RingCount": (None, 7), "NumRotatableBonds": (None, 15), "NumHDonors": (None, 5), "NumHAcceptors": (None, 10)},
+    "muegge": {"MolWt": (200, 600), "MolLogP": (-2, 5), "TPSA": (None, 150), "RingCount": (None, 7), "NumRotatableBonds": (None, 15), "NumHAcceptors": (None, 10), "NumHDonors": (None, 5)},
+    "veber": {"NumRotatableBonds": (None, 10), "TPSA": (None, 140)},
 }
 RULE = re.compile(r"\s*([A-Za-z_]\w*)\s*(<=|>=|==|!=|<|>)\s*(-?[\d.]+(?:[eE][-+]?\d+)?)\s*$")
 

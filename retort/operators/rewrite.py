@@ -25,10 +25,10 @@ END = "(*)"
 JOINT = "%99"
 
 
-def written(df: DataFrame, parts: str, out: str, smiles: str = "smiles", ends: str | None = None, state: str | None = None) -> DataFrame:
+def written(df: DataFrame, parts: str, out: str, smiles: str = "smiles", ends: str | None = None, state: str | None = None, generic: bool = False) -> DataFrame:
     """df with out: the SMILES of each atom list in the column parts (array of arrays), read from smiles. ends: a column with,
-    for each list, the atoms that get a cut end. state: a column (charge, h) of all atoms, where these are not as read. Arrays
-    of molecules are not sent to Python, so mol is dropped."""
+    for each list, the atoms that get a cut end. state: a column (charge, h) of all atoms, where these are not as read.
+    generic: with all atoms as carbon and all bonds single. Arrays of molecules are not sent to Python, so mol is dropped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -38,6 +38,7 @@ def written(df: DataFrame, parts: str, out: str, smiles: str = "smiles", ends: s
                 mol = M.parsed(s) if lists else None
                 if mol and changed:
                     mol.charge, mol.h = changed["charge"], changed["h"]
+                mol = S.generic(mol) if mol and generic else mol
                 marked = marked or [[]] * len(lists or [])
                 texts.append([S.write(mol, x, dict.fromkeys(y, END)) if x else "" for x, y in zip(lists, marked, strict=True)] if mol else [] if lists is not None else None)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.list_(pa.string()))], names)
@@ -58,10 +59,14 @@ def convert(df: DataFrame, smiles: str = "smiles") -> DataFrame:
     return M.with_molecules(df, smiles, "canonical").where("mol is not null").withColumn(smiles, F.col("canonical")).drop("mol", "canonical")
 
 
-def scaffolds(df: DataFrame, smiles: str = "smiles") -> DataFrame:
-    """df (with mol) with scaffold, its SMILES, "" if acyclic."""
+def scaffolds(df: DataFrame, smiles: str = "smiles", generic: bool = False) -> DataFrame:
+    """df (with mol, which is dropped) with scaffold, its SMILES, "" if acyclic; generic: also with generic_scaffold, in which
+    all atoms are carbon and all bonds single."""
     flags = graphs.framework(df, "_fw").withColumn("_parts", F.array(flagged(F.col("_fw"))))
-    return written(flags, "_parts", "_text", smiles).withColumn("scaffold", F.get("_text", F.lit(0))).drop("_fw", "_parts", "_text")
+    out = written(flags, "_parts", "_text", smiles).withColumn("scaffold", F.get("_text", F.lit(0)))
+    if generic:
+        out = written(out, "_parts", "_text", smiles, generic=True).withColumn("generic_scaffold", F.get("_text", F.lit(0)))
+    return out.drop("_fw", "_parts", "_text")
 
 
 def side_chains(df: DataFrame, smiles: str = "smiles") -> DataFrame:

@@ -339,7 +339,12 @@ def _(spark, d):
     return rewrite.recombined(rewrite.fragments(mols), 1000)
 
 
-@query("standardize", f"{LIB} SELECT row_idx, {_SALT} AS formula, CASE WHEN name = 'choline chloride' THEN 1 ELSE 0 END AS charge FROM mols")
+@query("standardize")
+def _(spark, d):
+    return rewrite.standardize(M.with_molecules(library.bridged(spark, d)))
+
+
+@query("standardize_formula", f"{LIB} SELECT row_idx, {_SALT} AS formula, CASE WHEN name = 'choline chloride' THEN 1 ELSE 0 END AS charge FROM mols")
 def _(spark, d):
     """The formula and charge of each standardized text, read again."""
     return _formula_of(rewrite.standardize(M.with_molecules(library.bridged(spark, d))), "standardized")
@@ -423,9 +428,15 @@ def _(spark, d):
     return analysis.fingerprint_registry(spark).drop("description")
 
 
-@query("descriptors_list")
+@query("descriptors_list", "SELECT category, count(*) AS n FROM (VALUES ('MolWt', 'molecular'), ('ExactMolWt', 'molecular'), ('HeavyAtomCount', 'constitutional'), ('NumAtoms', 'constitutional'), ('NumHAcceptors', 'constitutional'), ('NumHDonors', 'constitutional'), ('NumRotatableBonds', 'constitutional'), ('NumHeteroatoms', 'constitutional'), ('NumAromaticRings', 'constitutional'), ('NumAliphaticRings', 'constitutional'), ('RingCount', 'constitutional'), ('FormalCharge', 'electronic'), ('TPSA', 'topological'), ('MolLogP', 'electronic'), ('MolMR', 'electronic'), ('FractionCSP3', 'constitutional'), ('NumHeavyAtoms', 'constitutional'), ('NumRings', 'constitutional'), ('LogP', 'electronic'), ('NumFragments', 'constitutional'), ('NumBridgeheadAtoms', 'topological'), ('NumSpiroAtoms', 'topological')) AS t(name, category) GROUP BY category")
+def _(spark, d):
+    return M.registry(spark).groupBy("category").agg(F.count("*").alias("n"))
+
+
+@query("descriptors_category", f"{LIB} SELECT row_idx, polar AS \"TPSA\", {library.by_name({'spirodecane': 1})} AS \"NumSpiroAtoms\" FROM mols")
 def _(spark, d):
-    return M.registry(spark)
+    made = M.descriptors(M.with_molecules(library.bridged(spark, d)), None, 2, "topological", ("NumBridgeheadAtoms",))
+    return made.select("row_idx", "TPSA", F.col("NumSpiroAtoms").cast("int").alias("NumSpiroAtoms"))
 
 
 @query("filter_druglike_molecules", f"{LIB} SELECT row_idx, name FROM mols")

@@ -22,6 +22,12 @@ def test_scaffold_texts(mols):
     assert same(got["cocaine"], "O=C(OC1CC2CCC(C1)N2)c1ccccc1")
 
 
+def test_generic_scaffolds(mols):
+    got = {r.name: r.generic_scaffold for r in rewrite.scaffolds(mols, generic=True).collect()}
+    assert got["ethanol"] == "" and same(got["pyridine"], "C1CCCCC1") and same(got["aspirin"], "C1CCCCC1")
+    assert same(got["caffeine"], "CC1CC(C)C2CCCC2C1") and same(got["indole"], "C1CCC2CCCC2C1")
+
+
 def test_standard_forms(spark):
     rows = [("CC(=O)[O-].[Na+]", "CC(=O)O"), ("C[NH3+].[Cl-]", "CN"), ("C[N+](=O)[O-]", "C[N+](=O)[O-]"), ("OCC.O", "CCO"), ("C[C@H](N)O", "CC(N)O"), ("[O-]C(=O)c1ccc(cc1)[N+](=O)[O-]", "OC(=O)c1ccc(cc1)[N+](=O)[O-]"), ("[OH-]", "O"), ("C[n-]1cccc1", None), ("c1cc[n-]c1.[K+]", "c1cc[nH]c1"), ("C[N+](C)(C)CC(=O)[O-]", "C[N+](C)(C)CC(=O)[O-]"), ("[NH3+]CC([O-])=O", "NCC(O)=O"), ("no molecule", None)]
     df = spark.createDataFrame(rows, "smiles string, want string")
