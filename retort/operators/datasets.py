@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from retort.functions.checkpoints import cut
+
 
 def deduplicate(df: DataFrame, key: str | Column, order: str = "row_idx", keep: str = "first") -> DataFrame:
     """One row for each key, the first or last by order; rows whose key is null all stay, and so do rows that are equal in key
@@ -83,8 +85,9 @@ def sample_stratified(df: DataFrame, n: int, stratum: str, key: str = "row_idx",
 
 def _numbered(df: DataFrame, order: str) -> tuple[DataFrame, int]:
     """df with _place, its rank from 0 by order, and the number of rows. Ranks are made range by range: rows are dealt to
-    ranges of order, ranges are counted, and each numbers its rows from the sum of those before it."""
-    ranged = df.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id())
+    ranges of order, ranges are counted, and each numbers its rows from the sum of those before it. The dealt rows are kept,
+    since ranges come from a sample that another run would draw anew."""
+    ranged = cut(df.repartitionByRange(F.col(order)).withColumn("_part", F.spark_partition_id()))
     sizes = {r[0]: r[1] for r in ranged.groupBy("_part").count().collect()}
     starts, at = [], 0
     for k in sorted(sizes):
@@ -115,15 +118,36 @@ def write_chunks(df: DataFrame, path: str, source_format: str = "parquet") -> No
     df.write.mode("overwrite").partitionBy("chunk").format(source_format).save(path)
 
 
+def _median(values: DataFrame) -> float | None:
+    """The exact median of column _v: distinct values are counted and dealt to ranges, ranges are summed, and the one or two
+    ranges that hold the middle are run through."""
+    counts = values.where("_v is not null").groupBy("_v").agg(F.count("*").alias("_n"))
+    ranged = cut(counts.repartitionByRange("_v").withColumn("_part", F.spark_partition_id()))
+    sizes = sorted(tuple(r) for r in ranged.groupBy("_part").agg(F.sum("_n")).collect())  # a row a range
+    total, found = sum(n for _, n in sizes), []
+    for place in ((total - 1) // 2, total // 2) if total else ():
+        before = 0
+        for part, n in sizes:
+            if place < before + n:
+                break
+            before += n
+        run = ranged.where(F.col("_part") == part).withColumn("_upto", F.sum("_n").over(Window.partitionBy("_part").orderBy("_v")))
+        found.append(run.where(F.col("_upto") > place - before).agg(F.min("_v")).first()[0])
+        if total % 2:
+            break
+    return sum(found) / len(found) if found else None
+
+
 def statistics(df: DataFrame, columns: list[str], valid: Column | None = None) -> DataFrame:
     """One row: total, valid and invalid rows, validity_rate, and min, max, mean, median and sample standard deviation of
-    columns over valid rows. The deviation of one value is 0."""
+    columns over valid rows. The deviation of one value is 0. Medians are exact, and no task holds a column's values."""
     ok = F.lit(True) if valid is None else F.coalesce(valid, F.lit(False))
     aggs = [F.count("*").alias("total_molecules"), F.count(F.when(ok, 1)).alias("valid_molecules"), F.count(F.when(~ok, 1)).alias("invalid_molecules")]
     for c in columns:
         v = F.when(ok, F.col(c).cast("double"))
         deviation = F.when(F.count(v) == 1, 0.0).otherwise(F.stddev_samp(v))
-        found = {"min": F.min(v), "max": F.max(v), "mean": F.avg(v), "median": F.median(v), "stdev": deviation}
+        median = F.lit(_median(df.select(v.alias("_v")))).cast("double")
+        found = {"min": F.min(v), "max": F.max(v), "mean": F.avg(v), "median": median, "stdev": deviation}
         aggs += [F.round(x, 2).alias(f"{c}_{k}") for k, x in found.items()]
     out = df.agg(*aggs)
     rate = F.when(F.col("total_molecules") > 0, F.round(F.col("valid_molecules") / F.col("total_molecules"), 4)).otherwise(0.0)

@@ -259,7 +259,7 @@ FRAGMENT = pa.struct([("core", pa.string()), ("rgroup", pa.string()), ("core_hea
 
 def cuts(df: DataFrame, id_: str = "row_idx", smiles: str = "smiles") -> DataFrame:
     """(id, core, rgroup, core_heavy): two rows for each single bond outside rings between heavy atoms, one for either side as
-    the core (Hussain and Rea 2010). * marks the cut."""
+    the core (Hussain and Rea 2010), equal ones once. * marks the cut. Repeated rows give repeated cuts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -268,14 +268,14 @@ def cuts(df: DataFrame, id_: str = "row_idx", smiles: str = "smiles") -> DataFra
 
     source = df.select(F.col(id_).alias("id"), smiles)
     made = source.mapInArrow(run, f"id {dict(source.dtypes)['id']}, cuts array<struct<core:string,rgroup:string,core_heavy:int>>")
-    return made.select("id", F.explode("cuts").alias("c")).select("id", "c.*").distinct()
+    return made.select("id", F.explode("cuts").alias("c")).select("id", "c.*")
 
 
 def _cut_rows(mol: S.Mol | None) -> list[dict]:
     if mol is None:
         return []
     in_ring = {frozenset(p) for r in mol.rings for p in zip(r, r[1:] + r[:1], strict=True)}
-    out = []
+    out = {}
     for a, b, order, _ in mol.bonds:
         if order == 1 and frozenset((a, b)) not in in_ring:
             side, todo = {a}, [a]
@@ -289,8 +289,8 @@ def _cut_rows(mol: S.Mol | None) -> list[dict]:
                 continue
             rest = [i for i in range(len(mol.z)) if i not in side]
             x, y = S.write(mol, sorted(side), {a: "(*)"}), S.write(mol, rest, {b: "(*)"})
-            out += [{"core": x, "rgroup": y, "core_heavy": len(side)}, {"core": y, "rgroup": x, "core_heavy": len(rest)}]
-    return out
+            out |= {(x, y): len(side), (y, x): len(rest)}
+    return [{"core": x, "rgroup": y, "core_heavy": n} for (x, y), n in out.items()]
 
 
 def matched_pairs(fragments: DataFrame, min_core: int = 1) -> DataFrame:

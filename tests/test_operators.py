@@ -62,6 +62,14 @@ def test_statistics_and_frequencies(spark):
     assert [r.k for r in datasets.frequencies(df, "k", skip_empty=True, top=1).collect()] == ["b"]
 
 
+def test_medians_are_exact(spark):
+    r = random.Random(9)
+    for n in (1, 2, 7, 40, 301):
+        values = [r.choice((r.randint(0, 5), r.random(), -3.5)) * 1.0 for _ in range(n)]
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").repartition(5)
+        assert datasets._median(df.select(F.col("v").alias("_v"))) == float(np.median(values))
+
+
 def fps(n, bits, share, seed=1):
     r = random.Random(seed)
     base = [sorted(i for i in range(bits) if r.random() < share) for _ in range(8)]
