@@ -15,7 +15,7 @@ Steps, all keyed by hashes or ids:
 4. What the pivots leave is done exactly: buckets that still hold several components are put together by pivot, and in
    these families all members of different components are compared on their full sets, in blocks of bounded size whose
    task gives links only; components are merged again. Pairs inside one component can't change the result and are left out.
-Joins on a bucket or family deal its rows to parts (spread_join), so that no task gets a large one whole.
+Joins on a bucket, family or pivot deal its rows to parts (spread_join), so that no task gets a large one whole.
 
 Defined cases: null text, empty text or text without words has an empty set, n_shingles 0, is linked with nothing and
 kept; under 5 words the whole sequence is the one shingle; rows of one doc_id and several texts are judged by their own
@@ -114,8 +114,8 @@ def full_sets(nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The (u, v) of pairs, with u < v, whose full sets are linked."""
-    both = pairs.join(sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v")
-    both = both.join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u")
+    both = spread_join(pairs, sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v", "u")
+    both = spread_join(both, sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u", "v")
     common = F.size(F.array_intersect("a", "b"))
     return both.where(100 * common >= 75 * (F.size("a") + F.size("b") - common)).select("u", "v").distinct()
 
@@ -165,7 +165,8 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # the centre of a star may have most edges
+        large = spread_join(both.where("v > u"), least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(least, "u")
         small = hung.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
@@ -253,7 +254,7 @@ def _both(pairs: DataFrame, some: DataFrame) -> DataFrame:
     """pairs (u, v) with the size and signature of u as struct a and of v as struct b."""
     a = some.select(F.col("node").alias("u"), F.struct("n", "sig").alias("a"))
     b = some.select(F.col("node").alias("v"), F.struct("n", "sig").alias("b"))
-    return pairs.join(b, "v").join(a, "u")
+    return spread_join(spread_join(pairs, b, "v", "u"), a, "u", "v")
 
 
 #: Every pair of documents that share a shingle is counted out: for small tables.

@@ -110,3 +110,12 @@ def test_one_row_of_each_group_stays(spark, edge_docs, no_docs):
     near = sorted({r.doc_id for r in minhash_dedup.near_duplicates(edge_docs).where("kept and doc_id is not null").collect()})
     assert ids == near
     assert minhash_dedup.deduplicated(no_docs).count() == 0
+
+
+def test_spread_join_is_a_join(spark):
+    from retort.llm.common import spread_join
+
+    rows = spark.createDataFrame([(k, 7 if k < 200 else k % 5) for k in range(400)] + [(999, None)], "node long, key long")
+    values = spark.createDataFrame([(7, "a"), (1, "b"), (2, "c"), (50, "d")], "key long, v string")
+    want = sorted((r.node, r.key, r.v) for r in rows.join(values, "key").collect())
+    assert sorted((r.node, r.key, r.v) for r in spread_join(rows, values, "key", "node").collect()) == want
