@@ -8,14 +8,8 @@ different functions each, so values within a band are independent; a pair at 0.7
 Steps, all keyed by hashes or ids:
 1. One pass over the texts makes set size, set fingerprint, signature and bands. Equal sets become one class (partial
    aggregation, so that a class with a third of all rows costs one row a task).
-2. Classes meet in buckets (band, value). Each bucket has a pivot, the member with most company over all its buckets, which
-   is the likely original of a group of edited copies. Only (pivot, member) pairs are made: linear in the bucket.
-3. Pairs whose signatures agree on under half of the values are dropped (at 0.75, chance 1e-8); the rest is confirmed on
-   the full sets, and links are merged into components.
-4. What the pivots leave is done exactly: buckets that still hold several components are put together by pivot, and in
-   these families all members of different components are compared on their full sets, in blocks of bounded size whose
-   task gives links only; components are merged again. Pairs inside one component can't change the result and are left out.
-Joins on a bucket, family or pivot deal its rows to parts (spread_join), so that no task gets a large one whole.
+2. Classes meet in buckets (band, value); links are found there as in set_links. Pairs with a pivot whose signatures agree on
+   under half of the values are dropped (at 0.75, chance 1e-8); the rest is confirmed on the full sets.
 
 Defined cases: null text, empty text or text without words has an empty set, n_shingles 0, is linked with nothing and
 kept; under 5 words the whole sequence is the one shingle; rows of one doc_id and several texts are judged by their own
@@ -35,8 +29,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retort.llm.common import BROADCAST_ROWS, WordHashes, cut, mixed, n_words, ngram_hashes, semi_by_size, spread_join
+from retort.llm.common import BROADCAST_ROWS, WordHashes, cut, mixed, n_words, spread_join
+from retort.llm.set_links import component_id, linked, lowered, nameless, nodes_of, shingle_set
 
+WORDS, PERCENT = 5, 75
 FUNCTIONS = 48
 BANDS, ROWS = 24, 4
 _rng = np.random.default_rng(20240501)
@@ -46,14 +42,6 @@ FLIP = _rng.integers(0, 2**63, FUNCTIONS, np.uint64)
 BAND_COLUMNS = np.array([[b, 48 + (b + 12) % 48, 24 + b, 48 + (b + 36) % 48] for b in range(BANDS)])
 
 
-def shingle_set(text: bytes, hashes: WordHashes, n: int = 5) -> np.ndarray:
-    """Sorted distinct shingle hashes of lower-cased UTF-8 text."""
-    words = text.split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    return np.unique(ngram_hashes(hashes.of(words), min(n, len(words))) ^ np.uint64(len(words) if len(words) < n else 0))
-
-
 def signature(shingles: np.ndarray) -> np.ndarray:
     """48 minima, then 48 maxima, as uint64."""
     low = np.full(FUNCTIONS, np.iinfo(np.uint64).max, np.uint64)
@@ -72,7 +60,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(at, 256)
             n, prints, bands, signs = [], [], [], []
             for text in part.column("text"):
-                s = shingle_set((text.as_py() or "").encode("utf-8", "replace").lower(), hashes)
+                s = shingle_set(lowered(text), hashes, WORDS)
                 n.append(len(s))
                 prints.append(xxhash.xxh3_128_digest(s.tobytes()))
                 if len(s):
@@ -89,110 +77,16 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*map(part.column, same), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(signs, pa.list_(pa.int32()))], [*same, "n_shingles", "print", "bands", "sig"])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part = batch.slice(at, 256)
-            sets = [shingle_set((t.as_py() or "").encode("utf-8", "replace").lower(), hashes) for t in part.column("text")]
-            prints = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(prints, pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "print", "shingles"])
-
-
 def _likely(a: str, b: str) -> Column:
     """Signatures agree on half of their values or more, and set sizes allow a similarity of 0.75."""
     agree = F.aggregate(F.zip_with(f"{a}.sig", f"{b}.sig", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     return (F.col(f"{a}.n") * 4 >= F.col(f"{b}.n") * 3) & (F.col(f"{b}.n") * 4 >= F.col(f"{a}.n") * 3) & (agree * 2 >= 2 * FUNCTIONS)
 
 
-def full_sets(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, print, shingles) of the nodes, made again from their texts alone."""
-    ids = cut(nodes.select(F.col("node").alias("doc_id")).distinct())
-    sets = semi_by_size(docs, ids, "doc_id").mapInArrow(_sets, "node long, print binary, shingles array<long>")
-    return cut(sets.groupBy("node", "print").agg(F.first("shingles").alias("shingles")))  # repeated rows count once
-
-
-def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The (u, v) of pairs, with u < v, whose full sets are linked."""
-    both = spread_join(pairs, sets.select(F.col("node").alias("v"), F.col("shingles").alias("b")), "v", "u")
-    both = spread_join(both, sets.select(F.col("node").alias("u"), F.col("shingles").alias("a")), "u", "v")
-    common = F.size(F.array_intersect("a", "b"))
-    return both.where(100 * common >= 75 * (F.size("a") + F.size("b") - common)).select("u", "v").distinct()
-
-
-def cross_links(sets: DataFrame, left: DataFrame, block: int = 512) -> DataFrame:
-    """Links (u, v) between components, one at least for each two components of a family that are linked. left: family,
-    node, component. All pairs of a family's members in different components are compared on full sets, in blocks of members
-    that hash together: a task holds two blocks, and no pair leaves it but a link."""
-    blocks = left.groupBy("family").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    rows = spread_join(left, blocks, "family", "node").withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("family", "node", "component", "i", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"))
-    met = rows.join(sets.select("node", "shingles"), "node")
-    return met.groupBy("family", "low", "high").applyInArrow(_linked_blocks, "u long, v long").distinct()
-
-
-def _linked_blocks(rows: pa.Table) -> pa.Table:
-    node, component, i = (rows.column(c).to_numpy() for c in ("node", "component", "i"))
-    found: dict[tuple[int, int], tuple[int, int]] = {}
-    if len(np.unique(component)) > 1:
-        lists = rows.column("shingles").combine_chunks()
-        size = lists.value_lengths().to_numpy().astype(np.int64)
-        _, column, df = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)
-        row, met = np.repeat(np.arange(len(node)), size), df[column] > 1
-        row, column = row[met], np.unique(column[met], return_inverse=True)[1]
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        a, b = (np.flatnonzero(i == rows.column(c)[0].as_py()) for c in ("low", "high"))
-        common = np.zeros((len(a), len(b)), np.int64)
-        for at in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
-            k = slice(*np.searchsorted(column, (at, at + 4096)))
-            has = np.zeros((len(node), 4096), np.float32)
-            has[row[k], column[k] - at] = 1
-            common += (has[a] @ has[b].T).astype(np.int64)  # at most 4096 a slice, so exact
-        linked = (100 * common >= 75 * (size[a][:, None] + size[b][None, :] - common)) & (component[a][:, None] != component[b][None, :])
-        for x, y in np.argwhere(linked):
-            u, v = sorted((a[x], b[y]), key=lambda r: node[r])
-            found.setdefault(tuple(sorted((int(component[u]), int(component[v])))), (int(node[u]), int(node[v])))
-    return pa.table({"u": pa.array([u for u, _ in found.values()], pa.int64()), "v": pa.array([v for _, v in found.values()], pa.int64())})
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reachable, for nodes in links (u, v). Alternates two linear steps that hang each
-    node's larger and then smaller neighbours under the smallest one, until nothing changes."""
-    edges = cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        # the centre of a star may have most edges
-        large = spread_join(both.where("v > u"), least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(least, "u")
-        small = hung.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        edges = cut(small.select("e.u", "e.v").where("u <> v").distinct())
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-        if now == before:
-            break
-        before = now
-    found = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return found.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-
-
-#: Nodes of rows without doc_id; ids are taken to be under it.
-NAMELESS = 1 << 62
-
-
-def _nameless(text_hash: str) -> Column:
-    return F.lit(NAMELESS) + F.shiftrightunsigned(text_hash, 2)
-
-
 def judged(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash (of the text as it stands), n_shingles, print (of the set) and component of each row of docs, where
     component is a node: a doc_id, or one from NAMELESS up for rows that are linked to no id. It is null for empty sets."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("own"), F.col("text").cast("string").alias("text"))
-    docs = docs.withColumn("text_hash", F.xxhash64("text"))
-    docs = docs.select("own", F.coalesce("own", _nameless("text_hash")).alias("doc_id"), "text_hash", "text")
+    docs = nodes_of(docs)
     sketches = cut(docs.mapInArrow(_sketch, "own long, doc_id long, text_hash long, n_shingles long, print binary, bands array<long>, sig array<int>"))
     full = sketches.where("n_shingles > 0")
     # equal sets have equal bands and signatures, so any row's will do
@@ -202,40 +96,21 @@ def judged(docs: DataFrame) -> DataFrame:
     rows = classes.select("node", F.explode("bands").alias("key"))
     company = rows.groupBy("key").agg(F.count("*").alias("company")).where("company > 1")
     met = cut(spread_join(rows, company, "key", "node"))
-    rank = met.groupBy("node").agg(F.sum("company").alias("rank"))
-    ranked = met.join(rank, "node")
-    pivots = ranked.groupBy("key").agg(F.max(F.struct("rank", F.negative("node").alias("back"))).alias("top")).select("key", (-F.col("top.back")).alias("pivot"))
-    met = cut(spread_join(met, pivots, "key", "node"))
-    near = met.where("node <> pivot").select(F.least("node", "pivot").alias("u"), F.greatest("node", "pivot").alias("v")).distinct()
-    some = classes.select("node", "n", "sig")
-    likely = cut(_both(near, some).where(_likely("a", "b")).select("u", "v"))
-    pair_nodes = likely.select(F.explode(F.array("u", "v")).alias("node"))
-    links = cut(confirmed(likely, full_sets(pair_nodes, docs)))
-    found = cut(components(links))
-
-    # families, buckets with one pivot, that the pivots have not joined into one component
-    placed = cut(met.where("company > 2").join(found, "node", "left").select("key", F.col("pivot").alias("family"), "node", F.coalesce("component", "node").alias("component")))
-    split = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    left = cut(spread_join(placed, split, "key", "node").select("family", "node", "component").distinct())
-    more = cut(cross_links(full_sets(left, docs), left))
-    if more.take(1):
-        found = cut(components(links.unionByName(more)))
-
+    found = linked(met, classes.select("node", "n", "sig"), docs, _likely, WORDS, PERCENT)
     named = classes.join(found, "node", "left").select("print", F.coalesce("component", "node").alias("component"))
     return sketches.select(F.col("own").alias("doc_id"), "text_hash", "n_shingles", "print").join(named, "print", "left")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, a row for each row of docs."""
-    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("component") < NAMELESS, F.col("component"))
-    out = judged(docs).select("doc_id", "n_shingles", component.alias("component_id"))
+    out = judged(docs).select("doc_id", "n_shingles", component_id().alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of docs with one document of each group of near copies, that with the smallest doc_id; once if its rows repeat,
     and once for each set if it has several texts. Rows without words stay, repeated ones too."""
-    first = judged(docs).where("n_shingles > 0").where(F.coalesce("doc_id", _nameless("text_hash")) == F.col("component"))
+    first = judged(docs).where("n_shingles > 0").where(F.coalesce("doc_id", nameless("text_hash")) == F.col("component"))
     best = cut(first.groupBy("doc_id", "print").agg(F.min("text_hash").alias("text_hash"), F.count("*").alias("rows")).drop("print"))
     empty = n_words("text") == 0
     marked = docs.withColumn("_hash", F.xxhash64(F.col("text").cast("string"))).where(~empty)
@@ -250,13 +125,6 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     return single.unionByName(once).drop("_hash").unionByName(docs.where(empty))
 
 
-def _both(pairs: DataFrame, some: DataFrame) -> DataFrame:
-    """pairs (u, v) with the size and signature of u as struct a and of v as struct b."""
-    a = some.select(F.col("node").alias("u"), F.struct("n", "sig").alias("a"))
-    b = some.select(F.col("node").alias("v"), F.struct("n", "sig").alias("b"))
-    return spread_join(spread_join(pairs, b, "v", "u"), a, "u", "v")
-
-
 #: Every pair of documents that share a shingle is counted out: for small tables.
 SQL = """
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retort.llm import byte_cnn, decontamination, html_text, minhash_dedup, mixing, quality_rules, secret_scan, sharding, token_counts, url_reputation
+from retort.llm import byte_cnn, decontamination, html_text, minhash_dedup, mixing, parity_join, quality_rules, secret_scan, sharding, token_counts, url_reputation
 from retort.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", byte_cnn.held_out().alias("held_out"), "score", "predicted")
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity_join.joined(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_html_extraction": op2_html_extraction,
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_decontamination": op9_decontamination,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_ngram_join": op11_ngram_join,
 }
 
-SQL: dict[str, str] = {"op3_minhash_dedup": minhash_dedup.SQL, "op5_secret_scans": secret_scan.SQL, "op4_url_filters": url_reputation.SQL, "op8_mixing": mixing.SQL}
+SQL: dict[str, str] = {"op3_minhash_dedup": minhash_dedup.SQL, "op5_secret_scans": secret_scan.SQL, "op4_url_filters": url_reputation.SQL, "op8_mixing": mixing.SQL, "op11_ngram_join": parity_join.SQL}

@@ -1,14 +1,14 @@
 import random
 
-from retort.llm import minhash_dedup
-from retort.llm.minhash_dedup import components
+from retort.llm import minhash_dedup, parity_join, set_links
+from retort.llm.set_links import components
 
 
-def brute(rows):
+def brute(rows, n=5, percent=75):
     sets = {}
     for i, text in rows:
         w = (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).encode().split()
-        sets[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+        sets[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
     up = {i: i for i in sets}
 
     def top(x):
@@ -17,10 +17,10 @@ def brute(rows):
         return x
 
     ids = sorted(sets)
-    for n, a in enumerate(ids):
-        for b in ids[n + 1 :]:
+    for k, a in enumerate(ids):
+        for b in ids[k + 1 :]:
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 x, y = top(a), top(b)
                 up[max(x, y)] = min(x, y)
     return {i: (len(s), top(i)) for i, s in sets.items()}
@@ -30,6 +30,8 @@ def check(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.near_duplicates(docs).collect()}
     assert got == brute(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in parity_join.joined(docs).collect()}
+    assert got == brute(rows, 4, 85)
 
 
 def edited(r, words, share):
@@ -62,8 +64,9 @@ def test_blocks_of_a_family_find_every_link(spark):
     rows = [(k, " ".join(edited(r, base, 0.03))) for k in range(120)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     left = docs.selectExpr("1L as family", "doc_id as node", "doc_id as component")
-    sets = minhash_dedup.full_sets(left, docs)
-    links = {tuple(x) for x in minhash_dedup.cross_links(sets, left, block=32).collect()}
+    sets = set_links.full_sets(left, docs, 5)
+    links = {tuple(x) for x in set_links.cross_links(sets, left, 75, block=32).collect()}
+    assert links == {tuple(x) for x in set_links.cross_links(sets, left, 75, shingles=900).collect()}
     w = {i: t.split() for i, t in rows}
     s = {i: {tuple(x[k : k + 5]) for k in range(len(x) - 4)} for i, x in w.items()}
     want = {(a, b) for a in s for b in s if a < b and 100 * len(s[a] & s[b]) >= 75 * len(s[a] | s[b])}
@@ -119,3 +122,39 @@ def test_spread_join_is_a_join(spark):
     values = spark.createDataFrame([(7, "a"), (1, "b"), (2, "c"), (50, "d")], "key long, v string")
     want = sorted((r.node, r.key, r.v) for r in rows.join(values, "key").collect())
     assert sorted((r.node, r.key, r.v) for r in spread_join(rows, values, "key", "node").collect()) == want
+
+
+def test_parity_keys_meet_in_every_linked_pair():
+    """Random sets of all sizes and every distance up to the largest that is linked, over band borders too."""
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    for n in [6, 7, 9, 13, 31, 32, 33, 63, 64, 66, 100, 127, 128, 140, 255, 257, 290, 511, 515, 1200]:
+        for _ in range(40):
+            a = np.unique(r.integers(0, 2**64, n, np.uint64, endpoint=False))
+            cut_off, put_in = r.integers(0, n // 6 + 2), r.integers(0, n // 6 + 2)
+            b = np.unique(np.concatenate([a[cut_off:], r.integers(0, 2**64, put_in, np.uint64, endpoint=False)]))
+            both = len(np.intersect1d(a, b))
+            if len(b) and 100 * both >= 85 * (len(a) + len(b) - both) and not np.array_equal(a, b):
+                assert len(np.intersect1d(parity_join.keys(a), parity_join.keys(b)))
+            apart = len(a) + len(b) - 2 * both
+            sketch = lambda s: parity_join.parity((s % np.uint64(1024)).astype(np.int64), 1024)
+            assert int(np.bitwise_count(sketch(a) ^ sketch(b)).sum()) <= apart
+
+
+def test_parity_join_edge_cases(spark, edge_docs, no_docs):
+    got = parity_join.joined(edge_docs).collect()
+    assert len(got) == edge_docs.count()
+    by = {r.doc_id: r for r in got}
+    assert [by[i].n_shingles for i in (100, 101, 102, 130, 132)] == [0, 0, 0, 1, 1]
+    assert by[100].component_id == 100 and by[131].component_id == 130 and by[114].component_id == 110 and by[None].component_id is None
+    rows = [(r.doc_id, r.text) for r in edge_docs.where("doc_id is not null").dropDuplicates(["doc_id"]).collect()]
+    assert {i: (r.n_shingles, r.component_id) for i, r in by.items() if i is not None} == brute(rows, 4, 85)
+    assert parity_join.joined(no_docs).count() == 0
+
+
+def test_parity_join_of_one_large_family(spark):
+    """Edited copies that mostly link with their original only, and some with no other."""
+    r = random.Random(12)
+    base = [f"w{k}" for k in range(150)]
+    check(spark, [(k, " ".join(edited(r, base, r.choice([0.01, 0.02, 0.03, 0.04])))) for k in range(400)])
