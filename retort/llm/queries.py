@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from retort.llm import byte_cnn, decontamination, html_text, minhash_dedup, mixing, parity_join, quality_rules, secret_scan, sharding, token_counts, url_reputation
+from retort.llm import byte_cnn, decontamination, html_text, lexical_search, minhash_dedup, mixing, parity_join, quality_rules, secret_scan, sharding, token_counts, url_reputation, vector_codes
 from retort.llm.common import table
 
 
@@ -62,6 +62,14 @@ def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parity_join.joined(table(spark, sf_dir, "documents"))
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.coded(table(spark, sf_dir, "embeddings"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_html_extraction": op2_html_extraction,
@@ -74,6 +82,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_quality_classifier": op10_quality_classifier,
     "op11_ngram_join": op11_ngram_join,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_lexical_search": op13_lexical_search,
 }
 
-SQL: dict[str, str] = {"op3_minhash_dedup": minhash_dedup.SQL, "op5_secret_scans": secret_scan.SQL, "op4_url_filters": url_reputation.SQL, "op8_mixing": mixing.SQL, "op11_ngram_join": parity_join.SQL}
+SQL: dict[str, str] = {"op3_minhash_dedup": minhash_dedup.SQL, "op5_secret_scans": secret_scan.SQL, "op4_url_filters": url_reputation.SQL, "op8_mixing": mixing.SQL, "op11_ngram_join": parity_join.SQL, "op12_vector_codes": vector_codes.SQL, "op13_lexical_search": lexical_search.SQL}

@@ -7,7 +7,7 @@ import corpus_pipeline
 from retort.llm import queries
 
 D, PIPELINE = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
-TABLES = "documents pages benchmark labels".split()
+TABLES = "documents pages benchmark labels embeddings".split()
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
