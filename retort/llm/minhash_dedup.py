@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from retort.llm.common import BROADCAST_ROWS, WordHashes, cut, mixed, n_words, spread_join
-from retort.llm.set_links import component_id, linked, lowered, nameless, nodes_of, shingle_set
+from retort.llm.set_links import Likeness, component_id, linked, lowered, nameless, nodes_of, shingle_set
 
 WORDS, PERCENT = 5, 75
 FUNCTIONS = 48
@@ -79,10 +79,19 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _likely(a: str, b: str) -> Column:
     """Signatures agree on half of their values or more, and set sizes allow a similarity of 0.75."""
-    agree = F.aggregate(F.zip_with(f"{a}.sig", f"{b}.sig", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
+    agree = F.aggregate(F.zip_with(f"{a}.sketch", f"{b}.sketch", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     return (F.col(f"{a}.n") * 4 >= F.col(f"{b}.n") * 3) & (F.col(f"{b}.n") * 4 >= F.col(f"{a}.n") * 3) & (agree * 2 >= 2 * FUNCTIONS)
 
 
+def _close(m: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The same of two blocks, as a matrix."""
+    agree = np.zeros((len(a), len(b)), np.int16)
+    for k in range(a.shape[1]):
+        agree += a[:, k][:, None] == b[:, k][None, :]
+    m, n = m[:, None], n[None, :]
+    return (m * 4 >= n * 3) & (n * 4 >= m * 3) & (agree * 2 >= 2 * FUNCTIONS)
+
+
 def judged(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash (of the text as it stands), n_shingles, print (of the set) and component of each row of docs, where
     component is a node: a doc_id, or one from NAMELESS up for rows that are linked to no id. It is null for empty sets."""
@@ -90,13 +99,14 @@ def judged(docs: DataFrame) -> DataFrame:
     sketches = cut(docs.mapInArrow(_sketch, "own long, doc_id long, text_hash long, n_shingles long, print binary, bands array<long>, sig array<int>"))
     full = sketches.where("n_shingles > 0")
     # equal sets have equal bands and signatures, so any row's will do
-    classes = cut(full.groupBy("print").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")))
+    classes = cut(full.groupBy("print").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sketch")))
     docs = docs.select("doc_id", "text")
 
     rows = classes.select("node", F.explode("bands").alias("key"))
     company = rows.groupBy("key").agg(F.count("*").alias("company")).where("company > 1")
     met = cut(spread_join(rows, company, "key", "node"))
-    found = linked(met, classes.select("node", "n", "sig"), docs, _likely, WORDS, PERCENT)
+    repeated = cut(full.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    found = linked(met, classes.select("node", "n", "sketch"), docs, repeated, Likeness(WORDS, PERCENT, _likely, _close))
     named = classes.join(found, "node", "left").select("print", F.coalesce("component", "node").alias("component"))
     return sketches.select(F.col("own").alias("doc_id"), "text_hash", "n_shingles", "print").join(named, "print", "left")
 

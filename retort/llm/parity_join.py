@@ -30,8 +30,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retort.llm.common import WordHashes, cut, mixed
-from retort.llm.set_links import component_id, linked, lowered, nodes_of, shingle_set
+from retort.llm.common import WordHashes, cut, mixed, spread_join
+from retort.llm.set_links import Likeness, component_id, linked, lowered, nodes_of, shingle_set
 
 WORDS, PERCENT = 4, 85
 #: Shingles a segment, of the largest set of a band.
@@ -95,19 +95,32 @@ def _likely(a: str, b: str) -> Column:
     return (100 * m >= PERCENT * n) & (100 * n >= PERCENT * m) & ((100 + PERCENT) * apart <= (100 - PERCENT) * (m + n))
 
 
+def _close(m: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The same of two blocks, as a matrix."""
+    a, b = a.view(np.uint64), b.view(np.uint64)  # of negative numbers numpy would count the bits of the absolute value
+    apart = np.zeros((len(a), len(b)), np.int64)
+    for k in range(a.shape[1]):
+        apart += np.bitwise_count(a[:, k][:, None] ^ b[:, k][None, :])
+    m, n = m[:, None], n[None, :]
+    return (100 * m >= PERCENT * n) & (100 * n >= PERCENT * m) & ((100 + PERCENT) * apart <= (100 - PERCENT) * (m + n))
+
+
 def joined(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links), a row for each row of docs."""
     docs = nodes_of(docs)
-    sketches = docs.mapInArrow(_sketch, "own long, doc_id long, n_shingles long, print binary, keys array<long>, sketch array<long>")
-    # equal sets have equal keys and sketches, so any row's will do
-    sketches = cut(sketches)
+    sketches = cut(docs.mapInArrow(_sketch, "own long, doc_id long, n_shingles long, print binary, keys array<long>, sketch array<long>"))
     full = sketches.where("n_shingles > 0")
-    classes = cut(full.groupBy("print").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")))
-    rows = classes.select("node", F.explode("keys").alias("key"))
-    company = cut(rows.groupBy("key").agg(F.count("*").alias("company")).where("company > 1"))
-    # keys of one class are left behind; a key of very many is one that Spark's skew join splits
-    met = cut(rows.join(company, "key"))
-    found = linked(met, classes.select("node", "n", "sketch"), docs.select("doc_id", "text"), _likely, WORDS, PERCENT)
+    # equal sets have equal keys and sketches, so any row's will do; keys, which are wide, stay where they are
+    classes = cut(full.groupBy("print").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
+    rows = full.select(F.xxhash64("print").alias("class"), F.explode("keys").alias("key"))
+    shared = cut(rows.groupBy("key").agg(F.min("class").alias("x"), F.max("class").alias("y")).where("x <> y").select("key"))
+    # a key of very many is one that Spark's skew join splits
+    met = rows.join(shared, "key").distinct().join(classes.select(F.xxhash64("print").alias("class"), "node"), "class").select("node", "key")
+    met = cut(met)
+    company = cut(met.groupBy("key").agg(F.count("*").alias("company")))
+    repeated = cut(full.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    met = cut(spread_join(met, company, "key", "node"))
+    found = linked(met, classes.select("node", "n", "sketch"), docs, repeated, Likeness(WORDS, PERCENT, _likely, _close))
     named = classes.join(found, "node", "left").select("print", F.coalesce("component", "node").alias("component"))
     out = sketches.select(F.col("own").alias("doc_id"), "n_shingles", "print").join(named, "print", "left")
     return out.select("doc_id", "n_shingles", component_id().alias("component_id"))

@@ -138,8 +138,11 @@ def test_parity_keys_meet_in_every_linked_pair():
             if len(b) and 100 * both >= 85 * (len(a) + len(b) - both) and not np.array_equal(a, b):
                 assert len(np.intersect1d(parity_join.keys(a), parity_join.keys(b)))
             apart = len(a) + len(b) - 2 * both
+            size = lambda s: np.array([len(s)])
             sketch = lambda s: parity_join.parity((s % np.uint64(1024)).astype(np.int64), 1024)
             assert int(np.bitwise_count(sketch(a) ^ sketch(b)).sum()) <= apart
+            if len(b) and 100 * both >= 85 * (len(a) + len(b) - both):
+                assert parity_join._close(size(a), size(b), sketch(a).view(np.int64)[None], sketch(b).view(np.int64)[None])[0, 0]
 
 
 def test_parity_join_edge_cases(spark, edge_docs, no_docs):
