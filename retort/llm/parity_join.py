@@ -6,12 +6,13 @@ below. Linked sets of sizes a and b differ in at most 3 (a + b) / 37 shingles.
 
 Steps, all keyed by hashes or ids:
 1. One pass over the texts makes set size, set fingerprint, a sketch of 1024 bits, and keys. Sizes fall into bands that double;
-   a set just over the border of a band, which may link across it, is in the band below as well. A band's sketch has a segment
-   of 64 bits for each four shingles of the largest set, so more segments than linked sets may differ in shingles. By the
-   pigeonhole principle a linked pair has equal segments; a key is (band, segment number, bits). All sets order keys alike,
-   those with most bits set first, since these are shared by chance least: of the t + 1 first keys of a set that differs from a
-   linked one in t shingles or fewer, one at least is shared, and the first that is shared stands among the first t + 1 of
-   both. So only these are made, and no linked pair is lost.
+   a set just over the border of a band, which may link across it, is in the band below as well. A band's sketch is cut into a
+   segment for each four shingles of the largest set, so more segments than linked sets may differ in shingles. A segment has so
+   many bits that few are set; it is held as the XOR of its shingles' hashes and their number. By the pigeonhole principle a
+   linked pair has equal segments; a key is (band, segment number, segment). All sets order keys alike, those of most shingles
+   first, since these are shared by chance least: of the t + 1 first keys of a set that differs from a linked one in t shingles or
+   fewer, one at least is shared, and the first that is shared stands among the first t + 1 of both. So only these are made, and
+   no linked pair is lost.
 2. Equal sets become one class (partial aggregation). Classes meet on keys; links are found there as in set_links, where pairs
    with a pivot are dropped whose sizes or whose sketches' Hamming distance rule a link out. The rest is confirmed on full sets.
 
@@ -66,9 +67,15 @@ def keys(shingles: np.ndarray) -> np.ndarray:
         if not t:
             continue  # only equal sets can be linked, and these are one class
         segments = top // FILL + 2
-        word = parity(((shingles >> np.uint64(32)) % np.uint64(segments) * np.uint64(64) + (shingles & np.uint64(63))).astype(np.int64), segments * 64)
-        key = mixed(mixed(word) ^ (np.arange(segments, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(band + 1)))
-        found.append(key[np.lexsort((key, 64 - np.bitwise_count(word).astype(np.int64)))[: t + 1]])
+        segment = (shingles >> np.uint64(32)).astype(np.int64) % segments
+        order = np.argsort(segment, kind="stable")
+        filled = np.bincount(segment, minlength=segments)
+        used = np.flatnonzero(filled)
+        word = np.zeros(segments, np.uint64)
+        word[used] = np.bitwise_xor.reduceat(mixed(shingles[order]), np.cumsum(filled)[used] - filled[used])
+        place = np.arange(segments, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(64 * band + 1)
+        key = mixed(word ^ mixed(place + (filled.astype(np.uint64) << np.uint64(32))))
+        found.append(key[np.lexsort((key, -filled))[: t + 1]])
     return np.concatenate(found)
 
 
