@@ -110,7 +110,7 @@ def _met_blocks(left: DataFrame, values: DataFrame, most: Column) -> DataFrame:
     return rows.join(values, "node")
 
 
-def hopeful(left: DataFrame, classes: DataFrame, close: Callable, block: int = 2048) -> DataFrame:
+def hopeful(left: DataFrame, classes: DataFrame, close: Callable, block: int = 256) -> DataFrame:
     """The rows of left (family, node, component) that are close, by their sketches, to a member of another component."""
     met = _met_blocks(left, classes, F.count("*") / block)
     found = met.groupBy("family", "low", "high").applyInArrow(lambda rows: _close_blocks(rows, close), "family long, node long")
