@@ -9,7 +9,7 @@ built-in higher-order functions.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -270,26 +270,40 @@ def bridgeheads() -> Column:
     return F.array_distinct(F.flatten(ends))
 
 
+def described() -> dict[str, tuple[str, Callable[[], Column], tuple[str, ...]]]:
+    """name: (category, expression, shared columns that it reads) of all descriptors."""
+    from retort.functions import topology
+
+    return {n: (c, f, ()) for n, (c, f) in DESCRIPTORS.items()} | topology.described()
+
+
 def chosen(names: tuple[str, ...] | None = None, category: str | None = None, exclude: tuple[str, ...] = ()) -> tuple[str, ...]:
     """Names of descriptors: those given, or all of a category, or all, less exclude. Unknown names are an error."""
-    unknown = [n for n in (*(names or ()), *exclude) if n not in DESCRIPTORS]
+    known = described()
+    unknown = [n for n in (*(names or ()), *exclude) if n not in known]
     if unknown:
         raise ValueError(f"unknown descriptors: {', '.join(unknown)}")
-    kinds = {c for c, _ in DESCRIPTORS.values()}
+    kinds = {c for c, _, _ in known.values()}
     if category is not None and category not in kinds:
         raise ValueError(f"unknown category: {category}; known: {', '.join(sorted(kinds))}")
-    return tuple(n for n in names or DESCRIPTORS if n not in exclude and category in (None, DESCRIPTORS[n][0]))
+    return tuple(n for n in names or known if n not in exclude and category in (None, known[n][0]))
 
 
 def descriptors(df: DataFrame, names: tuple[str, ...] | None = COMMON, precision: int | None = 4, category: str | None = None, exclude: tuple[str, ...] = ()) -> DataFrame:
     """df (with mol) and one column a descriptor; null where mol is. names None: all, or all of category."""
+    from retort.functions import topology
+
+    known, wanted = described(), chosen(names, category, exclude)
+    shared = [c for c in topology.STEPS if any(c in known[n][2] for n in wanted)]
+    for c in shared:
+        df = df.withColumn(c, F.when(F.col("mol").isNotNull(), topology.STEPS[c]()))
     made = {}
-    for n in chosen(names, category, exclude):
-        c = F.when(F.col("mol").isNotNull(), DESCRIPTORS[n][1]()).cast("double")
+    for n in wanted:
+        c = F.when(F.col("mol").isNotNull(), known[n][1]()).cast("double")
         made[n] = c if precision is None else F.round(c, precision)
-    return df.withColumns(made)
+    return df.withColumns(made).drop(*shared)
 
 
 def registry(spark, category: str | None = None) -> DataFrame:
-    rows = sorted((n, c) for n, (c, _) in DESCRIPTORS.items() if category in (None, c))
+    rows = sorted((n, c) for n, (c, _, _) in described().items() if category in (None, c))
     return spark.createDataFrame(rows, "name string, category string")

@@ -235,10 +235,9 @@ PEOE = {
 }
 
 
-def partial_charges(df: DataFrame, rounds: int = 6) -> DataFrame:
-    """df with charges of the heavy atoms (6 decimals; hydrogens take part as atoms of their own), min_charge and
-    max_charge. Charge flows along bonds to the more electronegative end, damped by half each round. Aromatic atoms count as
-    doubly bonded; null where an element has no parameters."""
+def charge_states(rounds: int) -> Column:
+    """Of each heavy atom its charge q, null without parameters, and that of each of its hydrogens, h. Charge flows along bonds to
+    the more electronegative end, damped by half each round. Aromatic atoms count as doubly bonded."""
     z, table = M.z_at, F.create_map(*(F.lit(v) for k, x in PEOE.items() for v in (k, list(x))))
     kinds = {6: "C", 7: "N", 8: "O", 9: "F", 17: "Cl", 35: "Br", 53: "I", 16: "S"}
     names = F.create_map(*(F.lit(v) for kv in kinds.items() for v in kv))
@@ -270,6 +269,12 @@ def partial_charges(df: DataFrame, rounds: int = 6) -> DataFrame:
 
         return F.transform(s, one)
 
-    done = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), state, flow)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), state, flow)
+
+
+def partial_charges(df: DataFrame, rounds: int = 6) -> DataFrame:
+    """df with charges of the heavy atoms (6 decimals; hydrogens take part as atoms of their own), min_charge and
+    max_charge; null where an element has no parameters."""
+    done = charge_states(rounds)
     out = df.withColumn("_q", F.when(F.col("mol").isNotNull(), done)).withColumn("charges", F.when(F.forall("_q", lambda a: a["q"].isNotNull()), F.transform("_q", lambda a: F.round(a["q"], 6))))
     return out.drop("_q").withColumn("min_charge", F.array_min("charges")).withColumn("max_charge", F.array_max("charges"))

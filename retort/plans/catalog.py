@@ -428,11 +428,38 @@ def _(spark, d):
     return analysis.fingerprint_registry(spark).drop("description")
 
 
-@query("descriptors_list", "SELECT category, count(*) AS n FROM (VALUES ('MolWt', 'molecular'), ('ExactMolWt', 'molecular'), ('HeavyAtomCount', 'constitutional'), ('NumAtoms', 'constitutional'), ('NumHAcceptors', 'constitutional'), ('NumHDonors', 'constitutional'), ('NumRotatableBonds', 'constitutional'), ('NumHeteroatoms', 'constitutional'), ('NumAromaticRings', 'constitutional'), ('NumAliphaticRings', 'constitutional'), ('RingCount', 'constitutional'), ('FormalCharge', 'electronic'), ('TPSA', 'topological'), ('MolLogP', 'electronic'), ('MolMR', 'electronic'), ('FractionCSP3', 'constitutional'), ('NumHeavyAtoms', 'constitutional'), ('NumRings', 'constitutional'), ('LogP', 'electronic'), ('NumFragments', 'constitutional'), ('NumBridgeheadAtoms', 'topological'), ('NumSpiroAtoms', 'topological')) AS t(name, category) GROUP BY category")
+@query("descriptors_list", "SELECT category, CAST(n AS BIGINT) AS n FROM (VALUES ('constitutional', 27), ('electronic', 70), ('molecular', 7), ('mqn', 42), ('topological', 22)) AS t(category, n)")
 def _(spark, d):
     return M.registry(spark).groupBy("category").agg(F.count("*").alias("n"))
 
 
+#: Valence electrons and masses of the library's elements.
+_OUTER = {"c": 4, "h": 1, "n": 5, "o": 6, "s": 6, "f": 7, "cl": 7, "br": 7, "na": 1}
+_GRAPH = f"""{LIB}, {library.edges()},
+chi0 AS (SELECT mol_id, sum(1 / sqrt(d)) AS x FROM deg GROUP BY mol_id),
+chi1 AS (SELECT mol_id, sum(1 / sqrt(x.d * y.d)) AS x FROM edge JOIN deg x USING (mol_id) JOIN deg y USING (mol_id) WHERE x.i = a AND y.i = b GROUP BY mol_id)
+SELECT row_idx, round(chi0.x, 4) AS "Chi0", round(chi1.x, 4) AS "Chi1", CAST({" + ".join(f"{v} * n_{e}" for e, v in _OUTER.items())} AS DOUBLE) AS "NumValenceElectrons", CAST(n_n + n_o AS DOUBLE) AS "NOCount",
+round({" + ".join(f"{MASSES[e][1]} * n_{e.lower()}" for e in library.ELEMENTS if e != "H")}, 4) AS "HeavyAtomMolWt", CAST(aromatic AS DOUBLE) AS aromatic_rings
+FROM mols JOIN chi0 USING (mol_id) JOIN chi1 USING (mol_id)"""
+
+
+@query("descriptors_graph", _GRAPH)
+def _(spark, d):
+    """Against sums over bonds that are read off the texts, and against formulas."""
+    made = M.descriptors(M.with_molecules(library.bridged(spark, d)), ("Chi0", "Chi1", "NumValenceElectrons", "NOCount", "HeavyAtomMolWt", "NumAromaticCarbocycles", "NumAromaticHeterocycles"))
+    return made.select("row_idx", "Chi0", "Chi1", "NumValenceElectrons", "NOCount", "HeavyAtomMolWt", (F.col("NumAromaticCarbocycles") + F.col("NumAromaticHeterocycles")).alias("aromatic_rings"))
+
+
+@query("descriptors_topological")
+def _(spark, d):
+    return M.descriptors(M.with_molecules(library.bridged(spark, d)), None, 4, "topological").drop("mol")
+
+
+@query("descriptors_surface")
+def _(spark, d):
+    return M.descriptors(M.with_molecules(library.bridged(spark, d)), None, 4, "electronic").drop("mol")
+
+
 @query("descriptors_category", f"{LIB} SELECT row_idx, polar AS \"TPSA\", {library.by_name({'spirodecane': 1})} AS \"NumSpiroAtoms\" FROM mols")
 def _(spark, d):
     made = M.descriptors(M.with_molecules(library.bridged(spark, d)), None, 2, "topological", ("NumBridgeheadAtoms",))

@@ -164,6 +164,34 @@ def values() -> str:
     return f"lib AS (SELECT * FROM (VALUES {rows}) AS t(mol_id, smiles, name, formula, {names}, donors, aromatic, polar, framework)), mols AS (SELECT p_partkey AS row_idx, lib.* FROM part JOIN lib ON p_partkey % {len(MOLECULES)} = lib.mol_id)"
 
 
+def skeleton(smiles: str) -> list[tuple[int, int]]:
+    """Bonds between the atoms of one of these texts, numbered as written: the texts alone, without this library's parser."""
+    bonds, stack, last, n, open_ = [], [], None, 0, {}
+    for token in re.findall(r"\[[^\]]*\]|Br|Cl|%\d\d|.", smiles):
+        if token == "(":
+            stack.append(last)
+        elif token == ")":
+            last = stack.pop()
+        elif token == ".":
+            last = None
+        elif token[-1].isdigit() and token[0] != "[":
+            if token in open_:
+                bonds.append((open_.pop(token), last))
+            else:
+                open_[token] = last
+        elif token[0] == "[" or token[0].isalpha():
+            if last is not None:
+                bonds.append((last, n))
+            last, n = n, n + 1
+    return bonds
+
+
+def edges() -> str:
+    """Their bonds as a DuckDB table expression `edge`, and `deg`, the number of bonds of each atom."""
+    rows = ", ".join(f"({k}, {a}, {b})" for k, (s, *_) in enumerate(MOLECULES) for a, b in skeleton(s))
+    return f"edge AS (SELECT * FROM (VALUES {rows}) AS t(mol_id, a, b)), deg AS (SELECT mol_id, i, count(*) AS d FROM (SELECT mol_id, a AS i FROM edge UNION ALL SELECT mol_id, b FROM edge) GROUP BY mol_id, i)"
+
+
 def by_name(table: dict[str, int], default: int | str = 0) -> str:
     """A DuckDB expression for a value by name."""
     return "CAST(CASE name " + " ".join(f"WHEN '{n}' THEN {v}" for n, v in table.items()) + f" ELSE {default} END AS INTEGER)"
