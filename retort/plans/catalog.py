@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from retort.functions import bits, graphs, metrics, scores
 from retort.functions import molecule as M
 from retort.functions.elements import MASSES
-from retort.operators import analysis, columns, conformers, datasets, filters, molecules, rewrite, similarity
+from retort.operators import analysis, columns, conformers, datasets, filters, molecules, reactions, rewrite, similarity
 from retort.plans import library
 from retort.sources import formats
 
@@ -373,6 +373,38 @@ def _(spark, d):
     return rewrite.atom_map(spark.createDataFrame(REACTIONS, "row_idx int, reaction string"))
 
 
+TEMPLATES = {
+    "acetylation": "[NH2:1][c:2]>>CC(=O)[NH:1][c:2]",
+    "amide_hydrolysis": "[C:1](=[O:2])[N:3]>>[C:1](=[O:2])O.[N:3]",
+    "ester_hydrolysis": "[C:1](=[O:2])[O:3][C:4]>>[C:1](=[O:2])O.[O:3][C:4]",
+    "halide_exchange": "[c:1]Cl>>[c:1]O",
+    "ketone_reduction": "[C:1][C:2](=[O:3])[C:4]>>[C:1][C:2]([O:3])[C:4]",
+    "nitro_reduction": "[N+:1](=[O:2])[O-:3]>>[NH2:1]",
+}
+#: Formulas of the distinct products of each of the library's molecules that a template fits, worked out by hand.
+_PRODUCTS = {
+    "acetylation": {"adenine": "C7H7N5O", "aniline": "C8H9NO", "cytosine": "C6H7N3O2", "procaine": "C15H22N2O3", "sulfanilamide": "C8H10N2O3S", "toluidine": "C9H11NO"},
+    "amide_hydrolysis": {
+        "acetamide": "C2H4O2 H3N", "acetanilide": "C2H4O2 C6H7N", "benzamide": "C7H6O2 H3N", "isoniazid": "C6H5NO2 H4N2", "melatonin": "C2H4O2 C11H14N2O", "niacinamide": "C6H5NO2 H3N", "phenacetin": "C2H4O2 C8H11NO",
+        "phenytoin": "C15H14N2O3 C15H14N2O3 C15H14N2O3", "phthalimide": "C8H7NO3", "saccharin": "C7H7NO4S",
+    },
+    "ester_hydrolysis": {"methyl salicylate": "C7H6O3 CH4O", "procaine": "C7H7NO2 C6H15NO"},
+    "halide_exchange": {"bupropion": "C13H19NO2", "chlorobenzene": "C6H6O", "haloperidol": "C21H24FNO3"},
+    "ketone_reduction": {"camphor": "C10H18O", "cyclohexanone": "C6H12O"},
+    "nitro_reduction": {"nitrophenol": "C6H7NO"},
+}
+_MADE = ", ".join(f"('{r}', '{n}', '{f}', {len(x.split())})" for r, by in _PRODUCTS.items() for n, x in by.items() for f in x.split())
+
+
+@query("reactions_transform", f"{LIB}, made AS (SELECT * FROM (VALUES {_MADE}) AS t(reaction, name, formula, num_products)) SELECT reaction, row_idx AS id, made.formula AS formula, CAST(num_products AS INTEGER) AS num_products FROM mols JOIN made USING (name)")
+def _(spark, d):
+    """Formulas of the products' texts, read again."""
+    mols = M.with_molecules(library.bridged(spark, d))
+    made = [reactions.transformed(mols, t).withColumn("reaction", F.lit(name)) for name, t in TEMPLATES.items()]
+    rows = M.with_molecules(reduce(DataFrame.unionByName, made), "product")
+    return rows.select("reaction", "id", M.formula().alias("formula"), "num_products")
+
+
 @query("reactions_fingerprint")
 def _(spark, d):
     return rewrite.reaction_fingerprints(spark.createDataFrame(REACTIONS, "row_idx int, reaction string")).withColumn("difference", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("difference")))))
