@@ -28,6 +28,7 @@ from __future__ import annotations
 import re
 from collections import deque
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 from math import inf
 
@@ -63,6 +64,7 @@ ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd
 WALLS = {"p": BLOCK_TAGS - {"p"}, "li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SPACE = re.compile(r"\s+")
+UNFINISHED = re.compile(r"<[a-zA-Z/!?]")
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 #: Marks of a block, and the log-odds of content that a page without labels goes by.
@@ -297,8 +299,14 @@ def source_side(costs: list[float], edges: list[tuple[int, int, float]]) -> list
 
 def blocks_of(html: str | None) -> list[Block]:
     parser = Blocks()
-    parser.feed(html or "")
+    # tags and comments end with >; looking for it from each < behind the last one would take the square. There text ends at the
+    # first tag, which is left unfinished with all that follows
+    html = html or ""
+    end = html.rfind(">") + 1
+    open_ = UNFINISHED.search(html, end)
+    parser.feed(html[:end])
     parser.close()
+    parser.handle_data(unescape(html[end : open_.start() if open_ else len(html)]))
     parser.flush()
     for e in parser.elements:
         e.settle()
@@ -336,8 +344,12 @@ def train(pages: DataFrame, documents: DataFrame, most_pages: int = 400) -> np.n
     numbers a document with text. Their marks and labels reach the driver, not their texts."""
     from retort.llm.url_reputation import page_number
 
-    numbered = pages.select("page_id", F.col("html").cast("string").alias("html"), page_number(F.regexp_replace("url", r"[?#].*$", "")).alias("doc_id")).where("html is not null and doc_id is not null")
-    chosen = cut(numbered.orderBy(F.xxhash64("page_id", F.lit(13)), "page_id").limit(most_pages))
+    number = page_number(F.regexp_replace("url", r"[?#].*$", ""))
+    # ids are chosen without html, which is read for these alone, once each
+    numbered = pages.select("page_id", number.alias("doc_id")).where("page_id is not null and doc_id is not null").distinct()
+    ids = cut(numbered.orderBy(F.xxhash64("page_id", F.lit(13)), "page_id", "doc_id").limit(most_pages))
+    named = pages.select("page_id", number.alias("doc_id"), F.col("html").cast("string").alias("html"))
+    chosen = cut(named.join(F.broadcast(ids), ["page_id", "doc_id"], "left_semi").groupBy("page_id", "doc_id").agg(F.min("html").alias("html")).where("html is not null"))
     texts = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
     both = chosen.join(texts.where("text <> ''").groupBy("doc_id").agg(F.min("text").alias("text")), "doc_id").select("html", "text")
 

@@ -111,3 +111,26 @@ def test_table(spark):
     assert [(g.page_id, g.url, g.text) for g in got] == [(i, u, main_text(h)) for i, u, h in rows]
     assert all(g.n_chars == len(g.text) for g in got)
     assert html_text.extracted(pages.limit(0)).count() == 0
+
+
+def test_unclosed_tags_are_linear():
+    import time
+
+    from retort.llm.html_text import main_text
+
+    start = time.perf_counter()
+    for junk in ("<a" * 2_500_000, "</a" * 1_500_000, "<a x='" * 400_000, "<!--" * 500_000, "<a <b>" * 30_000):
+        main_text("<article><p>One two three four five six seven.</p></article>" + junk)
+    assert time.perf_counter() - start < 10
+
+
+def test_what_follows_the_last_tag():
+    from retort.llm.html_text import blocks_of
+
+    text = lambda html: [b.text for b in blocks_of(html)]
+    assert text("<p>one</p>two &amp; three") == ["one", "two & three"]
+    assert text("a < b and 1 <2") == ["a < b and 1 <2"]
+    assert text("<p>one</p>two<a href='x") == ["one", "two"]
+    assert text("<p>one</p>two<!-- no end") == ["one", "two"]
+    assert text("no tags at all") == ["no tags at all"]
+    assert text("") == [] and text(None) == []
