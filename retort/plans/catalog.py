@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from retort.functions import bits, graphs, metrics, scores
 from retort.functions import molecule as M
 from retort.functions.elements import MASSES
-from retort.operators import analysis, columns, conformers, datasets, filters, molecules, reactions, rewrite, similarity
+from retort.operators import analysis, brics, columns, conformers, datasets, filters, molecules, reactions, rewrite, similarity
 from retort.plans import library
 from retort.sources import formats
 
@@ -333,6 +333,37 @@ def _(spark, d):
     return datasets.frequencies(rewrite.fragments(M.with_molecules(library.bridged(spark, d))), "fragment_smiles", "id", None)
 
 
+_BRICS = ", ".join(f"('{n}', '{x}')" for n, x in library.BRICS.items())
+
+
+@query("fragment_brics_bonds", f"{LIB}, cuts AS (SELECT * FROM (VALUES {_BRICS}) AS t(name, kinds)) SELECT row_idx, coalesce(kinds, '') AS kinds, CAST(CASE WHEN kinds IS NULL THEN 0 ELSE len(string_split(kinds, ' ')) END AS INTEGER) AS n_cuts FROM mols LEFT JOIN cuts USING (name)")
+def _(spark, d):
+    rows = M.with_molecules(library.bridged(spark, d)).select("row_idx", brics.cuts().alias("cuts"))
+    kind = F.transform("cuts", lambda c: F.concat_ws("-", F.least(c["x"], c["y"]), F.greatest(c["x"], c["y"])))
+    return rows.select("row_idx", F.array_join(F.array_sort(kind), " ").alias("kinds"), F.size("cuts").alias("n_cuts"))
+
+
+#: Atoms of the pieces that a molecule has more than once, without the first.
+_AGAIN = {"benzophenone": 6, "biphenyl": 6, "diphenylamine": 6, "phenytoin": 6, "procaine": 2, "stilbene": 7, "triethylamine": 4}
+
+
+@query("fragment_brics_atoms", f"{LIB} SELECT row_idx AS id, CAST(n_c + n_n + n_o + n_s + n_f + n_cl + n_br + n_na - {library.by_name(_AGAIN)} AS BIGINT) AS atoms FROM mols")
+def _(spark, d):
+    """Atoms of the distinct pieces of each molecule."""
+    return brics.fragments(M.with_molecules(library.bridged(spark, d))).groupBy("id").agg(F.sum("heavy_atom_count").alias("atoms"))
+
+
+@query("fragment_brics")
+def _(spark, d):
+    return brics.fragments(M.with_molecules(library.bridged(spark, d)))
+
+
+@query("fragment_brics_build")
+def _(spark, d):
+    """The first 1000 molecules of two pieces from the table's molecules."""
+    return brics.built(brics.fragments(M.with_molecules(library.bridged(spark, d))), 1000)
+
+
 @query("fragment_build")
 def _(spark, d):
     mols = M.with_molecules(library.frame(spark).withColumnRenamed("mol_id", "row_idx"))
