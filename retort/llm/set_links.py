@@ -169,20 +169,22 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node reachable, for nodes in links (u, v). Alternates two linear steps that hang each
     node's larger and then smaller neighbours under the smallest one, until nothing changes."""
     edges = cut(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
+    n, before = edges.count(), None
     while True:
+        # the centre of a star may have most edges
+        few = n <= BROADCAST_ROWS
+        meet = (lambda rows, least: rows.join(F.broadcast(least), "u")) if few else (lambda rows, least: spread_join(rows, least, "u", "v"))
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        # the centre of a star may have most edges
-        large = spread_join(both.where("v > u"), least, "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = meet(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = spread_join(large, least, "u", "v")
+        hung = meet(large, least)
         small = hung.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         edges = cut(small.select("e.u", "e.v").where("u <> v").distinct())
         now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == before:
             break
-        before = now
+        n, before = now.n, now
     found = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return found.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
