@@ -6,8 +6,9 @@ that the data give (moments of the groups' rates), at most MOST pages, so that a
 always tells more than its neighbours. A host is blocked if its bad rate is over the limit with the given credibility: the
 lower quantile of its posterior is the bound. The limit is the bad rate of all labelled pages unless one is given. Few bad
 pages of many don't block, and a host without labels has its domain's rate. All levels are sums over one row a host, so a
-host with a third of all pages costs one row a task in each shuffle. Verdicts are joined by broadcast up to a checked number
-of hosts; beyond it, pages of one host are dealt to parts.
+host with a third of all pages costs one row a task in each shuffle. Verdicts and the levels above are joined by broadcast up to
+a checked number of rows; beyond it, pages of one host, hosts of one domain and domains of one suffix are dealt to parts, as
+hosts that show one labelled document are. Pages without a number or label add their host, but take no part in that join.
 
 The quantile is that of a normal for the log-odds, with the beta's exact mean and variance of log-odds (digamma and trigamma
 by their series), which built-in functions can express.
@@ -18,7 +19,7 @@ longest fitting rule decides. Suffixes are the last label unless given in suffix
 Defined cases: a null url, or one without ://, has empty host and path, and no rule fits it; its reputation is that of the
 empty host. Pages without a label count for nothing but are judged. Without any labelled page no host is blocked. Repeated
 rows count as often as they come and are each judged; null page_ids are kept; an url of any length is read whole; other
-columns, also such as are named like results, are ignored.
+columns, also such as are named like results, are ignored; an empty table of pages gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retort.llm.common import ascii_lower, cut, small, spread_join
+from retort.llm.common import ascii_lower, cut, spread_join
 
 #: (verdict, host, path)
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -85,7 +86,13 @@ def _shrunk(groups: DataFrame, mean: str) -> DataFrame:
     return out.withColumn("rate", F.col("a") / (F.col("a") + F.col("b"))).drop("strength")
 
 
-def reputation(outcomes: DataFrame, suffixes: tuple[str, ...] = (), z: float = Z) -> DataFrame:
+def _with_level(rows: DataFrame, level: DataFrame, key: str, by: str, max_groups: int) -> DataFrame:
+    """rows with the columns of the level above (cut beforehand): a broadcast up to max_groups, else a join that deals the rows
+    of one key to parts, as one domain may have millions of hosts."""
+    return rows.join(F.broadcast(level), key) if level.count() <= max_groups else spread_join(rows, level, key, by)
+
+
+def reputation(outcomes: DataFrame, suffixes: tuple[str, ...] = (), z: float = Z, max_groups: int = MAX_HOSTS) -> DataFrame:
     """outcomes: host, n and bad (0 or 1, or sums). Returns host, n, bad, a, b, rate, bound, all_rate."""
     hosts = outcomes.groupBy("host").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffix = F.substring_index("host", ".", -1)
@@ -98,8 +105,8 @@ def reputation(outcomes: DataFrame, suffixes: tuple[str, ...] = (), z: float = Z
     ends = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     whole = cut(ends.agg(((F.sum("bad") + 1) / (F.sum("n") + 2)).alias("all_rate")))
     ends = cut(_shrunk(cut(ends.crossJoin(F.broadcast(whole))), "all_rate")).select("suffix", F.col("rate").alias("suffix_rate"))
-    domains = cut(_shrunk(cut(domains.join(small(ends), "suffix")), "suffix_rate")).select("domain", F.col("rate").alias("domain_rate"))
-    hosts = _shrunk(cut(hosts.join(small(domains), "domain")), "domain_rate")
+    domains = cut(_shrunk(cut(_with_level(domains, ends, "suffix", "domain", max_groups)), "suffix_rate")).select("domain", F.col("rate").alias("domain_rate"))
+    hosts = _shrunk(cut(_with_level(hosts, domains, "domain", "host", max_groups)), "domain_rate")
     (ma, va), (mb, vb) = _moments(F.col("a")), _moments(F.col("b"))
     bound = 1 / (1 + F.exp(-(ma - mb - z * F.sqrt(va + vb))))
     return hosts.select("host", "n", "bad", "a", "b", "rate", bound.alias("bound")).crossJoin(F.broadcast(whole))  # one row
@@ -113,7 +120,9 @@ def filtered(pages: DataFrame, labels: DataFrame, rules: tuple[tuple[str, str, s
     bad = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.coalesce(((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int"), F.lit(0))).alias("bad"))
     # one row a host and document before the join with labels
     counted = seen.withColumn("doc_id", page_number()).groupBy("host", "doc_id").agg(F.count("*").alias("pages"))
-    outcomes = counted.join(bad, "doc_id", "left").select("host", F.when(F.col("bad").isNotNull(), F.col("pages")).otherwise(0).alias("n"), (F.coalesce("bad", F.lit(0)) * F.col("pages")).alias("bad"))
+    # pages without a number or label add their host alone, so they take no part in the join
+    known = spread_join(counted.where("doc_id is not null"), bad, "doc_id", "host").select("host", F.col("pages").alias("n"), (F.col("bad") * F.col("pages")).alias("bad"))
+    outcomes = known.unionByName(seen.select("host", F.lit(0).alias("n"), F.lit(0).alias("bad")))
     over = F.col("all_rate") if limit is None else F.lit(limit)
     hosts = cut(reputation(outcomes).select("host", (F.col("bound") > over).alias("blocked")))
     if hosts.count() <= max_hosts:

@@ -57,6 +57,26 @@ def test_many_hosts_and_a_hot_one(spark):
     assert by == {("block", True): 60_002, ("allow", False): 105_002}
 
 
+def test_levels_in_parts_give_what_broadcasts_give(spark):
+    many = spark.range(20_000).selectExpr("concat('h', id, '.one.org') as host", "id % 3 as n", "least(id % 3, id % 2) as bad")
+    few = spark.createDataFrame([("a.two.net", 40, 30), ("org", 3, 0), ("", 1, 1), ("b.three.net", 9, 0)], "host string, n long, bad long")
+    whole, dealt = (url_reputation.reputation(many.union(few), max_groups=k) for k in (100_000, 1))
+    assert whole.count() == dealt.count() == 20_004
+    both = whole.join(dealt.select("host", F.col("bound").alias("other")), "host")
+    assert both.where("abs(bound - other) < 1e-9").count() == 20_004
+
+
+def test_unnumbered_pages_of_many_hosts(spark):
+    """Null numbers, numbers without label and one document on all hosts: every page is judged, and only labels count."""
+    pages = spark.range(9000).selectExpr("id as page_id", "concat('http://h', id % 3000, '.site.org/', case id % 3 when 0 then 'about' when 1 then '77' else '5' end) as url")
+    labels = spark.createDataFrame([(5, 0, 0), (5, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    got = url_reputation.filtered(pages, labels)
+    assert got.count() == 9000 and got.where("verdict not in ('allow', 'block')").count() == 0
+    assert url_reputation.filtered(pages.limit(0), labels).count() == 0
+    rates = url_reputation.filtered(pages, labels, max_hosts=1)
+    assert sorted(map(tuple, rates.collect())) == sorted(map(tuple, got.collect()))
+
+
 def test_bound_is_near_the_quantile(spark):
     import numpy as np
 
