@@ -59,10 +59,15 @@ def reservoir(df: DataFrame, n: int, key: str = "row_idx", seed: int = 42) -> Da
     return sample(df, n=n, key=key, seed=seed)
 
 
+#: Strata up to which one row a stratum is broadcast.
+MAX_STRATA = 100_000
+
+
 def sample_stratified(df: DataFrame, n: int, stratum: str, key: str = "row_idx", seed: int = 42) -> DataFrame:
     """n rows, with strata in their proportion: int(n * share) each, and what is left to the smallest stratum value, then the
     next. How many a stratum gets follows from running sums over one row a stratum; which rows, from their draws: those under a
-    16-bit threshold by a histogram, and within the boundary bucket the first ones."""
+    16-bit threshold by a histogram, and within the boundary bucket the first ones. Strata are broadcast up to MAX_STRATA; beyond, the
+    same joins shuffle."""
     rows = df.withColumn("_draw", draw(key, seed)).withColumn("_b", F.conv(F.substring("_draw", 1, 4), 16, 10).cast("int"))
     counts = rows.groupBy(stratum, "_b").agg(F.count("*").alias("_n"))
     sizes = counts.groupBy(F.col(stratum).alias("_s")).agg(F.sum("_n").alias("_v"))
@@ -73,12 +78,13 @@ def sample_stratified(df: DataFrame, n: int, stratum: str, key: str = "row_idx",
     sizes = sizes.withColumn("_left", F.least(F.lit(n), F.sum("_v").over(every)) - F.sum("_k").over(every)).withColumn("_room", F.col("_v") - F.col("_k"))
     before = Window.orderBy(F.col("_s").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     given = F.least(F.greatest(F.col("_left") - F.coalesce(F.sum("_room").over(before), F.lit(0)), F.lit(0)), F.col("_room"))
-    take = sizes.select("_s", (F.col("_k") + given).alias("_take"))
+    take = cut(sizes.select("_s", (F.col("_k") + given).alias("_take")))
+    each = F.broadcast if take.count() <= MAX_STRATA else (lambda few: few)
     upto = counts.withColumn("_upto", F.sum("_n").over(Window.partitionBy(stratum).orderBy("_b")))
-    met = upto.join(F.broadcast(take), upto[stratum].eqNullSafe(take["_s"]))
+    met = upto.join(each(take), upto[stratum].eqNullSafe(take["_s"]))
     edge = met.where("_upto >= _take").groupBy("_s").agg(F.min(F.struct("_b", (F.col("_take") - F.col("_upto") + F.col("_n")).alias("open"))).alias("_edge"))
     edge = edge.select("_s", F.col("_edge._b").alias("_at"), F.col("_edge.open").alias("_open"))
-    met = rows.join(F.broadcast(edge), rows[stratum].eqNullSafe(edge["_s"]))
+    met = rows.join(each(edge), rows[stratum].eqNullSafe(edge["_s"]))
     inside = met.where("_b = _at").withColumn("_r", F.row_number().over(Window.partitionBy(stratum).orderBy("_draw", key))).where("_r <= _open").drop("_r")
     return met.where("_b < _at").unionByName(inside).select(*df.columns)
 
@@ -118,24 +124,47 @@ def write_chunks(df: DataFrame, path: str, source_format: str = "parquet") -> No
     df.write.mode("overwrite").partitionBy("chunk").format(source_format).save(path)
 
 
-def _median(values: DataFrame) -> float | None:
-    """The exact median of column _v: distinct values are counted and dealt to ranges, ranges are summed, and the one or two
-    ranges that hold the middle are run through."""
-    counts = values.where("_v is not null").groupBy("_v").agg(F.count("*").alias("_n"))
-    ranged = cut(counts.repartitionByRange("_v").withColumn("_part", F.spark_partition_id()))
-    sizes = sorted(tuple(r) for r in ranged.groupBy("_part").agg(F.sum("_n")).collect())  # a row a range
-    total, found = sum(n for _, n in sizes), []
-    for place in ((total - 1) // 2, total // 2) if total else ():
-        before = 0
-        for part, n in sizes:
-            if place < before + n:
-                break
-            before += n
-        run = ranged.where(F.col("_part") == part).withColumn("_upto", F.sum("_n").over(Window.partitionBy("_part").orderBy("_v")))
-        found.append(run.where(F.col("_upto") > place - before).agg(F.min("_v")).first()[0])
-        if total % 2:
-            break
-    return sum(found) / len(found) if found else None
+#: How far from its place an approximate quantile may be, as a share of the values it is drawn from.
+NEAR = 1e-4
+
+
+def _medians(df: DataFrame, values: dict[str, Column]) -> dict[str, float | None]:
+    """The exact median of each of values, all columns at once, by sums over the table alone. A round draws three approximate
+    quantiles around the searched place, counts the values under and equal to each, and goes on between the two that enclose the
+    place, with some 4 * NEAR of the values. Drawn values are left out from then on, so each round comes nearer."""
+    if not values:
+        return {}
+    sizes = dict(zip(values, df.agg(*[F.count(v) for v in values.values()]).first()))
+    places = {c: sorted({(n - 1) // 2, n // 2}) if n else [] for c, n in sizes.items()}
+    found: dict[tuple[str, int], float] = {}
+    searches = {(c, k): (None, None, 0, sizes[c]) for c in values for k in places[c]}  # bounds, values up to low, values between
+    while searches:
+        draws = []
+        for (c, k), (low, high, under, n) in searches.items():
+            v, at = values[c], (k - under + 0.5) / n
+            inside = F.lit(True) if low is None else v > low
+            inside = inside if high is None else inside & (v < high)
+            draws.append(F.percentile_approx(F.when(inside, v), [min(max(at + d, 0.0), 1.0) for d in (-NEAR, 0.0, NEAR)], round(2 / NEAR)))
+        drawn = {key: sorted(set(at)) for key, at in zip(searches, df.agg(*draws).first())}
+        asked = sorted({(c, p) for (c, _), at in drawn.items() for p in at})
+        row = df.agg(*[F.struct(F.count(F.when(values[c] < p, 1)), F.count(F.when(values[c] == p, 1))) for c, p in asked]).first()
+        counted = {name: tuple(pair) for name, pair in zip(asked, row)}
+        ahead = {}
+        for (c, k), (low, high, under, n) in searches.items():
+            end = under + n
+            for p in drawn[c, k]:
+                less, same = counted[c, p]
+                if k < less:
+                    high, end = p, less
+                    break
+                if k < less + same:
+                    found[c, k] = p
+                    break
+                low, under = p, less + same
+            if (c, k) not in found:
+                ahead[c, k] = (low, high, under, end - under)
+        searches = ahead
+    return {c: sum(found[c, k] for k in at) / len(at) if at else None for c, at in places.items()}
 
 
 def statistics(df: DataFrame, columns: list[str], valid: Column | None = None) -> DataFrame:
@@ -143,10 +172,11 @@ def statistics(df: DataFrame, columns: list[str], valid: Column | None = None) -
     columns over valid rows. The deviation of one value is 0. Medians are exact, and no task holds a column's values."""
     ok = F.lit(True) if valid is None else F.coalesce(valid, F.lit(False))
     aggs = [F.count("*").alias("total_molecules"), F.count(F.when(ok, 1)).alias("valid_molecules"), F.count(F.when(~ok, 1)).alias("invalid_molecules")]
-    for c in columns:
-        v = F.when(ok, F.col(c).cast("double"))
+    values = {c: F.when(ok, F.col(c).cast("double")) for c in columns}
+    medians = _medians(df, values)
+    for c, v in values.items():
         deviation = F.when(F.count(v) == 1, 0.0).otherwise(F.stddev_samp(v))
-        median = F.lit(_median(df.select(v.alias("_v")))).cast("double")
+        median = F.lit(medians[c]).cast("double")
         found = {"min": F.min(v), "max": F.max(v), "mean": F.avg(v), "median": median, "stdev": deviation}
         aggs += [F.round(x, 2).alias(f"{c}_{k}") for k, x in found.items()]
     out = df.agg(*aggs)

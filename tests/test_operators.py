@@ -67,7 +67,7 @@ def test_medians_are_exact(spark):
     for n in (1, 2, 7, 40, 301):
         values = [r.choice((r.randint(0, 5), r.random(), -3.5)) * 1.0 for _ in range(n)]
         df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double").repartition(5)
-        assert datasets._median(df.select(F.col("v").alias("_v"))) == float(np.median(values))
+        assert datasets._medians(df, {"v": F.col("v")})["v"] == float(np.median(values))
 
 
 def fps(n, bits, share, seed=1):
@@ -247,3 +247,15 @@ def test_edges(spark):
     assert similarity.matrix(none).count() == 0 and similarity.maxmin(none, 3, 0).count() == 0
     assert similarity.diversity(none).first().n_pairs == 0
     assert similarity.neighbours(spark.createDataFrame([(1, [])], "id long, on array<int>"), 0.5).count() == 0
+
+
+def test_medians_by_rounds(spark):
+    """Ties, gaps around the middle, nulls, and more values than one round tells apart."""
+    import statistics as plain
+
+    rows = [(k * 7919 % 60_000 / 7, float(k % 3), None if k % 2 else float(k), 5.0 if k < 30_000 else 5e9) for k in range(60_000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double").withColumn("e", F.lit(None).cast("double"))
+    got = datasets._medians(df, {c: F.col(c) for c in "abcde"})
+    for c, column in zip("abcd", zip(*rows)):
+        assert got[c] == plain.median(x for x in column if x is not None)
+    assert got["e"] is None and datasets._medians(df, {}) == {}
