@@ -1,7 +1,7 @@
 """Molecule columns: a SMILES column becomes a struct column of flat arrays, and everything else is Column expressions.
 
 with_molecules adds `mol`, null where the text is no molecule: per atom z, charge, h (hydrogens), iso, label, chiral, arom,
-ring (in any), and by neighbours near and order (4: aromatic); per bond a, b, o and inring; rings, as lists of atoms; and
+ring (in any), and by neighbours near and order (4: aromatic); per bond a, b, o, ez and inring (chiral, ez: see stereo.py); rings, as lists of atoms; and
 logp and mr, per-atom contributions. It is the one step in Python; it runs in Arrow batches, once a row, and Catalyst prunes
 and pushes around it as around any scan. Descriptors, filters, fingerprints and graph reductions read the arrays with
 built-in higher-order functions.
@@ -22,7 +22,7 @@ from retort.functions.elements import MASSES, SYMBOL
 INTS, INTS2 = "array<int>", "array<array<int>>"
 FIELDS = {
     "z": INTS, "charge": INTS, "h": INTS, "iso": INTS, "label": INTS, "chiral": INTS, "arom": "array<boolean>", "ring": "array<boolean>",
-    "near": INTS2, "order": INTS2, "a": INTS, "b": INTS, "o": INTS, "inring": "array<boolean>", "rings": INTS2, "logp": "array<double>", "mr": "array<double>",
+    "near": INTS2, "order": INTS2, "a": INTS, "b": INTS, "o": INTS, "ez": INTS, "inring": "array<boolean>", "rings": INTS2, "logp": "array<double>", "mr": "array<double>",
 }
 MOL_TYPE = f"struct<{','.join(f'{k}:{v}' for k, v in FIELDS.items())}>"
 _i, _ii, _b, _d = pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32())), pa.list_(pa.bool_()), pa.list_(pa.float64())
@@ -43,7 +43,7 @@ def as_row(m: S.Mol) -> dict:
     return {
         "z": m.z, "charge": m.charge, "h": m.h, "iso": m.iso, "label": m.label, "chiral": m.chiral, "arom": m.arom, "ring": [i in in_ring for i in range(len(m.z))],
         "near": [[v for v, _ in x] for x in m.near], "order": [[m.bonds[b][2] for _, b in x] for x in m.near],
-        "a": [b[0] for b in m.bonds], "b": [b[1] for b in m.bonds], "o": [b[2] for b in m.bonds], "inring": [frozenset(b[:2]) in ring_bonds for b in m.bonds],
+        "a": [b[0] for b in m.bonds], "b": [b[1] for b in m.bonds], "o": [b[2] for b in m.bonds], "ez": m.ez, "inring": [frozenset(b[:2]) in ring_bonds for b in m.bonds],
         "rings": m.rings, "logp": logp, "mr": mr,
     }
 

@@ -25,10 +25,11 @@ END = "(*)"
 JOINT = "%99"
 
 
-def written(df: DataFrame, parts: str, out: str, smiles: str = "smiles", ends: str | None = None, state: str | None = None, generic: bool = False) -> DataFrame:
+def written(df: DataFrame, parts: str, out: str, smiles: str = "smiles", ends: str | None = None, state: str | None = None, generic: bool = False, marks: bool = True) -> DataFrame:
     """df with out: the SMILES of each atom list in the column parts (array of arrays), read from smiles. ends: a column with,
-    for each list, the atoms that get a cut end. state: a column (charge, h) of all atoms, where these are not as read.
-    generic: with all atoms as carbon and all bonds single. Arrays of molecules are not sent to Python, so mol is dropped."""
+    for each list, the atoms that get a cut end. state: a column (charge, h) of all atoms, where these are not as read,
+    or (chiral, ez) of all atoms and bonds.
+    generic: with all atoms as carbon and all bonds single. marks: with stereo marks. Arrays of molecules are not sent to Python, so mol is dropped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -37,10 +38,11 @@ def written(df: DataFrame, parts: str, out: str, smiles: str = "smiles", ends: s
             for s, lists, marked, changed in zip(batch.column(smiles).to_pylist(), batch.column(parts).to_pylist(), *given, strict=True):
                 mol = M.parsed(s) if lists else None
                 if mol and changed:
-                    mol.charge, mol.h = changed["charge"], changed["h"]
+                    for field, values in changed.items():
+                        setattr(mol, field, values)
                 mol = S.generic(mol) if mol and generic else mol
                 marked = marked or [[]] * len(lists or [])
-                texts.append([S.write(mol, x, dict.fromkeys(y, END)) if x else "" for x, y in zip(lists, marked, strict=True)] if mol else [] if lists is not None else None)
+                texts.append([S.write(mol, x, dict.fromkeys(y, END), marks) if x else "" for x, y in zip(lists, marked, strict=True)] if mol else [] if lists is not None else None)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.list_(pa.string()))], names)
 
     df = df.drop(out, "mol")
@@ -93,17 +95,17 @@ def neutralize(df: DataFrame, smiles: str = "smiles") -> DataFrame:
     return written(rows, "_parts", "_text", smiles, state="_state").withColumn("neutralized", F.get("_text", F.lit(0))).drop("_parts", "_state", "_text")
 
 
-def standardize(df: DataFrame, smiles: str = "smiles", neutralize: bool = True) -> DataFrame:
+def standardize(df: DataFrame, smiles: str = "smiles", neutralize: bool = True, stereo: bool = False) -> DataFrame:
     """df with standardized: the largest fragment, without the charges that taking or giving a hydrogen removes, canonical and
-    without stereo marks. Null where smiles is no molecule."""
+    without stereo marks, or with them. Null where smiles is no molecule."""
     df = M.with_molecules(df, smiles) if "mol" not in df.columns else df
     ok = F.col("mol").isNotNull()
     rows = graphs.largest_fragment(df, "_big").withColumn("_parts", F.when(ok, F.array(flagged(F.col("_big")))))
     if not neutralize:
-        return written(rows, "_parts", "_text", smiles).withColumn("standardized", F.get("_text", F.lit(0))).drop("_big", "_parts", "_text")
+        return written(rows, "_parts", "_text", smiles, marks=stereo).withColumn("standardized", F.get("_text", F.lit(0))).drop("_big", "_parts", "_text")
     # only the kept fragment's charges count
     rows = rows.withColumn("_state", F.when(ok, molecules.neutral_state("_big")))
-    return written(rows, "_parts", "_text", smiles, state="_state").withColumn("standardized", F.get("_text", F.lit(0))).drop("_big", "_parts", "_text", "_state")
+    return written(rows, "_parts", "_text", smiles, state="_state", marks=stereo).withColumn("standardized", F.get("_text", F.lit(0))).drop("_big", "_parts", "_text", "_state")
 
 
 def ring_systems(df: DataFrame, id_: str = "row_idx", smiles: str = "smiles") -> DataFrame:

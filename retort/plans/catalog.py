@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from retort.functions import bits, graphs, metrics, scores
 from retort.functions import molecule as M
 from retort.functions.elements import MASSES
-from retort.operators import analysis, brics, columns, conformers, datasets, filters, molecules, reactions, rewrite, similarity
+from retort.operators import analysis, brics, columns, conformers, datasets, filters, molecules, reactions, rewrite, similarity, stereo
 from retort.plans import library
 from retort.sources import formats
 
@@ -962,3 +962,37 @@ def _(spark, d):
 def _(spark, d):
     """The matrix of the eight rows with the smallest ids, one column a row."""
     return similarity.wide_matrix(similarity.matrix(_fps(spark, d).where("id < 8"), "tanimoto", N_BITS))
+
+
+# stereo
+
+MARKED = f"WITH {library.marked_values()}"
+
+
+@query("stereo_spellings", f"{MARKED} SELECT row_idx, min(row_idx) OVER (PARTITION BY molecule) AS first_row FROM spelled")
+def _(spark, d):
+    rows = rewrite.convert(library.spelled(spark, d))
+    return rows.join(rows.groupBy("smiles").agg(F.min("row_idx").alias("first_row")), "smiles").select("row_idx", "first_row")
+
+
+@query("stereo_assign", f"{MARKED} SELECT row_idx, n_r, n_s, n_e, n_z FROM spelled")
+def _(spark, d):
+    of = lambda xs, x: M.count(F.col(xs), lambda c: c["label"] == x)
+    return stereo.assign(library.spelled(spark, d)).select("row_idx", of("cip.atoms", "R").alias("n_r"), of("cip.atoms", "S").alias("n_s"), of("cip.bonds", "E").alias("n_e"), of("cip.bonds", "Z").alias("n_z"))
+
+
+@query("stereo_clean", f"{MARKED} SELECT row_idx, n_kept FROM spelled")
+def _(spark, d):
+    return stereo.cleaned(library.spelled(spark, d)).select("row_idx", "n_kept")
+
+
+@query("stereo_isomers", f"{MARKED} SELECT row_idx AS id, CAST(n_isomers AS BIGINT) AS n_isomers FROM spelled")
+def _(spark, d):
+    made = stereo.isomers(M.with_molecules(library.spelled(spark, d)), only_unassigned=False)
+    return made.groupBy("id").agg(F.count("*").alias("n_isomers"))
+
+
+@query("stereo_undefined", f"{MARKED} SELECT row_idx, n_centers, n_double_bonds FROM spelled")
+def _(spark, d):
+    rows = stereo.undefined(M.with_molecules(library.spelled(spark, d)))
+    return rows.select("row_idx", F.size("open_centers").alias("n_centers"), F.size("open_double_bonds").alias("n_double_bonds"))

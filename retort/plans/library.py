@@ -206,3 +206,49 @@ def by_name(table: dict[str, int], default: int | str = 0) -> str:
 
 def listed(names: list[str]) -> str:
     return ", ".join(f"'{n}'" for n in names)
+
+#: name, R, S, E and Z labels, marks that mean something, isomers, open centers, open double bonds, spellings. Worked out by hand.
+MARKED = [
+    ("L-alanine", 0, 1, 0, 0, 1, 2, 0, 0, [r"N[C@@H](C)C(=O)O", r"C[C@H](N)C(=O)O", r"OC(=O)[C@@H](N)C"]),
+    ("D-alanine", 1, 0, 0, 0, 1, 2, 0, 0, [r"N[C@H](C)C(=O)O", r"C[C@@H](N)C(=O)O"]),
+    ("L-cysteine", 1, 0, 0, 0, 1, 2, 0, 0, [r"N[C@@H](CS)C(=O)O", r"SC[C@H](N)C(=O)O"]),
+    ("L-threonine", 1, 1, 0, 0, 2, 4, 0, 0, [r"C[C@@H](O)[C@H](N)C(=O)O", r"N[C@@H]([C@@H](C)O)C(=O)O"]),
+    ("D-glyceraldehyde", 1, 0, 0, 0, 1, 2, 0, 0, [r"OC[C@@H](O)C=O", r"O=C[C@H](O)CO"]),
+    ("(1R,2S,5R)-menthol", 2, 1, 0, 0, 3, 8, 0, 0, [r"CC(C)[C@@H]1CC[C@@H](C)C[C@H]1O", r"C[C@@H]1CC[C@H]([C@@H](C1)O)C(C)C"]),
+    ("(R)-limonene", 1, 0, 0, 0, 1, 2, 0, 0, [r"CC(=C)[C@@H]1CCC(C)=CC1", r"CC1=CC[C@@H](CC1)C(=C)C"]),
+    ("meso-tartaric acid", 1, 1, 0, 0, 2, 3, 0, 0, [r"OC(=O)[C@@H](O)[C@@H](O)C(=O)O", r"OC(=O)[C@H](O)[C@H](O)C(=O)O"]),
+    ("(R,R)-tartaric acid", 2, 0, 0, 0, 2, 3, 0, 0, [r"OC(=O)[C@H](O)[C@@H](O)C(=O)O", r"O[C@@H](C(=O)O)[C@@H](O)C(=O)O"]),
+    ("(S,S)-tartaric acid", 0, 2, 0, 0, 2, 3, 0, 0, [r"OC(=O)[C@@H](O)[C@H](O)C(=O)O", r"O[C@H](C(=O)O)[C@H](O)C(=O)O"]),
+    ("(S)-1-deuterioethanol", 0, 1, 0, 0, 1, 2, 0, 0, [r"[2H][C@@H](C)O", r"C[C@H]([2H])O"]),
+    ("(E)-2-butene", 0, 0, 1, 0, 1, 2, 0, 0, [r"C/C=C/C", r"C\C=C\C", r"C(\C)=C/C"]),
+    ("(Z)-2-butene", 0, 0, 0, 1, 1, 2, 0, 0, [r"C/C=C\C", r"C(/C)=C/C"]),
+    ("(E,Z)-2,4-hexadiene", 0, 0, 1, 1, 2, 3, 0, 0, [r"C/C=C/C=C\C", r"C/C=C\C=C\C"]),
+    ("(E,E)-2,4-hexadiene", 0, 0, 2, 0, 2, 3, 0, 0, [r"C/C=C/C=C/C", r"C(=C/C)\C=C\C"]),
+    ("(E)-cinnamic acid", 0, 0, 1, 0, 1, 2, 0, 0, [r"OC(=O)/C=C/c1ccccc1", r"c1ccccc1/C=C/C(O)=O"]),
+    ("(E)-cyclooctene", 0, 0, 1, 0, 1, 2, 0, 0, [r"C1CCC/C=C/CC1", r"C/1=C\CCCCCC1"]),
+    ("(Z)-1-bromo-2-chloro-2-fluoroethene", 0, 0, 0, 1, 1, 2, 0, 0, [r"F/C(Cl)=C/Br", r"Br/C=C(/F)Cl"]),
+    ("cis-1,4-dimethylcyclohexane", 0, 0, 0, 0, 2, 1, 0, 0, [r"C[C@H]1CC[C@@H](C)CC1", r"C[C@@H]1CC[C@H](C)CC1"]),
+    ("trans-1,4-dimethylcyclohexane", 0, 0, 0, 0, 2, 1, 0, 0, [r"C[C@H]1CC[C@H](C)CC1", r"C[C@@H]1CC[C@@H](C)CC1"]),
+    ("2-propanol", 0, 0, 0, 0, 0, 1, 0, 0, [r"C[C@H](C)O", r"CC(C)O", r"C[C@@H](O)C"]),
+    ("methylcyclohexane", 0, 0, 0, 0, 0, 1, 0, 0, [r"C[C@H]1CCCCC1", r"CC1CCCCC1"]),
+    ("2-methyl-2-butene", 0, 0, 0, 0, 0, 1, 0, 0, [r"C/C=C(/C)C", r"CC=C(C)C"]),
+    ("2-butanol", 0, 0, 0, 0, 0, 2, 1, 0, [r"CCC(C)O", r"OC(C)CC"]),
+    ("3-penten-2-ol", 0, 0, 0, 0, 0, 4, 1, 1, [r"CC=CC(C)O", r"OC(C)C=CC"]),
+    ("acetaldoxime", 0, 0, 0, 0, 0, 2, 0, 1, [r"CC=NO", r"ON=CC"]),
+]
+SPELLED = [(k, s) for k, one in enumerate(MARKED) for s in one[-1]]
+
+
+def spelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A spelling with stereo marks for each part: (row_idx, smiles)."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("row_idx"))
+    part = part.repartition(spark.sparkContext.defaultParallelism)
+    rows = spark.createDataFrame([(k, s) for k, (_, s) in enumerate(SPELLED)], "spelling int, smiles string")
+    return part.withColumn("spelling", F.pmod("row_idx", F.lit(len(SPELLED))).cast("int")).join(F.broadcast(rows), "spelling").select("row_idx", "smiles")
+
+
+def marked_values() -> str:
+    """The values of MARKED as a DuckDB table expression `spelled`, a row a part."""
+    fields = ("n_r", "n_s", "n_e", "n_z", "n_kept", "n_isomers", "n_centers", "n_double_bonds")
+    rows = ", ".join("(" + ", ".join(map(str, [k, s, *MARKED[s][1:-1]])) + ")" for k, (s, _) in enumerate(SPELLED))
+    return f"spelled AS (SELECT p_partkey AS row_idx, t.* FROM part JOIN (VALUES {rows}) AS t(spelling, molecule, {', '.join(fields)}) ON p_partkey % {len(SPELLED)} = t.spelling)"
