@@ -14,17 +14,19 @@ from retort.functions.checkpoints import cut
 
 
 def deduplicate(df: DataFrame, key: str | Column, order: str = "row_idx", keep: str = "first") -> DataFrame:
-    """One row for each key, the first or last by order; rows whose key is null all stay, and so do rows that are equal in key
-    and order, which order should tell apart. A hash aggregation over (key, order), with partial sums, finds the rows to keep,
-    so a key with most rows of the table costs one row a task."""
+    """One row for each key, the first or last by order, of several by a hash of the row; rows without order come after those
+    with one, and rows whose key is null all stay. A hash aggregation over (key, mark), with partial sums, finds the rows to keep, so
+    a key with most rows of the table costs one row a task; of rows equal in all columns but maps one is kept."""
     if keep not in ("first", "last"):
         raise ValueError("keep is first or last")
     k = F.col(key) if isinstance(key, str) else key
-    rows = df.withColumn("_key", k)
-    best = F.min(order) if keep == "first" else F.max(order)
-    kept = rows.where("_key is not null").groupBy("_key").agg(best.alias("_order")).withColumnRenamed("_key", "_kept")
-    once = rows.join(kept, (rows["_key"] == kept["_kept"]) & (rows[order] == kept["_order"]), "left_semi")
-    return once.unionByName(rows.where("_key is null")).drop("_key")
+    tie = F.xxhash64(*(F.col(f"`{n}`") for n, t in df.dtypes if "map<" not in t and "variant" not in t))
+    known = F.col(order).isNull() if keep == "first" else F.col(order).isNotNull()
+    rows = df.withColumn("_key", k).withColumn("_mark", F.struct(known.alias("known"), F.col(order).alias("order"), tie.alias("tie")))
+    best = F.min("_mark") if keep == "first" else F.max("_mark")
+    kept = rows.where("_key is not null").groupBy("_key").agg(best.alias("_best")).withColumnRenamed("_key", "_kept")
+    once = rows.join(kept, (rows["_key"] == kept["_kept"]) & (rows["_mark"] == kept["_best"]), "left_semi").dropDuplicates(["_key"])
+    return once.unionByName(rows.where("_key is null")).drop("_key", "_mark")
 
 
 def merge(frames: dict[str, DataFrame], key: str | None = None, source_column: str | None = None, order: str = "row_idx") -> DataFrame:

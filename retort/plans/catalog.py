@@ -178,11 +178,15 @@ def _(spark, d):
     return datasets.validity(molecules.validate(_mixed(spark, d)))
 
 
-@query("canonical_key_partition", f"SELECT CAST(count(*) AS BIGINT) AS n_keys, CAST(0 AS BIGINT) AS mixed, CAST(0 AS BIGINT) AS apart FROM (VALUES {', '.join(f'({k})' for k in range(_V))}) AS t(k)")
+#: (molecule, text): each of the library's texts, and other spellings of some.
+_TEXTS = [(k, m[0]) for k, m in enumerate(library.MOLECULES)] + library.SPELLINGS
+
+
+@query("canonical_key_partition", f"SELECT count(DISTINCT mol_id) AS n_keys, CAST(0 AS BIGINT) AS mixed, CAST(0 AS BIGINT) AS apart FROM part JOIN (VALUES {', '.join(f'({k}, {n})' for k, (n, _) in enumerate(_TEXTS))}) AS t(k, mol_id) ON p_partkey % {len(_TEXTS)} = k")
 def _(spark, d):
-    """Keys of all spellings: as many as molecules, none for two molecules, and no molecule with two."""
-    rows = [(k, m[0]) for k, m in enumerate(library.MOLECULES)] + library.SPELLINGS
-    keys = graphs.key(M.with_molecules(spark.createDataFrame(rows, "mol_id int, smiles string"), canonical="canonical")).select("mol_id", "mol_key", "canonical").distinct()
+    """Keys of all parts' spellings: as many as molecules, none for two molecules, and no molecule with two."""
+    rows = library.dealt(spark, d, _TEXTS, "mol_id int, smiles string")
+    keys = graphs.key(M.with_molecules(rows, canonical="canonical")).select("mol_id", "mol_key", "canonical").distinct()
     by_key, by_id = keys.groupBy("mol_key").agg(F.countDistinct("mol_id").alias("n")), keys.groupBy("mol_id").agg(F.countDistinct("mol_key", "canonical").alias("n"))
     a = by_key.agg(F.count("*").alias("n_keys"), F.count(F.when(F.col("n") > 1, 1)).alias("mixed"))
     return a.join(by_id.agg(F.count(F.when(F.col("n") > 1, 1)).alias("apart")))
@@ -366,8 +370,7 @@ def _(spark, d):
 
 @query("fragment_build")
 def _(spark, d):
-    mols = M.with_molecules(library.frame(spark).withColumnRenamed("mol_id", "row_idx"))
-    return rewrite.recombined(rewrite.fragments(mols), 1000)
+    return rewrite.recombined(rewrite.fragments(M.with_molecules(library.bridged(spark, d))), 1000)
 
 
 @query("standardize")
@@ -399,9 +402,10 @@ def _(spark, d):
 REACTIONS = [(0, "[C:1]=[O:2]>>[C:1][O:2]"), (1, "[CH3:1]Br>>[CH3:1]O"), (2, "[N:1][C:2]>>[N:1]=[C:2]")]
 
 
-@query("reactions_map", "SELECT * FROM (VALUES (0, 1, 0, 0, 'C'), (0, 2, 1, 1, 'O'), (1, 1, 0, 0, 'C'), (2, 1, 0, 0, 'N'), (2, 2, 1, 1, 'C')) AS t(id, map_num, reactant_idx, product_idx, symbol)")
+@query("reactions_map", "SELECT p_partkey AS id, map_num, reactant_idx, product_idx, symbol FROM part JOIN (VALUES (0, 1, 0, 0, 'C'), (0, 2, 1, 1, 'O'), (1, 1, 0, 0, 'C'), (2, 1, 0, 0, 'N'), (2, 2, 1, 1, 'C')) AS t(k, map_num, reactant_idx, product_idx, symbol) ON p_partkey % 3 = k")
 def _(spark, d):
-    return rewrite.atom_map(spark.createDataFrame(REACTIONS, "row_idx int, reaction string"))
+    """A reaction for each part."""
+    return rewrite.atom_map(library.dealt(spark, d, [r[1:] for r in REACTIONS], "reaction string"))
 
 
 TEMPLATES = {
@@ -438,7 +442,7 @@ def _(spark, d):
 
 @query("reactions_fingerprint")
 def _(spark, d):
-    return rewrite.reaction_fingerprints(spark.createDataFrame(REACTIONS, "row_idx int, reaction string")).withColumn("difference", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("difference")))))
+    return rewrite.reaction_fingerprints(library.dealt(spark, d, [r[1:] for r in REACTIONS], "reaction string")).withColumn("difference", F.to_json(F.map_from_entries(F.array_sort(F.map_entries("difference")))))
 
 
 @query("protonate", f"{LIB} SELECT row_idx, {library.by_name(library.CHARGED)} AS charge_at_ph, {library.by_name(library.CHARGED)} AS charge, CAST(n_h + {library.by_name(library.CHARGED)} AS INTEGER) AS hydrogens FROM mols")
@@ -547,10 +551,10 @@ def _(spark, d):
 _KINDS = ("atompair", "circular", "key", "minhash", "path", "scaffold", "torsion")
 
 
-@query("fingerprint_spellings", f"SELECT * FROM (VALUES {', '.join(f'(%r, {len(library.SPELLINGS)}, 0)' % k for k in _KINDS)}) AS t(kind, spellings, apart)")
+@query("fingerprint_spellings", f"SELECT kind, CAST(count(*) AS INTEGER) AS spellings, CAST(0 AS INTEGER) AS apart FROM part, (VALUES {', '.join('(%r)' % k for k in _KINDS)}) AS t(kind) GROUP BY kind")
 def _(spark, d):
-    """By kind of fingerprint or key: spellings, and how many have another value than the library's own text."""
-    rows = spark.createDataFrame([(k, s, library.MOLECULES[k][0]) for k, s in library.SPELLINGS], "mol_id int, smiles string, own string")
+    """By kind of fingerprint or key: parts' spellings, and how many have another value than the library's own text."""
+    rows = library.dealt(spark, d, [(k, s, library.MOLECULES[k][0]) for k, s in library.SPELLINGS], "mol_id int, smiles string, own string")
 
     def values(c: str) -> DataFrame:
         mols = M.with_molecules(rows.select("mol_id", F.col(c).alias("smiles")))
@@ -941,10 +945,14 @@ def _(spark, d):
     return spark.createDataFrame([(k, formats.row_count(spark, _written(spark, d, k), k)) for k in _FILES], "kind string, n long")
 
 
-@query("source_formats", "SELECT * FROM (VALUES ('a.csv', 'csv', true), ('b/c.TSV', 'tsv', true), ('d.smi', 'smi', false), ('d.smiles', 'smi', false), ('e.sdf', 'sdf', true), ('e.mol', 'sdf', true), ('f.parquet', 'parquet', true), ('f.pq/', 'parquet', true)) AS t(path, kind, header)")
+_PATHS = [("a.csv", "csv", True), ("b/c.TSV", "tsv", True), ("d.smi", "smi", False), ("d.smiles", "smi", False), ("e.sdf", "sdf", True), ("e.mol", "sdf", True), ("f.parquet", "parquet", True), ("f.pq/", "parquet", True)]
+
+
+@query("source_formats", f"SELECT p_partkey AS row_idx, path, kind, header FROM part JOIN (VALUES {', '.join(f'({k}, {p!r}, {f!r}, {h})' for k, (p, f, h) in enumerate(_PATHS))}) AS t(k, path, kind, header) ON p_partkey % {len(_PATHS)} = k")
 def _(spark, d):
-    paths = ("a.csv", "b/c.TSV", "d.smi", "d.smiles", "e.sdf", "e.mol", "f.parquet", "f.pq/")
-    return spark.createDataFrame([(p, formats.detect(p), formats.config(p).has_header) for p in paths], "path string, kind string, header boolean")
+    """Kind and header of a path for each part; the kinds of endings are a small table."""
+    kinds = [(p, formats.detect(p), formats.config(p).has_header) for p, *_ in _PATHS]
+    return library.dealt(spark, d, kinds, "path string, kind string, header boolean")
 
 
 @query("sink_chunks", "SELECT CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 700 AS BIGINT) AS chunk, o_orderkey AS row_idx FROM orders")

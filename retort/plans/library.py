@@ -239,12 +239,17 @@ MARKED = [
 SPELLED = [(k, s) for k, one in enumerate(MARKED) for s in one[-1]]
 
 
-def spelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A spelling with stereo marks for each part: (row_idx, smiles)."""
+def dealt(spark: SparkSession, sf_dir: str, rows: list[tuple], schema: str) -> DataFrame:
+    """One of a few fixed rows, in turn, for each part, with row_idx: row k for p_partkey % len(rows) = k."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("row_idx"))
     part = part.repartition(spark.sparkContext.defaultParallelism)
-    rows = spark.createDataFrame([(k, s) for k, (_, s) in enumerate(SPELLED)], "spelling int, smiles string")
-    return part.withColumn("spelling", F.pmod("row_idx", F.lit(len(SPELLED))).cast("int")).join(F.broadcast(rows), "spelling").select("row_idx", "smiles")
+    few = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], f"_k int, {schema}")
+    return part.withColumn("_k", F.pmod("row_idx", F.lit(len(rows))).cast("int")).join(F.broadcast(few), "_k").drop("_k")
+
+
+def spelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A spelling with stereo marks for each part: (row_idx, smiles)."""
+    return dealt(spark, sf_dir, [(s,) for _, s in SPELLED], "smiles string")
 
 
 def marked_values() -> str:

@@ -40,6 +40,18 @@ def test_deduplicate(spark, keep):
     assert got == sorted([k for k, v in rows if v is None] + ends)
 
 
+@pytest.mark.parametrize("keep", ["first", "last"])
+def test_deduplicate_ties(spark, keep):
+    rows = [(1, 7, "a")] * 3 + [(1, 7, "b"), (None, 7, "c"), (None, 8, "d"), (None, 8, "d"), (2, None, "e"), (2, None, "e")]
+    df = spark.createDataFrame(rows, "row_idx long, key int, x string")
+    got = [tuple(r) for n in (1, 3) for r in datasets.deduplicate(df.repartition(n), "key", keep=keep).collect()]
+    once = sorted(got[: len(got) // 2], key=str)
+    assert sorted(got[len(got) // 2 :], key=str) == once  # the same row however they are dealt
+    assert len(once) == 4
+    assert [o for o, k, _ in once if k == 7] == [1] and [r for r in once if r[1] == 8] == [(None, 8, "d")]
+    assert [r for r in once if r[1] is None] == [(2, None, "e")] * 2
+
+
 def test_split_and_sample(spark):
     df = spark.range(10).withColumnRenamed("id", "row_idx")
     assert [r[0] for r in datasets.split(df, chunks=3).groupBy("chunk").count().orderBy("chunk").select("count").collect()] == [4, 3, 3]
