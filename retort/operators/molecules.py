@@ -20,6 +20,7 @@ from retort.functions import smiles as S
 from retort.functions.elements import NUMBER
 from retort.functions.expr import let
 from retort.functions.molecule import m
+from retort.functions.stereo import SMALLEST_RING
 
 
 class NotAvailable(NotImplementedError):
@@ -66,6 +67,8 @@ def validate(df: DataFrame, smiles: str = "smiles", max_atoms: int | None = None
     if stereo:
         n = F.size(undefined_centers())
         warnings.append(F.when(ok & (n > 0), F.concat(n.cast("string"), F.lit(" undefined stereocenters"))))
+        n_bonds = F.size(undefined_double_bonds())
+        warnings.append(F.when(ok & (n_bonds > 0), F.concat(n_bonds.cast("string"), F.lit(" undefined double bonds"))))
     out = df.withColumn("errors", F.array_compact(F.array(*errors))).withColumn("warnings", F.array_compact(F.array(*warnings)))
     return out.withColumn("is_valid", F.size("errors") == 0)
 
@@ -85,6 +88,27 @@ def undefined_centers() -> Column:
     return F.filter(possible_centers(), lambda i: F.get(m("chiral"), i) == 0)
 
 
+def possible_double_bonds() -> Column:
+    """Numbers of double bonds, not in small rings, with two different neighbours at each end, a hydrogen or lone pair being one."""
+
+    def end(hashes: Column, i: Column, other: Column) -> Column:
+        vs = F.filter(F.get(m("near"), i), lambda v: v != other)
+        hidden = F.when(M.z_at(i) == 7, 1).otherwise(F.get(m("h"), i))
+        return (F.size(vs) == 1) & (hidden == 1) | (F.size(vs) == 2) & (F.get(hashes, F.get(vs, F.lit(0))) != F.get(hashes, F.get(vs, F.lit(1))))
+
+    def bond(hashes: Column, k: Column) -> Column:
+        a, b = F.get(m("a"), k), F.get(m("b"), k)
+        small = F.exists(m("rings"), lambda r: (F.size(r) < SMALLEST_RING) & F.array_contains(r, a) & F.array_contains(r, b))
+        return (F.get(m("o"), k) == 2) & ~small & end(hashes, a, b) & end(hashes, b, a)
+
+    numbers = F.transform(m("o"), lambda _, k: k)
+    return let(graphs.refined(), lambda hashes: F.filter(numbers, lambda k: bond(hashes, k)))
+
+
+def undefined_double_bonds() -> Column:
+    return F.filter(possible_double_bonds(), lambda k: F.get(m("ez"), k) == 0)
+
+
 def stereo_counts(df: DataFrame) -> DataFrame:
     """df with n_potential, n_specified and n_unspecified stereocenters."""
     specified = M.atoms_where(lambda i: F.get(m("chiral"), i) > 0)

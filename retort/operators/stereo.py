@@ -13,9 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from retort.functions import cip, graphs, stereo
+from retort.functions import cip
 from retort.functions import molecule as M
-from retort.functions.expr import let
 from retort.functions.molecule import m
 from retort.operators import molecules, rewrite
 
@@ -44,27 +43,9 @@ def assign(df: DataFrame, smiles: str = "smiles") -> DataFrame:
     return df.mapInArrow(run, ", ".join([*(f"`{n}` {t}" for n, t in df.dtypes), f"cip {LABELS}"]))
 
 
-def possible_double_bonds() -> Column:
-    """Numbers of double bonds, not in small rings, with two different neighbours at each end, a hydrogen or lone pair being one."""
-
-    def end(hashes: Column, i: Column, other: Column) -> Column:
-        vs = F.filter(F.get(m("near"), i), lambda v: v != other)
-        hidden = F.when(M.z_at(i) == 7, 1).otherwise(F.get(m("h"), i))
-        return (F.size(vs) == 1) & (hidden == 1) | (F.size(vs) == 2) & (F.get(hashes, F.get(vs, F.lit(0))) != F.get(hashes, F.get(vs, F.lit(1))))
-
-    def bond(hashes: Column, k: Column) -> Column:
-        a, b = F.get(m("a"), k), F.get(m("b"), k)
-        small = F.exists(m("rings"), lambda r: (F.size(r) < stereo.SMALLEST_RING) & F.array_contains(r, a) & F.array_contains(r, b))
-        return (F.get(m("o"), k) == 2) & ~small & end(hashes, a, b) & end(hashes, b, a)
-
-    numbers = F.transform(m("o"), lambda _, k: k)
-    return let(graphs.refined(), lambda hashes: F.filter(numbers, lambda k: bond(hashes, k)))
-
-
 def undefined(df: DataFrame) -> DataFrame:
     """df (with mol) with open_centers and open_double_bonds: atoms and bonds that could have a mark and have none."""
-    free = F.filter(possible_double_bonds(), lambda k: F.get(m("ez"), k) == 0)
-    return df.withColumn("open_centers", molecules.undefined_centers()).withColumn("open_double_bonds", free)
+    return df.withColumn("open_centers", molecules.undefined_centers()).withColumn("open_double_bonds", molecules.undefined_double_bonds())
 
 
 def cleaned(df: DataFrame, smiles: str = "smiles") -> DataFrame:
@@ -80,7 +61,7 @@ def isomers(df: DataFrame, id_: str = "row_idx", smiles: str = "smiles", most: i
     ways to set them (the lowest numbers in binary); only_unassigned: without turning over the marks that are there. df has mol."""
     chosen = undefined(df.where("mol is not null"))
     if not only_unassigned:
-        chosen = chosen.withColumn("open_centers", molecules.possible_centers()).withColumn("open_double_bonds", possible_double_bonds())
+        chosen = chosen.withColumn("open_centers", molecules.possible_centers()).withColumn("open_double_bonds", molecules.possible_double_bonds())
     free = F.size("open_centers") + F.size("open_double_bonds")
     ways = F.least(F.pow(F.lit(2.0), free), F.lit(float(most))).cast("int")
     rows = chosen.withColumn("way", F.explode(F.sequence(F.lit(0), ways - 1)))

@@ -6,7 +6,7 @@ from retort.functions import cip, ranks
 from retort.functions import molecule as M
 from retort.functions import smiles as S
 from retort.functions import stereo as marks
-from retort.operators import rewrite, stereo
+from retort.operators import molecules, rewrite, stereo
 from retort.plans import library
 
 #: Texts with hand-assigned labels, in the order of their atoms.
@@ -86,6 +86,14 @@ def test_operators(spark):
     assert stereo.assign(df.limit(0)).count() == 0
 
 
+def test_validation_warns_of_open_marks(spark):
+    texts = ["CC=CC(C)O", r"C/C=C/C", "CC=CC=CC", "CC=C(C)C", "C1CCC=CCC1", "C1CCCC=CCC1", "CC(C)=O", "no molecule", None, "CC=NO", "C=CC"]
+    got = {r.smiles: r.warnings for r in molecules.validate(spark.createDataFrame([(t,) for t in texts], "smiles string"), stereo=True).collect()}
+    one = ["1 undefined double bonds"]
+    want = {"CC=CC(C)O": ["1 undefined stereocenters", *one], "CC=CC=CC": ["2 undefined double bonds"], "C1CCCC=CCC1": one, "CC=NO": one}
+    assert got == {t: want.get(t, []) for t in texts}
+
+
 def test_pieces_leave_out_marks_of_cut_atoms(spark):
     df = spark.createDataFrame([(1, r"C[C@H](O)c1ccccc1"), (2, r"C[C@H](N)C(=O)[O-].[Na+]")], "row_idx int, smiles string")
     frames = rewrite.scaffolds(M.with_molecules(df)).collect()
