@@ -271,3 +271,32 @@ def test_medians_by_rounds(spark):
     for c, column in zip("abcd", zip(*rows)):
         assert got[c] == plain.median(x for x in column if x is not None)
     assert got["e"] is None and datasets._medians(df, {}) == {}
+
+
+def test_blocks_of_all_pairs(spark, monkeypatch):
+    """Several blocks, fingerprints without bits, a null one and a repeated id, against plain loops."""
+    import statistics as plain
+
+    from retort.functions.bits import words_from_bits
+
+    rows = [(k, on) for k, on in fps(90, 128, 0.4, 3)] + [(200, []), (201, []), (202, None), (5, [1, 2])]
+    df = spark.createDataFrame(rows, "id long, on array<int>").withColumn("words", F.when(F.col("on").isNotNull(), words_from_bits(F.col("on"), 128)))
+    monkeypatch.setattr(similarity, "BLOCK", 7)
+    monkeypatch.setattr(similarity, "STRIP", 3)
+    t, value = 0.5, lambda x, y: None if x is None or y is None else 1.0 if not x and not y else len(set(x) & set(y)) / len(set(x) | set(y))
+    pairs = [(a, b, value(x, y)) for a, x in rows for b, y in rows if a < b]
+    got = similarity.diversity(df, "tanimoto", 128).first()
+    known = [v for _, _, v in pairs if v is not None]
+    want = [len(pairs), plain.mean(known), plain.median(known), min(known), max(known), plain.stdev(known), 1 - plain.mean(known)]
+    assert all(abs(x - y) < 6e-5 for x, y in zip(got, want, strict=True))
+    assert similarity.matrix(df.where("id < 200"), "tanimoto", 128).count() == 2 * sum(b < 200 for _, b, _ in pairs) + 91
+    near = sorted((a, b) for a, b, v in pairs if v is not None and v >= t and b < 200)
+    assert sorted((r.i, r.j) for r in similarity.neighbours(df.where("id < 200").select("id", "on"), t, 128).collect()) == near
+    alone = df.where("size(on) <> 2 or on is null")
+    leaders, sets = [], {k: on for k, on in rows if on is None or len(on) != 2}
+    for k in sorted(sets):
+        if not sets[k] or not any(sets[x] and value(sets[k], sets[x]) >= t for x in leaders):
+            leaders.append(k)
+    assert [r.id for r in similarity.leader(alone, t, 128).orderBy("diversity_rank").collect()] == leaders
+    # pairs are made block against block within a group, not as rows of a join
+    assert "Join" not in similarity.neighbours(df.where("id < 200").select("id", "on"), t, 128)._jdf.queryExecution().toString()
