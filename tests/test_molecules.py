@@ -181,3 +181,41 @@ def test_bits_round_trip(spark):
 def test_what_is_not_offered():
     with pytest.raises(molecules.NotAvailable, match="force field"):
         molecules.MISSING["energy_compute"]()
+
+
+def test_each_text_is_read_once(spark, monkeypatch):
+    """Rows with repeated, null and wrong texts, and a step with none, one or several rows a text."""
+    from pyspark.sql import functions as F
+
+    from retort.functions import molecule as M
+    from retort.plans import catalog
+
+    texts = ["CCO", None, "CCO", "c1ccccc1", "no molecule", None, "CCO", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, smiles string")
+    seen = []
+
+    def sizes(t):
+        seen.append(t.count())
+        return M.with_molecules(t).select("smiles", F.size(M.m("z")).alias("n"))
+
+    got = M.each_text(df, sizes)
+    assert got.columns == ["k", "smiles", "n"] and seen == [5]
+    assert [tuple(r) for r in got.orderBy("k").collect()] == [(k, s, {"CCO": 3, "c1ccccc1": 6}.get(s)) for k, s in enumerate(texts)]
+    atoms = M.each_text(df, lambda t: M.with_molecules(t).where("mol is not null").select("smiles", F.explode(M.m("z")).alias("z")))
+    assert atoms.groupBy("k").count().where("count > 1").count() == 4 and atoms.count() == 15
+    # the queries of the bridge read a molecule a text, not one a part
+    read, plain = [], M.with_molecules
+    monkeypatch.setattr(M, "with_molecules", lambda rows, *a, **k: (read.append(rows.count()), plain(rows, *a, **k))[1])
+    for name in ("descriptors_surface", "fingerprint_spellings", "rings_analyze", "convert", "mmp_transform"):
+        catalog.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert read and max(read) <= 78
+
+
+def test_python_steps_take_few_rows():
+    import pyarrow as pa
+
+    from retort.functions import molecule as M
+
+    batch = pa.record_batch({"smiles": [f"C{'C' * (k % 5)}" for k in range(1000)]})
+    parts = list(M.sliced([batch, batch.slice(0, 0)]))
+    assert max(p.num_rows for p in parts) <= 256 and pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
