@@ -300,3 +300,31 @@ def test_blocks_of_all_pairs(spark, monkeypatch):
     assert [r.id for r in similarity.leader(alone, t, 128).orderBy("diversity_rank").collect()] == leaders
     # pairs are made block against block within a group, not as rows of a join
     assert "Join" not in similarity.neighbours(df.where("id < 200").select("id", "on"), t, 128)._jdf.queryExecution().toString()
+
+
+def test_matrix_of_odd_rows(spark, monkeypatch):
+    """Text ids, a repeated and a null one, words that are null, empty or few, blocks that grow instead of becoming more."""
+    rows = [(f"m{k}", [k * 0x9E3779B97F4A7C15 % 2**62, k % 5]) for k in range(60)] + [("m7", [3, 0]), (None, [1, 1]), ("none", None), ("empty", []), ("few", [6])]
+    df = spark.createDataFrame(rows, "id string, words array<long>")
+    for name, n in (("BLOCK", 7), ("STRIP", 3), ("BLOCKS", 3), ("LARGEST", 6)):
+        monkeypatch.setattr(similarity, name, n)
+
+    def value(x, y):
+        if x is None or y is None:
+            return None
+        x, y = (sum(w << 64 * k for k, w in enumerate(v)) for v in (x, y))
+        return (x & y).bit_count() / (x | y).bit_count() if x | y else 1.0
+
+    want = [(a, b, value(x, y)) for a, x in rows for b, y in rows if a is not None and b is not None and a != b]
+    order = lambda found: sorted(found, key=str)
+    assert order(map(tuple, similarity.matrix(df, "tanimoto", 128).collect())) == order(want + [(a, a, 1.0) for a, _ in rows])
+    assert order(map(tuple, similarity.upper_pairs(df, "tanimoto", 128).collect())) == order(x for x in want if x[0] < x[1])
+
+
+def test_matrix_in_files(spark, tmp_path):
+    """All pairs of 1500 rows take under two bytes each in files: ids come in runs and in one order again and again."""
+    df = spark.range(1500).select("id", F.array(F.xxhash64("id")).alias("words"))
+    similarity.matrix(df, "tanimoto", 64).write.parquet(str(tmp_path / "out"))
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.count() == out.select("i", "j").distinct().count() == 1500**2
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 2 * 1500**2
