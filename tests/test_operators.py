@@ -328,3 +328,33 @@ def test_matrix_in_files(spark, tmp_path):
     out = spark.read.parquet(str(tmp_path / "out"))
     assert out.count() == out.select("i", "j").distinct().count() == 1500**2
     assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 2 * 1500**2
+
+
+def test_matrix_in_fewer_bits(spark, tmp_path):
+    """All pairs of 3000 rows take under 0.9 bytes each in files: blocks have one number of bits, tasks one sum, and each tile of
+    pairs comes a second time turned round."""
+    df = spark.range(3000).select("id", F.array(F.xxhash64("id")).alias("words"))
+    similarity.matrix(df, "tanimoto", 64).write.parquet(str(tmp_path / "out"))
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.count() == out.select("i", "j").distinct().count() == 3000**2
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 0.9 * 3000**2
+
+
+def test_blocks_of_alike_rows(spark, monkeypatch):
+    """Blocks are bounded, also where most rows have the same words; few rows of a number of bits share one; ids repeat across blocks."""
+    sizes = [(-1, 0, 3), (5, 1, 4), (5, 2, 6), (9, 0, 100), (9, 7, 2), (12, 3, 10), (12, 4, 10), (13, 5, 1)]
+    places, blocks = similarity._cut_alike(sizes, 10)
+    assert [p[:2] for p in places] == [s[:2] for s in sizes] and sum(b[0] for b in blocks) == 136
+    assert max(b[0] for b in blocks) <= 20 and [p[3] for p in places] == [1, 1, 1, 10, 1, 1, 1, 1]
+    assert {b[1:] for b in blocks} == {(-1, -1), (5, 5), (9, 9), (12, 12), (13, 13)}
+    tasks = similarity._tasks(blocks, 8)
+    assert len({t[:2] for t in tasks}) == len(tasks) == len(blocks) * (len(blocks) + 1) // 2
+    assert all(len({blocks[x][1] + blocks[y][1] for x, y, t in tasks if t == k}) == 1 for k in {t[2] for t in tasks})
+
+    for name, n in (("BLOCK", 6), ("STRIP", 4), ("BLOCKS", 4), ("LARGEST", 8), ("WIDE", 3)):
+        monkeypatch.setattr(similarity, name, n)
+    rows = [(k, [7]) for k in range(50)] + [(k, [k * 0x9E3779B97F4A7C15 % 2**62]) for k in range(40, 80)]
+    want = [(a, b, (x & y).bit_count() / (x | y).bit_count()) for a, (x,) in rows for b, (y,) in rows if a != b]
+    for given in (None, 3):
+        found = similarity._pairs(spark.createDataFrame(rows, "id long, words array<long>"), "tanimoto", 64, 0.5, 0.5, given)
+        assert sorted(map(tuple, found.collect())) == sorted(want)
